@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     def rows(batch: pa.RecordBatch, texts: list) -> dict:
         return {key: batch.column(key), "fp": pa.array(fingerprints_of(texts, words, seed).view(np.int64))}
 
-    return map_texts(docs.select(key, text), text, rows, f"`{key}` {kind}, fp long")
+    return map_texts(docs.select(key, text), text, rows, f"`{key}` {kind}, fp long", limit=2 << 20)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
