@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .lines import drop_repeated_lines
 from .repetition import LENGTHS, Rules, with_repetition
+from .packing import pack_documents
 from .simhash import hex_fingerprint, simhash_components
+from .token_archive import id_round_trip
+from .warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,29 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a WARC archive and back."""
+    read = archive_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens, each ended by id 1."""
+    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=4096, end_id=1)
+
+
+def op10_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, ended by id 2, through the archive files and back."""
+    return id_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op6_warc": op6_warc,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_token_archive": op10_token_archive,
 }
 
 
@@ -77,4 +99,10 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone)
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _op1_sql(), "op3_line_dedup": _OP3_SQL}
+_OP6_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id > first_id AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _op1_sql(), "op3_line_dedup": _OP3_SQL, "op6_warc": _OP6_SQL}

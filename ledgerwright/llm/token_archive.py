@@ -84,7 +84,7 @@ class _Model:
         a, b = self.at_rate + confidence, self.at_rate + past
         sa, sb = _STRETCH[self.rates[2 * k][a] >> 4], _STRETCH[self.rates[2 * k + 1][b] >> 4]
         mixed = (sa * self.weights[2 * k] + sb * self.weights[2 * k + 1]) >> 16
-        p = _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
+        p = _SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
         return a, b, sa, sb, p
 
     def _learn(self, k: int, mix: tuple, hit: np.ndarray, counts: np.ndarray) -> None:
@@ -99,8 +99,9 @@ class _Model:
         self.weights[2 * k + 1] += (error * sb) >> 9
 
     def predict(self) -> None:
-        at2 = ((self.prev * 0x9E5F + self.prev2 * 0x51ED27 + (self.prev >> 7)) % 2039) & (_TABLE - 1)
-        self.at2, self.at1 = self.at_table + at2, self.at_table + (self.prev * 0x2F0B % 2039)
+        scrambled = self.prev * 0x9E3779B1
+        self.at1 = self.at_table + ((scrambled >> 20) & (_TABLE - 1))
+        self.at2 = self.at_table + (((scrambled ^ (self.prev2 * 0x85EBCA77)) >> 20) & (_TABLE - 1))
         e2, e1 = self.two[self.at2], self.one[self.at1]
         self.e2, self.e1 = e2, e1
         self.id2, self.id1 = (e2 >> 3) - 1, (e1 >> 3) - 1
@@ -110,9 +111,9 @@ class _Model:
         self.mix2 = self._mix(0, (e2 & 7) + 8 * agree, self.past_two)
         self.mix1 = self._mix(1, (e1 & 7) + 8 * self.has2, self.past_one)
         least = 1 << (_FLAG - 5)
-        f2 = np.where(has2, np.clip(self.mix2[4] << 4, least, (1 << _FLAG) - 2 * least), 0)
+        f2 = np.where(has2, np.minimum(np.maximum(self.mix2[4] << 4, least), (1 << _FLAG) - 2 * least), 0)
         room = (1 << _FLAG) - f2
-        f1 = np.where(other, np.clip((room * self.mix1[4]) >> 12, least, room - least), 0)
+        f1 = np.where(other, np.minimum(np.maximum((room * self.mix1[4]) >> 12, least), room - least), 0)
         self.f2, self.f1 = f2, f1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
