@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
+from .licenses import COPYRIGHT, KNOWN, SPELLINGS, license_scan
 from .lines import drop_repeated_lines
-from .repetition import LENGTHS, Rules, with_repetition
 from .packing import pack_documents
+from .pages import main_text
+from .ppm import learn, predict_language
+from .repetition import LENGTHS, Rules, with_repetition
 from .simhash import hex_fingerprint, simhash_components
 from .token_archive import id_round_trip
 from .warc import archive_round_trip
@@ -35,17 +39,40 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that are a whole document or a whole line of it."""
+    return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a WARC archive and back."""
     read = archive_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it contains to four fifths."""
+    return contained_items(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=5, share=0.8)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens, each ended by id 1."""
     return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=4096, end_id=1)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose id has a checksum not 2 modulo 4."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = learn(docs, ~held_out)
+    return predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op10_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, ended by id 2, through the archive files and back."""
     return id_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2)
@@ -55,8 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
     "op10_token_archive": op10_token_archive,
 }
 
@@ -105,4 +136,45 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 r AS (SELECT *, payload_bytes >= 100 AND page_id > first_id AS again FROM f)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _op1_sql(), "op3_line_dedup": _OP3_SQL, "op6_warc": _OP6_SQL}
+
+def _op5_sql() -> str:
+    def form(t: str) -> str:
+        pattern = COPYRIGHT.replace("(?md)", "(?m)")
+        low = f"regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}', ' ', 'g')"
+        words = f"' ' || trim(regexp_replace({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
+        for old, new in SPELLINGS:
+            words = f"replace({words}, ' {old} ', ' {new} ')"
+        return f"trim({words})"
+
+    values = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN)
+    return f"""
+WITH known AS (SELECT f, min(license) AS license FROM (SELECT license, {form("t")} AS f FROM (VALUES {values}) AS v(license, t)) GROUP BY f),
+units AS (SELECT doc_id, TRUE AS whole, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT doc_id, FALSE, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
+forms AS (SELECT doc_id, whole, {form("t")} AS f FROM units),
+found AS (SELECT doc_id, min(license) FILTER (whole) AS whole_license, count(*) FILTER (NOT whole) AS n_license_lines,
+  array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses FROM forms JOIN known USING (f) GROUP BY doc_id)
+SELECT doc_id, whole_license, CAST(coalesce(n_license_lines, 0) AS BIGINT) AS n_license_lines, coalesce(licenses, '') AS licenses
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN found USING (doc_id)"""
+
+
+def _shingle_sql(table: str, key: str, n: int = 5) -> str:
+    return f"""(SELECT DISTINCT {key}, CASE WHEN len(ws) < {n} THEN array_to_string(ws, ' ') ELSE array_to_string(list_slice(ws, i, i + {n - 1}), ' ') END AS s
+  FROM (SELECT {key}, ws, unnest(range(1, greatest(len(ws) - {n - 2}, 2))) AS i
+    FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table}) WHERE len(ws) > 0))"""
+
+
+_OP7_SQL = f"""
+WITH want AS {_shingle_sql("benchmark", "item_id")}, have AS {_shingle_sql("documents", "doc_id")},
+size AS (SELECT item_id, count(*) AS n_shingles FROM want GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM have JOIN want USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_shingles AS BIGINT) AS n_shingles, n_shared / n_shingles AS containment
+FROM hits JOIN size USING (item_id) WHERE n_shared >= n_shingles * 0.8 - 1e-9"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": _op1_sql(),
+    "op3_line_dedup": _OP3_SQL,
+    "op5_license_scan": _op5_sql(),
+    "op6_warc": _OP6_SQL,
+    "op7_benchmark_decontamination": _OP7_SQL,
+}
