@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
