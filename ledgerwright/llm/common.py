@@ -20,29 +20,23 @@ BATCH_BYTES = 8 << 20
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+_local_root: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is absent (tests, a single machine) a local temporary
-    folder is made and set as the checkpoint folder of this session.
+    Where the setting is absent (tests, a single machine) one local temporary
+    folder serves this process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through the reliable checkpoint folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark, "root").rsplit("/", 1)[0]
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again (compressed, unlike a checkpoint)."""
     spark = df.sparkSession
