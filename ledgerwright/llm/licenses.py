@@ -9,9 +9,16 @@ found where it is the entire unit, never as a part of one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 # Spellings taken as equal (from, to), applied to whole words in this order.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sublicence", "sublicense"), ("organisation", "organization"),
@@ -77,27 +84,60 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of known digests that are broadcast; about 100 bytes each.
+BROADCAST_ROWS = 50_000
+
 #: A copyright line, in lower case, and the reservation of rights that goes with one.
-COPYRIGHT = r"(?md)^[^a-z0-9\n]*(copyright|\(c\)|©)[^a-z\n]*(\(c\)|©|[0-9]{4}|by )[^\n]*$|all rights reserved"
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^a-z\n]*(\(c\)|©|[0-9]{4}|by )[^\n]*$|all rights reserved"
+_COPYRIGHT = re.compile(COPYRIGHT)
+#: What a match of COPYRIGHT must contain: texts without any of it skip the pattern.
+_MARKS = (b"copyright", b"(c)", "©".encode(), b"all rights reserved")
+#: A spelling shrinks a text to this share at most, so a form longer than a known one by more cannot become it.
+_SHRINK = min(len(new) / len(old) for old, new in SPELLINGS)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_WORDS = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+_SPELLINGS = [(f" {old} ".encode(), f" {new} ".encode()) for old, new in SPELLINGS]
+_SPELT = frozenset(old.split()[0].encode() for old, _ in SPELLINGS)
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text: words of a-z, 0-9 and non-ASCII characters with single spaces between."""
-    low = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT, " ")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    for old, new in SPELLINGS:
-        words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(words)
+def canonical(text: str, longest: float = float("inf")) -> bytes | None:
+    """The canonical form of a text: words of a-z, 0-9 and non-ASCII characters with single spaces between.
+
+    A form that cannot end up at most `longest` bytes long is given up as None.
+    """
+    low = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+    if any(m in low for m in _MARKS):
+        low = _COPYRIGHT.sub(" ", low.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+    words = low.translate(_WORDS).split()
+    form = b" ".join(words)
+    if len(form) * _SHRINK > longest:
+        return None
+    if not _SPELT.isdisjoint(words):
+        form = b" " + form + b" "
+        for old, new in _SPELLINGS:
+            form = form.replace(old, new)
+        form = form.strip()
+    return form
 
 
 def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
-    """(license, digest, n_words) of KNOWN and of texts(license string, text string), one row per digest."""
+    """(license, digest, size) of KNOWN and of texts(license string, text string), one row per digest."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [canonical(t or "") for t in batch.column("text").to_pylist()]
+            some = [i for i, f in enumerate(forms) if f]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "license": batch.column("license").take(pa.array(some, pa.int64())),
+                    "digest": pa.array([hashlib.sha256(forms[i]).hexdigest() for i in some], pa.string()),
+                    "size": pa.array([len(forms[i]) for i in some], pa.int64()),
+                }
+            )
+
     own = spark.createDataFrame(list(KNOWN), "license string, text string")
     every = own if texts is None else own.unionByName(texts.select("license", "text"))
-    form = canonical(F.col("text"))
-    rows = every.select("license", form.alias("form")).where(F.col("form") != "")
-    return rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+    return every.mapInArrow(digest, "license string, digest string, size long").groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -108,15 +148,29 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known
     licenses lists the distinct ids of both, sorted, with commas (empty: none).
     Null and empty texts, and units without a word, have none. Rows with the same
     key (null is a key) are one document. A digest that two licences share counts
-    as the first. known has (license, digest); Spark broadcasts it or not by its
-    size. No rows give no rows.
+    as the first. known has (license, digest, size); up to BROADCAST_ROWS of it are
+    broadcast, larger tables are joined by a shuffle. No rows give no rows.
     """
     table = known if known is not None else known_digests(docs.sparkSession)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.transform(F.split(body, "\n", -1), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
-    units = docs.select(F.col(f"`{key}`").alias("__key"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), body.alias("t"))), lines)).alias("u"))
-    digests = units.select("__key", "u.whole", canonical(F.col("u.t")).alias("form")).where("form <> ''").select("__key", "whole", F.sha2("form", 256).alias("digest"))
-    found = digests.join(table, "digest").groupBy("__key").agg(
+    known_rows, longest = table.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    lookup = table.drop("size")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def units(batch: pa.RecordBatch, texts: list) -> dict:
+        owner, whole, digests = [], [], []
+        for i, t in enumerate(texts):
+            if t:
+                for full, unit in ((True, t), *((False, x) for x in t.split("\n"))):
+                    if form := canonical(unit, longest):
+                        owner.append(i)
+                        whole.append(full)
+                        digests.append(hashlib.sha256(form).digest())
+        return {"__key": batch.column(key).take(pa.array(owner, pa.int64())), "whole": pa.array(whole, pa.bool_()), "digest": pa.array(digests, pa.binary())}
+
+    digests = map_texts(docs.select(key, text), text, units, f"__key {kind}, whole boolean, digest binary")
+    lookup = lookup.withColumn("digest", F.unhex("digest"))
+    lookup = F.broadcast(lookup) if known_rows <= BROADCAST_ROWS else lookup
+    found = digests.join(lookup, "digest").groupBy("__key").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
         F.count(F.when(~F.col("whole"), True)).alias("n_license_lines"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),

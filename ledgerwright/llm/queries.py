@@ -139,8 +139,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 
 def _op5_sql() -> str:
     def form(t: str) -> str:
-        pattern = COPYRIGHT.replace("(?md)", "(?m)")
-        low = f"regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}', ' ', 'g')"
+        low = f"regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT}', ' ', 'g')"
         words = f"' ' || trim(regexp_replace({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
         for old, new in SPELLINGS:
             words = f"replace({words}, ' {old} ', ' {new} ')"
