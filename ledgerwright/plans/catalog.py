@@ -521,3 +521,98 @@ add(
     "win_rank", lambda df: grp.group_by(df, "nation", "sales").select("key", F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"))).cast("bigint").alias("by_rows")),
     "SELECT nation AS key, rank() OVER (ORDER BY count(*) DESC) AS by_rows FROM sales GROUP BY 1",
 )
+
+
+# --- whole analyses: checked by their tests, rows only here ------------------
+
+
+def _context(spark: SparkSession, sf_dir: str):
+    from .context import Context
+    from .profile import profile
+
+    df = sales(spark, sf_dir)
+    return Context(df, profile(df))
+
+
+def _tool(name: str, **params: object) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .tools import registry
+
+        found = registry.call(_context(spark, sf_dir), name, **params)
+        rows = [(f.id, f.label, str(f.value), f.unit, f.display) for f in found.facts] if found.ok else [(found.code, found.message, None, None, None)]
+        return spark.createDataFrame(rows, "id string, label string, value string, unit string, display string")
+
+    return run
+
+
+add("forecast", _tool("forecast", grain="month", horizon=6), None, None)
+add("explain_change", _tool("explain_change"), None, None)
+add("planner", lambda spark, sf_dir: _planned(spark, sf_dir), None, None)
+add("insights", lambda spark, sf_dir: _insights(spark, sf_dir), None, None)
+add("kpis", lambda spark, sf_dir: _kpis(spark, sf_dir), None, None)
+add("profile", lambda spark, sf_dir: _profile(spark, sf_dir), None, None)
+add("quality", lambda spark, sf_dir: _quality(spark, sf_dir), None, None)
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .planner import plan
+
+    ctx = _context(spark, sf_dir)
+    questions = ("top 5 brands by sales", "monthly sales", "Compare ASIA and EUROPE", "what share of sales comes from ASIA", "why did sales change", "forecast for sales")
+    return spark.createDataFrame([(q, c.tool, str(sorted(c.params.items()))) for q in questions if (c := plan(ctx, q))], "question string, tool string, params string")
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .insights import generate
+
+    return spark.createDataFrame([(i.kind, i.title, i.text, i.tool, float(i.score), i.priority) for i in generate(_context(spark, sf_dir))], "kind string, title string, text string, tool string, score double, priority string")
+
+
+def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .insights import kpis
+
+    rows = [(k["label"], None if k["value"] is None else float(k["value"]), k["unit"], k["display"]) for k in kpis(_context(spark, sf_dir))]
+    return spark.createDataFrame(rows, "label string, value double, unit string, display string")
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(c.name, c.kind, c.role, c.meaning, c.additive, c.unit, c.count) for c in _context(spark, sf_dir).profile.columns.values()]
+    return spark.createDataFrame(rows, "name string, kind string, role string, meaning string, additive boolean, unit string, n long")
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .profile import quality
+
+    q = quality(_context(spark, sf_dir).profile)
+    return spark.createDataFrame([(q["score"], q["label"], len(q["issues"]))], "score long, label string, issues long")
+
+
+def _claims(df: DataFrame) -> DataFrame:
+    from .grounding import count_claims
+
+    return count_claims(df.select("conv_id", "turn", "text")).select("conv_id", "turn", "n_claims")
+
+
+add("gr_extract", _claims, None, "conversations")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily events as a stream over the table's file, with what the watermark has closed."""
+    import tempfile
+    import uuid
+
+    from ..streaming.calendar_stream import calendar_series
+
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"calendar_{uuid.uuid4().hex[:8]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    query = calendar_series(events, "ts", grain="day", delay="1 day").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "n")
+
+
+add(
+    "stream_calendar", _stream,
+    "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS period, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT period, n FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)", None,
+)
