@@ -34,6 +34,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not _local_root:
             _local_root.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _local_root[0]
+    elif "://" not in root and getattr(spark, "_jvm", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a bare path is on the default file system, whichever that is
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

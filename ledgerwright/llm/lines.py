@@ -185,7 +185,7 @@ def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
             }
         )
 
-    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, c long, rows long, ids array<long>", limit=32 << 20)
+    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, c long, rows long, ids array<long>", limit=8 << 20)
     schema = "shard int, levels array<binary>, rest binary, prints binary, counts binary, largest binary, frequent array<struct<h: long, rows: long, largest: long>>"
     return sent.groupBy("shard").applyInArrow(build, schema)
 
@@ -226,7 +226,7 @@ def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: dict[in
         loses = hit[own] & (flat != largest[at[own]])
         return pa.table({"id": flat[loses], "h": h[own[loses]]})
 
-    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, p long, ids array<long>", limit=32 << 20)
+    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, p long, ids array<long>", limit=8 << 20)
     answers = sent.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "id long, h long")
     return answers.groupBy("id").agg(F.collect_set("h").alias("hashes")).withColumn("id", F.expr(f"nullif(id, {_NONE})")).withColumnRenamed("id", key)
 

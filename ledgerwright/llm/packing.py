@@ -232,7 +232,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: st
         return out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {})
 
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return map_texts(docs.select(key, text), text, rows, schema)
+    return map_texts(docs.select(key, text), text, rows, schema, limit=4 << 20)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

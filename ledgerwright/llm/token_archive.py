@@ -30,7 +30,7 @@ from .tokens import default_tokenizer, tokenizer
 
 BLOCK = 2048
 #: Ids of one file; its blocks are coded side by side.
-FILE_IDS = 6 << 20
+FILE_IDS = 4 << 20
 MAGIC = b"IDARC001"
 
 _TABLE = 2048  # entries of a context table, by hash
@@ -352,7 +352,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
             n_ids.append(len(ids))
             keys, held, size = [], [], 0
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             for k, raw in zip(batch.column("key").to_pylist(), tokenizer(path).encode(batch.column("text").to_pylist()), strict=True):
                 keys.append(k)
                 held.append(raw + end)

@@ -3,7 +3,9 @@
 The tokenizer splits at white space before anything else, so the ids of a text are
 the ids of its words in a row. A memo in each Python worker keeps the ids of words
 as packed bytes; only words that it lacks go to the tokenizers library, in one call
-a batch. The memo holds at most MEMO_WORDS words and starts anew when full.
+a batch. A word stays in the memo from its second batch on (a bitmap of hashes tells
+which have been met), so rare words take no room; the memo holds at most MEMO_WORDS
+words and starts anew when full.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
+_MET_BITS = 23
 
 
 def default_tokenizer() -> str:
@@ -53,12 +56,22 @@ class WordTokenizer:
 
             self.pattern = regex.compile(split[0]["pattern"]["Regex"])
         self.memo: dict[str, bytes] = {}
+        self.met, self.met_pieces = (np.zeros(1 << _MET_BITS, bool) for _ in range(2))
+
+    @staticmethod
+    def _forget(table: dict[str, bytes], words: list[str], met: np.ndarray) -> None:
+        """Drop those of the new words that no earlier batch had."""
+        at = np.fromiter(map(hash, words), np.int64, len(words)) & (len(met) - 1)
+        fresh = np.flatnonzero(~met[at])
+        met[at] = True
+        for i in fresh.tolist():
+            del table[words[i]]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: words of Latin letters by their pieces, all new pieces in one call; others one by one."""
+    def _learn(self, words: list[str]) -> list[str]:
+        """Ids of new words; returns the new pieces: words of Latin letters by their pieces, all new pieces in one call; others one by one."""
         plain, odd = [], []
         for w in words:  # below U+0250 nothing combines, so pieces can be found before the library normalises
             (plain if w.isascii() or (max(w) < "\u0250" and "\u0130" not in w) else odd).append(w)
@@ -78,6 +91,7 @@ class WordTokenizer:
         self.memo.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(plain, parts, strict=True))
         if odd:
             self.memo.update(zip(odd, self._whole(odd), strict=True))
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
@@ -90,10 +104,12 @@ class WordTokenizer:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {}
             new = set(chain.from_iterable(words))
-        if new:
-            self._learn(list(new))
+        new = list(new)
+        new_pieces = self._learn(new) if new else []
         get = self.memo.__getitem__
         out = [b"".join(map(get, w)) for w in words]
+        self._forget(self.pieces, new_pieces, self.met_pieces)
+        self._forget(self.memo, new, self.met)
         for i, ids in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)]) if whole else [], strict=True):
             out[i] = ids
         return out
