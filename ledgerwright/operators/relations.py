@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations, permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +21,17 @@ def _numeric(df: DataFrame, *columns: str) -> None:
             raise AnalysisError("wrong_type", f'"{c}" does not hold numbers.')
 
 
+def _r(a: Column, b: Column) -> Column:
+    """Pearson's r of two columns that are null together; null below three pairs or without spread (where corr raises)."""
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when((F.count(a) >= 3) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: r and n over all rows where both are present; r is null below three pairs or without spread."""
     _numeric(df, a, b)
     pairs = df.select(typed(df, a).alias("a"), typed(df, b).alias("b")).where("a is not null and b is not null")
-    flat = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0) & (F.count("a") >= 3)
-    return pairs.agg(F.when(flat, F.corr("a", "b")).alias("r"), F.count("*").alias("n"))
+    return pairs.agg(_r(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,8 +44,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, (p, q) in enumerate(pairs):
         both = F.col(at[p]).isNotNull() & F.col(at[q]).isNotNull()
         u, v = F.when(both, F.col(at[p])), F.when(both, F.col(at[q]))
-        ok = (F.stddev_pop(u) > 0) & (F.stddev_pop(v) > 0) & (F.count(u) >= 3)
-        aggs.append(F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.when(ok, F.corr(u, v)).alias("r"), F.count(u).alias("n")).alias(f"p{i}"))
+        aggs.append(F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), _r(u, v).alias("r"), F.count(u).alias("n")).alias(f"p{i}"))
     one = x.agg(*aggs)
     return one.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
 
@@ -117,28 +122,41 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float |
     return counted.select("n", "low", "high", (F.col("below") + F.col("above")).alias("outliers"), "below", "above", ((F.col("below") + F.col("above")) / F.col("n") * 100).alias("pct_of_values"))
 
 
-def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9) -> list[dict]:
-    """Arithmetic identities a = b - c, a = b * c, a = b + c among numeric columns, from one pass.
+def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9, probe: int = 5000) -> list[dict]:
+    """Arithmetic identities a = b - c, a = b * c, a = b + c among numeric columns, verified over all rows.
 
     An identity holds if at least `least` rows have all three and `share` of them
-    agree to 1 percent or 0.011. Of the forms of one triple the first counts.
+    agree to 1 percent or 0.011. Of the forms of one triple the first counts. All
+    forms are tried on `probe` rows first, so the pass over all rows counts only
+    those that came near.
     """
     _numeric(df, *columns)
     columns = list(columns)[:14]
     x = df.select(*[typed(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    forms: list[tuple[str, int, int, int]] = []
+    forms = [
+        (form, a, b, c)
+        for triple in combinations(range(len(columns)), 3)
+        for form in ("-", "*", "+")
+        for a, b, c in permutations(triple)
+        if form == "-" or b < c
+    ]
+    few = np.array([[np.nan if v is None else v for v in r] for r in x.limit(probe).collect()], float).reshape(-1, len(columns))
+
+    def near(form: str, a: int, b: int, c: int) -> bool:
+        u, v, w = few[:, a], few[:, b], few[:, c]
+        made = v - w if form == "-" else v * w if form == "*" else v + w
+        known = ~np.isnan(u + v + w)
+        fits = np.abs(u - made) <= np.maximum(np.abs(u) * 0.01, 0.011)
+        return bool(known.any()) and (fits & known).sum() >= (share - 0.1) * known.sum()
+
+    forms = [f for f in forms if near(*f)]
     aggs = []
-    for triple in combinations(range(len(columns)), 3):
-        for form in ("-", "*", "+"):
-            for a, b, c in permutations(triple):
-                if form in "*+" and b > c:
-                    continue
-                u, v, w = (F.col(f"c{k}") for k in (a, b, c))
-                made = v - w if form == "-" else v * w if form == "*" else v + w
-                present = u.isNotNull() & v.isNotNull() & w.isNotNull()
-                fits = F.abs(u - made) <= F.greatest(F.abs(u) * 0.01, F.lit(0.011))
-                aggs += [F.count_if(present).alias(f"n{len(forms)}"), F.count_if(present & fits).alias(f"h{len(forms)}")]
-                forms.append((form, a, b, c))
+    for i, (form, a, b, c) in enumerate(forms):
+        u, v, w = (F.col(f"c{k}") for k in (a, b, c))
+        made = v - w if form == "-" else v * w if form == "*" else v + w
+        present = u.isNotNull() & v.isNotNull() & w.isNotNull()
+        fits = F.abs(u - made) <= F.greatest(F.abs(u) * 0.01, F.lit(0.011))
+        aggs += [F.count_if(present).alias(f"n{i}"), F.count_if(present & fits).alias(f"h{i}")]
     if not forms:
         return []
     row = x.agg(*aggs).first()

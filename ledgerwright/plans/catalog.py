@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,13 @@ from ..operators import grouping as grp
 from ..operators import relations as rel
 from ..operators import timeseries as ts
 from ..operators.filters import Filter, apply_filters, closest_values
+from ..streaming.calendar_stream import calendar_series
+from .context import Context
+from .grounding import Ledger, count_claims, sanitize
+from .insights import generate, kpis, materialize, plan_dashboard
+from .planner import plan
+from .profile import profile, quality
+from .tools import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,70 +536,51 @@ add(
 # --- whole analyses: checked by their tests, rows only here ------------------
 
 
-def _context(spark: SparkSession, sf_dir: str):
-    from .context import Context
-    from .profile import profile
-
-    df = sales(spark, sf_dir)
-    return Context(df, profile(df))
+@contextmanager
+def _analysis(spark: SparkSession, sf_dir: str) -> Iterator[Context]:
+    """The fact view under analysis: kept while its many small questions are asked, released after."""
+    df = sales(spark, sf_dir).persist()
+    try:
+        yield Context(df, profile(df))
+    finally:
+        df.unpersist()
 
 
-def _tool(name: str, **params: object) -> Query:
+def _add_analysis(name: str, schema: str, rows: Callable[[Context], list[tuple]]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .tools import registry
-
-        found = registry.call(_context(spark, sf_dir), name, **params)
-        rows = [(f.id, f.label, str(f.value), f.unit, f.display) for f in found.facts] if found.ok else [(found.code, found.message, None, None, None)]
-        return spark.createDataFrame(rows, "id string, label string, value string, unit string, display string")
-
-    return run
-
-
-add("forecast", _tool("forecast", grain="month", horizon=6), None, None)
-add("explain_change", _tool("explain_change"), None, None)
-add("planner", lambda spark, sf_dir: _planned(spark, sf_dir), None, None)
-add("insights", lambda spark, sf_dir: _insights(spark, sf_dir), None, None)
-add("kpis", lambda spark, sf_dir: _kpis(spark, sf_dir), None, None)
-add("profile", lambda spark, sf_dir: _profile(spark, sf_dir), None, None)
-add("quality", lambda spark, sf_dir: _quality(spark, sf_dir), None, None)
-
-
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .planner import plan
-
-    ctx = _context(spark, sf_dir)
-    questions = ("top 5 brands by sales", "monthly sales", "Compare ASIA and EUROPE", "what share of sales comes from ASIA", "why did sales change", "forecast for sales")
-    return spark.createDataFrame([(q, c.tool, str(sorted(c.params.items()))) for q in questions if (c := plan(ctx, q))], "question string, tool string, params string")
+        with _analysis(spark, sf_dir) as ctx:
+            return spark.createDataFrame(rows(ctx), schema)
 
+    QUERIES[name] = run
 
-def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .insights import generate
-
-    return spark.createDataFrame([(i.kind, i.title, i.text, i.tool, float(i.score), i.priority) for i in generate(_context(spark, sf_dir))], "kind string, title string, text string, tool string, score double, priority string")
-
-
-def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .insights import kpis
-
-    rows = [(k["label"], None if k["value"] is None else float(k["value"]), k["unit"], k["display"]) for k in kpis(_context(spark, sf_dir))]
-    return spark.createDataFrame(rows, "label string, value double, unit string, display string")
 
+def _facts(ctx: Context, name: str, **params: object) -> list[tuple]:
+    found = registry.call(ctx, name, **params)
+    return [(f.id, f.label, str(f.value), f.unit, f.display) for f in found.facts] if found.ok else [(found.code, found.message, None, None, None)]
 
-def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(c.name, c.kind, c.role, c.meaning, c.additive, c.unit, c.count) for c in _context(spark, sf_dir).profile.columns.values()]
-    return spark.createDataFrame(rows, "name string, kind string, role string, meaning string, additive boolean, unit string, n long")
 
+_FACTS = "id string, label string, value string, unit string, display string"
+_QUESTIONS = ("top 5 brands by sales", "monthly sales", "Compare ASIA and EUROPE", "what share of sales comes from ASIA", "why did sales change", "forecast for sales")
+_add_analysis("forecast", _FACTS, lambda ctx: _facts(ctx, "forecast", grain="month", horizon=6))
+_add_analysis("explain_change", _FACTS, lambda ctx: _facts(ctx, "explain_change"))
+_add_analysis("planner", "question string, tool string, params string", lambda ctx: [(q, c.tool, str(sorted(c.params.items()))) for q in _QUESTIONS if (c := plan(ctx, q))])
+_add_analysis("insights", "kind string, title string, text string, tool string, score double, priority string", lambda ctx: [(i.kind, i.title, i.text, i.tool, float(i.score), i.priority) for i in generate(ctx)])
+_add_analysis("kpis", "label string, value double, unit string, display string", lambda ctx: [(k["label"], None if k["value"] is None else float(k["value"]), k["unit"], k["display"]) for k in kpis(ctx)])
+_add_analysis("profile", "name string, kind string, role string, meaning string, additive boolean, unit string, n long", lambda ctx: [(c.name, c.kind, c.role, c.meaning, c.additive, c.unit, c.count) for c in ctx.profile.columns.values()])
+_add_analysis("quality", "score long, label string, issues long", lambda ctx: [((q := quality(ctx.profile))["score"], q["label"], len(q["issues"]))])
+_add_analysis("dashboard", "id string, title string, tool string, available boolean, summary string", lambda ctx: [(w["id"], w["title"], w["tool"], w["available"], w["result"].summary if w["available"] else w["reason"]) for w in materialize(ctx, plan_dashboard(ctx))])
+_add_analysis("grounding", "sentence string", lambda ctx: [(s,) for s in _grounded(ctx)])
 
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .profile import quality
 
-    q = quality(_context(spark, sf_dir).profile)
-    return spark.createDataFrame([(q["score"], q["label"], len(q["issues"]))], "score long, label string, issues long")
+def _grounded(ctx: Context) -> list[str]:
+    """Sentences about a computed ranking, one of them wrong, through the gate."""
+    found, ledger = registry.call(ctx, "top_n", dimension="region"), Ledger()
+    ledger.add(found)
+    kept, _ = sanitize(found.summary + "\nEverything grew by 77.7%.", ledger)
+    return kept.split("\n")
 
 
 def _claims(df: DataFrame) -> DataFrame:
-    from .grounding import count_claims
-
     return count_claims(df.select("conv_id", "turn", "text")).select("conv_id", "turn", "n_claims")
 
 
@@ -598,11 +589,6 @@ add("gr_extract", _claims, None, "conversations")
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily events as a stream over the table's file, with what the watermark has closed."""
-    import tempfile
-    import uuid
-
-    from ..streaming.calendar_stream import calendar_series
-
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"calendar_{uuid.uuid4().hex[:8]}"

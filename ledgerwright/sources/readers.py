@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from ..errors import IngestError
 from . import grids
-from .sniff import HEAD_BYTES, Limits, column_names, decode, detect_delimiter, detect_fixed_width, header_row, sniff_format
+from .sniff import HEAD_BYTES, Limits, column_names, count_fields, decode, detect_delimiter, detect_fixed_width, header_row, sniff_format
 
 ROW_ID = "__row_id"
+_C1 = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 
 
 @dataclass
@@ -66,9 +67,13 @@ def _table(name: str, raw: DataFrame, limits: Limits, warnings: list[str]) -> Ra
     return RawTable(name, out, n, names)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str = "utf-8") -> DataFrame:
-    """Every cell as text; ragged rows are padded."""
-    out = spark.read.csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE", inferSchema=False, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
+def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str = "utf-8", width: int = 1) -> DataFrame:
+    """Every cell of width columns as text; ragged rows are padded."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    latin = encoding == "windows-1252"  # which Spark reads as its near relative; the 27 characters that differ are put right
+    out = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE", inferSchema=False, encoding="ISO-8859-1" if latin else encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
+    if latin:
+        out = out.select(*[F.translate(c, _C1, _C1.encode("latin-1").decode("windows-1252")).alias(c) for c in out.columns])
     return _numbered(out)
 
 
@@ -107,9 +112,10 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, warnings: lis
     """Records of a JSON file: a list, lists of lists, an envelope, a keyed object, one object or a line each."""
     df = spark.read.json(path, multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     if "_corrupt" in df.columns:
+        only_bad = set(df.columns) == {"_corrupt"}
         df = df.cache()  # Spark asks for this before the bad lines alone may be counted
-        bad = df.where("_corrupt is not null").count()
-        if not lines or set(df.columns) == {"_corrupt"}:
+        bad = 0 if only_bad else df.where("_corrupt is not null").count()
+        if not lines or only_bad:
             grid = _list_of_lists(spark, path) if not lines else None
             if grid is None:
                 raise IngestError("corrupt_file", "The file is not valid JSON.")
@@ -185,7 +191,8 @@ def ingest(spark: SparkSession, path: str, limits: Limits = Limits()) -> Ingeste
         df = spark.read.parquet(path)
         return Ingested(kind, [RawTable("data", _numbered(df), df.count(), df.columns)], warnings=warnings)
     if kind in ("csv", "tsv"):
-        raw = read_delimited(spark, path, detect_delimiter(text) or ("\t" if kind == "tsv" else ","), encoding)
+        delimiter = detect_delimiter(text) or ("\t" if kind == "tsv" else ",")
+        raw = read_delimited(spark, path, delimiter, encoding, count_fields(text, delimiter))
         return Ingested("delimited" if kind == "csv" else kind, [_table("data", raw, limits, warnings)], warnings=warnings)
     if kind in ("json", "ndjson"):
         df = read_json(spark, path, kind == "ndjson", warnings)

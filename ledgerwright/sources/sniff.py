@@ -49,7 +49,7 @@ def sniff_format(head: bytes, name: str = "") -> str:
     low = t[:2000].lower()
     if re.match(r"<!doctype html|<html|<(?:head|body|table|div)\b", low):
         return "html"
-    if t.startswith("<?xml") or re.match(r"<[a-z_][\w.:-]*[\s>/]", low):
+    if t.startswith("<?xml") or low.startswith("<!doctype") or re.match(r"<[a-z_][\w.:-]*[\s>/]", low):
         return "html" if "<html" in low else "xml"
     if t[:1] in "{[":
         lines = [x for x in t.split("\n")[:5] if x.strip()]
@@ -82,17 +82,18 @@ def decode(raw: bytes) -> tuple[str, str]:
         return raw.decode("windows-1252", "replace"), "windows-1252"
 
 
-def _fields(line: str, delimiter: str) -> int:
-    """Fields of a line; delimiters inside quotes do not count."""
-    return re.sub(r'"(?:[^"]|"")*"', "", line).count(delimiter) + 1
+def count_fields(text: str, delimiter: str) -> int:
+    """The most fields that a line of text has; delimiters inside quotes do not count."""
+    return max((x.count(delimiter) + 1 for x in re.sub(r'"(?:[^"]|"")*"', "q", text).split("\n")), default=1)
 
 
 def detect_delimiter(text: str, preferred: str | None = None) -> str | None:
     """The delimiter that gives the most lines one and the same number of fields (three fifths at least), or None."""
-    lines = [x for x in text.replace("\r\n", "\n").split("\n")[:60] if x.strip()]
+    bare = re.sub(r'"(?:[^"]|"")*"', "q", text.replace("\r\n", "\n"))  # delimiters and line ends inside quotes do not count
+    lines = [x for x in bare.split("\n")[:60] if x.strip()]
     best, score = None, 0.0
     for d in DELIMITERS:
-        counts = Counter(_fields(x, d) for x in lines)
+        counts = Counter(x.count(d) + 1 for x in lines)
         common, n = max(((c, n) for c, n in counts.items() if c > 1), key=lambda cn: (cn[1], cn[0]), default=(1, 0))
         own = n / len(lines) + min(common, 20) / 1000 + (0.05 if d == preferred else 0)
         if n / max(1, len(lines)) >= 0.6 and own > score and (len(lines) > 1 or common > 1):
