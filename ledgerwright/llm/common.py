@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Records of one Arrow batch handed to Python, whatever the session says.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -138,7 +138,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
         return (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 << 20):
             lists = [words_of(t) for t in batch.column(text).to_pylist()]
             h, owner, at = shingle_hashes(lists, n)
             maybe = np.flatnonzero(h <= limit)

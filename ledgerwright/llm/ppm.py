@@ -206,7 +206,7 @@ def predict_language(docs: DataFrame, model: Model | None, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 << 20):
             texts = batch.column(text).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             some = [i for i, t in enumerate(texts) if known and t and _LETTER.search(t)]

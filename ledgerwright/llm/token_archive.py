@@ -390,7 +390,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
     rows = stored(files.mapInArrow(run, schema), "ids")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file
     bases = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    return rows.join(F.broadcast(bases), "file").select("key", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    return rows.join(bases, "file").select("key", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def id_round_trip(docs: DataFrame, path: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 650_000
 _MET_BITS = 23
 
 
