@@ -71,7 +71,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str
     """Every cell of width columns as text; ragged rows are padded."""
     schema = ", ".join(f"c{i} string" for i in range(width))
     latin = encoding == "windows-1252"  # which Spark reads as its near relative; the 27 characters that differ are put right
-    out = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE", inferSchema=False, encoding="ISO-8859-1" if latin else encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
+    out = spark.read.schema(schema).csv(path, sep=delimiter, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE", inferSchema=False, encoding="ISO-8859-1" if latin else encoding.replace("utf-16-", "utf-16"), ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="")
     if latin:
         out = out.select(*[F.translate(c, _C1, _C1.encode("latin-1").decode("windows-1252")).alias(c) for c in out.columns])
     return _numbered(out)
