@@ -2,16 +2,19 @@
 
 A similarity of 0.8 puts SimHash fingerprints some ten bits apart, more than any
 exact block scheme can search at scale. So MinHash bands make the buckets here
-(bands x rows, 0.9996 of the pairs at 0.8 meet in one), bit-sliced comparison of
-the SimHash fingerprints inside a bucket names for each text its nearest neighbour
-and the bucket's first text if they are within a wide radius, and each such link is
-verified on the whole shingle sets. Equal texts are one node throughout; a text has
-two candidate links per bucket at most, so nothing grows with a group's square.
+(bands x rows, 0.9996 of the pairs at 0.8 meet in one), and every pair that meets in
+a bucket is accounted for, in two steps. First bit-sliced comparison of the SimHash
+fingerprints names for each text its nearest neighbour and the bucket's first text,
+and each such link is verified on the whole shingle sets; that joins most of what
+belongs together. Then the buckets whose texts still lie in several groups are
+compared in full on the shingle sets, but for pairs already in one group; set sizes
+and shared rare shingles rule out most pairs exactly, and a spanning forest of the
+links is returned, never all pairs. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from .simhash import _LOWER, _within, planes_of
 BANDS, ROWS = 20, 5
 #: SimHash bits that candidates may differ in: four deviations above the mean at similarity 0.8.
 RADIUS = 22
-#: Nodes of a bucket that are compared with each other; larger buckets are dealt out by hash, differently in each band.
+#: Nodes of a bucket whose fingerprints are compared with each other; larger buckets are dealt out by hash, differently in each band.
 TILE = 2048
 
 
@@ -87,55 +90,65 @@ def _bucket_links(fp: np.ndarray) -> list[tuple[int, int]]:
     return sorted(links)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (u, v) of nodes(node, fp, keys) to be verified."""
+def _shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, fp, n) of the buckets of nodes(node, fp, keys) that hold n nodes, two at least."""
     spread = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key"))
     sizes = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = spread.join(sizes, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / TILE)).cast("int"))
-    dealt = rows.select("band", "key", "tile", "node", "fp").repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile", "node")
+    return spread.join(sizes, ["band", "key"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], links: Callable[[pa.Table], pa.RecordBatch | None], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """links of whole groups of equal columns at a time, of about limit bytes; the last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.nbytes for x in held) < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(table.num_rows, bool)
+        for c in columns:
+            own = table.column(c).to_numpy()
+            same &= own == own[-1]
+        cut = table.num_rows - int(same.sum())
+        if cut and (out := links(table.slice(0, cut).combine_chunks())) is not None:
+            yield out
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held and (out := links(pa.Table.from_batches(held).combine_chunks())) is not None:
+        yield out
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+    return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """Distinct (u, v) that are verified first: the pair of a bucket of two, two for each text of a larger one."""
+    rows = shared.withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / TILE)).cast("int"))
+    dealt = rows.select("band", "key", "tile", "node", "fp", "n").repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile", "node")
 
     def links(table: pa.Table) -> pa.RecordBatch | None:
-        band, key, tile, node = (table.column(c).to_numpy() for c in ("band", "key", "tile", "node"))
+        band, key, tile, node, n = (table.column(c).to_numpy() for c in ("band", "key", "tile", "node", "n"))
         fp = table.column("fp").to_numpy().view(np.uint64)
         group = np.concatenate([[0], np.cumsum((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))])
         starts, ends = runs_of(group)
         pairs = starts[ends - starts == 2]  # most buckets: one pair, all at once
-        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= RADIUS]
+        pairs = pairs[(n[pairs] == 2) | (np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= RADIUS)]
         found = list(zip(pairs.tolist(), (pairs + 1).tolist(), strict=True))
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             found += [(a + i, a + j) for i, j in _bucket_links(fp[a:b])]
         if not found:
             return None
         i, j = np.array(found).T
-        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        u, v = np.unique(np.stack([u, v]), axis=1)
-        return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+        return _edges(node[i], node[j])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(x.num_rows for x in held) < 1 << 16:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            same = np.ones(table.num_rows, bool)
-            for c in ("band", "key", "tile"):
-                own = table.column(c).to_numpy()
-                same &= own == own[-1]
-            cut = table.num_rows - int(same.sum())
-            if cut and (out := links(table.slice(0, cut).combine_chunks())) is not None:
-                yield out
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held and (out := links(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(lambda batches: _whole_groups(batches, ("band", "key", "tile"), links), "u long, v long").distinct()
 
 
-def _verified(edges: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """The edges whose ends' whole shingle sets are similar enough."""
-    needed = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+def _shingle_sets(needed: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
+    """(node, set binary) of needed(node): the sorted distinct shingle hashes."""
+    needed = needed.select(F.col("node").alias("h"))
     bits = _bits_for(needed.count())
     bitmap = _bitmap(needed, bits)
 
@@ -152,7 +165,11 @@ def _verified(edges: DataFrame, docs: DataFrame, text: str, words: int, similari
         return {"node": pa.array(node[some].view(np.int64)), "set": pa.array(packed, pa.binary())}
 
     held = map_texts(docs.select(text), text, sets, "node long, set binary", limit=2 << 20)
-    held = held.join(needed.withColumnRenamed("h", "node"), "node", "left_semi").groupBy("node").agg(F.max("set").alias("set"))
+    return held.join(needed.withColumnRenamed("h", "node"), "node", "left_semi").groupBy("node").agg(F.max("set").alias("set"))
+
+
+def _verified(edges: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose ends' whole shingle sets held(node, set) are similar enough."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,6 +185,77 @@ def _verified(edges: DataFrame, docs: DataFrame, text: str, words: int, similari
     return both.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
 
 
+def _set_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) that span what pairs of at least similarity join beyond the groups in part.
+
+    Every pair in different groups counts. Similar sets share one of their first
+    size - ceil(similarity * size) + 1 shingles in any common order (here: the rarest
+    first), and their sizes differ by the factor similarity at most; the others are
+    counted out. Sets of common shingles come first, as they join most.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    heard = often[number]
+    number = number[np.lexsort((number, heard, owner))]
+    label = np.unique(part, return_inverse=True)[1]
+    heads = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    first = np.flatnonzero(np.arange(len(number)) - starts[owner] < heads[owner])
+    first = first[np.argsort(number[first], kind="stable")]
+    begins = np.searchsorted(number[first], np.arange(len(often) + 1))
+    holder = owner[first]
+    mark, done = np.zeros(len(often), bool), np.zeros(len(sets), bool)
+    links: list[tuple[int, int]] = []
+    for i in np.argsort(-np.bincount(owner, weights=heard, minlength=len(sets)) / np.maximum(sizes, 1), kind="stable").tolist():
+        done[i] = True
+        others = (label != label[i]) & ~done
+        if not others.any():
+            continue
+        own = number[starts[i] : starts[i] + sizes[i]]
+        near = np.zeros(len(sets), bool)
+        for x in own[: heads[i]].tolist():
+            near[holder[begins[x] : begins[x + 1]]] = True
+        at = np.flatnonzero(near & others & (sizes >= similarity * sizes[i] - 1e-9) & (similarity * sizes <= sizes[i] + 1e-9))
+        if not len(at):
+            continue
+        mark[own] = True
+        ends = np.cumsum(sizes[at])
+        shared = np.add.reduceat(mark[number[np.arange(ends[-1]) + np.repeat(starts[at] - ends + sizes[at], sizes[at])]], ends - sizes[at], dtype=np.int64)
+        mark[own] = False
+        for j in at[shared >= similarity * (sizes[i] + sizes[at] - shared) - 1e-9].tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _missing_links(shared: DataFrame, groups: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between groups(node, component) that pairs within buckets of three nodes or more still make.
+
+    A node that is in no group is its own. Buckets within one group need nothing, and
+    buckets of the same nodes are compared once.
+    """
+    rows = shared.where("n > 2").join(groups, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
+    marks = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *marks).where("low < high")
+    once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
+    dealt = rows.join(once, ["band", "key"]).join(held, "node").repartition("band", "key").sortWithinPartitions("band", "key")
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        band, key, part = (table.column(c).to_numpy() for c in ("band", "key", "part"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        group = np.concatenate([[0], np.cumsum((band[1:] != band[:-1]) | (key[1:] != key[:-1]))])
+        found: list[tuple[int, int]] = []
+        for a, b in zip(*(x.tolist() for x in runs_of(group)), strict=True):
+            found += [(a + i, a + j) for i, j in _set_links(sets[a:b], part[a:b], similarity)]
+        if not found:
+            return None
+        i, j = np.array(found).T
+        return _edges(part[i], part[j])
+
+    return dealt.select("band", "key", "part", "set").mapInArrow(lambda batches: _whole_groups(batches, ("band", "key"), links), "u long, v long")
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: key, node long, component_id (the smallest key in its group).
 
@@ -188,8 +276,12 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = stored(map_texts(docs.select(key, text), text, sign, f"`{key}` {kind}, node long, fp long, keys array<long>", limit=2 << 20), "signatures")
     first = signed.groupBy("node").agg(F.min(key).alias("first_id"), F.min(F.struct("fp", "keys")).alias("s"))
     nodes = first.select("node", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"))
-    edges = stored(_candidates(nodes), "candidates")
-    groups = connected_components(_verified(edges, docs, text, words, similarity))
+    shared = stored(_shared_buckets(nodes), "buckets")
+    held = stored(_shingle_sets(shared.select("node").distinct(), docs, text, words), "sets")
+    groups = connected_components(_verified(_candidates(shared), held, similarity))
+    joined = connected_components(_missing_links(shared, groups, held, similarity)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    alone = joined.select(F.col("part").alias("node"), F.col("part").alias("component")).join(groups.select("node"), "node", "left_anti")
+    groups = groups.unionByName(alone).join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
     named = first.select("node", "first_id").join(groups, "node")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(smallest, "component").select("node", "component_id")

@@ -233,6 +233,48 @@ def test_large_buckets_are_dealt_out(spark, copies, monkeypatch):
     assert {r["component_id"] for r in similar.similar_components(spark.createDataFrame(rows, DOCS)).collect()} == {0}
 
 
+def star(n, length=300, edits=5):
+    """An original and n copies of it, each near the original (0.846) but not near another."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(length + 4)]
+    rows = [(n, " ".join(base))]
+    for c in range(n):
+        other = list(base)
+        for k in range(edits):
+            other[int(rng.integers(0, length // edits - 5)) + k * (length // edits) + 4] = f"x{c}_{k}"
+        rows.append((c, " ".join(other)))
+    return rows
+
+
+def test_copies_of_one_original_are_one_group(spark):
+    rows = star(250)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    near = lambda x, y: len(x & y) / len(x | y)
+    assert all(near(sets[0], x) >= 0.8 for x in sets[1:])
+    assert np.mean([near(x, y) >= 0.8 for x in sets[1:40] for y in sets[1:40] if x is not y]) < 0.05
+    assert {r["component_id"] for r in similar.similar_components(spark.createDataFrame(rows, DOCS)).collect()} == {0}
+
+
+def test_set_links_match_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        n = int(rng.integers(2, 30))
+        base = rng.choice(60, 30, replace=False)
+        sets = [np.unique(np.append(rng.choice(base, int(rng.integers(18, 31)), replace=False), rng.integers(60, 90, int(rng.integers(0, 4))))).astype(np.uint64) for _ in range(n)]
+        part = rng.integers(0, n, n)
+        whole, label = part.copy(), part.copy()
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    whole[whole == whole[j]] = whole[i]
+        links = similar._set_links(sets, part, 0.8)
+        for i, j in links:
+            assert label[i] != label[j]
+            label[label == label[j]] = label[i]
+        assert ((label[:, None] == label) == (whole[:, None] == whole)).all()
+
+
 def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
 
