@@ -9,7 +9,9 @@ and each such link is verified on the whole shingle sets; that joins most of wha
 belongs together. Then the buckets whose texts still lie in several groups are
 compared in full on the shingle sets, but for pairs already in one group; set sizes
 and shared rare shingles rule out most pairs exactly, and a spanning forest of the
-links is returned, never all pairs. Equal texts are one node throughout.
+links is returned, never all pairs. Large buckets are dealt out as pairs of tiles, so
+that no task gets a whole one and no pair is left out. Equal texts are one node
+throughout.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from .simhash import _LOWER, _within, planes_of
 BANDS, ROWS = 20, 5
 #: SimHash bits that candidates may differ in: four deviations above the mean at similarity 0.8.
 RADIUS = 22
-#: Nodes of a bucket whose fingerprints are compared with each other; larger buckets are dealt out by hash, differently in each band.
+#: Nodes of a tile. The first step compares fingerprints inside single tiles, the full comparison all pairs of tiles.
 TILE = 2048
+#: Bytes of shingle sets of one tile where buckets are compared in full.
+TILE_BYTES = 8 << 20
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -185,10 +189,10 @@ def _verified(edges: DataFrame, held: DataFrame, similarity: float) -> DataFrame
     return both.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
 
 
-def _set_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def _set_links(sets: list[np.ndarray], part: np.ndarray, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Positions (i, j) that span what pairs of at least similarity join beyond the groups in part.
 
-    Every pair in different groups counts. Similar sets share one of their first
+    Every pair in different groups counts, or every pair on different sides, if side is given. Similar sets share one of their first
     size - ceil(similarity * size) + 1 shingles in any common order (here: the rarest
     first), and their sizes differ by the factor similarity at most; the others are
     counted out. Sets of common shingles come first, as they join most.
@@ -209,6 +213,8 @@ def _set_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> l
     for i in np.argsort(-np.bincount(owner, weights=heard, minlength=len(sets)) / np.maximum(sizes, 1), kind="stable").tolist():
         done[i] = True
         others = (label != label[i]) & ~done
+        if side is not None:
+            others &= side != side[i]
         if not others.any():
             continue
         own = number[starts[i] : starts[i] + sizes[i]]
@@ -239,21 +245,29 @@ def _missing_links(shared: DataFrame, groups: DataFrame, held: DataFrame, simila
     marks = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *marks).where("low < high")
     once = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    dealt = rows.join(once, ["band", "key"]).join(held, "node").repartition("band", "key").sortWithinPartitions("band", "key")
+    rows = rows.join(once, ["band", "key"])
+    sizes = rows.join(held.select("node", F.octet_length("set").alias("size")), "node").groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    # tile t meets every tile o: the pair (min, max) is one unit of work
+    units = rows.join(sizes, ["band", "key"]).select("band", "key", "node", "part", mine.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    units = units.select("band", "key", "node", "part", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") <= F.col("o")).alias("left"))
+    dealt = units.join(held, "node").repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b")
 
     def links(table: pa.Table) -> pa.RecordBatch | None:
-        band, key, part = (table.column(c).to_numpy() for c in ("band", "key", "part"))
+        band, key, a, b, part = (table.column(c).to_numpy() for c in ("band", "key", "a", "b", "part"))
+        left = table.column("left").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
-        group = np.concatenate([[0], np.cumsum((band[1:] != band[:-1]) | (key[1:] != key[:-1]))])
+        group = np.concatenate([[0], np.cumsum((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
         found: list[tuple[int, int]] = []
-        for a, b in zip(*(x.tolist() for x in runs_of(group)), strict=True):
-            found += [(a + i, a + j) for i, j in _set_links(sets[a:b], part[a:b], similarity)]
+        for s, e in zip(*(x.tolist() for x in runs_of(group)), strict=True):
+            found += [(s + i, s + j) for i, j in _set_links(sets[s:e], part[s:e], similarity, left[s:e] if a[s] != b[s] else None)]
         if not found:
             return None
         i, j = np.array(found).T
         return _edges(part[i], part[j])
 
-    return dealt.select("band", "key", "part", "set").mapInArrow(lambda batches: _whole_groups(batches, ("band", "key"), links), "u long, v long")
+    columns = ("band", "key", "a", "b")
+    return dealt.select(*columns, "left", "part", "set").mapInArrow(lambda batches: _whole_groups(batches, columns, links), "u long, v long")
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -255,6 +255,26 @@ def test_copies_of_one_original_are_one_group(spark):
     assert {r["component_id"] for r in similar.similar_components(spark.createDataFrame(rows, DOCS)).collect()} == {0}
 
 
+def test_links_across_tiles_are_found(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 8)
+    monkeypatch.setattr(similar, "TILE_BYTES", 1 << 15)
+    assert {r["component_id"] for r in similar.similar_components(spark.createDataFrame(star(120), DOCS)).collect()} == {0}
+    rng, at = np.random.default_rng(2), np.arange(40)
+    for _ in range(20):
+        sets = [np.unique(np.append(rng.choice(20, 17, replace=False), 100 + i // 8)).astype(np.uint64) for i in at]
+        side = rng.integers(0, 2, 40) == 1
+        links = similar._set_links(sets, at, 0.8, side)
+        near = [[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9 for y in sets] for x in sets]
+        want, got = at.copy(), at.copy()
+        for i in at:
+            for j in at[(side != side[i]) & np.array(near[i])]:
+                want[want == want[j]] = want[i]
+        for i, j in links:
+            assert side[i] != side[j]
+            got[got == got[j]] = got[i]
+        assert ((got[:, None] == got) == (want[:, None] == want)).all()
+
+
 def test_set_links_match_brute_force():
     rng = np.random.default_rng(11)
     for _ in range(40):
