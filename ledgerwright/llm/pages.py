@@ -1,15 +1,17 @@
-"""Main text of web pages, with a suffix array of each host's furniture.
+"""Main text of web pages, with the repeated runs of each host's furniture.
 
 A page is cut into blocks by its markup. Blocks inside <article> or <main>, less
-navigation, forms, adverts and the like, are the article. All other blocks of a
-host's pages are concatenated as token streams, one page after another; a suffix
-array over them (prefix doubling in numpy) finds substrings of at least MIN_RUN
-tokens that occur on two pages or more. Where a page marks no article, its blocks
-less navigation and the like are the candidates, and the parts of them that such
-substrings cover are removed; unique runs stay.
-
-A host's pages are dealt into groups of about GROUP_CHARS characters outside articles by a hash of their id, so
-a large host is many tasks; a substring counts as repeated within a group.
+navigation, forms, adverts and the like, are the article. The other blocks of a page
+are a token stream; what lies in a run of at least MIN_RUN tokens that two pages of a
+host or more have counts as repeated. Where a page marks no article, its blocks less
+navigation and the like are the candidates, and their repeated parts are removed;
+unique runs stay.
+
+A run is repeated where its windows of MIN_RUN tokens are, so windows are hashed (64
+bits), those on two pages of a host are found by a partial aggregation over all of
+them, and each page without an article gets back its own. That is what a suffix array
+over the whole host finds (repeated_tokens, which the tests compare with), however
+large the host is. Only hosts with such a page are looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
+from .decontaminate import shingle_hashes
 
-GROUP_CHARS = 1 << 20
 MIN_RUN = 6
 
 _RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|xmp|select"
@@ -154,27 +156,34 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN)
     return (np.cumsum(edge)[: len(stream)] > 0)[place]
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """Texts of the pages without an article in one group of a host's pages."""
-    blocks, number, words, page = table.column("outside").to_pylist(), {}, [], []
-    for i, own in enumerate(blocks):
-        for block in own:
-            ids = [number.setdefault(w, len(number)) for w in block["text"].split(" ")]
-            words += ids
-            page += [i] * len(ids)
-    covered = repeated_tokens(np.array(words, np.int64), np.array(page, np.int64))
-    texts, at = [], 0
-    for own in blocks:
-        kept = []
-        for block in own:
-            tokens = block["text"].split(" ")
-            if not block["furniture"]:
-                kept += [w for w, c in zip(tokens, covered[at : at + len(tokens)].tolist(), strict=True) if not c]
-            at += len(tokens)
-        texts.append(" ".join(kept))
-    bare = table.column("bare").to_pylist()
-    out = pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
-    return out.filter(pa.array(bare, pa.bool_()))
+def _windows(streams: list[list[str]]) -> list[np.ndarray]:
+    """Hashes of the MIN_RUN-token windows of each stream, by position."""
+    long = [i for i, tokens in enumerate(streams) if len(tokens) >= MIN_RUN]
+    h, owner, _ = shingle_hashes([streams[i] for i in long], MIN_RUN)
+    cuts = np.searchsorted(owner, np.arange(len(long) + 1))
+    out = [np.zeros(0, np.uint64)] * len(streams)
+    for k, i in enumerate(long):
+        out[i] = h[cuts[k] : cuts[k + 1]]
+    return out
+
+
+def _tokens(blocks: list[dict]) -> list[str]:
+    return [w for block in blocks for w in block["text"].split(" ")]
+
+
+def _less_repeated(blocks: list[dict], windows: np.ndarray, repeated: list[int] | None) -> str:
+    """The text of the blocks that are no furniture, less the tokens in windows whose hash is repeated."""
+    at = np.flatnonzero(np.isin(windows.view(np.int64), np.array(repeated or [], np.int64)))
+    edge = np.zeros(sum(block["text"].count(" ") + 1 for block in blocks) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + MIN_RUN, -1)
+    covered, kept, begin = np.cumsum(edge)[:-1] > 0, [], 0
+    for block in blocks:
+        tokens = block["text"].split(" ")
+        if not block["furniture"]:
+            kept += [w for w, c in zip(tokens, covered[begin : begin + len(tokens)].tolist(), strict=True) if not c]
+        begin += len(tokens)
+    return " ".join(kept)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -182,7 +191,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     A null or empty html gives an empty text; a null or odd url counts as a host
     of its own name. Rows are judged by row: repeated rows and null keys stay as
-    they are (repeats of a page count as two pages to the suffix array). No rows
+    they are (repeats of a page count as two pages). No rows
     give no rows. Other columns of pages are ignored.
     """
     kind = pages.schema[key].dataType.simpleString()
@@ -206,14 +215,33 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             found = [blocks_of(page) for page in batch.column("html").to_pylist()]
             bare = [not any(article for _, article, _ in blocks) for blocks in found]
             others = [[{"text": t, "furniture": dropped} for t, article, dropped in blocks if not article] for blocks in found]
-            sizes = [sum(len(b["text"]) for b in own) for own in others]
             columns = {c: batch.column(c) for c in ("page_id", "url", "host")}
-            yield pa.RecordBatch.from_pydict(columns | {"bare": pa.array(bare), "size": pa.array(sizes, pa.int64()), "outside": pa.array(others, block)})
-
-    schema = f"page_id {kind}, url string, host string, bare boolean, size long, outside array<struct<text: string, furniture: boolean>>"
-    streams = stored(rows.mapInArrow(outside, schema), "streams")
-    groups = streams.groupBy("host").agg(F.ceil(F.sum("size") / GROUP_CHARS).alias("groups"))
-    grp = F.pmod(F.xxhash64("page_id", "url"), F.greatest("groups", F.lit(1)))
-    dealt = streams.join(groups, "host").select("page_id", "url", "host", grp.alias("grp"), "bare", "outside")
-    unmarked = dealt.groupBy("host", "grp").applyInArrow(_decide, out_schema)
+            yield pa.RecordBatch.from_pydict(columns | {"bare": pa.array(bare), "outside": pa.array(others, block)})
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct windows of each page."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [np.unique(w) for w in _windows([_tokens(own) for own in part.column("outside").to_pylist()])]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
+                hashes = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_pydict({"host": part.column("host").take(of), "row": part.column("row").take(of), "bare": part.column("bare").take(of), "hash": hashes})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of the pages without an article."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                blocks, repeated = part.column("outside").to_pylist(), part.column("repeated").to_pylist()
+                texts = [_less_repeated(*x) for x in zip(blocks, _windows([_tokens(own) for own in blocks]), repeated, strict=True)]
+                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+
+    schema = f"page_id {kind}, url string, host string, bare boolean, outside array<struct<text: string, furniture: boolean>>"
+    streams = stored(rows.mapInArrow(outside, schema).withColumn("row", F.monotonically_increasing_id()), "streams")
+    bare = streams.where("bare")
+    seen = streams.join(bare.select("host").distinct(), "host", "left_semi").select("host", "row", "bare", "outside").mapInArrow(windows, "host string, row long, bare boolean, hash long")
+    often = seen.groupBy("host", "hash").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("bare").alias("asked")).where("asked and low < high")
+    own = seen.where("bare").join(often.select("host", "hash"), ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("repeated"))
+    unmarked = bare.join(own, "row", "left").select("page_id", "url", "outside", "repeated").mapInArrow(decide, out_schema)
     return rows.select("page_id", "url", "html").mapInArrow(articles, out_schema).unionByName(unmarked)

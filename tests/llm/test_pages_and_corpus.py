@@ -46,6 +46,17 @@ def test_suffix_array_and_repeats():
         assert (repeated_tokens(x, page) == want).all()
 
 
+def test_runs_on_two_pages_of_a_large_host_are_removed(spark):
+    rows, want = [], {}
+    for i in range(60):
+        notice = " ".join(f"notice{i % 30}word{k}" for k in range(8))
+        own = " ".join(f"page{i}word{k}" for k in range(4000))
+        rows.append((i, f"http://large/{i}", f"<p>{own}</p><div>{notice}</div>"))
+        want[i] = own
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(df).collect()} == want
+
+
 def test_main_text(spark):
     foot = "<div>terms of use apply to all visitors of this site</div>"
     rows = [
