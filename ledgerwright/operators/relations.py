@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,17 +123,17 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float |
     return counted.select("n", "low", "high", (F.col("below") + F.col("above")).alias("outliers"), "below", "above", ((F.col("below") + F.col("above")) / F.col("n") * 100).alias("pct_of_values"))
 
 
-def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9, probe: int = 5000) -> list[dict]:
-    """Arithmetic identities a = b - c, a = b * c, a = b + c among numeric columns, verified over all rows.
+def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: float = 0.9) -> list[dict]:
+    """Arithmetic identities a = b - c, a = b * c, a = b + c among numeric columns, counted over all rows.
 
     An identity holds if at least `least` rows have all three and `share` of them
-    agree to 1 percent or 0.011. Of the forms of one triple the first counts. All
-    forms are tried on `probe` rows first, so the pass over all rows counts only
-    those that came near.
+    agree to 1 percent or 0.011. Of the forms of one triple the first counts. The
+    forms of all triples are counted in numpy, batch by batch; a batch returns one
+    row of counts, so which rows come first decides nothing.
     """
     _numeric(df, *columns)
     columns = list(columns)[:14]
-    x = df.select(*[typed(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    x = df.select(*[typed(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     forms = [
         (form, a, b, c)
         for triple in combinations(range(len(columns)), 3)
@@ -140,32 +141,35 @@ def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: flo
         for a, b, c in permutations(triple)
         if form == "-" or b < c
     ]
-    few = np.array([[np.nan if v is None else v for v in r] for r in x.limit(probe).collect()], float).reshape(-1, len(columns))
-
-    def near(form: str, a: int, b: int, c: int) -> bool:
-        u, v, w = few[:, a], few[:, b], few[:, c]
-        made = v - w if form == "-" else v * w if form == "*" else v + w
-        known = ~np.isnan(u + v + w)
-        fits = np.abs(u - made) <= np.maximum(np.abs(u) * 0.01, 0.011)
-        return bool(known.any()) and (fits & known).sum() >= (share - 0.1) * known.sum()
-
-    forms = [f for f in forms if near(*f)]
-    aggs = []
-    for i, (form, a, b, c) in enumerate(forms):
-        u, v, w = (F.col(f"c{k}") for k in (a, b, c))
-        made = v - w if form == "-" else v * w if form == "*" else v + w
-        present = u.isNotNull() & v.isNotNull() & w.isNotNull()
-        fits = F.abs(u - made) <= F.greatest(F.abs(u) * 0.01, F.lit(0.011))
-        aggs += [F.count_if(present).alias(f"n{i}"), F.count_if(present & fits).alias(f"h{i}")]
     if not forms:
         return []
-    row = x.agg(*aggs).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, h = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+        for batch in batches:
+            values = [np.asarray(v.fill_null(0.0)) for v in batch.columns]
+            present = [np.asarray(v.is_valid()) for v in batch.columns]
+            with np.errstate(all="ignore"):
+                room = [np.maximum(np.abs(v) * 0.01, 0.011) for v in values]
+                for i, (form, a, b, c) in enumerate(forms):
+                    u, v, w = values[a], values[b], values[c]
+                    made = v - w if form == "-" else v * w if form == "*" else v + w
+                    known = present[a] & present[b] & present[c]
+                    if not known.any():
+                        continue
+                    n[i] += np.count_nonzero(known)
+                    h[i] += np.count_nonzero(known & (np.abs(u - made) <= room[a]))
+        yield pa.RecordBatch.from_pydict({"form": pa.array(range(len(forms)), pa.int32()), "n": pa.array(n), "h": pa.array(h)})
+
+    counted = x.mapInArrow(count, "form int, n long, h long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    counts = {r["form"]: (r["n"], r["h"]) for r in counted.collect()}
     out, seen = [], set()
     for i, (form, a, b, c) in enumerate(forms):
         triple = tuple(sorted((a, b, c)))
-        if triple not in seen and row[f"n{i}"] >= least and row[f"h{i}"] >= share * row[f"n{i}"]:
+        n, h = counts.get(i, (0, 0))
+        if triple not in seen and n >= least and h >= share * n:
             seen.add(triple)
-            out.append({"target": columns[a], "left": columns[b], "right": columns[c], "form": form, "share": row[f"h{i}"] / row[f"n{i}"]})
+            out.append({"target": columns[a], "left": columns[b], "right": columns[c], "form": form, "share": h / n})
     return out
 
 
