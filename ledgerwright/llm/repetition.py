@@ -28,14 +28,20 @@ COLUMNS = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Shares of a text's word characters that repeated windows and lines may cover."""
+    """Shares of a text's word characters that repeated windows and lines may cover.
+
+    The limits lie between what prose with one repeated line reaches (99.9 percent
+    of the 8,884 documents of sf0.1 that pass the base rule have at most 12 / 24 / 24 /
+    6 percent in lines and 5 / 7 / 10-grams) and the half that the base rule rejects anyway.
+    They fall with the length, as longer windows cover no more than shorter ones.
+    """
 
     min_words: int = 50
     max_repeat_word_pct: int = 50
-    max_dup_line_pct: int = 30
-    max_dup_5_pct: int = 60
-    max_dup_7_pct: int = 55
-    max_dup_10_pct: int = 50
+    max_dup_line_pct: int = 20
+    max_dup_5_pct: int = 30
+    max_dup_7_pct: int = 25
+    max_dup_10_pct: int = 15
 
 
 LENGTHS = (5, 7, 10)

@@ -65,6 +65,27 @@ def test_repetition_matches_brute_force(spark, rules):
     assert got == {i: brute_repetition(t, rules) for i, t in rows}
 
 
+def test_texts_that_pass_the_base_rule_fail_each_limit(spark):
+    """Only the limit named is exceeded; words are eight characters, so shares of words are shares of characters."""
+
+    def text(n, times, count, line=False):
+        """100 words, of which count runs of n words occur `times` times each."""
+        runs = [" ".join(f"run{r}x{k:03d}".ljust(8, "z") for k in range(n)) for r in range(count)]
+        own = iter(f"word{i:04d}" for i in range(100 - n * times * count))
+        parts = [x for _ in range(times) for run in runs for x in (run, next(own))]
+        return ("\n" if line else " ").join([*parts, " ".join(own)])
+
+    rows = [(0, text(5, 2, 3)), (1, text(6, 2, 3)), (2, text(7, 2, 2)), (3, text(10, 2, 1)), (4, text(4, 7, 1, True)), (5, text(6, 2, 2))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in with_repetition(df).collect()}
+    rules = Rules()
+    limits = {"dup_5_chars": rules.max_dup_5_pct, "dup_7_chars": rules.max_dup_7_pct, "dup_10_chars": rules.max_dup_10_pct, "dup_line_chars": rules.max_dup_line_pct}
+    over = {i: {c for c, most in limits.items() if 100 * r[c] > most * r["word_chars"]} for i, r in got.items()}
+    assert over == {0: set(), 1: {"dup_5_chars"}, 2: {"dup_7_chars"}, 3: {"dup_10_chars"}, 4: {"dup_line_chars"}, 5: set()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if r["kept"]} == {0, 5}
+
+
 def test_repetition_of_no_rows_and_repeated_rows(spark):
     assert with_repetition(spark.createDataFrame([], SCHEMA)).count() == 0
     assert with_repetition(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], SCHEMA)).count() == 3
