@@ -57,6 +57,25 @@ def test_runs_on_two_pages_of_a_large_host_are_removed(spark):
     assert {r["page_id"]: r["text"] for r in main_text(df).collect()} == want
 
 
+def test_pages_without_articles_match_brute_force(spark):
+    """Runs of six tokens that another page of the host has go, others stay."""
+    pick = np.random.default_rng(4)
+    pieces = [" ".join(f"w{x}" for x in pick.integers(0, 40, n)) for n in pick.integers(3, 12, 12)]
+    pages = [(i, f"h{i % 3}", [pieces[k] for k in pick.integers(0, 12, 3)] + [" ".join(f"w{x}" for x in pick.integers(0, 40, 15))]) for i in range(24)]
+    tokens = {i: " ".join(parts).split() for i, _, parts in pages}
+    holders = {}
+    for i, host, _ in pages:
+        for k in range(len(tokens[i]) - 5):
+            holders.setdefault((host, *tokens[i][k : k + 6]), set()).add(i)
+    want = {}
+    for i, host, _ in pages:
+        gone = {k + d for k in range(len(tokens[i]) - 5) if len(holders[(host, *tokens[i][k : k + 6])]) > 1 for d in range(6)}
+        want[i] = " ".join(w for k, w in enumerate(tokens[i]) if k not in gone)
+    assert 0 < sum(len(t.split()) for t in want.values()) < sum(map(len, tokens.values()))
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", "".join(f"<p>{x}</p>" for x in parts)) for i, host, parts in pages], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(df).collect()} == want
+
+
 def test_main_text(spark):
     foot = "<div>terms of use apply to all visitors of this site</div>"
     rows = [
