@@ -1,17 +1,23 @@
-"""Main text of web pages, with the repeated runs of each host's furniture.
-
-A page is cut into blocks by its markup. Blocks inside <article> or <main>, less
-navigation, forms, adverts and the like, are the article. The other blocks of a page
-are a token stream; what lies in a run of at least MIN_RUN tokens that two pages of a
-host or more have counts as repeated. Where a page marks no article, its blocks less
-navigation and the like are the candidates, and their repeated parts are removed;
-unique runs stay.
-
-A run is repeated where its windows of MIN_RUN tokens are, so windows are hashed (64
-bits), those on two pages of a host are found by a partial aggregation over all of
-them, and each page without an article gets back its own. That is what a suffix array
-over the whole host finds (repeated_tokens, which the tests compare with), however
-large the host is. Only hosts with such a page are looked at.
+"""Main text of web pages: what markup says of blocks, and what a host's pages repeat.
+
+A page is cut into blocks by its markup, and two judges look at them.
+
+Markup says of each block whether it is inside an article (<article>, <main>) and
+whether it is furniture: surely (navigation, header, footer, aside, form and the like, or
+a class, id or role that is such a word), perhaps (a class or id that only contains such a
+word, as grid-notice does), or not.
+
+The array looks at the token streams of all pages of a host, but for the plain blocks of
+articles. In each task the streams are concatenated, with a separator after each page, and
+suffixes are sorted to a suffix array; neighbours that share MIN_RUN tokens are one class.
+Classes are merged over all tasks by host and hash of those tokens (min and max of page
+numbers, so nothing grows with a class), and a token is repeated if a run of at least
+MIN_RUN tokens around it stands on two pages of the host, wherever these pages were. That
+is what one array over the whole host would find, and no task holds a whole host.
+
+On a page with an article the text is the article's blocks that are no furniture; where
+markup says "perhaps", blocks repeated to half or more go. On a page without one, sure
+furniture and all repeated runs go and unique runs stay.
 """
 
 from __future__ import annotations
@@ -35,36 +41,80 @@ _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog button head title fieldset".split())
-_NAMED = re.compile(
-    r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*(?<![a-z0-9])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|complementary|"
-    r"cookies?|consent|notices?|alert|popup|modal|overlay|share|sharing|social|comments?|disqus|replies|related|recommended|newsletter|subscribe|signup|login|search)(?![a-z0-9])",
-    re.I,
+_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary "
+    "cookie cookies consent notice notices alert popup modal overlay share sharing social comment comments disqus reply replies related recommended teaser newsletter subscribe signup login search".split()
 )
-
-
-def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, furniture) of each block with text, in page order.
-
-    Character references are decoded and white space is one space. Unclosed
-    elements end with their parent, the page, or - outside an article - where an
-    article begins.
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+
+NO, PERHAPS, SURE = 0, 1, 2
+
+
+def furniture_of(name: str, attributes: str) -> int:
+    """What an element's name and its class, id and role say of it: NO, PERHAPS or SURE furniture."""
+    if name in _FURNITURE:
+        return SURE
+    if not attributes or name in ("html", "body"):
+        return NO
+    found = NO
+    for m in _ATTRIBUTE.finditer(attributes):
+        attribute = m[1].lower()
+        if attribute not in ("class", "id", "role"):
+            continue
+        for word in (m[2] or m[3] or m[4] or "").split():
+            if word.lower() in _WORDS:
+                return SURE
+            if attribute != "role" and any(x.lower() in _WORDS for x in _PARTS.split(word)):
+                found = PERHAPS
+    return found
+
+
+def _closed(tags: list[re.Match]) -> set[int]:
+    """Which start tags have an end tag of their own."""
+    stack: list[tuple[str, int]] = []
+    closed = set()
+    for i, m in enumerate(tags):
+        name = m[3]
+        if not name or name.lower() in _VOID or (not m[2] and m[4].endswith("/")):
+            continue
+        name = name.lower()
+        if not m[2]:
+            stack.append((name, i))
+        elif any(x == name for x, _ in stack):
+            while stack[-1][0] != name:
+                stack.pop()
+            closed.add(stack.pop()[1])
+    return closed
+
+
+def blocks_of(page: str | None) -> list[tuple[str, bool, int]]:
+    """(text, inside an article, furniture: NO, PERHAPS or SURE) of each block with text, in page order.
+
+    Character references are decoded and white space is one space. Furniture stays
+    furniture whatever it holds, articles included (reader comments, teasers); an
+    element without an end tag ends with its parent, the page, or - sure furniture
+    outside an article - where an article begins.
     """
     if not page:
         return []
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, int]] = []
     held: list[str] = []
     stack: list[str] = []
-    dropped = article = 0  # depths at which furniture and the article began, 0: not inside
+    sure = perhaps = article = 0  # depths at which each began, 0: not inside
+    open_ended = False  # whether the sure furniture has no end tag
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, bool(article), bool(dropped)))
+                out.append((text, bool(article), SURE if sure else PERHAPS if perhaps else NO))
 
+    tags = list(_TAG.finditer(page))
+    closed = _closed(tags)
     at = 0
-    for m in _TAG.finditer(page):
+    for i, m in enumerate(tags):
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
@@ -78,35 +128,40 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, bool]]:
             if name in stack:
                 while stack.pop() != name:
                     pass
-                if len(stack) < dropped:
-                    flush()
-                    dropped = 0
-                if len(stack) < article:
+                depth = len(stack)
+                if depth < max(sure, perhaps, article):
                     flush()
-                    article = 0
+                sure, perhaps, article = (x if x <= depth else 0 for x in (sure, perhaps, article))
             continue
         attributes = m[4]
-        starts_article = name in ("article", "main") or (name == "div" and "role" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes) is not None)
-        furniture = name in _FURNITURE or (bool(attributes) and name not in ("html", "body", "article", "main") and _NAMED.search(attributes) is not None)
-        if name not in _INLINE or (furniture and not dropped):
+        kind = furniture_of(name, attributes)
+        starts_article = name in ("article", "main") or (name == "div" and "role" in attributes and re.search(r"(?<![\w-])role\s*=\s*[\"']?main\b", attributes) is not None)
+        if kind == PERHAPS and (starts_article or name == "main"):
+            kind = NO
+        begins = (kind == SURE and not sure) or (kind == PERHAPS and not perhaps)
+        if name not in _INLINE or begins:
             flush()
         if name in _VOID or attributes.endswith("/"):
             continue
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1] == name and len(stack) not in (dropped, article):
+        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1] == name and len(stack) not in (sure, perhaps, article):
             stack.pop()  # the end tag may be left out
         stack.append(name)
-        if starts_article and not article:
-            dropped, article = 0, len(stack)
-        elif furniture and not dropped:
-            dropped = len(stack)
+        if starts_article and kind == NO and not article and sure and open_ended:
+            sure = perhaps = 0
+        if starts_article and kind == NO and not article and not sure:
+            article, perhaps = len(stack), 0
+        elif kind == SURE and not sure:
+            sure, open_ended = len(stack), i not in closed
+        elif kind == PERHAPS and not perhaps:
+            perhaps = len(stack)
     if at < len(page):
         held.append(page[at:])
     flush()
     return out
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes of tokens in lexicographic order, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions of the suffixes of tokens in lexicographic order - of their first depth tokens at least - by prefix doubling."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     k = 1
@@ -118,42 +173,53 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         new = np.zeros(n, np.int64)
         new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         rank, k = new, 2 * k
-        if n == 0 or rank[order[-1]] == n - 1 or k >= n:
+        if n == 0 or rank[order[-1]] == n - 1 or k >= min(n, depth or n):
             return order
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
-    """Which tokens lie in a substring of at least `least` tokens that two different pages have.
+def window_classes(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(position, class) of every window of `least` tokens inside a page; equal windows have one class.
 
     tokens are numbers, at least 0; page numbers ascend and say whose each token is.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < 2 * least:
-        return covered
-    # a token of its own after each page keeps substrings inside pages
+    if n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a token of its own after each page keeps windows inside pages
     last = np.flatnonzero(np.append(page[1:] != page[:-1], True))
-    place = np.arange(n) + np.searchsorted(last, np.arange(n), side="left")
+    shift = np.searchsorted(last, np.arange(n), side="left")
     stream = np.empty(n + len(last), np.int64)
-    stream[place] = tokens
-    ends = last + 1 + np.arange(len(last))
-    stream[ends] = tokens.max() + 1 + np.arange(len(last))
-    owner = np.empty(len(stream), np.int64)
-    owner[place] = page
-    owner[ends] = page[last]
-    order = suffix_array(stream)
+    stream[np.arange(n) + shift] = tokens
+    stream[last + 1 + np.arange(len(last))] = tokens.max() + 1 + np.arange(len(last))
+    order = suffix_array(stream, least)
     a, b = order[:-1], order[1:]
     common = (a + least <= len(stream)) & (b + least <= len(stream))
     for t in range(least):
         common[common] = stream[a[common] + t] == stream[b[common] + t]
     group = np.concatenate([[0], np.cumsum(~common)])  # neighbours that share at least `least` tokens
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    low, high = np.minimum.reduceat(owner[order], starts), np.maximum.reduceat(owner[order], starts)
-    found = order[(low != high)[group]]
-    edge = np.zeros(len(stream) + least + 1, np.int64)
-    np.add.at(edge, found, 1)
-    np.add.at(edge, found + least, -1)
-    return (np.cumsum(edge)[: len(stream)] > 0)[place]
+    klass = np.empty(len(stream), np.int64)
+    klass[order] = group
+    at = np.flatnonzero(page[: n - least + 1] == page[least - 1 :])
+    return at, klass[at + shift[at]]
+
+
+def _covered(starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Which of n tokens lie in a window that begins at one of starts."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
+    """Which tokens lie in a substring of at least `least` tokens that two different pages have, by one array."""
+    at, klass = window_classes(tokens, page, least)
+    if not len(at):
+        return np.zeros(len(tokens), bool)
+    low, high = np.full(klass.max() + 1, len(tokens)), np.full(klass.max() + 1, -1)
+    np.minimum.at(low, klass, page[at])
+    np.maximum.at(high, klass, page[at])
+    return _covered(at[(low < high)[klass]], len(tokens), least)
 
 
 def _windows(streams: list[list[str]]) -> list[np.ndarray]:
@@ -168,24 +234,36 @@ def _windows(streams: list[list[str]]) -> list[np.ndarray]:
 
 
 def _tokens(blocks: list[dict]) -> list[str]:
-    return [w for block in blocks for w in block["text"].split(" ")]
-
-
-def _less_repeated(blocks: list[dict], windows: np.ndarray, repeated: list[int] | None) -> str:
-    """The text of the blocks that are no furniture, less the tokens in windows whose hash is repeated."""
-    at = np.flatnonzero(np.isin(windows.view(np.int64), np.array(repeated or [], np.int64)))
-    edge = np.zeros(sum(block["text"].count(" ") + 1 for block in blocks) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + MIN_RUN, -1)
-    covered, kept, begin = np.cumsum(edge)[:-1] > 0, [], 0
-    for block in blocks:
-        tokens = block["text"].split(" ")
-        if not block["furniture"]:
-            kept += [w for w, c in zip(tokens, covered[begin : begin + len(tokens)].tolist(), strict=True) if not c]
+    """The stream that the array sees: all but the plain blocks of articles."""
+    return [w for b in blocks if not b["article"] or b["furniture"] != NO for w in b["text"].split(" ")]
+
+
+def text_of(blocks: list[dict], windows: np.ndarray, repeated: list[int] | None) -> str:
+    """A page's text, given the hashes of its stream's windows and which of them are repeated."""
+    marked = any(b["article"] for b in blocks)
+    n = sum(b["text"].count(" ") + 1 for b in blocks if not b["article"] or b["furniture"] != NO)
+    covered = _covered(np.flatnonzero(np.isin(windows.view(np.int64), np.array(repeated or [], np.int64))), n, MIN_RUN)
+    kept: list[str] = []
+    begin = 0
+    for b in blocks:
+        if b["article"] and b["furniture"] == NO:
+            kept.append(b["text"])
+            continue
+        tokens = b["text"].split(" ")
+        own = covered[begin : begin + len(tokens)]
         begin += len(tokens)
+        if b["furniture"] == SURE or b["article"] != marked:
+            continue
+        if not marked:
+            kept += [w for w, c in zip(tokens, own.tolist(), strict=True) if not c]
+        elif 2 * own.sum() < len(tokens):
+            kept.append(b["text"])
     return " ".join(kept)
 
 
+_BLOCKS = "array<struct<text: string, article: boolean, furniture: int>>"
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
@@ -195,53 +273,64 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     give no rows. Other columns of pages are ignored.
     """
     kind = pages.schema[key].dataType.simpleString()
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host.alias("host"))
+    host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").alias("html"), F.xxhash64(host).alias("host"))
     out_schema = f"page_id {kind}, url string, text string, n_chars long"
+    block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("furniture", pa.int32())]))
 
-    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of the pages that mark an article: nothing of them has to travel."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             found = [blocks_of(page) for page in batch.column("html").to_pylist()]
-            some = [i for i, blocks in enumerate(found) if any(article for _, article, _ in blocks)]
-            texts = [" ".join(t for t, article, dropped in found[i] if article and not dropped) for i in some]
-            at = pa.array(some, pa.int64())
-            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id").take(at), "url": batch.column("url").take(at), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks outside articles, of all pages."""
-        block = pa.list_(pa.struct([("text", pa.string()), ("furniture", pa.bool_())]))
-        for batch in slices(batches, "html"):
-            found = [blocks_of(page) for page in batch.column("html").to_pylist()]
-            bare = [not any(article for _, article, _ in blocks) for blocks in found]
-            others = [[{"text": t, "furniture": dropped} for t, article, dropped in blocks if not article] for blocks in found]
+            asks = [not any(a for _, a, _ in blocks) or any(a and f == PERHAPS for _, a, f in blocks) for blocks in found]
             columns = {c: batch.column(c) for c in ("page_id", "url", "host")}
-            yield pa.RecordBatch.from_pydict(columns | {"bare": pa.array(bare), "outside": pa.array(others, block)})
+            blocks = pa.array([[{"text": t, "article": a, "furniture": f} for t, a, f in own] for own in found], block)
+            yield pa.RecordBatch.from_pydict(columns | {"asks": pa.array(asks), "blocks": blocks})
+
+    def parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                yield batch.slice(at, size)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of windows, by host, with the least and the greatest page that has them."""
+        for part in parts(batches, 1024):
+            streams = [_tokens(own) for own in part.column("blocks").to_pylist()]
+            number: dict[str, int] = {}
+            tokens = np.array([number.setdefault(w, len(number)) for own in streams for w in own], np.int64)
+            sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+            page = np.repeat(np.arange(len(streams)), sizes)
+            at, klass = window_classes(tokens, page)
+            if not len(at):
+                continue
+            # window hashes stand in the order of at: pages with at least MIN_RUN tokens, by position
+            hashes = np.concatenate(_windows(streams)).view(np.int64)
+            rows, hosts = part.column("row").to_numpy()[page[at]], part.column("host").to_numpy()[page[at]]
+            order = np.lexsort((rows, klass, hosts))
+            first = np.flatnonzero(np.append(True, (hosts[order][1:] != hosts[order][:-1]) | (klass[order][1:] != klass[order][:-1])))
+            last = np.append(first[1:], len(order)) - 1
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts[order[first]]), "hash": pa.array(hashes[order[first]]), "low": pa.array(rows[order[first]]), "high": pa.array(rows[order[last]])})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct windows of each page."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [np.unique(w) for w in _windows([_tokens(own) for own in part.column("outside").to_pylist()])]
-                of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
-                hashes = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"host": part.column("host").take(of), "row": part.column("row").take(of), "bare": part.column("bare").take(of), "hash": hashes})
+        for part in parts(batches, 64):
+            found = [np.unique(w) for w in _windows([_tokens(own) for own in part.column("blocks").to_pylist()])]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
+            hashes = pa.array(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"host": part.column("host").take(of), "row": part.column("row").take(of), "hash": hashes})
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of the pages without an article."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                blocks, repeated = part.column("outside").to_pylist(), part.column("repeated").to_pylist()
-                texts = [_less_repeated(*x) for x in zip(blocks, _windows([_tokens(own) for own in blocks]), repeated, strict=True)]
-                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
-
-    schema = f"page_id {kind}, url string, host string, bare boolean, outside array<struct<text: string, furniture: boolean>>"
-    streams = stored(rows.mapInArrow(outside, schema).withColumn("row", F.monotonically_increasing_id()), "streams")
-    bare = streams.where("bare")
-    seen = streams.join(bare.select("host").distinct(), "host", "left_semi").select("host", "row", "bare", "outside").mapInArrow(windows, "host string, row long, bare boolean, hash long")
-    often = seen.groupBy("host", "hash").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("bare").alias("asked")).where("asked and low < high")
-    own = seen.where("bare").join(often.select("host", "hash"), ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("repeated"))
-    unmarked = bare.join(own, "row", "left").select("page_id", "url", "outside", "repeated").mapInArrow(decide, out_schema)
-    return rows.select("page_id", "url", "html").mapInArrow(articles, out_schema).unionByName(unmarked)
+        for part in parts(batches, 64):
+            blocks, repeated = part.column("blocks").to_pylist(), part.column("repeated").to_pylist()
+            texts = [text_of(*x) for x in zip(blocks, _windows([_tokens(own) for own in blocks]), repeated, strict=True)]
+            yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host long, asks boolean, blocks {_BLOCKS}")
+    held = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
+    found = held.select("host", "row", "blocks").mapInArrow(classes, "host long, hash long, low long, high long")
+    often = found.groupBy("host", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "hash")
+    asking = held.where("asks")
+    own = asking.select("host", "row", "blocks").mapInArrow(windows, "host long, row long, hash long").join(often, ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("repeated"))
+    answered = asking.join(own, "row", "left").select("page_id", "url", "blocks", "repeated").mapInArrow(decide, out_schema)
+    plain = F.array_join(F.transform(F.filter("blocks", lambda b: b["article"] & (b["furniture"] == NO)), lambda b: b["text"]), " ")
+    marked = held.where("not asks").select("page_id", "url", plain.alias("text"))
+    return marked.withColumn("n_chars", F.length("text").cast("long")).unionByName(answered)

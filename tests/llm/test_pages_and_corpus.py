@@ -7,7 +7,7 @@ import pytest
 from ledgerwright.llm import ppm, similar
 from ledgerwright.llm.decontaminate import contained_items, drop_contaminated, sketch_size, words_of
 from ledgerwright.llm.licenses import KNOWN, known_digests, license_scan
-from ledgerwright.llm.pages import blocks_of, main_text, repeated_tokens, suffix_array
+from ledgerwright.llm.pages import NO, PERHAPS, SURE, blocks_of, furniture_of, main_text, repeated_tokens, suffix_array
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
@@ -26,6 +26,89 @@ def test_blocks():
     assert [t for t, _, dropped in blocks_of("plain < text") if not dropped] == ["plain < text"]
 
 
+def article_of(page):
+    return " ".join(t for t, inside, furniture in blocks_of(page) if inside and furniture == NO)
+
+
+def test_articles_inside_furniture_are_furniture():
+    assert article_of('<article><p>story</p></article><section class="comments"><article>reader says hi</article></section>') == "story"
+    assert article_of('<aside><article class="teaser">read this</article></aside><main><p>story</p></main>') == "story"
+    assert article_of('<article><p>story</p><article class="comment"><p>hi</p></article><p>more</p></article>') == "story more"
+    assert article_of('<div role="search"><article>x</article></div><div role="main"><p>story</p></div>') == "story"
+    assert article_of("<nav>menu <ul><li>one<article><p>story</article>") == "story"  # the nav has no end tag
+
+
+def test_names_are_whole_words_of_class_id_and_role():
+    assert article_of('<article><h1 class="entry-title">A</h1><p data-id="search-index">b</p><p title="class=ad">c</p><p class="ad">d</p></article>') == "A b c"
+    kinds = {'class="ad"': SURE, "id=comments": SURE, 'class="post ad-slot"': PERHAPS, "class='siteHeader'": PERHAPS, 'class="grid-notice"': PERHAPS, 'data-role="search"': NO, 'class="headers"': NO, 'class="reading"': NO, 'role="main"': NO}
+    assert {x: furniture_of("div", " " + x) for x in kinds} == kinds
+    assert furniture_of("footer", "") == SURE
+
+
+def test_the_array_settles_what_names_leave_open(spark):
+    """Blocks of an article whose names only contain a word of the list go where other pages of the host have them."""
+    share = '<div class="share-tools">tell your friends about this story right now</div>'
+    notice = {i: " ".join(f"page{i}word{k}" for k in range(8)) for i in range(3)}
+    rows = [(i, f"http://host/{i}", f'<article><p class="grid-notice">{notice[i]}</p><p>story {i}</p>{share}</article>') for i in range(3)]
+    rows += [(9, "http://other/1", f"<article><p>alone</p>{share}</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    assert got == {i: f"{notice[i]} story {i}" for i in range(3)} | {9: "alone tell your friends about this story right now"}
+
+
+def brute_texts(pages, least=6):
+    """All runs of `least` tokens in a dictionary, over pages of (id, host, blocks)."""
+    def stream(blocks):
+        return [w for t, a, f in blocks if not a or f != NO for w in t.split()]
+
+    holders = {}
+    for n, (_, host, blocks) in enumerate(pages):
+        own = stream(blocks)
+        for k in range(len(own) - least + 1):
+            holders.setdefault((host, *own[k : k + least]), set()).add(n)
+    out = {}
+    for i, host, blocks in pages:
+        own = stream(blocks)
+        gone = {k + d for k in range(len(own) - least + 1) if len(holders[(host, *own[k : k + least])]) > 1 for d in range(least)}
+        marked, at, kept = any(a for _, a, _ in blocks), 0, []
+        for t, a, f in blocks:
+            words = t.split()
+            if a and f == NO:
+                kept += words
+                continue
+            mine = [k in gone for k in range(at, at + len(words))]
+            at += len(words)
+            if f == SURE or a != marked:
+                continue
+            kept += [w for w, g in zip(words, mine) if not g] if not marked else words if 2 * sum(mine) < len(words) else []
+        out[i] = " ".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_query_matches_brute_force_on_generated_hosts(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = lambda n, k=40: " ".join(f"w{x}" for x in rng.integers(0, k, n))
+    shared = [words(int(rng.integers(3, 14))) for _ in range(15)]
+    opens = ["<nav>", "<div>", "<p>", '<div class="ad">', '<div class="share-box">', '<p class="entry-note">', "<footer>", "<section>"]
+    pages, rows = [], []
+    for i in range(60):
+        parts = []
+        for _ in range(int(rng.integers(2, 8))):
+            tag = opens[int(rng.integers(0, len(opens)))]
+            text = shared[int(rng.integers(0, len(shared)))] if rng.random() < 0.6 else words(int(rng.integers(1, 25)), 400)
+            parts.append(f"{tag}{text}</{tag[1:].split()[0].rstrip('>')}>")
+        if i % 3:
+            a, b = sorted(rng.integers(0, len(parts) + 1, 2).tolist())
+            parts[a:b] = ["<article>", *parts[a:b], f"<p>story {i}</p></article>"]
+        html = "<html><body>" + "".join(parts) + "</body></html>"
+        rows.append((i, f"https://host{i % 4}/x/{i}", html))
+        pages.append((i, i % 4, blocks_of(html)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    assert got == brute_texts(pages)
+
+
 def test_suffix_array_and_repeats():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 5, 200):
