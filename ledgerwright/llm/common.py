@@ -44,7 +44,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again (compressed, unlike a checkpoint)."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u long, v long), component its smallest reachable node.
 
     Null ends, loops, repeated and turned edges are allowed and change nothing;
@@ -39,13 +39,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     state = stored(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # a round that changes anything gives a node a smaller neighbour, so rounds end
         state = stored(_small_star(_large_star(state)), "edges")
         mark = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (mark["n"], mark["x"]) == before or not mark["n"]:
             break
         before = (mark["n"], mark["x"])
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

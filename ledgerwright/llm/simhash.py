@@ -6,8 +6,9 @@ radius r, the 64 bits are cut into r + 2 blocks: two fingerprints that differ in
 most r bits agree on two blocks at least, so every pair of blocks gives a bucket
 key (26 bits for r = 3) and no link is missed. A bucket is compared bit-sliced: its
 fingerprints stand as 64 vertical bit planes, one machine word holding a bit of 64
-fingerprints; the planes that differ from the query are added into carry-save
-counters, and a block is given up once each of its counters has passed r. Buckets
+fingerprints; the planes that differ from the query are added, three at a time, into
+carry-save counters, and a word is given up once each of its counters has passed r (pairs
+that need no comparison count as passed). Buckets
 larger than a tile are dealt out as pairs of tiles, so no task gets a whole hot
 bucket. A tile pair returns a spanning forest of its links, never all pairs.
 """
@@ -73,35 +74,73 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64).reshape(64, -1)
 
 
-def _within(differs, shape: tuple[int, ...], radius: int, n: int) -> np.ndarray:
-    """Which of n columns differ in at most radius of 64 planes; differs(b) gives plane b's differences as words.
+def within(differs, skip: np.ndarray, radius: int) -> np.ndarray:
+    """Which bits of skip's words stand for pairs that differ in at most radius of the 64 planes.
 
-    Counters stand bit-sliced in ceil(log2(radius + 1)) words with an overflow
-    word; the loop ends early once every counter has overflowed.
+    differs(b, at) gives plane b's differences at the word numbers `at` (of skip,
+    flat). Pairs whose bit is set in skip are not compared. Counters stand
+    bit-sliced, a word per binary digit; three planes enter at once through a
+    full adder, carries are saved into the next digit. Every six planes the words
+    all of whose pairs have passed the radius are given up, and only the others
+    are read on.
     """
-    width = max(1, (radius + 1).bit_length())
-    counter = [np.zeros(shape, np.uint64) for _ in range(width)]
-    over = np.zeros(shape, np.uint64)
-    for b in range(64):
-        carry = differs(b)
-        for k in range(width):
+    over_all = skip.reshape(-1).copy()
+    at = np.flatnonzero(~over_all)
+    over = over_all[at]
+    width = max(2, (radius + 1).bit_length())
+    counter = np.zeros((width, len(at)), np.uint64)
+    for b in range(0, 66, 3):
+        if not len(at):
+            break
+        x = differs(b, at)
+        if b < 63:
+            y, z = differs(b + 1, at), differs(b + 2, at)
+            half = x ^ y
+            one, two = half ^ z, (x & y) | (half & z)
+        else:  # 64 planes are 21 threes and one
+            one, two = x, np.zeros_like(x)
+        carry = counter[0] & one
+        counter[0] ^= one
+        half = counter[1] ^ two
+        counter[1], carry = half ^ carry, (counter[1] & two) | (half & carry)
+        for k in range(2, width):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
         over |= carry
-        if b % 8 == 7:
-            more = over.copy()  # counters above radius as well
-            above = np.zeros(shape, np.uint64)
-            equal = ~np.zeros(shape, np.uint64)
+        if b % 6 == 3 or b == 63:
+            above, equal = np.zeros(len(at), np.uint64), ~np.zeros(len(at), np.uint64)
             for k in reversed(range(width)):
                 if radius >> k & 1:
                     equal &= counter[k]
                 else:
                     above |= equal & counter[k]
                     equal &= ~counter[k]
-            over = more | above
-            if (~over == 0).all():
-                break
-    near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(*shape[:-1], -1), axis=-1, bitorder="little")
-    return near[..., :n].astype(bool)
+            over |= above
+            alive = ~over != 0
+            if not alive.all():
+                over_all[at] = over
+                at, over, counter = at[alive], over[alive], counter[:, alive]
+    over_all[at] = over
+    return ~over_all.reshape(skip.shape)
+
+
+def _bits(words: np.ndarray, n: int) -> np.ndarray:
+    """The n bits of each row of words as booleans."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(*words.shape[:-1], -1), axis=-1, bitorder="little")[..., :n].astype(bool)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as words, set beyond the last one."""
+    full = np.ones((*bits.shape[:-1], -(-bits.shape[-1] // 64) * 64), bool)
+    full[..., : bits.shape[-1]] = bits
+    return np.packbits(full, axis=-1, bitorder="little").view(np.uint64)
+
+
+def near_rows(part: np.ndarray, planes: np.ndarray, n: int, radius: int, skip: np.ndarray) -> np.ndarray:
+    """near[i, j]: part[i] and the j-th of the n fingerprints in planes differ in at most radius bits, and skip[i, j] is not set."""
+    ones = np.where((part[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1), ~np.uint64(0), np.uint64(0))
+    width = planes.shape[1]
+    near = within(lambda b, at: planes[b][at % width] ^ ones[at // width, b], _words(skip), radius)
+    return _bits(near, n)
 
 
 class _Forest:
@@ -131,14 +170,13 @@ def forest_links(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple
     """
     same = left is right
     planes, shift = planes_of(right), 0 if same else len(left)
-    forest, every = _Forest(len(left) + (0 if same else len(right))), ~np.uint64(0)
+    forest, column = _Forest(len(left) + (0 if same else len(right))), np.arange(len(right))
     for at in range(0, len(left), 64):
         part = left[at : at + 64]
-        ones = np.where((part[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1), every, np.uint64(0))
-        near = _within(lambda b: planes[b][None, :] ^ ones[:, b][:, None], (len(part), planes.shape[1]), radius, len(right))
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            if not same or at + i < j:
-                forest.link(at + i, j + shift)
+        row = np.arange(at, at + len(part))
+        skip = column[None, :] <= row[:, None] if same else np.zeros((len(part), len(right)), bool)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near_rows(part, planes, len(right), radius, skip))), strict=True):
+            forest.link(at + i, j + shift)
     return forest.links
 
 
@@ -159,8 +197,8 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[i
         for a in range(0, len(at), 1 << 16):
             own = at[a : a + (1 << 16)]
             planes = planes_of(fps[own] ^ fps[own + d])
-            near = _within(lambda b: planes[b], planes.shape[1:], radius, len(own))
-            for i in own[near].tolist():
+            near = within(lambda b, at: planes[b][at], _words(np.zeros(len(own), bool)), radius)
+            for i in own[_bits(near, len(own))].tolist():
                 forest.link(i, i + d)
 
 
@@ -254,7 +292,8 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # only fingerprints with a neighbour are listed; the others are their own component
     linked = named.join(smallest, "component").select("fp", "component_id")
     owners = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(owners, "fp").select(key, "fp", "component_id")
+    # written first: both sides of the join are then dealt out for it alone, and a fingerprint with very many rows can be split
+    return fps.join(stored(owners, "owners"), "fp").select(key, "fp", "component_id")
 
 
 def hex_fingerprint(fp):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, mixed, runs_of, stored
 from .components import connected_components
 from .decontaminate import _bitmap, _bits_for, shingle_hashes
-from .simhash import _LOWER, _within, planes_of
+from .simhash import _LOWER, near_rows, planes_of
 
 BANDS, ROWS = 20, 5
 #: SimHash bits that candidates may differ in: four deviations above the mean at similarity 0.8.
@@ -77,15 +77,14 @@ def _bucket_links(fp: np.ndarray) -> list[tuple[int, int]]:
     n = len(fp)
     if n == 2:
         return [(0, 1)] if int(fp[0] ^ fp[1]).bit_count() <= RADIUS else []
-    planes, every = planes_of(fp), ~np.uint64(0)
+    planes = planes_of(fp)
     links: set[tuple[int, int]] = set()
     for at in range(0, n, 64):
         part = fp[at : at + 64]
-        ones = np.where((part[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1), every, np.uint64(0))
+        itself = np.arange(n)[None, :] == np.arange(at, at + len(part))[:, None]
         left = np.ones(len(part), bool)
         for radius in (0, 3, 7, 12, 17, RADIUS):
-            near = _within(lambda b: planes[b][None, :] ^ ones[:, b][:, None], (len(part), planes.shape[1]), radius, n)
-            near[np.arange(len(part)), at + np.arange(len(part))] = False
+            near = near_rows(part, planes, n, radius, itself)
             if radius == RADIUS:
                 links |= {(0, at + i) for i in np.flatnonzero(near[:, 0]).tolist()}
             fresh = left & near.any(axis=1)
@@ -160,7 +159,8 @@ def _shingle_sets(needed: DataFrame, docs: DataFrame, text: str, words: int) ->
         node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(_words(t))) for t in texts), np.uint64, len(texts))
         low = node & np.uint64(bits - 1)
         hit = (bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-        some = np.flatnonzero(hit)
+        some = np.unique(np.where(hit, node, node[0]), return_index=True)[1]  # a text of each node
+        some = some[hit[some]]
         if not len(some):
             return None
         _, h, owner = _hashed([texts[i] for i in some.tolist()], words)
@@ -300,7 +300,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(smallest, "component").select("node", "component_id")
     owners = first.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    return signed.select(key, "node").join(owners, "node").select(key, "node", "component_id")
+    # written first: a text with very many copies can then be split in the join
+    return signed.select(key, "node").join(stored(owners, "owners"), "node").select(key, "node", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
