@@ -38,7 +38,7 @@ from .tokens import default_tokenizer, tokenizer
 #: Ids of a block, at most.
 BLOCK = 4096
 #: Ids of one file, about; its blocks are coded side by side.
-FILE_IDS = 6 << 20
+FILE_IDS = 4 << 20
 #: Order-0 tables of a file, at most, and the ids that another table must serve.
 CLASSES, CLASS_IDS = 6, 200_000
 MAGIC = b"IDARC002"
@@ -107,7 +107,7 @@ def learn(ids: np.ndarray, sizes: np.ndarray) -> tuple[Statistics, np.ndarray, n
     """The statistics of a file, each id's place in them, and the class of each document."""
     if len(ids) and ids.max() < 1 << 24:
         known = np.flatnonzero(np.bincount(ids))
-        place = np.zeros(int(ids.max()) + 1, np.int64)
+        place = np.zeros(int(ids.max()) + 1, np.int32)
         place[known] = np.arange(len(known))
         symbols = place[ids]
     else:
@@ -118,7 +118,7 @@ def learn(ids: np.ndarray, sizes: np.ndarray) -> tuple[Statistics, np.ndarray, n
         raise ValueError("a file holds at most four million different ids")
     label = _classes(symbols, sizes, kinds, min(CLASSES, 1 + len(ids) // CLASS_IDS)) if len(ids) else np.zeros(len(sizes), np.int64)
     used = np.unique(label[sizes > 0])  # documents without ids need no table
-    label = np.minimum(np.searchsorted(used, label), max(0, len(used) - 1))
+    label = np.minimum(np.searchsorted(used, label), max(0, len(used) - 1)).astype(np.int32)
     every = np.repeat(label, sizes)
     cumulative = np.zeros((len(used), kinds + 1), np.int64)
     for c in range(len(used)):
@@ -139,7 +139,7 @@ def block_sizes(n: int) -> np.ndarray:
 def _by_step(lengths: np.ndarray) -> np.ndarray:
     """Place of each block's t-th id among all ids, a row per step (blocks that have ended repeat an id)."""
     ends = np.cumsum(lengths)
-    return np.minimum((ends - lengths)[None, :] + np.arange(int(lengths.max()))[:, None], ends[-1] - 1)
+    return np.minimum((ends - lengths).astype(np.int32)[None, :] + np.arange(int(lengths.max()), dtype=np.int32)[:, None], np.int32(ends[-1] - 1))
 
 
 class _Contexts:
@@ -225,10 +225,15 @@ def encode_blocks(symbols: np.ndarray, classes: np.ndarray, known: Statistics) -
         return []
     lengths = block_sizes(len(symbols))
     n, steps, last = len(lengths), int(lengths[0]), int((lengths == lengths[0]).sum())
-    at, flat = _by_step(lengths), known.cumulative.ravel()
-    place = classes * known.cumulative.shape[1] + symbols
+    at, flat = _by_step(lengths), known.cumulative.ravel().astype(np.int32)
+    place = (classes * np.int32(known.cumulative.shape[1]) + symbols)[at]
     below = flat[place]
-    own, below, frequency = ((x.astype(np.int32))[at] for x in (symbols + 1, below, flat[place + 1] - below))
+    place += 1
+    frequency = flat[place]
+    frequency -= below
+    own = symbols.astype(np.int32)[at]
+    own += 1
+    del at, place
     model = _Contexts(n, known.bits)
     low, span = np.zeros(n, _U), np.full(n, 1 << 48, _U)
     width = 2 * steps + 64  # an id takes two words at most, as prices have fewer than 32 bits
@@ -270,14 +275,14 @@ def encode_blocks(symbols: np.ndarray, classes: np.ndarray, known: Statistics) -
 def decode_blocks(blocks: list[bytes], classes: np.ndarray, known: Statistics) -> np.ndarray:
     """The symbols of all blocks in a row; classes has the class of each."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     lengths = block_sizes(len(classes))
     n, steps, last = len(lengths), int(lengths[0]), int((lengths == lengths[0]).sum())
     at, width, bits = _by_step(lengths), known.cumulative.shape[1], known.bits
     flat = known.cumulative.ravel().astype(np.int32)
     frequencies = np.append(np.diff(flat), 0).astype(np.int32)
     inverse = np.concatenate([np.repeat(np.arange(1, width, dtype=np.int32), np.diff(row)) for row in known.cumulative])
-    klass = classes[at]
+    klass = classes.astype(np.int32)[at]
     room = max(map(len, blocks)) // 2 + 3
     words = np.zeros((n, room), np.uint16)
     for i, b in enumerate(blocks):
@@ -312,7 +317,8 @@ def decode_blocks(blocks: list[bytes], classes: np.ndarray, known: Statistics) -
         zero -= past[2]
         zero //= multiplier
         np.clip(zero, 0, (1 << bits) - 1, out=zero)
-        own = inverse.take((klass[t, :k] << bits) + zero)
+        zero += klass[t, :k].astype(np.int64) << bits
+        own = inverse.take(zero)
         inside = (value_in >= 0) & (value_in < size) & (who > 0)
         for i in range(3):
             np.copyto(own, who[i], where=inside[i])
@@ -332,7 +338,7 @@ def decode_blocks(blocks: list[bytes], classes: np.ndarray, known: Statistics) -
             span[go] = rest
             go = go[(rest < _SMALL) & (rest > 0)]
     real = np.arange(steps)[:, None] < lengths[None, :]
-    out = np.zeros(len(classes), np.int64)
+    out = np.zeros(len(classes), np.int32)
     out[at[real]] = found[real]
     return out - 1
 
@@ -347,7 +353,7 @@ def file_bytes(keys: list[int | None], sizes: list[int], ids: np.ndarray) -> byt
     docs = zlib.compress(present.tobytes() + names.tobytes() + sizes_.astype("<u4").tobytes() + label.astype(np.uint8).tobytes(), 1)
     frozen = known.to_bytes()
     ends = np.cumsum(block_sizes(len(ids)))
-    raw = ids.astype("<u4")
+    raw = ids.astype("<u4", copy=False)
     crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
     table = np.array([[len(b) for b in blocks], crcs], "<u4").tobytes() if blocks else b""
     counts = (len(keys), len(ids), len(blocks), len(known.ids), len(known.cumulative), known.bits, len(docs), len(frozen))
@@ -384,11 +390,10 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         blocks.append(data[at : at + s])
         at += s
     symbols = decode_blocks(blocks, np.repeat(label, sizes), known)
-    ids = known.ids[np.clip(symbols, 0, max(0, kinds - 1))] if n_ids else np.zeros(0, np.int64)
+    ids = known.ids.astype("<u4")[np.clip(symbols, 0, max(0, kinds - 1))] if n_ids else np.zeros(0, "<u4")
     ends = np.cumsum(lengths)
-    four = ids.astype("<u4")
     for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
-        if zlib.crc32(four[a:b].tobytes()) != crcs[k]:
+        if zlib.crc32(ids[a:b].tobytes()) != crcs[k]:
             raise ValueError(f"block {k}'s checksum differs")
     return [int(x) if k else None for x, k in zip(names, present, strict=True)], sizes, ids
 
@@ -413,7 +418,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
         def flush() -> None:
             nonlocal keys, held, size
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), "<u4")
             names.append(write_file(folder, f"part-{part:06d}-{len(names):05d}.ids", file_bytes(keys, [len(x) // 4 for x in held], ids)))
             n_docs.append(len(keys))
             n_ids.append(len(ids))
