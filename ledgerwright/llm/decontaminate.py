@@ -6,9 +6,9 @@ missing, so one of its k smallest shingle hashes, k one more than that, must be
 any document that contains it: a bottom-k MinHash sketch whose size follows the
 item's size loses nothing, however long the document. Items are partitioned by size
 (powers of two); a partition's sketches lie below a threshold of their own, and
-documents look their shingles up below the thresholds only.
+documents look their shingles up, class by class, below its threshold only.
 
-The sketches of all items go to the tasks as one bitmap of at most MAX_BITS bits.
+The sketches of a class go to the tasks as a bitmap; all together have at most 2 * MAX_BITS bits.
 A document's shingles that hit it are joined with the sketches to candidate pairs,
 and each pair is verified on the shingles themselves.
 """
@@ -116,19 +116,23 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     is one shingle, so such an item is found in equal texts only; texts without a
     word contain nothing and are contained nowhere. Null keys pair like any other
     value; repeated rows with the same key are one document (or item) whose
-    shingles are united. No rows on either side give no rows.
+    shingles are united. If both key columns have one name, the item's comes back
+    as <name>_item. No rows on either side give no rows.
     """
+    if item == key:
+        items, item = items.withColumnRenamed(item, f"{item}_item"), f"{item}_item"
     sketches = stored(item_sketches(items, item, item_text, n, share).withColumnRenamed(item, "__item"), "sketches")
     minima = sketches.select("__item", "class", F.explode("sketch").alias("h"))
     every = sketches.select(F.explode("shingles").alias("s")).distinct()
     count = minima.count()
     if not count:
         return docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}, n_shared long, n_shingles long, containment double")
-    # the largest sketch hash of each size class: shingles above it need no lookup for that class
-    tops = [r["top"] % 2**64 for r in minima.groupBy("class").agg(F.max_by("h", F.shiftrightunsigned("h", 1)).alias("top")).collect()]  # one row per class: 64 at most
-    limit = np.uint64(max(tops))
-    bits = _bits_for(count)
-    bitmap = _bitmap(minima.select("h"), bits)
+    # the largest sketch hash of each size class: shingles above it need no lookup for that class; unsigned order is signed order with the top bit turned
+    top = F.max(F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).alias("top")
+    classes = []
+    for r in minima.groupBy("class").agg(F.count("*").alias("n"), top).collect():  # one row per class: 64 at most
+        size = min(_bits_for(r["n"]), 1 << max(16, (2 * MAX_BITS * r["n"] // count).bit_length() - 1))
+        classes.append((np.uint64(r["top"] + (1 << 63)), size, _bitmap(minima.where(F.col("class") == r["class"]).select("h"), size)))
     known_bits = _bits_for(every.count())
     known = _bitmap(item_hashes(every, n), known_bits)
     kind = docs.schema[key].dataType.simpleString()
@@ -141,8 +145,11 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
         for batch in slices(batches, text, 2 << 20):
             lists = [words_of(t) for t in batch.column(text).to_pylist()]
             h, owner, at = shingle_hashes(lists, n)
-            maybe = np.flatnonzero(h <= limit)
-            maybe = maybe[hit(h[maybe], bitmap, bits)]
+            looked = []
+            for limit, size, bitmap in classes:
+                below = np.flatnonzero(h <= limit)
+                looked.append(below[hit(h[below], bitmap, size)])
+            maybe = np.unique(np.concatenate(looked))
             if not len(maybe):
                 continue
             found = np.unique(owner[maybe])
