@@ -1,17 +1,19 @@
 """WARC archives: written by tasks, read back record by record.
 
 Each record is a gzip member of its own, so a reader needs no more than a stream:
-it inflates member after member with zlib, frames the record by its Content-Length
-and checks block and payload digests. A page whose payload equals an earlier one's
+it inflates member after member with zlib, in steps, frames each record by its
+Content-Length and checks block and payload digests. A page whose payload equals an earlier one's
 (smaller id, at least min_bytes long) becomes a revisit record that names it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, write_file
 
-#: Bytes of records, before compression, that one archive takes; each is read whole by one task.
+#: Bytes of records, before compression, that one archive takes; each is read by one task.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes that the reader takes, or inflates, at a time.
+STEP = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,10 +46,11 @@ def page_record(number: int, page_id: int | None, url: str | None, payload: byte
     fields = {
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}:{number}>",
         "WARC-Date": when,
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": _digest(payload),
         "Content-Type": "application/http; msgtype=response",
     }
+    if url is not None:
+        fields["WARC-Target-URI"] = re.sub(r"^\s+|\s+$|[\r\n]", lambda m: quote(m[0]), url)
     if page_id is not None:
         fields["X-Page-Id"] = str(page_id)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -58,44 +63,91 @@ class WarcError(ValueError):
     """An archive that breaks the format or a digest."""
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of data, each inflated on its own, in steps."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        inflate, out = zlib.decompressobj(31), []
-        while not inflate.eof:
-            if at >= len(data):
-                raise WarcError("the archive ends inside a gzip member")
-            part = view[at : at + step]
+def inflated(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a series of gzip members, inflated step by step; b"" after each member."""
+    inflate, inside = zlib.decompressobj(31), False
+    for part in parts:
+        while part:
             try:
-                out.append(inflate.decompress(part))
+                out = inflate.decompress(part, STEP)
             except zlib.error as e:
-                raise WarcError(f"byte {at}: {e}") from e
-            at += len(part)
-        at -= len(inflate.unused_data)
-        yield b"".join(out)
-
-
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers (lower-case names) and the block of one record; digests are verified."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/1."):
+                raise WarcError(str(e)) from e
+            inside = True
+            if out:
+                yield out
+            if inflate.eof:
+                part, inflate, inside = inflate.unused_data, zlib.decompressobj(31), False
+                yield b""
+            else:
+                part = inflate.unconsumed_tail
+    if inside:
+        raise WarcError("the archive ends inside a gzip member")
+
+
+def _steps(data: bytes, step: int) -> Iterator[memoryview]:
+    view = memoryview(data)
+    for at in range(0, len(data), step):
+        yield view[at : at + step]
+
+
+def records(data: bytes, step: int = STEP) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers (lower-case names) and the block of each record of an archive; digests are verified.
+
+    The stream is read in steps: a header up to its empty line, then as many bytes
+    as Content-Length says, then the two line ends after them. A member may hold
+    more than one record, but no record goes on into the next member.
+    """
+    held = bytearray()
+    fields: dict[str, str] | None = None
+    size, sums = 0, hashlib.sha256()
+    for part in inflated(_steps(data, step)):
+        if not part and (held or fields is not None):
+            raise WarcError("a record's length is not its Content-Length")
+        held += part
+        while True:
+            if fields is None:
+                end = held.find(b"\r\n\r\n")
+                if end < 0:
+                    break
+                fields, size, done = _fields(bytes(held[:end])), 0, 0
+                size = int(fields["content-length"])
+                del held[: end + 4]
+                sums = hashlib.sha256()
+            fresh = min(len(held), size)
+            if fresh > done:
+                sums.update(memoryview(held)[done:fresh])
+                done = fresh
+            if len(held) < size + 4:
+                break
+            if held[size : size + 4] != b"\r\n\r\n":
+                raise WarcError("a record's length is not its Content-Length")
+            block = bytes(held[:size])
+            del held[: size + 4]
+            _verify(fields, block, "sha256:" + sums.hexdigest())
+            yield fields, block
+            fields = None
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not lines[0].startswith("WARC/1."):
         raise WarcError("no WARC header")
-    fields = {}
-    for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]:
+    out = {}
+    for line in lines[1:]:
         name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
-    size = fields.get("content-length", "")
-    if not size.isdigit() or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
-        raise WarcError("the record's length is not its Content-Length")
-    block = rest[: int(size)]
-    if _digest(block) != fields.get("warc-block-digest", _digest(block)):
+        out[name.strip().lower()] = value.strip()
+    if not out.get("content-length", "").isdigit():
+        raise WarcError("no Content-Length")
+    return out
+
+
+def _verify(fields: dict[str, str], block: bytes, digest: str) -> None:
+    if digest != fields.get("warc-block-digest", digest):
         raise WarcError("block digest differs")
     if fields.get("warc-type") == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if _digest(payload) != fields.get("warc-payload-digest", _digest(payload)):
+        payload = _digest(block.partition(b"\r\n\r\n")[2])
+        if payload != fields.get("warc-payload-digest", payload):
             raise WarcError("payload digest differs")
-    return fields, block
 
 
 def _http_length(block: bytes) -> int:
@@ -118,6 +170,8 @@ def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", min_byt
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 100) -> DataFrame:
     """Write pages as *.warc.gz files into folder; one row per file: file, n_records, n_bytes.
 
+    A url's line breaks and outer white space are percent-encoded; a null url has no header.
+
     A null html is an empty payload. Payloads of at least min_bytes that equal one
     of a smaller key become revisits; rows that share the smallest key, and rows
     with a null key, are responses. Writing happens when the result is read: a
@@ -176,8 +230,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[list] = [[] for _ in names]
-                for raw in members(content.as_py()):
-                    fields, block = parse_record(raw)
+                for fields, block in records(content.as_py()):
                     kind = fields.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue

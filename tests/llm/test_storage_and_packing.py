@@ -1,5 +1,6 @@
 """Tokens, packing, WARC and id archives: exact round trips and plain Python."""
 
+import gzip
 import hashlib
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ from ledgerwright.llm.common import shared_dir
 from ledgerwright.llm.packing import best_configurations, pack_documents, packed_sequences, plan_ranges
 from ledgerwright.llm.token_archive import BLOCK, block_sizes, decode_blocks, encode_blocks, file_bytes, id_round_trip, learn, parse_file
 from ledgerwright.llm.tokens import WordTokenizer, default_tokenizer
-from ledgerwright.llm.warc import WarcError, archive_round_trip, members, page_record, parse_record
+from ledgerwright.llm.warc import WarcError, archive_round_trip, page_record, record_bytes, records
 
 SCHEMA = "doc_id long, text string"
 ODD = [
@@ -174,14 +175,21 @@ def test_warc_round_trip(spark):
 def test_broken_archives_are_refused():
     one = page_record(0, 1, "http://a/", b"payload" * 50, None, "2024-01-01T00:00:00Z")
     two = page_record(1, 2, "http://b/", b"other" * 50, None, "2024-01-01T00:00:00Z")
-    raw = list(members(one + two, step=7))
-    assert len(raw) == 2 and parse_record(raw[1])[0]["x-page-id"] == "2"
-    with pytest.raises(WarcError):
-        list(members((one + two)[:-3]))
-    with pytest.raises(WarcError):
-        parse_record(raw[0].replace(b"payloadpayload", b"payloadPayload"))
-    with pytest.raises(WarcError):
-        parse_record(raw[0][:-5] + raw[0][-4:])
+    for step in (1, 7, 1 << 16):
+        found = list(records(one + two, step))
+        assert [f["x-page-id"] for f, _ in found] == ["1", "2"] and found[1][1].endswith(b"other" * 50)
+    raw = [zlib.decompress(x, 31) for x in (one, two)]
+    together = list(records(gzip.compress(raw[0] + raw[1])))  # a member may hold two records
+    assert [f["x-page-id"] for f, _ in together] == ["1", "2"]
+    for broken in (
+        (one + two)[:-3], gzip.compress(raw[0].replace(b"payloadpayload", b"payloadPayload")), gzip.compress(raw[0][:-5] + raw[0][-4:]), gzip.compress(raw[0][:-4]) + two,
+        gzip.compress(raw[0] + b"x"), one[:40] + b"\0\0" + one[42:], gzip.compress(b"HTTP/1.1 200 OK\r\n\r\n"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"),
+    ):
+        with pytest.raises(WarcError):
+            list(records(broken))
+    assert list(records(b"")) == []
+    large = record_bytes("response", {}, b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 3_000_000)
+    assert [len(b) for _, b in records(large)] == [3_000_019]
 
 
 class _Session:
