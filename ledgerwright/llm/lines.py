@@ -1,16 +1,20 @@
 """Line dedup with a sharded minimal perfect hash.
 
 Index: every document batch sends each distinct line hash once, with the (at most
-min_docs) largest ids of documents holding it, to the shard that the hash names.
-A shard merges them and builds a minimal perfect hash over its distinct line
-hashes; it numbers compact arrays of 32-bit fingerprints, counts (up to min_docs)
-and largest document ids. The arrays are stored as one row per shard.
-
-Probe: document batches send their distinct hashes, with the ids of the documents
-that hold them, to the shards, which look them up in the arrays and answer only
-for lines to be dropped. Lines held by more than one in HEAVY documents - at most
-HEAVY times the lines of a document, whatever the size of the corpus - would make
-one shard's queries grow with the corpus; they are handed to every task instead.
+min_docs) largest ids of documents holding it, to the shard that the hash names; on large
+inputs what a few hundred batches sent is merged first, so a line that all batches hold
+reaches its shard in a few rows. A shard merges them and builds a minimal perfect hash over
+its distinct line hashes; it numbers compact arrays of 32-bit fingerprints, counts (up to
+min_docs) and largest document ids. The arrays are stored as one row per shard.
+
+Probe: documents do not join lines. Each document batch asks the shards' arrays for its
+distinct hashes, with the rows that hold them, and gets answers only for lines to be
+dropped; rows take their answers by a hash of key and text, so neither null keys nor keys
+with many rows meet in one task. Lines held by more than one in HEAVY documents would make
+one shard's queries grow with the corpus; they are handed to every task instead, as two
+arrays. There are at most HEAVY times as many of them as a document has lines on average,
+16 bytes each, and never more than MAX_HEAVY: the most frequent ones, the rest are asked for
+like any other line.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from .common import ASCII_SPACE, map_texts, mixed, runs_of, shards_for, slices,
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _NONE = np.iinfo(np.int64).min
-#: A line is heavy if more than one document in so many holds it.
-HEAVY = 2000
+#: A line is heavy if more than one document in so many holds it; at most MAX_HEAVY lines are.
+HEAVY, MAX_HEAVY = 2000, 1_000_000
+#: Shards (of about 32 MiB of text) whose batches are merged before they go to the shards.
+MERGE_SHARDS = 256
 
 
 class MinimalPerfectHash:
@@ -131,13 +137,14 @@ def _largest(h: np.ndarray, check: np.ndarray, ids: np.ndarray, most: int) -> tu
     return h[starts], check[starts], [ids[a:b] for a, b in zip(starts.tolist(), np.minimum(ends, starts + most).tolist(), strict=True)]
 
 
-def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, shards: int | None = None) -> DataFrame:
+def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, shards: int | None = None, merge_shards: int = MERGE_SHARDS) -> DataFrame:
     """One row per shard: the perfect hash and its arrays over the distinct line hashes of docs.
 
     counts hold the number of documents up to min_docs; n_rows counts occurrences
     (one per document row), which marks heavy lines.
     """
     shards = shards or shards_for(docs, text)
+    groups = -(-shards // merge_shards)
 
     def send(batch: pa.RecordBatch, texts: list) -> dict | None:
         h, check, owner = _hashes(texts, min_chars)
@@ -150,8 +157,8 @@ def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
         packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids)))
         return {"shard": pa.array((h % np.uint64(shards)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(check.view(np.int64)), "rows": rows, "ids": packed}
 
-    def build(_key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(parts)).combine_chunks()
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(h, check, largest ids, rows) of the distinct hashes of sent rows, h ascending."""
         ids = table.column("ids").combine_chunks()
         sizes = np.diff(ids.offsets.to_numpy())
         h0, c0 = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "c"))
@@ -164,6 +171,19 @@ def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
         held = [x for x, f in zip(held, first.tolist(), strict=True) if f]
         rows = np.zeros(len(h), np.int64)
         np.add.at(rows, np.searchsorted(h, h0), table.column("rows").to_numpy())
+        return h, check, held, rows
+
+    def merge(_key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(parts)).combine_chunks()
+        h, check, held, rows = merged(table)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int32, len(held)))]), pa.int32())
+        packed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))
+        shard = pa.array(np.full(len(h), table.column("shard")[0].as_py(), np.int32))
+        yield pa.RecordBatch.from_pydict({"shard": shard, "h": pa.array(h.view(np.int64)), "c": pa.array(check.view(np.int64)), "rows": pa.array(rows), "ids": packed})
+
+    def build(_key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(parts)).combine_chunks()
+        h, check, held, rows = merged(table)
         mph = MinimalPerfectHash.build(h)
         at = mph.lookup(h)
         prints, counts, largest, times = np.zeros(len(h), np.uint32), np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
@@ -185,18 +205,26 @@ def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
             }
         )
 
-    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, c long, rows long, ids array<long>", limit=8 << 20)
+    fields = "shard int, h long, c long, rows long, ids array<long>"
+    sent = map_texts(docs.select(key, text), text, send, fields, limit=8 << 20)
+    if groups > 1:
+        sent = sent.withColumn("merge", F.pmod(F.spark_partition_id(), F.lit(groups))).groupBy("shard", "merge").applyInArrow(merge, fields)
     schema = "shard int, levels array<binary>, rest binary, prints binary, counts binary, largest binary, frequent array<struct<h: long, rows: long, largest: long>>"
     return sent.groupBy("shard").applyInArrow(build, schema)
 
 
-def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: dict[int, int], key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(key, hashes array<long>): the lines, other than heavy ones, that a document loses by index."""
+def row_id(key: str, text: str):
+    """A row's name in the exchange with the shards; rows of equal key and text have the same answers."""
+    return F.xxhash64(F.col(f"`{key}`").isNull(), F.col(f"`{key}`"), F.col(f"`{text}`"))
+
+
+def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: np.ndarray, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """(row, hashes array<long>, last array<long>): the lines, other than heavy ones (sorted hashes), that the index drops but for the document `last`; see row_id."""
 
     def send(batch: pa.RecordBatch, texts: list) -> dict | None:
         h, check, owner = _hashes(texts, min_chars)
-        if heavy:
-            light = ~np.isin(h.view(np.int64), np.fromiter(heavy, np.int64, len(heavy)))
+        if len(heavy):
+            light = heavy[np.minimum(np.searchsorted(heavy, h.view(np.int64)), len(heavy) - 1)] != h.view(np.int64)
             h, check, owner = h[light], check[light], owner[light]
         if not len(h):
             return None
@@ -204,12 +232,12 @@ def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: dict[in
         h, check, owner = h[order], check[order], owner[order]
         starts, _ = runs_of(h)
         offsets = pa.array(np.append(starts, len(h)), pa.int32())
-        holders = pa.ListArray.from_arrays(offsets, pa.array(_ids(batch, key)[owner]))
+        holders = pa.ListArray.from_arrays(offsets, pa.array(batch.column("__row").to_numpy()[owner]))
         h, check = h[starts], check[starts]
-        return {"shard": pa.array((h % np.uint64(shards)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "p": pa.array((check & np.uint64(0xFFFFFFFF)).astype(np.int64)), "ids": holders}
+        return {"shard": pa.array((h % np.uint64(shards)).astype(np.int32)), "h": pa.array(h.view(np.int64)), "p": pa.array((check & np.uint64(0xFFFFFFFF)).astype(np.int64)), "holders": holders}
 
     def probe(queries: pa.Table, arrays: pa.Table) -> pa.Table:
-        none = pa.table({"id": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
+        none = pa.table({"row": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "last": pa.array([], pa.int64())})
         if not arrays.num_rows or not queries.num_rows:
             return none
         row = arrays.to_pylist()[0]
@@ -220,15 +248,15 @@ def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: dict[in
         hit = (at >= 0) & (prints[at] == queries.column("p").to_numpy()) & (counts[at] >= min_docs)
         if not hit.any():
             return none
-        ids = queries.column("ids").combine_chunks()
-        sizes = np.diff(ids.offsets.to_numpy())
-        own, flat = np.repeat(np.arange(len(h)), sizes), ids.flatten().to_numpy()
-        loses = hit[own] & (flat != largest[at[own]])
-        return pa.table({"id": flat[loses], "h": h[own[loses]]})
+        holders = queries.column("holders").combine_chunks()
+        own, flat = np.repeat(np.arange(len(h)), np.diff(holders.offsets.to_numpy())), holders.flatten().to_numpy()
+        own, flat = own[hit[own]], flat[hit[own]]
+        return pa.table({"row": flat, "h": h[own], "last": largest[at[own]]})
 
-    sent = map_texts(docs.select(key, text), text, send, "shard int, h long, p long, ids array<long>", limit=8 << 20)
-    answers = sent.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "id long, h long")
-    return answers.groupBy("id").agg(F.collect_set("h").alias("hashes")).withColumn("id", F.expr(f"nullif(id, {_NONE})")).withColumnRenamed("id", key)
+    sent = map_texts(docs.select(text, row_id(key, text).alias("__row")), text, send, "shard int, h long, p long, holders array<long>", limit=8 << 20)
+    answers = sent.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "row long, h long, last long")
+    lists = answers.groupBy("row").agg(F.collect_set(F.struct("h", "last")).alias("x"))
+    return lists.select("row", F.col("x.h").alias("hashes"), F.col("x.last").alias("last"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep_text: bool = True) -> DataFrame:
@@ -243,28 +271,32 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     shards = shards_for(docs, text)
     index = stored(line_index(docs, key, text, min_chars, min_docs, shards), "lines")
     n_docs = docs.count()
-    often = index.select(F.explode("frequent").alias("f")).where(F.col("f.rows") > max(64, n_docs // HEAVY)).select("f.h", "f.largest")
-    heavy = {r["h"]: r["largest"] for r in often.toLocalIterator()}
+    often = index.select(F.explode("frequent").alias("f")).where(F.col("f.rows") > max(64, n_docs // HEAVY))
+    often = often.orderBy(F.col("f.rows").desc(), "f.h").limit(MAX_HEAVY).select("f.h", "f.largest").toPandas().sort_values("h")
+    heavy, heavy_last = often["h"].to_numpy(np.int64), often["largest"].to_numpy(np.int64)
     lost = dropped_lines(docs, index, shards, heavy, key, text, min_chars, min_docs)
     added = {"n_lines", "n_dropped", "kept_sha256"}
     rest = [c for c in docs.columns if c not in added and (keep_text or c == key)]
-    joined = docs.select(*dict.fromkeys([*rest, text])).alias("d").join(lost.withColumnRenamed(key, "__id").alias("l"), F.col(f"d.{key}").eqNullSafe(F.col("l.__id")), "left")
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in dict.fromkeys([*rest, text])], F.col("l.hashes").alias("__hashes"))
+    needed = list(dict.fromkeys([*rest, key, text]))
+    own = docs.select(*[F.col(f"`{c}`") for c in needed], row_id(key, text).alias("__row"))
+    joined = own.join(lost.select(F.col("row").alias("__row"), F.col("hashes").alias("__hashes"), F.col("last").alias("__last")), "__row", "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in needed], "__hashes", "__last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widely = dict(zip(heavy.tolist(), heavy_last.tolist(), strict=True))
         for batch in slices(batches, text):
             out: list[list] = [[], [], [], []]
-            rows = zip(_ids(batch, key).tolist(), batch.column(text).to_pylist(), batch.column("__hashes").to_pylist(), strict=True)
-            for me, value, hashes in rows:
+            rows = zip(_ids(batch, key).tolist(), *(batch.column(c).to_pylist() for c in (text, "__hashes", "__last")), strict=True)
+            for me, value, hashes, last in rows:
                 lines = lines_of(value)
                 kept = lines
-                gone = set(hashes or ())
-                if gone or heavy:
+                keeper = dict(zip(hashes or (), last or (), strict=True))  # the document that keeps a line, by the line's hash
+                if keeper or widely:
                     kept = []
                     for x in lines:
                         if len(x) >= min_chars and _long_enough(k := key_of(x), min_chars):
                             h = int.from_bytes(xxhash.xxh3_128_digest(k)[:8], "little", signed=True)
-                            if h in gone or (h in heavy and heavy[h] != me):
+                            if keeper.get(h, widely.get(h, me)) != me:
                                 continue
                         kept.append(x)
                 left = b"\n".join(kept)

@@ -1,5 +1,6 @@
 """Repetition rules, SimHash groups and line dedup against plain Python."""
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -208,11 +209,16 @@ def brute_lines(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("heavy", [2000, 10**9])
-def test_line_dedup_matches_brute_force(spark, heavy, monkeypatch):
+@pytest.mark.parametrize("heavy, most, merge", [(2000, 10**6, 256), (10**9, 10**6, 256), (2000, 3, 256), (2000, 10**6, 1)])
+def test_line_dedup_matches_brute_force(spark, heavy, most, merge, monkeypatch):
+    """Whether lines are heavy, how many may be, and whether batches are merged first changes no result."""
     from ledgerwright.llm import lines
 
     monkeypatch.setattr(lines, "HEAVY", heavy)
+    monkeypatch.setattr(lines, "MAX_HEAVY", most)
+    if merge == 1:
+        monkeypatch.setattr(lines, "shards_for", lambda docs, text: 3)
+        monkeypatch.setattr(lines, "line_index", functools.partial(lines.line_index, merge_shards=1))
     rng = np.random.default_rng(2)
     pool = [f"A shared Line number {i} of text" for i in range(12)] + ["éééééééééééééééééééé", "short", "é" * 19]
     rows = [(None, "x"), (3, None), (4, ""), (5, "\n\n"), (None, "  a shared line number 1 OF text\nb")]
