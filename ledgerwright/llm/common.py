@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,11 +27,15 @@ _local_root: list[str] = []
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is absent (tests, a single machine) one local temporary
-    folder serves this process.
+    Where the setting is absent, one local temporary folder serves this process if
+    Spark runs on this machine alone (tests); on a cluster that is an error, as
+    executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        context = getattr(spark, "sparkContext", None)
+        if context is not None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_root:
             _local_root.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _local_root[0]

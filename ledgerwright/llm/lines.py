@@ -259,14 +259,14 @@ def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: np.ndar
     return lists.select("row", F.col("x.h").alias("hashes"), F.col("x.last").alias("last"))
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep_text: bool = True) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep_text: bool = True, measures: bool = True) -> DataFrame:
     """docs with repeated lines gone from text, and n_lines, n_dropped, kept_sha256.
 
     A null or empty text is one empty line and becomes (stays) empty. A line that
     at least min_docs documents hold keeps all its places in the one with the
     largest key only. Rows with the same key are one document here; a null key
-    is a document below all others. Of docs' columns, those named like a result
-    are replaced. No rows give no rows.
+    is a document below all others. Keys are integers above -2**63. Of docs' columns, those
+    named like a result are replaced; without measures only the text changes. No rows give no rows.
     """
     shards = shards_for(docs, text)
     index = stored(line_index(docs, key, text, min_chars, min_docs, shards), "lines")
@@ -275,7 +275,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     often = often.orderBy(F.col("f.rows").desc(), "f.h").limit(MAX_HEAVY).select("f.h", "f.largest").toPandas().sort_values("h")
     heavy, heavy_last = often["h"].to_numpy(np.int64), often["largest"].to_numpy(np.int64)
     lost = dropped_lines(docs, index, shards, heavy, key, text, min_chars, min_docs)
-    added = {"n_lines", "n_dropped", "kept_sha256"}
+    added = {"n_lines", "n_dropped", "kept_sha256"} if measures else set()
     rest = [c for c in docs.columns if c not in added and (keep_text or c == key)]
     needed = list(dict.fromkeys([*rest, key, text]))
     own = docs.select(*[F.col(f"`{c}`") for c in needed], row_id(key, text).alias("__row"))
@@ -305,7 +305,9 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
             columns = {c: batch.column(c) for c in rest}
             if keep_text:
                 columns[text] = pa.array(out[0], batch.column(text).type)
-            yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(out[1], pa.int64()), "n_dropped": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3])})
+            if measures:
+                columns |= {"n_lines": pa.array(out[1], pa.int64()), "n_dropped": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3])}
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(run, schema + (", n_lines long, n_dropped long, kept_sha256 string" if measures else ""))

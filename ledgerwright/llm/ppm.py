@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import mixed, slices
 
 ORDER = 4
-#: Rows a language's model learns from, about: rows are taken by a hash of their key.
-SAMPLE_ROWS = 1500
+#: Rows and bytes that a language's model learns from, at most, about: rows are taken by a hash of their key.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -163,13 +163,13 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     """A model from about `rows` rows of each language among those that may be learnt from; None if there are none.
 
     Null and empty texts teach nothing. The counts that reach the driver are those
-    of the sample's strings, so the bound on rows bounds them.
+    of the sample's strings, so the bounds on a language's rows and bytes bound them.
     """
     usable = docs.where(may_learn & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(key, text, F.col(lang).cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
     share = usable.join(F.broadcast(sizes), "lang") if _few(sizes) else usable.join(sizes, "lang")
     spot = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) / float(1 << 20)
-    sample = share.where(spot < rows / F.col("n")).select("lang", text)
+    sample = share.where(spot < F.least(rows / F.col("n"), SAMPLE_BYTES / F.col("bytes"))).select("lang", text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):

@@ -66,9 +66,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learnt from those whose id has a checksum not 2 modulo 4."""
+    """Language of every document, learnt from those whose id has a checksum not 2 modulo 4; a null id is held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
     model = learn(docs, ~held_out)
     return predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, mixed, slices
 
@@ -156,5 +157,15 @@ def with_repetition(docs: DataFrame, text: str = "text", rules: Rules = Rules(),
             arrays = [batch.column(c) for c in rest] + [pa.array(v) for v in found.values()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *found])
 
-    needed = [docs[f"`{c}`"] for c in dict.fromkeys([*rest, text])]
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys([*rest, text])]
     return docs.select(*needed).mapInArrow(run, schema)
+
+
+def good_documents(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns as they are; see with_repetition."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(measure(batch.column(text).to_pylist(), rules)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
