@@ -14,7 +14,7 @@ from ledgerwright.llm.common import stored
 from ledgerwright.llm.decontaminate import drop_contaminated
 from ledgerwright.llm.lines import drop_repeated_lines
 from ledgerwright.llm.packing import pack_documents
-from ledgerwright.llm.repetition import with_repetition
+from ledgerwright.llm.repetition import good_documents
 from ledgerwright.llm.similar import keep_one_of_each
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return with_repetition(docs, keep_text=True).where("kept").select(*docs.columns)
+    return good_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that three or more of them share (the last keeps them); n_chars follows the text."""
-    return drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = drop_repeated_lines(docs, measures=False)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
