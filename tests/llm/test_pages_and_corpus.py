@@ -434,3 +434,19 @@ def test_pipeline_stages_match_brute_force(spark):
     assert {r["doc_id"] for r in pieces} == {i for i, _ in rows[3]}
     assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(tuple(r) for r in pieces)
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns named like a stage's own measures, and tables without n_chars, pass through."""
+    import corpus_pipeline
+
+    names = ["n_words", "kept", "n_lines", "n_dropped", "hashes", "component_id", "node", "u", "h", "item_id"]
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"{good} own{i}\n" + " ".join(f"x{i}y{k}" for k in range(60)), *[f"{n}{i}" for n in names]) for i in range(4)] + [(9, None, *names), (None, "short", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+        docs = out
+    assert {r["doc_id"] for r in docs.collect()} == {0, 1, 2, 3}
