@@ -18,9 +18,20 @@ from .profile import ColumnProfile, Profile, capabilities
 
 # Business words that name a column by its meaning.
 ALIASES = {
-    "revenue": "revenue sales turnover income", "profit": "profit earnings", "cost": "cost costs expenses", "quantity": "quantity units volume", "customer": "customer customers client clients buyer buyers",
-    "product": "product products item items", "region": "region regions country", "channel": "channel channels", "segment": "segment segments", "stage": "stage stages",
-}
+    "revenue": ("revenue", "sales", "turnover", "income"),
+    "profit": ("profit", "earnings"),
+    "cost": ("cost", "costs", "expense", "expenses", "cogs"),
+    "quantity": ("quantity", "units", "volume", "qty"),
+    "price": ("price", "prices"),
+    "discount": ("discount", "discounts"),
+    "marketing": ("marketing", "advertising", "ad spend"),
+    "customer": ("customer", "customers", "client", "clients", "buyer", "buyers"),
+    "product": ("product", "products", "item", "items", "sku", "skus"),
+    "region": ("region", "regions", "country", "countries", "state", "states", "geography", "territory", "market", "markets"),
+    "channel": ("channel", "channels"),
+    "segment": ("segment", "segments"),
+    "stage": ("stage", "stages", "status"),
+}
 
 
 def folded(text: str) -> str:
@@ -81,7 +92,7 @@ class Context:
         if len(same) == 1:
             return same[0]
         for meaning, words in ALIASES.items():
-            if key in words.split() and (c := self.profile.meaning(meaning)):
+            if key in map(folded, words) and (c := self.profile.meaning(meaning)):
                 return c
         part = [c for c in columns.values() if key and key in folded(c.name)]
         if len(part) == 1:

@@ -10,7 +10,7 @@ from ledgerwright.plans.datasets import Options, Store
 from ledgerwright.plans.facts import Fact, display
 from ledgerwright.plans.grounding import Ledger, SentenceGate, claims_of, sanitize
 from ledgerwright.plans.insights import executive_summary, generate, kpis, materialize, plan_dashboard
-from ledgerwright.plans.planner import answer, chat, follow_ups, periods_in, plan, starters
+from ledgerwright.plans.planner import answer, chat, follow_ups, periods_in, plan, starters, values_in
 from ledgerwright.plans.profile import meaning_of, name_words, profile, quality
 from ledgerwright.plans.tools import registry
 from pyspark.sql import functions as F
@@ -149,6 +149,9 @@ CASES = [
     ("predict next month", "forecast", {}), ("Compare East and West", "compare_groups", {"dimension": "Region", "group_a": "East", "group_b": "West"}), ("compare 2025-03 with 2025-02 sales", "compare_periods", {"period_a": "2025-03", "period_b": "2025-02"}),
     ("what share of sales comes from East", "share_of_total", {"dimension": "Region", "value": "East"}), ("any unusual months?", "anomalies", {}), ("which segments are least profitable", "profitability", {}), ("is discount correlated with profit", "correlation", {"column_a": "Discount", "column_b": "Profit"}),
     ("how concentrated is revenue across regions", "pareto", {"dimension": "Region"}), ("customer retention by cohort", "cohort_retention", {}), ("how good is the data quality", "data_quality", {}), ("what columns does this dataset have", "describe_dataset", {}),
+    ("top five customers by sales", "top_n", {"dimension": "Customer", "n": 5}), ("the three weakest regions by profit", "top_n", {"dimension": "Region", "n": 3, "order": "asc", "metric": "Profit"}), ("compare sales year over year", "compare_periods", {"metric": "Sales", "compare_to": "year_ago"}),
+    ("how did profit change from 2025-01 to 2025-03", "compare_periods", {"period_a": "2025-03", "period_b": "2025-01", "metric": "Profit"}), ("total expenses in Q1 of 2025", "aggregate", {"metric": "Cost", "date_from": "2025-Q1", "date_to": "2025-Q1"}), ("what is driving the fall in turnover", "explain_change", {"metric": "Sales"}),
+    ("how did volume and margin move profit", "volume_vs_margin", {}), ("histogram of discounts", "distribution", {"column": "Discount"}), ("sales by quarter", "time_series", {"metric": "Sales", "grain": "quarter"}), ("median sales", "aggregate", {"metric": "Sales", "agg": "median"}), ("any extreme orders", "outliers", {}),
     ("sales in East in 2025", "aggregate", {"metric": "Sales", "date_from": "2025", "date_to": "2025", "filters": [{"column": "Region", "op": "eq", "value": "East"}]}), ("margin over time", "time_series", {"metric": "margin"}), ("is there seasonality", "seasonality", {}),
 ]
 
@@ -159,6 +162,26 @@ def test_planner(ctx, question, tool, params):
     assert call.tool == tool and params.items() <= {k: v for k, v in call.params.items()}.items() if not any(isinstance(v, list) for v in params.values()) else all(call.params[k] == v for k, v in params.items())
 
 
+def test_relative_periods(ctx):
+    from datetime import date
+
+    span = (date(2024, 1, 1), date(2025, 5, 20))
+    assert periods_in("sales last month against the month before last", span) == ["2025-04", "2025-03"]
+    assert periods_in("this quarter, last quarter, last year and previous week", span) == ["2025-Q2", "2025-Q1", "2024", "2025-05-12"]
+    assert periods_in("last month of 2024", (span[0], date(2025, 4, 30))) == ["2025-04", "2024"] and periods_in("last month") == []
+    last = periods_in("last month", ctx.profile.span)[0]
+    call = plan(ctx, "what were total sales last month?")
+    assert call.tool == "aggregate" and call.params["date_from"] == call.params["date_to"] == last
+    assert registry.call(ctx, call.tool, **call.params).ok
+
+
+def test_values_of_large_columns_are_found(spark):
+    df = spark.createDataFrame([(f"Maker {i}", float(i)) for i in range(700)] * 3, "Brand string, Sales double")
+    wide = Context(df, profile(df))
+    wide.profile.columns["Brand"].chart = True
+    assert values_in(wide, "share of maker 613 in sales") == [("Brand", "Maker 613")]
+
+
 def test_answers(ctx):
     text, found, call = answer(ctx, "top 3 regions by sales")
     assert found[0].ok and call.tool == "top_n" and text.startswith("Highest Sales by Region")
