@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from .filters import kind_of, typed
+from .ranks import exact_quantiles
 
 AGGREGATES = ("sum", "avg", "count", "distinct_count", "min", "max", "median", "std", "percentile")
 
@@ -39,6 +40,9 @@ def aggregate(df: DataFrame, agg: str, column: str | None = None, percentile: fl
     kind = kind_of(df, column)
     if agg not in ("count", "distinct_count") and kind != "number" and not (kind == "date" and agg in ("min", "max")):
         raise AnalysisError("wrong_type", f'{agg} needs numbers; "{column}" holds {kind} values.')
+    if agg in ("median", "percentile"):  # without a key one task would hold all different values
+        q = 0.5 if agg == "median" else min(100.0, max(0.0, percentile)) / 100
+        return df.sparkSession.createDataFrame([tuple(exact_quantiles(df, typed(df, column), [q]))], "value double")
     return df.agg(aggregate_column(typed(df, column), agg, percentile).alias("value"))
 
 
@@ -46,27 +50,30 @@ def numeric_stats(df: DataFrame, column: str) -> DataFrame:
     """Twenty descriptive statistics of a numeric column, one row.
 
     Fences are 1.5 quartile ranges out; outliers lie strictly beyond. Skew divides
-    by the sample deviation. The one pass that needs the fences is joined by them.
+    by the sample deviation. Quantiles come first, so one pass does the rest.
     """
     x = df.select(typed(df, column).alias("x")).where("x is not null")
-    q = F.percentile("x", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
+    quantiles = exact_quantiles(df, typed(df, column), (0.05, 0.25, 0.5, 0.75, 0.95))
+    q = F.array(*[F.lit(v).cast("double") for v in quantiles])
+    reach = 1.5 * ((quantiles[3] or 0.0) - (quantiles[1] or 0.0))
+    beyond = F.count_if((F.col("x") < (quantiles[1] or 0.0) - reach) | (F.col("x") > (quantiles[3] or 0.0) + reach))
     first = x.agg(
+        beyond.alias("outliers"),
         F.count("x").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.when(F.count("x") < 2, 0.0).otherwise(F.stddev_samp("x")).alias("std"),
-        F.when(F.count("x") < 2, 0.0).otherwise(F.var_samp("x")).alias("variance"), q.alias("q"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"), F.skewness("x").alias("g"),
+        F.when(F.count("x") < 2, 0.0).otherwise(F.var_samp("x")).alias("variance"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"), F.skewness("x").alias("g"),
     )
-    first = first.select("*", *(F.get("q", i).alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))), F.pow((F.col("n") - 1) / F.col("n"), 1.5).alias("k")).drop("q")
+    first = first.select("*", *(F.get(q, F.lit(i)).alias(name) for i, name in enumerate(("p05", "q1", "median", "q3", "p95"))), F.pow((F.col("n") - 1) / F.col("n"), 1.5).alias("k"))
     first = first.withColumn("iqr", F.col("q3") - F.col("q1"))
     first = first.withColumn("fence_low", F.col("q1") - 1.5 * F.col("iqr")).withColumn("fence_high", F.col("q3") + 1.5 * F.col("iqr"))
     first = first.withColumn("skew", F.when(F.col("std") > 0, F.col("g") * F.col("k")).otherwise(0.0)).drop("g", "k")
-    fences = F.broadcast(first.select("fence_low", "fence_high"))  # one row
-    beyond = x.join(fences, (F.col("x") < F.col("fence_low")) | (F.col("x") > F.col("fence_high")), "left_semi").agg(F.count("x").alias("outliers"))
-    return first.join(F.broadcast(beyond)).withColumn("outlier_pct", F.when(F.col("n") > 0, F.col("outliers") / F.col("n") * 100).otherwise(0.0))
+    return first.withColumn("outlier_pct", F.when(F.col("n") > 0, F.col("outliers") / F.col("n") * 100).otherwise(0.0))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 24) -> DataFrame:
     """bin, low, high, n: equal bins between the 5th and 95th percentile, tails in the end bins. No rows without a spread."""
     x = df.select(typed(df, column).alias("x")).where("x is not null")
-    span = x.agg(F.percentile("x", 0.05).alias("lo"), F.percentile("x", 0.95).alias("hi")).where("hi > lo").withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    ends = df.sparkSession.createDataFrame([tuple(exact_quantiles(df, typed(df, column), (0.05, 0.95)))], "lo double, hi double")
+    span = ends.where("hi > lo").withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / F.col("w"))))
     counts = x.join(F.broadcast(span), F.lit(True)).groupBy(place.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
     frame = span.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"), "lo", "w")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import AnalysisError
 from ..functions import calendar as cal
 from .filters import kind_of, typed
+from .ranks import running_totals
 
 # Known funnels, first stage first.
 FUNNELS = (
@@ -39,8 +40,7 @@ def customer_summary(df: DataFrame, customer: str, metric: str | None = None) ->
     first = first.withColumn("top_decile", F.ceil(F.col("customers") / 10))
     # values with how many customers have them, largest first: one row per distinct value
     levels = each.groupBy("v").agg(F.count("*").alias("m"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc("v"))
-    levels = levels.withColumn("before", F.sum("m").over(down) - F.col("m")).join(F.broadcast(first.select("top_decile")))
+    levels = running_totals(levels, "v", descending=True, before=F.col("m")).join(F.broadcast(first.select("top_decile")))
     taken = F.greatest(F.lit(0), F.least("m", F.col("top_decile") - F.col("before")))
     top = levels.agg(F.sum(F.col("v") * taken).alias("top"))
     out = first.join(F.broadcast(top))

@@ -9,6 +9,7 @@ from ..errors import AnalysisError
 from ..functions.calendar import ordinal, period_key
 from .aggregate import aggregate_column
 from .filters import kind_of, quoted, typed
+from .ranks import running_totals
 
 BLANK = "(blank)"
 
@@ -79,13 +80,13 @@ def ranked(df: DataFrame, dimension: str, metric: str | None = None, agg: str |
 
 def share_of_total(df: DataFrame, dimension: str, metric: str | None = None, agg: str | None = None) -> DataFrame:
     """key, value, share of the positive total, rank; every non-blank group."""
-    groups = group_by(df, dimension, metric, agg, blanks=False)
-    all_groups = Window.partitionBy(F.lit(1))
+    groups = group_by(df, dimension, metric, agg, blanks=False).select("key", "value")
     positive = F.greatest("value", F.lit(0.0))
-    return with_totals(groups.select("key", "value"), positive=F.sum(positive)).select(
-        "key", "value", F.when(F.col("positive") > 0, positive / F.col("positive") * 100).otherwise(0.0).alias("share"),
-        F.row_number().over(all_groups.orderBy(F.desc("value"), F.asc("key"))).cast("bigint").alias("rank"),
-    )
+    before = running_totals(groups.groupBy("value").agg(F.count("*").alias("m")), "value", descending=True, before=F.col("m")).drop("m")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("value").orderBy("key"))
+    return with_totals(groups, positive=F.sum(positive)).join(before, "value").select(
+        "key", "value", F.when(F.col("positive") > 0, positive / F.col("positive") * 100).otherwise(0.0).alias("share"), rank.cast("bigint").alias("rank")
+    )
 
 
 def compare_groups(df: DataFrame, dimension: str, group_a: str, group_b: str, metric: str | None = None, agg: str | None = None) -> DataFrame:
@@ -126,15 +127,18 @@ def cross_tab(df: DataFrame, row_dimension: str, column_dimension: str, metric:
 
 def pareto(df: DataFrame, dimension: str, metric: str | None = None, agg: str | None = None) -> DataFrame:
     """One row: groups, total of the positive values, and how many of the largest groups reach 50 and 80 percent of it."""
-    groups = group_by(df, dimension, metric, agg, blanks=False).select("key", F.greatest("value", F.lit(0.0)).alias("v"))
-    all_groups = Window.partitionBy(F.lit(1))
-    order = all_groups.orderBy(F.desc("v"), F.asc("key"))
-    running = groups.select("v", F.row_number().over(order).alias("rank"), F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"), F.sum("v").over(all_groups).alias("total"))
+    groups = group_by(df, dimension, metric, agg, blanks=False).select(F.greatest("value", F.lit(0.0)).alias("v"))
+    levels = groups.groupBy("v").agg(F.count("*").alias("m"))  # groups of one value are interchangeable
+    running = running_totals(levels, "v", descending=True, before=F.col("m"), reached=F.col("m") * F.col("v"))
+    totals = levels.agg(F.sum("m").alias("groups"), F.sum(F.col("m") * F.col("v")).alias("total"))
 
     def reach(part: float) -> Column:
-        return F.min(F.when((F.col("total") > 0) & (F.col("reach") >= F.col("total") * part - 1e-9), F.col("rank"))).cast("bigint")
+        more = F.col("total") * part - 1e-9 - F.col("reached")  # what the groups of this value must add
+        steps = F.greatest(F.ceil(more / F.col("v")), F.lit(1))
+        return F.min(F.when((F.col("v") > 0) & (steps <= F.col("m")), F.col("before") + steps)).cast("bigint")
 
-    return running.agg(F.count("*").alias("groups"), F.max("total").alias("total"), reach(0.5).alias("reach_50"), reach(0.8).alias("reach_80"))
+    found = running.join(F.broadcast(totals)).agg(reach(0.5).alias("reach_50"), reach(0.8).alias("reach_80"))
+    return totals.select(F.coalesce("groups", F.lit(0)).alias("groups"), "total").join(F.broadcast(found))
 
 
 def concentration(groups: DataFrame, top_n: int = 3, value: str = "value") -> DataFrame:
@@ -144,13 +148,12 @@ def concentration(groups: DataFrame, top_n: int = 3, value: str = "value") -> Da
     give, multiple how far the top ones exceed it.
     """
     v = groups.select(F.greatest(quoted(value), F.lit(0.0)).alias("v"))
-    everything = Window.partitionBy(F.lit(1))
-    placed = v.select("v", F.row_number().over(everything.orderBy(F.desc("v"))).alias("rank"), F.sum("v").over(everything).alias("total"), F.count("*").over(everything).alias("k"))
-    taken = F.least(F.lit(top_n), F.greatest(F.col("k") - 1, F.lit(1)))
-    one = placed.where("total > 0").agg(
-        F.max("k").alias("groups"), F.sum(F.when(F.col("rank") <= taken, F.col("v") / F.col("total"))).alias("top"), F.sum(F.pow(F.col("v") / F.col("total"), 2)).alias("hhi"), F.max(taken).alias("top_n")
-    )
-    k = F.col("groups")
+    sums = v.agg(F.count("*").alias("groups"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
+    first = v.orderBy(F.desc("v")).limit(top_n).agg(F.sort_array(F.collect_list("v"), asc=False).alias("first"))
+    k, total = F.col("groups"), F.col("total")
+    taken = F.least(F.lit(top_n), F.greatest(k - 1, F.lit(1)))
+    one = sums.where("total > 0").join(F.broadcast(first)).withColumn("top_n", taken).withColumn("top", F.aggregate(F.slice("first", F.lit(1), F.col("top_n").cast("int")), F.lit(0.0), lambda a, x: a + x) / total)
+    one = one.withColumn("hhi", F.col("squares") / (total * total))
     return one.where("groups > 0").select(
         "groups", F.col("top_n").cast("bigint").alias("top_n"), (F.col("top") * 100).alias("top_share"), "hhi",
         F.when(k > 1, (F.col("hhi") - 1 / k) / (1 - 1 / k)).otherwise(1.0).alias("hhi_normalised"), (F.col("top_n") / k * 100).alias("baseline"), (F.col("top") / (F.col("top_n") / k)).alias("multiple"),

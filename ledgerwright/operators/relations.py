@@ -7,13 +7,14 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import stats
 from .filters import kind_of, typed
 from .grouping import BLANK, group_key, with_totals
+from .ranks import exact_quantiles, running_totals
 
 
 def _numeric(df: DataFrame, *columns: str) -> None:
@@ -61,7 +62,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         counts = pairs.groupBy(c).agg(F.sum("n").alias("m"))
-        return counts.select(c, (F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy(c)) - (F.col("m") - 1) / 2).alias(f"r{c}"))
+        return running_totals(counts, c, before=F.col("m")).select(c, (F.col("before") + (F.col("m") + 1) / 2).alias(f"r{c}"))
 
     joined = pairs.join(ranks("a"), "a").join(ranks("b"), "b")
     n = F.sum("n")
@@ -104,18 +105,18 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float |
     x = df.select(typed(df, column).alias("x")).where("x is not null")
     if method == "iqr":
         k = threshold or 1.5
-        bounds = x.agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        width = F.get("q", 1) - F.get("q", 0)
-        bounds = bounds.select("n", (F.get("q", 0) - k * width).alias("low"), (F.get("q", 1) + k * width).alias("high"))
+        q1, q3 = (F.lit(v).cast("double") for v in exact_quantiles(x, F.col("x"), (0.25, 0.75)))
+        bounds = x.agg(F.count("*").alias("n")).select("n", (q1 - k * (q3 - q1)).alias("low"), (q3 + k * (q3 - q1)).alias("high"))
     elif method == "zscore":
         k = threshold or 3.0
         bounds = x.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).select("n", (F.col("m") - k * F.col("s")).alias("low"), (F.col("m") + k * F.col("s")).alias("high"))
     elif method == "mad":
         k = threshold or 3.5
-        centre = x.agg(F.count("*").alias("n"), F.median("x").alias("m"), F.stddev_samp("x").alias("s"))
-        apart = x.join(F.broadcast(centre)).groupBy("n", "m", "s").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("d"))
-        width = F.when(F.col("d") > 0, 1.4826 * F.col("d")).otherwise(F.col("s"))
-        bounds = apart.select("n", (F.col("m") - k * width).alias("low"), (F.col("m") + k * width).alias("high"))
+        (middle,) = exact_quantiles(x, F.col("x"), (0.5,))
+        (apart,) = exact_quantiles(x, F.abs(F.col("x") - F.lit(middle)), (0.5,))
+        m, d = (F.lit(v).cast("double") for v in (middle, apart))
+        width = F.when(d > 0, 1.4826 * d).otherwise(F.stddev_samp("x"))
+        bounds = x.agg(F.count("*").alias("n"), (m - k * width).alias("low"), (m + k * width).alias("high"))
     else:
         raise AnalysisError("invalid_method", f"There is no outlier method {method!r}.", "iqr, zscore or mad")
     bounds = bounds.select("n", *[F.when(F.col("n") >= 8, F.col(c)).alias(c) for c in ("low", "high")])

@@ -227,3 +227,50 @@ def test_explorer(rows, spark):
     assert ids(exp.drop_duplicate_rows(d, ["i"]).withColumnRenamed("i", "id")) == [1, 3, 5]
     assert exp.count_duplicates(d.select("k")).first()["duplicates"] == 2
     assert exp.sample_rows(rows, 50).count() == 7
+
+
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_quantiles_are_exact_however_they_are_found(spark, monkeypatch, most):
+    """Small brackets, bracketed again and again, or all values at once: the same as the definition."""
+    import numpy as np
+    from ledgerwright.operators import ranks
+
+    monkeypatch.setattr(ranks, "MOST_VALUES", most)
+    monkeypatch.setattr(ranks, "ACCURACY", 20 if most < 100 else 10_000)
+    rng = np.random.default_rng(most)
+    two_heavy = np.concatenate([np.zeros(300), rng.random(60), np.ones(300)])  # points at both ends, values between
+    for values in (rng.normal(size=400), two_heavy, np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        quantiles = (0.0, 0.25, 0.5, 1.0)
+        assert ranks.exact_quantiles(df, F.col("v"), quantiles) == pytest.approx(np.quantile(values, quantiles).tolist(), abs=1e-12)
+    order = np.sort(two_heavy)
+    x = spark.createDataFrame([(float(v),) for v in two_heavy], "x double")
+    assert ranks.order_statistics(x, [0, 310, 659]) == {r: order[r] for r in (0, 310, 659)}
+    assert ranks.exact_quantiles(df.where("false"), F.col("v"), (0.5,)) == [None]
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_running_totals_over_ranges(spark, monkeypatch, ranges):
+    import numpy as np
+    from ledgerwright.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGES", ranges)
+    rng = np.random.default_rng(ranges)
+    levels = {float(v): int(rng.integers(1, 9)) for v in np.unique(rng.normal(size=300).round(2))}
+    df = spark.createDataFrame(list(levels.items()), "v double, m long").repartition(5)
+    for descending in (False, True):
+        seen, want = 0, {}
+        for v in sorted(levels, reverse=descending):
+            want[v] = seen
+            seen += levels[v]
+        assert {r["v"]: r["before"] for r in ranks.running_totals(df, "v", descending, before=F.col("m")).collect()} == want
+    assert ranks.running_totals(df.where("false"), "v", before=F.col("m")).count() == 0
+
+
+def test_ranks_of_many_groups_need_no_single_task(spark):
+    df = spark.createDataFrame([(f"k{i % 97}", float(i % 13), float(i)) for i in range(500)], "k string, a double, b double")
+    for found in (grp.share_of_total(df, "k", "a"), grp.pareto(df, "k", "a"), grp.concentration(grp.group_by(df, "k", "a")), rel.spearman(df, "a", "b"), ent.customer_summary(df, "k", "a")):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert all("__range" in w or "value" in w or "key" in w for w in [x for x in text.splitlines() if " Window " in x])
+    shares = [r for r in grp.share_of_total(df, "k", "a").orderBy("rank").collect()]
+    assert [r["rank"] for r in shares] == list(range(1, 98)) and [(-r["value"], r["key"]) for r in shares] == sorted((-r["value"], r["key"]) for r in shares)
