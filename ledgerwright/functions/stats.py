@@ -39,6 +39,17 @@ def mad(values: Sequence[float]) -> float:
     return float(np.median(np.abs(x - np.median(x))))
 
 
+def concentration(values: Sequence[float], top_n: int = 3) -> dict | None:
+    """What grouping.concentration gives, for values of few groups; None without a positive total."""
+    v = sorted((max(x, 0.0) for x in values), reverse=True)
+    k, total = len(v), sum(v)
+    if total <= 0:
+        return None
+    top_n = min(top_n, max(k - 1, 1))
+    top, hhi = sum(v[:top_n]) / total, sum((x / total) ** 2 for x in v)
+    return {"groups": k, "top_n": top_n, "top_share": top * 100, "hhi": hhi, "hhi_normalised": (hhi - 1 / k) / (1 - 1 / k) if k > 1 else 1.0, "baseline": top_n / k * 100, "multiple": top / (top_n / k)}
+
+
 def pct_change(new: float | None, old: float | None) -> float | None:
     """Change against the size of old, in percent; None where old is (almost) nothing."""
     if new is None or old is None or abs(old) < 1e-12:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,14 @@ def group_by(
     return out.limit(limit) if limit else out
 
 
+def group_many(df: DataFrame, dimensions: Sequence[str], metric: str | None = None) -> DataFrame:
+    """dimension, key, value (sum of the metric, or rows), n_rows of the non-blank labels of several dimensions, from one aggregation."""
+    value = typed(df, metric) if metric else F.lit(1)
+    labels = F.array(*[F.struct(F.lit(d).alias("dimension"), group_key(df, d).alias("key")) for d in dimensions])
+    rows = df.select(value.alias("v"), F.explode(labels).alias("l")).select("l.dimension", "l.key", "v").where("key is not null")
+    return rows.groupBy("dimension", "key").agg(F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def ranked(df: DataFrame, dimension: str, metric: str | None = None, agg: str | None = None, n: int = 5, ascending: bool = False, min_rows: int = 1, percentile: float = 50.0) -> DataFrame:
     """rank, key, value, n_rows, share of the n first groups; blanks are left out.
 

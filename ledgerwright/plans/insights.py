@@ -93,18 +93,23 @@ def generate(ctx: Context, tools: Registry = registry) -> list[Insight]:
         found.append(Insight(kind, title, r.summary, r.tool, params, {"magnitude": min(1.0, magnitude), "relevance": relevance, "significance": significance, "confidence": confidence, "completeness": complete}))
 
     additive = lead is not None and lead.additive
+    charts = [d.name for d in dims[:5]]
+    groups: dict[str, list[float]] = {d: [] for d in charts}
+    if charts:  # a chart dimension has at most 60 labels
+        for r in grp.group_many(ctx.df, charts, lead.name if additive else None).collect():
+            groups[r["dimension"]].append(r["value"])
     for d in dims[:5]:
-        groups = grp.group_by(ctx.df, d.name, lead.name if additive else None, blanks=False, limit=5000)
-        row = grp.concentration(groups).first()
+        values = sorted(groups[d.name], reverse=True)
+        row = stats.concentration(values)
         if row is None:
             continue
         args = {"dimension": d.name} | ({"metric": lead.name} if additive else {})
-        top = [r["value"] for r in groups.limit(2).collect()]
+        top = values[:2]
         if grp.is_concentrated(row["groups"], row["multiple"], row["hhi_normalised"]):
             if r := _call(ctx, tools, "pareto", **args):
                 add("concentration", f"Few values of {d.name} make most", r, args, row["top_share"] / 100)
         elif len(top) == 2 and row["groups"] >= 2 and top[1] > 0:
-            total = groups.agg(F.sum("value")).first()[0] or 0
+            total = sum(values)
             if total > 0 and top[0] / total >= 1.3 / row["groups"] and top[0] >= 1.15 * top[1]:
                 if r := _call(ctx, tools, "top_n", n=3, **args):
                     add("leader", f"{d.name} has a clear leader", r, args | {"n": 3}, top[0] / total)

@@ -7,9 +7,10 @@ text column's shape); the decisions are rules on those figures and on the names.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from functools import cached_property
 from math import log10
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ EVENT_NAMES = frozenset("order invoice transaction created posted closed paid sh
 DATE_NAMES = frozenset("date time datetime period day month week year".split())
 ATTRIBUTE_NAMES = frozenset("since joined join signup registered registration birth birthday dob hire hired firstseen founded expiry expires expiration renewal due start enrolled".split())
 MONEY = ("revenue", "cost", "profit", "price", "marketing")
+#: Shares of unique values at which the role of a column of whole numbers, or of texts, changes.
+WHOLE_SHARES, TEXT_SHARES = (0.5, 0.98, 0.99), (0.25, 0.5, 0.6, 0.9)
 
 
 @dataclass
@@ -75,13 +78,18 @@ class ColumnProfile:
 class Profile:
     n_rows: int
     columns: dict[str, ColumnProfile]
-    duplicates: int
+    count_duplicates: Callable[[], int]
     relations: list[dict]
     date: str | None = None
     span: tuple[date, date] | None = None
     grain: str = "month"
     lead: str | None = None
 
+    @cached_property
+    def duplicates(self) -> int:
+        """Rows that repeat an earlier one; counted when it is first asked for."""
+        return self.count_duplicates()
+
     def with_role(self, role: str) -> list[ColumnProfile]:
         return [c for c in self.columns.values() if c.role == role]
 
@@ -112,21 +120,43 @@ def meaning_of(name: str, words: dict[str, dict[float, str]]) -> tuple[str | Non
     return best, min(1.0, top)
 
 
+def _kinds_of_values(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """Estimates of distinct values, within about two percent, exact for few; one pass of sketches."""
+    if not names:
+        return {}
+    hashed = lambda c: F.when(typed(df, c).isNotNull(), F.xxhash64(typed(df, c)))
+    row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(hashed(c), 14)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    return {c: row[f"d{i}"] or 0 for i, c in enumerate(names)}
+
+
+def _settled(df: DataFrame, figures: dict[str, dict], kinds: dict[str, int]) -> dict[str, int]:
+    """kinds with exact counts of the columns whose estimate lies near a share of unique values that decides a role."""
+    shares = {c: WHOLE_SHARES if f["int"] == f["n"] else () for c, f in figures.items() if "int" in f} | {c: TEXT_SHARES for c, f in figures.items() if "words" in f}
+    near = [c for c, d in kinds.items() if figures[c]["n"] and any(abs(d / figures[c]["n"] - share) <= 0.04 for share in shares.get(c, ()))]
+    exact = df.agg(*[F.count_distinct(typed(df, c)).alias(f"d{i}") for i, c in enumerate(near)]).first() if near else ()
+    return kinds | dict(zip(near, exact, strict=True))
+
+
 def _figures(df: DataFrame, names: Sequence[str], kinds: dict[str, str]) -> dict[str, dict]:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(names):
         x = typed(df, c)
-        aggs += [F.count(x).alias(f"n{i}"), F.approx_count_distinct(x, 0.02).alias(f"d{i}")]
+        aggs.append(F.count(x).alias(f"n{i}"))
         if kinds[c] == "number":
             aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.sum(x).alias(f"sum{i}"), F.count_if(x == F.floor(x)).alias(f"int{i}"), F.count_if(x < 0).alias(f"neg{i}")]
         elif kinds[c] == "date":
             aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         elif kinds[c] == "string":
-            aggs += [F.avg(F.size(F.split(F.trim(x), r"\s+"))).alias(f"words{i}"), F.avg(F.length(x)).alias(f"len{i}"), F.count_if(x.rlike(r"^[A-Za-z]*[-_ ]?\d[\w-]*$")).alias(f"code{i}")]
+            t = F.trim(x)
+            words = F.when(t.rlike(r"\s\s|[\t\n\r]"), F.size(F.split(t, r"\s+"))).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1)
+            aggs += [F.avg(words).alias(f"words{i}"), F.avg(F.length(x)).alias(f"len{i}"), F.count_if(x.rlike(r"^[A-Za-z]*[-_ ]?\d[\w-]*$")).alias(f"code{i}")]
         else:
             aggs += [F.count_if(x).alias(f"true{i}")]
     row = df.agg(*aggs).first().asDict()
     out = {c: {k[: -len(str(i))]: v for k, v in row.items() if re.fullmatch(rf"[a-z]+{i}", k)} for i, c in enumerate(names)}
+    distinct = _settled(df, out, _kinds_of_values(df, names))
+    for c in names:
+        out[c]["d"] = distinct[c]
     return out | {"": {"rows": row["rows"]}}
 
 
@@ -136,7 +166,7 @@ def _number(p: ColumnProfile, f: dict, rows: int, meta: ColumnMeta | None) -> No
     whole, unique = f["int"] == p.count, p.distinct / n
     low, high = f["min"], f["max"]
     p.stats = {"min": low, "max": high, "sum": f["sum"], "negatives": f["neg"]}
-    dense = whole and unique > 0.95 and low is not None and abs(high - low + 1 - p.count) <= max(1, 0.02 * p.count)
+    dense = whole and unique > 0.99 and low is not None and abs(high - low + 1 - p.count) <= max(1, 0.02 * p.count)
     if whole and p.distinct <= 2 and low is not None and {low, high} <= {0.0, 1.0}:
         p.role, p.unit, p.groupable, p.chart = "boolean", "count", True, True
     elif whole and words & CALENDAR_NAMES and not meaning and high is not None and (0 <= low and high <= 366 or 1900 <= low <= high <= 2100):
@@ -189,8 +219,8 @@ def _date(p: ColumnProfile, f: dict, rows: int) -> None:
 def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile:
     """The profile of a typed table; ROW_ID is not a column of it.
 
-    Distinct counts of the profile are estimates within about two percent (queries
-    count exactly).
+    Distinct counts of the profile are estimates within about two percent, but for
+    columns near a share that decides their role (queries count exactly).
     """
     names = [c for c in df.columns if c != ROW_ID]
     kinds = {c: kind_of(df, c) for c in names}
@@ -209,13 +239,10 @@ def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile
         else:
             p.role, p.groupable, p.chart, p.stats = "boolean", True, p.distinct == 2, {"true": f["true"]}
         columns[c] = p
-    duplicates = 0
-    if names and rows:
-        duplicates = df.groupBy(*map(quoted, names)).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1)).first()[0] or 0
     measures = [c.name for c in columns.values() if c.role == "measure"]
     found = relations(df, measures) if 3 <= len(measures) and rows >= 20 else []
     _apply_relations(columns, found)
-    out = Profile(rows, columns, duplicates, found)
+    out = Profile(rows, columns, lambda: repeated_rows(df, names) if names and rows else 0, found)
     events = [c for c in columns.values() if c.role == "time" and c.meaning == "event_date" and c.count]
     if events:
         best = max(events, key=lambda c: c.score)
@@ -225,6 +252,15 @@ def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile
     return out
 
 
+def repeated_rows(df: DataFrame, names: Sequence[str]) -> int:
+    """How many rows repeat another one: 128 bits a row are counted, and only rows whose bits repeat are compared in full."""
+    cells = [quoted(c) for c in names]
+    prints = (F.xxhash64(*cells).alias("__a"), F.xxhash64(F.lit(1), *cells).alias("__b"))
+    again = df.select(*prints).groupBy("__a", "__b").agg(F.count("*").alias("n")).where("n > 1").select("__a", "__b")
+    held = df.select(*cells, *prints).join(again, ["__a", "__b"], "left_semi").groupBy(*cells).agg(F.count("*").alias("n"))
+    return held.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+
+
 def _apply_relations(columns: dict[str, ColumnProfile], found: list[dict]) -> None:
     """Name what an identity reveals: profit = revenue - cost, revenue = quantity * price; sure names stand."""
     for r in found:
