@@ -293,6 +293,31 @@ def compare_periods(df: DataFrame, date_column: str, period_a: str, period_b: st
     return found.withColumn("share_of_change", F.when(F.abs("total") >= 1e-12, F.col("change") / F.col("total") * 100)).drop("total").orderBy(F.desc(F.abs("change")), "key")
 
 
+def compare_by(df: DataFrame, date_column: str, period_a: str, period_b: str, dimensions: Sequence[str], metric: str | None = None, grain: str | None = None) -> DataFrame:
+    """dimension, key, value_a, value_b, change of sums (or rows) by several dimensions, from one aggregation."""
+    (a0, a1), (b0, b1) = (cal.range_of_key(p, grain) for p in (period_a, period_b))
+    day, value = typed(df, date_column), typed(df, metric) if metric else F.lit(1)
+    labels = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(group_key(df, d), F.lit(BLANK)).alias("key")) for d in dimensions])
+    rows = df.where(day.between(a0, a1) | day.between(b0, b1)).select(F.explode(labels).alias("l"), F.when(day.between(a0, a1), value).alias("a"), F.when(day.between(b0, b1), value).alias("b"))
+    side = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    found = rows.groupBy("l.dimension", "l.key").agg(side("a").alias("value_a"), side("b").alias("value_b"))
+    return found.withColumn("change", F.col("value_a") - F.col("value_b"))
+
+
+def pattern_of(groups: DataFrame) -> str:
+    """change_pattern of groups(change), however many: it takes their sums and the two largest changes in the total's direction."""
+    moved = groups.where(F.abs("change") > 1e-12)
+    s = moved.agg(F.count("*").alias("n"), F.sum("change").alias("total"), F.count_if(F.col("change") > 0).alias("up")).first()
+    total = s["total"] or 0.0
+    if not s["n"] or abs(total) < 1e-12:
+        return "none"
+    first = [r["change"] / total for r in moved.orderBy(F.desc(F.col("change") * (1 if total > 0 else -1))).select("change").limit(2).collect()]
+    if s["n"] > 1 and (first[0] >= 0.5 or sum(first) >= 0.7):
+        return "concentrated"
+    along = s["up"] if total > 0 else s["n"] - s["up"]
+    return "broad-based" if along / s["n"] >= 0.7 else "mixed"
+
+
 def change_pattern(changes: Sequence[float]) -> str:
     """concentrated, broad-based, mixed or none, from the changes of groups."""
     moved = [c for c in changes if abs(c) > 1e-12]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -19,6 +18,7 @@ from ..operators import grouping as grp
 from ..operators import relations as rel
 from ..operators import timeseries as ts
 from ..operators.filters import Filter, apply_filters, closest_values
+from ..session import shared_folder
 from ..streaming.calendar_stream import calendar_series
 from .context import Context
 from .grounding import Ledger, count_claims, sanitize
@@ -379,12 +379,15 @@ add(
     f"""WITH k AS (SELECT rank() OVER (ORDER BY discount) + (count(*) OVER (PARTITION BY discount) - 1) / 2 AS a, rank() OVER (ORDER BY sales) + (count(*) OVER (PARTITION BY sales) - 1) / 2 AS b FROM sales)
     SELECT {r('corr(a, b)', 'rho')}, count(*) AS n FROM k""",
 )
-_MONTHS_SQL = "m AS (SELECT year(order_date) * 12 + month(order_date) - 1 AS ord, sum(sales) AS v FROM sales WHERE order_date < DATE '2001-08-01' GROUP BY 1), x AS (SELECT ord, v, row_number() OVER (ORDER BY ord) - 1 AS i FROM m)"
+_MONTHS_SQL = "m AS (SELECT year(order_date) * 12 + month(order_date) - 1 AS ord, sum(sales) AS v FROM sales, (SELECT max(order_date) AS last FROM sales) e WHERE last = last_day(last) OR order_date < date_trunc('month', last) GROUP BY 1), x AS (SELECT ord, v, row_number() OVER (ORDER BY ord) - 1 AS i FROM m)"
 
 
 def _months(spark: SparkSession, sf_dir: str) -> ts.Series:
-    df = apply_filters(sales(spark, sf_dir), [Filter("order_date", "lt", "2001-08-01")])
-    return ts.collect_series(ts.time_series(df, "order_date", "sales"), "month")
+    """Monthly sales; the last month counts if the data have its last day."""
+    df = sales(spark, sf_dir)
+    s = ts.collect_series(ts.time_series(df, "order_date", "sales"), "month")
+    over = s.points and ts.date_span(df, "order_date")[1] == cal.end_of(s.points[-1].ord, "month")
+    return s if over else ts.Series("month", s.points[:-1])
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,10 +595,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"calendar_{uuid.uuid4().hex[:8]}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    query = calendar_series(events, "ts", grain="day", delay="1 day").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    root = shared_folder(spark, "calendar")
+    stream = calendar_series(events, "ts", grain="day", delay="1 day")
+    query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "n")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows").select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "n")
 
 
 add(

@@ -1,7 +1,8 @@
 """From text cells to a typed table: inference, parsing, and a log of what was done.
 
-All evidence about all columns comes from one aggregation over the rows; the typed
-columns are expressions, so nothing is materialised on the way.
+All evidence about all columns comes from one aggregation over the rows. Cells, the parts
+of cells that parsers look at, and what parses are projections of their own, one on the
+other, so each regular expression runs once a cell; nothing is materialised on the way.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from ..functions import values as val
 from ..operators.filters import quoted
 
 ROW_ID = "__row_id"
+_BOOL_WORDS = (*val.TRUE_TOKENS, *val.FALSE_TOKENS)
+_CURRENCIES = sorted({*val.CURRENCY_SYMBOLS.values(), *(c for c in val.CURRENCY_CODES if c.isalpha() and c != "RS")})
 
 
 @dataclass
@@ -46,16 +49,39 @@ class Cleaned:
     suggestions: list[dict] = field(default_factory=list)
 
 
-def _evidence(c: str, i: int) -> list:
-    x = val.cell(quoted(c))
-    eu, us = val.locale_votes(x)
-    dmy, mdy, numeric = val.order_votes(x)
-    return [
-        F.count(x).alias(f"n{i}"), F.count(val.parse_number(x)).alias(f"us{i}"), F.count(val.parse_number(x, "eu")).alias(f"eu{i}"), F.sum(eu).alias(f"ve{i}"), F.sum(us).alias(f"vu{i}"),
-        F.count(val.parse_date(x, "dmy")).alias(f"dd{i}"), F.count(val.parse_date(x, "mdy")).alias(f"md{i}"), F.sum(dmy).alias(f"vd{i}"), F.sum(mdy).alias(f"vm{i}"), F.sum(numeric).alias(f"nu{i}"),
-        F.count_if(val.has_time(x)).alias(f"ht{i}"), F.count(val.parse_bool(x)).alias(f"bo{i}"), F.count_distinct(F.when(val.parse_bool(x).isNotNull(), F.lower(x))).alias(f"bd{i}"),
-        F.count_if(x.endswith("%")).alias(f"pc{i}"), F.count(val.currency_of(x)).alias(f"cu{i}"), F.mode(val.currency_of(x)).alias(f"cc{i}"), F.count_if(quoted(c).isNotNull() & x.isNull()).alias(f"nt{i}"),
-    ]
+def _parts(x: Column) -> dict[str, Column]:
+    """What the parsers need of a cell, by name: columns of their own, so each is computed once."""
+    t, negative, percent = val.bare(x)
+    text, day = val.date_texts(x)
+    return {"t": t, "negative": negative, "percent": percent, "text": text, "day": day}
+
+
+def _evidence(raw: DataFrame, texts: Sequence[str]) -> dict:
+    """Figures about every text column, from one pass: cells, then their parts, then what parses, then counts."""
+    cells = raw.select(*[val.cell(quoted(c)).alias(f"x{i}") for i, c in enumerate(texts)], *[(quoted(c).isNotNull()).alias(f"given{i}") for i, c in enumerate(texts)])
+    parts = cells.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _parts(F.col(f"x{i}")).items()])
+    found, aggs = [], [F.count(F.lit(1)).alias("rows")]
+    for i in range(len(texts)):
+        at = lambda name, i=i: F.col(f"{name}{i}")
+        number, dates = (at("t"), at("negative"), at("percent")), (at("text"), at("day"))
+        eu, us = val.votes_from(at("t"))
+        dmy, mdy, numeric = val.order_votes_from(*dates)
+        truth = val.parse_bool(at("x"))
+        found += [
+            at("x"), at("given"), val.number_from(*number).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu").isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
+            val.date_from(*dates, "dmy").isNotNull().alias(f"dd{i}"), val.date_from(*dates, "mdy").isNotNull().alias(f"md{i}"), dmy.alias(f"vd{i}"), mdy.alias(f"vm{i}"), numeric.alias(f"nu{i}"),
+            val.has_time(at("x")).alias(f"ht{i}"), F.when(truth.isNotNull(), F.lower(at("x"))).alias(f"bo{i}"), at("x").endswith("%").alias(f"pc{i}"), val.currency_of(at("x")).alias(f"cu{i}"),
+        ]
+        bools = [F.count_if(at("bo") == word).alias(f"b{k}_{i}") for k, word in enumerate(_BOOL_WORDS)]
+        money = [F.count_if(at("cu") == code).alias(f"c{k}_{i}") for k, code in enumerate(_CURRENCIES)]
+        aggs += [F.count(at("x")).alias(f"n{i}"), F.count_if(at("given") & at("x").isNull()).alias(f"nt{i}"), *bools, *money]
+        aggs += [F.count_if(at(k)).alias(f"{k}{i}") for k in ("us", "eu", "dd", "md", "ht", "pc")] + [F.sum(at(k)).alias(f"{k}{i}") for k in ("ve", "vu", "vd", "vm", "nu")]
+    row = parts.select(*found).agg(*aggs).first().asDict()
+    for i in range(len(texts)):
+        words = [row.pop(f"b{k}_{i}") for k in range(len(_BOOL_WORDS))]
+        codes = [row.pop(f"c{k}_{i}") for k in range(len(_CURRENCIES))]
+        row |= {f"bo{i}": sum(words), f"bd{i}": sum(w > 0 for w in words), f"cu{i}": sum(codes), f"cc{i}": _CURRENCIES[codes.index(max(codes))] if max(codes) else None}
+    return row
 
 
 def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] | None = None) -> Cleaned:
@@ -68,7 +94,7 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
     """
     typed_in = {f.name: f.dataType for f in raw.schema.fields if f.name != ROW_ID}
     texts = [c for c, t in typed_in.items() if isinstance(t, T.StringType)]
-    row = raw.agg(F.count(F.lit(1)).alias("rows"), *[e for i, c in enumerate(texts) for e in _evidence(c, i)]).first()
+    row = _evidence(raw, texts) if texts else raw.agg(F.count(F.lit(1)).alias("rows")).first().asDict()
     meta, columns, log, hints = {}, [], [], []
     for name, kind in typed_in.items():
         if name not in texts:
@@ -88,7 +114,7 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
             continue
         i = texts.index(name)
         e = {k: row[f"{k}{i}"] for k in ("n", "us", "eu", "ve", "vu", "dd", "md", "vd", "vm", "nu", "ht", "bo", "bd", "pc", "cu", "cc", "nt")}
-        n, x = e["n"], val.cell(quoted(name))
+        n, at = e["n"], lambda k, i=i: F.col(f"__{k}{i}")
         locale = "eu" if (e["ve"] or 0) > (e["vu"] or 0) else "us"
         order = (date_orders or {}).get(name) or ("dmy" if (e["vd"] or 0) > (e["vm"] or 0) else "mdy")
         numbers, dates = e[locale], e["dd" if order == "dmy" else "md"]
@@ -96,19 +122,19 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
         if e["nt"]:
             log.append({"kind": "null_tokens", "column": name, "cells": e["nt"]})
         if n and e["bo"] >= 0.9 * n and e["bd"] <= 4:
-            m.kind, c, parsed = "boolean", val.parse_bool(x), e["bo"]
+            m.kind, c, parsed = "boolean", val.parse_bool(at("x")), e["bo"]
         elif n and numbers >= threshold * n and numbers >= dates:
-            m.kind, c, parsed = "number", val.parse_number(x, locale), numbers
+            m.kind, c, parsed = "number", val.number_from(at("t"), at("negative"), at("percent"), locale), numbers
             m.percent = e["pc"] >= 0.5 * numbers
             m.currency = e["cc"] if e["cu"] >= 0.3 * numbers else None
         elif n and dates >= threshold * n:
-            m.kind, c, parsed = "date", val.parse_date(x, order), dates
+            m.kind, c, parsed = "date", val.date_from(at("text"), at("day"), order), dates
             m.has_time = bool(e["ht"])
             m.ambiguous_order = bool(e["nu"]) and not e["vd"] and not e["vm"] and name not in (date_orders or {})
             if m.ambiguous_order:
                 hints.append({"kind": "confirm_date_order", "column": name, "message": f'Dates in "{name}" fit both orders; month first was assumed.'})
         else:
-            c, parsed = x, n
+            c, parsed = at("x"), n
             m.mixed = bool(n) and max(numbers, dates) >= 0.5 * n
             if m.mixed:
                 hints.append({"kind": "review_mixed_type", "column": name, "message": f'"{name}" mixes text with {"numbers" if numbers >= dates else "dates"}.'})
@@ -120,7 +146,10 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
         meta[name] = m
         columns.append(c.alias(name))
     keep = [ROW_ID] if ROW_ID in raw.columns else []
-    out = raw.select(*columns, *keep).dropna(how="all", subset=list(typed_in)) if typed_in else raw
+    cells = raw.select("*", *[val.cell(quoted(c)).alias(f"__x{i}") for i, c in enumerate(texts)])
+    needed = [(i, {"number": ("t", "negative", "percent"), "date": ("text", "day")}.get(meta[c].kind, ())) for i, c in enumerate(texts)]
+    held = cells.select("*", *[v.alias(f"__{k}{i}") for i, names in needed for k, v in _parts(F.col(f"__x{i}")).items() if k in names])
+    out = held.select(*columns, *keep).dropna(how="all", subset=list(typed_in)) if typed_in else raw
     n_rows = out.count()
     if n_rows < row["rows"]:
         log.append({"kind": "empty_rows", "rows": row["rows"] - n_rows})

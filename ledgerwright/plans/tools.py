@@ -16,7 +16,7 @@ from ..operators import grouping as grp
 from ..operators import relations as rel
 from ..operators import timeseries as ts
 from ..operators.explorer import scenario
-from ..operators.filters import OPS, Filter, closest_values, describe, kind_of
+from ..operators.filters import OPS, Filter, closest_values, describe, kind_of, quoted
 from .context import Context
 from .facts import Builder, Failure, Result
 from .profile import quality
@@ -372,9 +372,10 @@ def compare_periods(ctx: Context, out: Builder, metric, agg, period_a, period_b,
             out.caveats.append(f"{key} is not complete in the data.")
     if breakdown_dimension:
         d = ctx.dimension(breakdown_dimension)
-        groups = _rows(ts.compare_periods(ctx.df, ctx.profile.date, a, b, column, how, d.name, grain))
-        data |= {"groups": groups[:top_n], "pattern": ts.change_pattern([g["change"] for g in groups]) if how in ("sum", "count") else None}
-        text += " Largest moves: " + ", ".join(f"{g['key']} {out.fact('change of ' + g['key'], g['change'], unit)}" for g in groups[:top_n]) + "."
+        moved = ts.compare_periods(ctx.df, ctx.profile.date, a, b, column, how, d.name, grain)
+        groups = _rows(moved.limit(top_n))
+        data |= {"groups": groups, "pattern": ts.pattern_of(moved) if how in ("sum", "count") else None}
+        text += " Largest moves: " + ", ".join(f"{g['key']} {out.fact('change of ' + g['key'], g['change'], unit)}" for g in groups) + "."
     return out.done(data, text, {"grain": grain})
 
 
@@ -383,11 +384,15 @@ def explain_change(ctx: Context, out: Builder, metric, period_a, period_b, compa
     column, how, unit, label, a, b, grain, row = _sides(ctx, metric, None, period_a, period_b, compare_to)
     if how not in ("sum", "count"):
         raise AnalysisError("not_additive", "Only sums and counts can be taken apart.")
+    charts = [d.name for d in ctx.profile.chart_dimensions()[:5]]
+    groups: dict[str, list[dict]] = {d: [] for d in charts}
+    if charts:  # a chart dimension has at most 60 labels
+        for r in _rows(ts.compare_by(ctx.df, ctx.profile.date, a, b, charts, column if how == "sum" else None, grain)):
+            groups[r.pop("dimension")].append(r)
     found = []
-    for d in ctx.profile.chart_dimensions()[:5]:
-        groups = _rows(ts.compare_periods(ctx.df, ctx.profile.date, a, b, column, how, d.name, grain))
-        pattern = ts.change_pattern([g["change"] for g in groups])
-        found.append({"dimension": d.name, "pattern": pattern, "groups": groups[:5]})
+    for d in charts:
+        own = sorted(groups[d], key=lambda g: (-abs(g["change"]), g["key"]))
+        found.append({"dimension": d, "pattern": ts.change_pattern([g["change"] for g in own]), "groups": own[:5]})
     rank = {"concentrated": 0, "broad-based": 1, "mixed": 2, "none": 3}
     found.sort(key=lambda f: rank[f["pattern"]])
     va, vb, ch = out.fact(f"{label} in {a}", row["value_a"], unit), out.fact(f"{label} in {b}", row["value_b"], unit), out.fact("change", row["change"], unit)
@@ -395,7 +400,14 @@ def explain_change(ctx: Context, out: Builder, metric, period_a, period_b, compa
     if found and found[0]["groups"]:
         best = found[0]
         text += f" By {best['dimension']} the change is {best['pattern']}: " + ", ".join(f"{g['key']} {out.fact('change of ' + g['key'], g['change'], unit)}" for g in best["groups"][:3]) + "."
-    return out.done(row | {"period_a": a, "period_b": b, "dimensions": found}, text, {"grain": grain})
+    data = row | {"period_a": a, "period_b": b, "dimensions": found}
+    if column and ctx.capabilities()["margin"] is None and column == _money(ctx)[1]:  # a change of profit is a matter of volume and margin
+        bridge = ts.volume_vs_margin(ctx.df, ctx.profile.date, a, b, *_money(ctx)).first().asDict()
+        if bridge["margin_a"] is not None and bridge["margin_b"] is not None:
+            v, m = (out.fact(n, bridge[c], unit) for n, c in (("volume effect", "volume_effect"), ("margin effect", "margin_effect")))
+            text += f" Volume made {v} of it, the margin {m}."
+            data["bridge"] = bridge
+    return out.done(data, text, {"grain": grain})
 
 
 @tool("trend", "Whether a metric rises or falls", "trend", **_SERIES)
@@ -486,20 +498,28 @@ def correlation(ctx: Context, out: Builder, column_a, column_b, top_k) -> Result
         money = [ctx.profile.columns[c].unit == "currency" or ctx.profile.columns[c].meaning == "quantity" for c in (a, b)]
         return {"a": a, "b": b, "r": r, "n": n, "p_value": rel.correlation_p(r, n) if r is not None else None, "tautology": why, "structural": all(money)}
 
+    def ranked(a: str, b: str) -> dict:
+        """Rank correlation and up to 200 points to draw, spread over the rows."""
+        n = max(1, ctx.count())
+        points = ctx.df.select(F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")).where("x is not null and y is not null")
+        drawn = points.where(F.pmod(F.xxhash64("x", "y"), F.lit(n)) < 400).limit(200)
+        return {"rho": rel.spearman(ctx.df, a, b).first()["rho"], "points": [(p["x"], p["y"]) for p in drawn.collect()]}
+
     if column_a and column_b:
         a, b = ctx.measure(column_a).name, ctx.measure(column_b).name
         row = rel.correlation(ctx.df, a, b).first()
         if row["r"] is None:
             raise AnalysisError("not_enough_data", "There are too few different values in common.")
-        found = judged(a, b, row["r"], row["n"])
+        found = judged(a, b, row["r"], row["n"]) | ranked(a, b)
         shown, n = out.fact(f"correlation of {a} and {b}", row["r"], "ratio"), out.fact("pairs", row["n"], "count")
         text = f"{a} and {b} have a {rel.correlation_strength(row['r'])} correlation of {shown} over {n} rows." + (f" It says little: {found['tautology']}." if found["tautology"] else "")
         return out.done(found, text, {})
     names = [c.name for c in ctx.profile.with_role("measure")][:12]
     pairs = [judged(r["a"], r["b"], r["r"], r["n"]) for r in rel.correlation_pairs(ctx.df, names).collect()]
     real = sorted((p for p in pairs if p["r"] is not None and not p["tautology"] and not p["structural"]), key=lambda p: -abs(p["r"]))[:top_k]
+    real = [p | ({"rho": rel.spearman(ctx.df, p["a"], p["b"]).first()["rho"]} if i < 3 else {}) for i, p in enumerate(real)]
     shown = ", ".join(f"{p['a']} and {p['b']} {out.fact(p['a'] + ' and ' + p['b'], p['r'], 'ratio')}" for p in real)
-    return out.done({"pairs": real, "excluded": [p for p in pairs if p not in real]}, f"Strongest correlations: {shown}." if real else "No pair of measures says something new.", {})
+    return out.done({"pairs": real, "excluded": [p for p in pairs if (p["a"], p["b"]) not in {(q["a"], q["b"]) for q in real}]}, f"Strongest correlations: {shown}." if real else "No pair of measures says something new.", {})
 
 
 @tool("outliers", "Unusual values of a measure", "outliers", column=Param(), method=Param("str", "iqr", choices=("iqr", "zscore", "mad")))
@@ -511,7 +531,10 @@ def outliers(ctx: Context, out: Builder, column, method) -> Result:
     k = _scale(c.unit, ctx, c.name)
     n, pct = out.fact("outliers", row["outliers"], "count"), out.fact("share of values", row["pct_of_values"], "percent")
     lo, hi = out.fact("lower bound", row["low"] * k, c.unit), out.fact("upper bound", row["high"] * k, c.unit)
-    return out.done(row.asDict(), f"{n} values of {c.name} ({pct}) lie outside {lo} to {hi}.", {"method": method})
+    value = F.col(f"`{c.name}`").cast("double")
+    beyond = ctx.df.where((value < row["low"]) | (value > row["high"]))
+    examples = _rows(beyond.orderBy(F.desc(F.greatest(F.lit(row["low"]) - value, value - F.lit(row["high"]))), *map(quoted, beyond.columns)).limit(5))
+    return out.done(row.asDict() | {"examples": examples}, f"{n} values of {c.name} ({pct}) lie outside {lo} to {hi}.", {"method": method})
 
 
 @tool("customer_analysis", "Customers: how many, how loyal, how concentrated", "customers", customer=Param(), metric=Param(), top_n=Param("int", 5, low=1, high=25))
@@ -524,7 +547,7 @@ def customer_analysis(ctx: Context, out: Builder, customer, metric, top_n) -> Re
     n, rr, td = out.fact("customers", s["customers"], "count"), out.fact("repeat rate", s["repeat_rate"], "percent"), out.fact("share of the top tenth", s["top_decile_share"], "percent")
     unit = m.unit if column else "count"
     shown = ", ".join(f"{t['customer']} {out.fact(t['customer'], t['value'], unit)}" for t in top)
-    data = s | {"top": top}
+    data = s | {"top": top, "concentration": (r.asDict() if (r := grp.concentration(ent.per_customer(ctx.df, c.name, column)).first()) else None)}
     if ctx.profile.date:
         data["new_vs_returning"] = _rows(ent.new_vs_returning(ctx.df, c.name, ctx.profile.date, ctx.profile.grain))
     return out.done(data, f"There are {n} customers; {rr} came back, and the top tenth makes {td}. Largest: {shown}.", {})

@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_local_root: list[str] = []
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under the folder that spark.checkpoint.dir names; a local one only where Spark runs on this machine alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="spark-"))
+        root = _local_root[0]
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
 
 def build_session(app: str = "ledgerwright", master: str | None = None, **settings: str) -> SparkSession:
     """UTC dates and adaptive execution; everything else is the cluster's own."""

@@ -120,7 +120,7 @@ def xlsx_grids(raw: bytes, limits: Limits = Limits()) -> list[Grid]:
                         pass
                 cells.append(value)
             grid.append(cells)
-            if len(grid) > limits.max_rows:
+            if limits.max_rows is not None and len(grid) > limits.max_rows:
                 break
         out.append((sheet.get("name") or f"Sheet{i + 1}", grid))
     return out
@@ -291,7 +291,7 @@ def document_rows(spark: SparkSession, path: str, parse: Callable[[bytes], list[
             for name, size, content in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), batch.column("content"), strict=True):
                 rows: list[tuple] = []
                 try:
-                    if size > limits.max_bytes:
+                    if limits.max_bytes is not None and size > limits.max_bytes:
                         raise IngestError("file_too_large", f"More than {limits.max_bytes >> 20} MB.")
                     for t, (title, grid) in enumerate(parse(content.as_py())):
                         rows += [(name, t, title, i, [None if c is None else str(c)[: limits.max_cell] for c in row], None) for i, row in enumerate(grid)]

@@ -61,7 +61,7 @@ def _table(name: str, raw: DataFrame, limits: Limits, warnings: list[str]) -> Ra
             warnings.append(f"{at} title row(s) above the header were skipped.")
         out = out.where(F.col(ROW_ID) > first[at][ROW_ID])
     n = out.count()
-    if n > limits.max_rows:
+    if limits.max_rows is not None and n > limits.max_rows:
         warnings.append(f"Only the first {limits.max_rows:,} rows were read.")
         out, n = out.orderBy(ROW_ID).limit(limits.max_rows), limits.max_rows
     return RawTable(name, out, n, names)
@@ -174,7 +174,7 @@ def ingest(spark: SparkSession, path: str, limits: Limits = Limits()) -> Ingeste
     meta = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEAD_BYTES).alias("head")).first()
     if meta is None or not meta["length"]:
         raise IngestError("empty_file", "The file is empty.")
-    if meta["length"] > limits.max_bytes:
+    if limits.max_bytes is not None and meta["length"] > limits.max_bytes:
         raise IngestError("file_too_large", f"More than {limits.max_bytes >> 20} MB.")
     head = bytes(meta["head"])
     kind = sniff_format(head, path)

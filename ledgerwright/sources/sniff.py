@@ -14,10 +14,14 @@ DELIMITERS = (",", "\t", ";", "|")
 
 @dataclass(frozen=True)
 class Limits:
-    """What one ingestion may take; more is refused or cut with a warning."""
+    """What one ingestion may take; more is refused or cut with a warning.
 
-    max_bytes: int = 50 << 20
-    max_rows: int = 1_000_000
+    Bytes and rows are unlimited unless asked for (see UPLOADS): delimited, JSON and
+    Parquet files are read by Spark however large they are.
+    """
+
+    max_bytes: int | None = None
+    max_rows: int | None = None
     max_columns: int = 500
     max_cell: int = 32_768
     max_unzipped: int = 400 << 20
@@ -26,6 +30,10 @@ class Limits:
     max_sheets: int = 50
 
 
+#: Limits for files that strangers hand in.
+UPLOADS = Limits(max_bytes=50 << 20, max_rows=1_000_000)
+
+
 def sniff_format(head: bytes, name: str = "") -> str:
     """csv, tsv, json, ndjson, xml, html, xlsx, docx, xls, pdf, parquet or text; the content decides, the name breaks ties."""
     if not head:
