@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as val
+from ..functions.sql import register
 from ..operators import grouping as grp
 from ..operators.filters import Filter, apply_filters
 from ..session import shared_folder
@@ -331,3 +332,12 @@ def _round_trip(kind: str, write: Callable[[DataFrame, str], None]) -> None:
 _round_trip("csv", write_csv)
 _round_trip("ndjson", write_json)
 _round_trip("parquet", write_parquet)
+
+
+def _by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("ledgerwright_orders")
+    return spark.sql("SELECT period_key(CAST(o_orderdate AS DATE), 'quarter') AS period, count(*) AS n, round(sum(parse_number(format_number(o_totalprice, 2), 'us')), 2) AS total FROM ledgerwright_orders GROUP BY 1")
+
+
+add("sql_functions", _by_sql, f"SELECT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, count(*) AS n, {r('sum(round(o_totalprice, 2))', 'total', 2)} FROM orders GROUP BY 1", None)

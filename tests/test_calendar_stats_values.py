@@ -85,3 +85,15 @@ def test_quantiles_match_spark(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     for q in (0.05, 0.5, 0.9):
         assert df.agg(F.percentile("x", q)).first()[0] == pytest.approx(stats.quantile(x, q))
+
+
+def test_sql_functions(spark):
+    from ledgerwright.functions.sql import register
+
+    register(spark)
+    row = spark.sql("select period_key(date '2025-05-20', 'quarter') q, period_key(date '2025-05-20', 'week') w, period_key(null, 'day') n, parse_number('$1,234.50', 'us') a, parse_number('1.234,50', 'eu') b, parse_number(null, 'us') c, t_two_sided_p(2.228D, 10) p").first()
+    assert (row["q"], row["w"], row["n"], row["a"], row["b"], row["c"]) == ("2025-Q2", "2025-05-19", None, 1234.5, 1234.5, None)
+    assert row["p"] == pytest.approx(0.05, abs=1e-3)
+    days = spark.createDataFrame([(date(2023, 12, 25) + timedelta(days=i),) for i in range(400)], "d date")
+    for grain in cal.GRAINS:
+        assert days.where(cal.period_key(cal.ordinal(F.col("d"), grain), grain) != F.expr(f"period_key(d, '{grain}')")).count() == 0
