@@ -14,10 +14,10 @@ from .ranks import running_totals
 
 # Known funnels, first stage first.
 FUNNELS = (
-    ("visit", "view", "click", "signup", "trial", "purchase", "renewal"),
-    ("lead", "qualified", "proposal", "negotiation", "won"),
-    ("applied", "screened", "interview", "offer", "hired"),
-    ("impression", "click", "cart", "checkout", "purchase"),
+    ("lead", "prospect", "mql", "sql", "qualified", "opportunity", "proposal", "negotiation", "won", "closed won", "customer"),
+    ("visit", "visitor", "view", "product view", "add to cart", "cart", "checkout", "purchase", "order"),
+    ("impression", "click", "signup", "sign up", "trial", "activation", "activated", "paid", "subscribed"),
+    ("applied", "screened", "screening", "interview", "offer", "offered", "hired", "accepted"),
 )
 
 
