@@ -120,12 +120,15 @@ def generate(ctx: Context, tools: Registry = registry) -> list[Insight]:
             values = [abs(v) for v in ctx.series(lead.name if lead else None, lead.agg if lead else "count").values]
             if abs(r.data["value_b"]) >= 0.1 * (stats.median(values) or 0):
                 add("period_change", f"{p.lead or 'Activity'} changed by {r.data['pct']:.0f}%", r, {"period_a": r.data["period_a"], "period_b": r.data["period_b"]}, abs(r.data["pct"]) / 50, relevance=0.9)
-        if (r := _call(ctx, tools, "anomalies")) and r.data["anomalies"]:
-            add("anomaly", "Some periods stand out", r, {}, min(1.0, abs(r.data["anomalies"][0]["z"]) / 8), 0.8)
+        if r := _call(ctx, tools, "anomalies"):
+            for a in r.data["anomalies"][:2]:
+                add("anomaly", f"{p.lead or 'Activity'} is unusually {a['direction']} in {a['period']}", r, {}, min(1.0, abs(a["z"]) / 8), 0.8)
         if (r := _call(ctx, tools, "seasonality")) and r.data["significant"]:
             add("seasonality", "There is a season", r, {}, r.data["spread"], 1 - r.data["p_value"])
         if r := _call(ctx, tools, "forecast", horizon=3):
             add("forecast", f"Outlook for {p.lead or 'activity'}", r, {"horizon": 3}, 0.4, 0.5, max(0.2, 1 - (r.data["mape"] or 50) / 100))
+        if (r := _call(ctx, tools, "trend", metric="margin")) and r.data.get("significant"):
+            add("margin_trend", f"The margin is {r.data['direction']}", r, {"metric": "margin"}, abs(r.data["slope_pct"]) / 5, 1 - r.data["p_value"], relevance=0.8)
     if (r := _call(ctx, tools, "profitability")) is not None:
         losses = [g for g in r.data["groups"] if g["loss"] and g["n_rows"] >= 3]
         if losses:

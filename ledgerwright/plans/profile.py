@@ -7,6 +7,7 @@ text column's shape); the decisions are rules on those figures and on the names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
@@ -84,6 +85,7 @@ class Profile:
     span: tuple[date, date] | None = None
     grain: str = "month"
     lead: str | None = None
+    currency: str | None = None
 
     @cached_property
     def duplicates(self) -> int:
@@ -242,6 +244,7 @@ def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile
     measures = [c.name for c in columns.values() if c.role == "measure"]
     found = relations(df, measures) if 3 <= len(measures) and rows >= 20 else []
     _apply_relations(columns, found)
+    codes = Counter(m.currency for m in (meta or {}).values() if m.currency)
     out = Profile(rows, columns, lambda: repeated_rows(df, names) if names and rows else 0, found)
     events = [c for c in columns.values() if c.role == "time" and c.meaning == "event_date" and c.count]
     if events:
@@ -249,6 +252,7 @@ def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile
         out.date, out.span = best.name, (best.stats["min"], best.stats["max"])
         out.grain = cal.pick_grain(*out.span)
     out.lead = _lead(out)
+    out.currency = min(codes, key=lambda c: (-codes[c], c)) if codes else None  # of most columns, of equals the first by name
     return out
 
 

@@ -163,7 +163,7 @@ def describe_dataset(ctx: Context, out: Builder) -> Result:
     n = out.fact("rows", p.n_rows, "count")
     k = out.fact("columns", len(p.columns), "count")
     data = {"rows": p.n_rows, "columns": [{"name": c.name, "kind": c.kind, "role": c.role, "meaning": c.meaning, "additive": c.additive, "unit": c.unit} for c in p.columns.values()]}
-    data |= {"date": p.date, "grain": p.grain, "lead": p.lead}
+    data |= {"date": p.date, "grain": p.grain, "lead": p.lead, "currency": p.currency}
     return out.done(data, f"The data have {n} rows and {k} columns." + (f" The main metric is {p.lead}." if p.lead else ""), {})
 
 
@@ -274,7 +274,10 @@ def cross_tab(ctx: Context, out: Builder, row_dimension, column_dimension, metri
     k = _scale(unit, ctx, column)
     cells = [{**c, "value": c["value"] * k} for c in cells]
     shown = ", ".join(f"{c['row_key']} × {c['column_key']} {out.fact(c['row_key'] + ' × ' + c['column_key'], c['value'], unit)}" for c in cells[:5])
-    return out.done({"cells": cells}, f"Highest {label}: {shown}.", {}, {"kind": "heatmap", "cells": cells, "unit": unit})
+    matrix: dict[str, dict[str, float]] = {}
+    for c in cells:
+        matrix.setdefault(c["row_key"], {})[c["column_key"]] = c["value"]
+    return out.done({"cells": cells, "matrix": matrix}, f"Highest {label}: {shown}.", {}, {"kind": "heatmap", "cells": cells, "unit": unit})
 
 
 @tool("pareto", "How few categories make most of a metric", "group", dimension=Param(), metric=Param(), agg=_AGG)

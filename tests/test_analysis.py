@@ -10,7 +10,7 @@ from ledgerwright.plans.datasets import Options, Store
 from ledgerwright.plans.facts import Fact, display
 from ledgerwright.plans.grounding import Ledger, SentenceGate, claims_of, sanitize
 from ledgerwright.plans.insights import executive_summary, generate, kpis, materialize, plan_dashboard
-from ledgerwright.plans.planner import answer, chat, follow_ups, periods_in, plan, starters, values_in
+from ledgerwright.plans.planner import answer, chat, chat_events, follow_ups, periods_in, plan, starters, values_in
 from ledgerwright.plans.profile import meaning_of, name_words, profile, quality
 from ledgerwright.plans.tools import registry
 from pyspark.sql import functions as F
@@ -228,6 +228,12 @@ def test_chat_with_a_provider(ctx):
     assert chat(ctx, "what is total sales?", broken)["fallback"]
 
 
+def test_chat_events(ctx):
+    events = list(chat_events(ctx, "top 3 regions by sales"))
+    assert [e["type"] for e in events][:1] == ["tool"] and events[-1]["type"] == "done"
+    assert " ".join(e["text"] for e in events if e["type"] == "text") == events[-1]["text"]
+
+
 def test_display():
     assert [display(v, u) for v, u in ((1234.5, "number"), (12345, "count"), (1.5e6, "currency"), (12.34, "percent"), (None, "count"), (float("nan"), "ratio"), (0.456, "ratio"))] == ["1,234.50", "12,345", "1.5M", "12.3%", "—", "—", "0.46"]
 
