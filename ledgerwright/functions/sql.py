@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stats import t_p_value
 from .values import number_of
@@ -12,12 +13,12 @@ from .values import number_of
 _EU = str.maketrans(",.", ".,")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _parse_number(text: pd.Series, locale: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else number_of(t.translate(_EU) if where == "eu" else t) for t, where in zip(text, locale, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(n) or n <= 0 else t_p_value(float(a), float(n)) for a, n in zip(t, df, strict=True)], dtype="float64")
 

@@ -97,3 +97,13 @@ def test_sql_functions(spark):
     days = spark.createDataFrame([(date(2023, 12, 25) + timedelta(days=i),) for i in range(400)], "d date")
     for grain in cal.GRAINS:
         assert days.where(cal.period_key(cal.ordinal(F.col("d"), grain), grain) != F.expr(f"period_key(d, '{grain}')")).count() == 0
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip().endswith("True"), said.stderr[-2000:]
