@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import calendar as cal
+from ..session import written
 from .filters import kind_of, typed
 from .ranks import running_totals
 
@@ -35,7 +36,7 @@ def customer_summary(df: DataFrame, customer: str, metric: str | None = None) ->
     as 0. Its bound is a percentile of the values, so no global sort is needed:
     customers above it are in, and those on it fill the remaining places.
     """
-    each = per_customer(df, customer, metric).withColumn("v", F.greatest("value", F.lit(0.0)))
+    each = written(per_customer(df, customer, metric).withColumn("v", F.greatest("value", F.lit(0.0))), "customers")
     first = each.agg(F.count("*").alias("customers"), F.avg((F.col("n_rows") > 1).cast("double")).alias("repeat_rate"), F.avg("n_rows").alias("avg_rows"), F.sum("v").alias("total"))
     first = first.withColumn("top_decile", F.ceil(F.col("customers") / 10))
     # values with how many customers have them, largest first: one row per distinct value

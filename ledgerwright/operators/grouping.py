@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions.calendar import ordinal, period_key
+from ..session import written
 from .aggregate import aggregate_column
 from .filters import kind_of, quoted, typed
 from .ranks import running_totals
@@ -90,7 +91,7 @@ def ranked(df: DataFrame, dimension: str, metric: str | None = None, agg: str |
 
 def share_of_total(df: DataFrame, dimension: str, metric: str | None = None, agg: str | None = None) -> DataFrame:
     """key, value, share of the positive total, rank; every non-blank group."""
-    groups = group_by(df, dimension, metric, agg, blanks=False).select("key", "value")
+    groups = written(group_by(df, dimension, metric, agg, blanks=False).select("key", "value"), "groups")  # looked at four times
     positive = F.greatest("value", F.lit(0.0))
     before = running_totals(groups.groupBy("value").agg(F.count("*").alias("m")), "value", descending=True, before=F.col("m")).drop("m")
     rank = F.col("before") + F.row_number().over(Window.partitionBy("value").orderBy("key"))
@@ -138,7 +139,7 @@ def cross_tab(df: DataFrame, row_dimension: str, column_dimension: str, metric:
 def pareto(df: DataFrame, dimension: str, metric: str | None = None, agg: str | None = None) -> DataFrame:
     """One row: groups, total of the positive values, and how many of the largest groups reach 50 and 80 percent of it."""
     groups = group_by(df, dimension, metric, agg, blanks=False).select(F.greatest("value", F.lit(0.0)).alias("v"))
-    levels = groups.groupBy("v").agg(F.count("*").alias("m"))  # groups of one value are interchangeable
+    levels = written(groups.groupBy("v").agg(F.count("*").alias("m")), "levels")  # groups of one value are interchangeable
     running = running_totals(levels, "v", descending=True, before=F.col("m"), reached=F.col("m") * F.col("v"))
     totals = levels.agg(F.sum("m").alias("groups"), F.sum(F.col("m") * F.col("v")).alias("total"))
 

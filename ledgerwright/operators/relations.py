@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import stats
+from ..session import written
 from .filters import kind_of, typed
 from .grouping import BLANK, group_key, with_totals
 from .ranks import exact_quantiles, running_totals
@@ -59,6 +60,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     _numeric(df, a, b)
     pairs = df.select(typed(df, a).alias("a"), typed(df, b).alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = written(pairs, "pairs")  # looked at five times
 
     def ranks(c: str) -> DataFrame:
         counts = pairs.groupBy(c).agg(F.sum("n").alias("m"))

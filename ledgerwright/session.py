@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_root: list[str] = []
 
@@ -23,6 +23,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder as Parquet and read again, for results that several passes need."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def build_session(app: str = "ledgerwright", master: str | None = None, **settings: str) -> SparkSession:
     """UTC dates and adaptive execution; everything else is the cluster's own."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
