@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .heap_lloyd import compress_vectors
 from .licenses import COPYRIGHT, KNOWN, SPELLINGS, license_scan
 from .lines import drop_repeated_lines
 from .packing import pack_documents
@@ -15,8 +16,10 @@ from .pages import main_text
 from .ppm import learn, predict_language
 from .repetition import LENGTHS, Rules, with_repetition
 from .simhash import hex_fingerprint, simhash_components
+from .spotsigs import ANCHORS, COMMON, fingerprint_edits
 from .token_archive import id_round_trip
 from .warc import archive_round_trip
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,23 @@ def op10_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all whole embeddings: 16 parts, 64 entries each, two rounds."""
+    found = compress_vectors(_table(spark, sf_dir, "embeddings"), scale=256, parts=16, entries=64, rounds=2)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole embeddings on their first 32 principal components, whitened; a deviation beyond a long is null."""
+    found = whiten(_table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=32)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited forms, and how alike they and the next documents are."""
+    return fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -89,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_token_archive": op10_token_archive,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 
@@ -170,10 +193,64 @@ hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM have JOIN want USING
 SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_shingles AS BIGINT) AS n_shingles, n_shared / n_shingles AS containment
 FROM hits JOIN size USING (item_id) WHERE n_shared >= n_shingles * 0.8 - 1e-9"""
 
+
+
+def _op11_sql() -> str:
+    """Full comparison with every entry in every round."""
+
+    def assign(k: int) -> str:
+        apart = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))"
+        return f"""
+near{k} AS MATERIALIZED (SELECT r, place, any_value(v) AS v, min(d) AS d, arg_min(e, d * 64 + e) AS e FROM (SELECT p.r, p.place, p.v, b.e, CAST({apart} AS BIGINT) AS d FROM part p JOIN book{k} b USING (place)) GROUP BY r, place)"""
+
+    def update(k: int) -> str:
+        return f"""
+sums{k} AS (SELECT place, e, j, sum(x) AS s, count(*) AS c FROM (SELECT place, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM near{k}) GROUP BY ALL),
+moved{k} AS (SELECT place, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY j) AS v FROM sums{k} GROUP BY place, e),
+book{k + 1} AS MATERIALIZED (SELECT b.place, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN moved{k} m ON b.place = m.place AND b.e = m.e)"""
+
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS MATERIALIZED (SELECT r, place, x[place * (len(x) // 16) + 1 : (place + 1) * (len(x) // 16)] AS v FROM kept, (SELECT unnest(range(16)) AS place)),
+book0 AS MATERIALIZED (SELECT place, r - 1 AS e, v FROM part WHERE r <= 64),{assign(0)},{update(0)},{assign(1)},{update(1)},{assign(2)},
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place, e, j)) AS codebooks_sha256 FROM (SELECT place, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM book2)),
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY place) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), digest"""
+
+
+def _op13_sql() -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in dict.fromkeys(words))
+    return f"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS f, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM documents),
+duo AS (SELECT doc_id, next_id, t, left(t, length(t) - length(t) // 2) || left(f, length(t) // 2) AS e FROM base),
+texts AS (SELECT doc_id, 0 AS kind, t FROM duo UNION ALL SELECT doc_id, 1, e FROM duo),
+split AS (SELECT doc_id, kind, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+plain AS MATERIALIZED (SELECT doc_id, kind, ws, NOT list_has_any(ws, [{quoted(ANCHORS)}]) AS bare FROM split),
+pos AS (SELECT doc_id, kind, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, bare FROM plain),
+marked AS (SELECT doc_id, kind, i, CAST('0x' || left(md5(w), 8) AS BIGINT) AS h, bare OR w IN ({quoted(ANCHORS)}) AS anchor, bare OR w NOT IN ({quoted(ANCHORS + COMMON)}) AS content FROM pos),
+ranked AS MATERIALIZED (SELECT *, count(*) FILTER (content) OVER (PARTITION BY doc_id, kind ORDER BY i) AS k FROM marked),
+chain AS MATERIALIZED (SELECT doc_id, kind, k, h FROM ranked WHERE content),
+spots AS (SELECT doc_id, kind, k, h FROM ranked WHERE anchor UNION ALL SELECT doc_id, kind, 0, 1 FROM plain WHERE len(ws) > 0),
+sigs AS MATERIALIZED (SELECT s.doc_id, s.kind, (s.h + coalesce(a.h, 0) * 402653189 + coalesce(b.h, 0) * 201326611) % 4294967291 AS sig FROM spots s
+  LEFT JOIN chain a ON a.doc_id = s.doc_id AND a.kind = s.kind AND a.k = s.k + 1 LEFT JOIN chain b ON b.doc_id = s.doc_id AND b.kind = s.kind AND b.k = s.k + 2),
+prints AS (SELECT doc_id, kind, string_agg(printf('%08x', sig), '' ORDER BY sig) AS fp, count(*) AS n FROM sigs GROUP BY ALL),
+counted AS MATERIALIZED (SELECT doc_id, kind, sig, count(*) AS c FROM sigs GROUP BY ALL),
+pairs AS (SELECT doc_id, 1 AS kind, doc_id AS other FROM duo UNION ALL SELECT doc_id, 0, next_id FROM duo),
+shared AS (SELECT p.doc_id, p.kind, sum(least(a.c, b.c)) AS m FROM pairs p JOIN counted a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN counted b ON b.doc_id = p.other AND b.kind = p.kind AND b.sig = a.sig GROUP BY ALL),
+near AS (SELECT p.doc_id, p.kind, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 1.0 ELSE CAST(coalesce(m, 0) AS DOUBLE) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(m, 0)) END AS likeness FROM pairs p
+  LEFT JOIN shared s ON s.doc_id = p.doc_id AND s.kind = p.kind LEFT JOIN prints x ON x.doc_id = p.doc_id AND x.kind = 0 LEFT JOIN prints y ON y.doc_id = p.other AND y.kind = p.kind)
+SELECT d.doc_id, CAST(length(d.t) AS BIGINT) AS n_chars, sha256(d.e) AS edited_sha256, coalesce(x.fp, '') AS fingerprint, coalesce(y.fp, '') AS edited_fingerprint, u.likeness AS near_edited, v.likeness AS near_next, CAST(coalesce(x.n, 0) AS BIGINT) AS n_signatures
+FROM duo d LEFT JOIN prints x ON x.doc_id = d.doc_id AND x.kind = 0 LEFT JOIN prints y ON y.doc_id = d.doc_id AND y.kind = 1
+  JOIN near u ON u.doc_id = d.doc_id AND u.kind = 1 JOIN near v ON v.doc_id = d.doc_id AND v.kind = 0"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
     "op3_line_dedup": _OP3_SQL,
     "op5_license_scan": _op5_sql(),
     "op6_warc": _OP6_SQL,
     "op7_benchmark_decontamination": _OP7_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op13_fingerprints": _op13_sql(),
 }
