@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..errors import AnalysisError
 from ..functions.calendar import range_of_key
+from ..functions.expressions import quoted
 from ..functions.values import FALSE_TOKENS, TRUE_TOKENS, number_of
+from .labels import Labels
 
 OPS = ("eq", "neq", "in", "not_in", "contains", "gt", "gte", "lt", "lte", "between", "is_null", "not_null")
 
@@ -33,10 +35,6 @@ class Filter:
         return [v for v in (*((self.value,) if self.value is not None else ()), *self.values)]
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def kind_of(df: DataFrame, name: str) -> str:
     """number, date, boolean or string."""
     field = next((f for f in df.schema.fields if f.name == name), None)
@@ -60,18 +58,24 @@ def typed(df: DataFrame, name: str) -> Column:
     return c if kind == "boolean" or isinstance(df.schema[name].dataType, T.StringType) else c.cast("string")
 
 
-def _text(c: Column, f: Filter) -> Column:
+def _text(c: Column, f: Filter, labels: Labels | None = None) -> Column:
+    """With a dictionary of the column's labels a comparison with the spellings that occur, else with lower(column)."""
     values = [str(v).strip().lower() for v in f.all_values()]
     if not values:
         raise AnalysisError("invalid_filter", f'The filter on "{f.column}" needs a value.')
+    if f.op not in ("contains", "eq", "in", "neq", "not_in"):
+        raise AnalysisError("invalid_filter", f'"{f.column}" holds text; {f.op} does not apply.', "Use eq, neq, in, not_in or contains.")
+    known = None
+    if labels and labels.knows(f.column):
+        known = labels.containing(f.column, values) if f.op == "contains" else labels.spellings(f.column, values)
+    if known is not None:
+        if f.op in ("neq", "not_in"):
+            return ~c.isin(*known) if known else c.isNotNull()
+        return c.isin(*known) if known else F.lit(False)
     low = F.lower(c)
     if f.op == "contains":
         return reduce(lambda a, b: a | b, (low.contains(v) for v in values))
-    if f.op in ("eq", "in"):
-        return low.isin(*values)
-    if f.op in ("neq", "not_in"):
-        return ~low.isin(*values)
-    raise AnalysisError("invalid_filter", f'"{f.column}" holds text; {f.op} does not apply.', "Use eq, neq, in, not_in or contains.")
+    return low.isin(*values) if f.op in ("eq", "in") else ~low.isin(*values)
 
 
 def _number(c: Column, f: Filter) -> Column:
@@ -121,7 +125,7 @@ def _boolean(c: Column, f: Filter) -> Column:
     return c == F.lit(wanted if f.op in ("eq", "in") else not wanted)
 
 
-def condition(df: DataFrame, f: Filter) -> Column:
+def condition(df: DataFrame, f: Filter, labels: Labels | None = None) -> Column:
     """The predicate of one filter; a combination that makes no sense raises invalid_filter."""
     if f.op not in OPS:
         raise AnalysisError("invalid_filter", f"There is no filter operation {f.op!r}.", "One of " + ", ".join(OPS))
@@ -130,12 +134,14 @@ def condition(df: DataFrame, f: Filter) -> Column:
         return c.isNull()
     if f.op == "not_null":
         return c.isNotNull()
-    return {"string": _text, "number": _number, "date": _date, "boolean": _boolean}[kind](c, f)
+    if kind == "string":
+        return _text(c, f, labels)
+    return {"number": _number, "date": _date, "boolean": _boolean}[kind](c, f)
 
 
-def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
-    """Rows that satisfy all filters; predicates reach the scan where their types allow."""
-    return reduce(lambda out, f: out.where(condition(df, f)), filters, df)
+def apply_filters(df: DataFrame, filters: Sequence[Filter], labels: Labels | None = None) -> DataFrame:
+    """Rows that satisfy all filters; predicates reach the scan where their types allow, those on text where labels lists the column's values."""
+    return reduce(lambda out, f: out.where(condition(df, f, labels)), filters, df)
 
 
 def closest_values(df: DataFrame, column: str, value: str, k: int = 5) -> DataFrame:

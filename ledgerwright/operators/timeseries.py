@@ -224,11 +224,14 @@ def _predict(model: str, y: np.ndarray, season: int, steps: int) -> np.ndarray:
     return line.intercept + line.slope * ahead
 
 
-def forecast(points: Sequence[Point], grain: str, horizon: int = 3, additive: bool = True) -> dict:
+MODELS = ("level", "linear", "seasonal_linear")
+
+
+def forecast(points: Sequence[Point], grain: str, horizon: int = 3, additive: bool = True, models: Sequence[str] = MODELS) -> dict:
     """Forecasts of the next periods with a range, by the model with the smallest one-step error in a backtest.
 
     Models: the mean of the last three periods, a line, a line with seasonal
-    factors (which must win by a tenth). Refused: fewer than six periods, holes
+    factors (which must win by a tenth); models narrows the choice. Refused: fewer than six periods, holes
     that cannot be filled, an average backtest error above 150 percent.
     """
     if not 1 <= horizon <= 12:
@@ -241,10 +244,15 @@ def forecast(points: Sequence[Point], grain: str, horizon: int = 3, additive: bo
     y, season = np.array([p.value for p in filled]), cal.SEASON[grain]
     n = len(y)
     tests = min(6, max(2, n // 3))
-    models = ["level", "linear"] + (["seasonal_linear"] if season and n - tests >= 2 * season else [])
+    unknown = [m for m in models if m not in MODELS]
+    if unknown or not models:
+        raise AnalysisError("unknown_model", f"There is no model {', '.join(unknown) or 'at all'}.", "Models: " + ", ".join(MODELS))
+    models = [m for m in MODELS if m in models and (m != "seasonal_linear" or (season and n - tests >= 2 * season))]
+    if not models:
+        raise AnalysisError("not_enough_data", "A seasonal model needs two whole seasons before the tests.")
     errors = {m: [abs(_predict(m, y[: n - t], season, 1)[0] - y[n - t]) for t in range(tests, 0, -1)] for m in models}
     mae = {m: float(np.mean(e)) for m, e in errors.items()}
-    best = min(("level", "linear"), key=lambda m: mae[m])
+    best = min((m for m in models if m != "seasonal_linear"), key=lambda m: mae[m], default="seasonal_linear")
     if "seasonal_linear" in mae and mae["seasonal_linear"] < 0.9 * mae[best]:
         best = "seasonal_linear"
     actual = np.abs(y[n - tests :])

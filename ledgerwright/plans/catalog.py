@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions import forecast_table
 from ..functions import values as val
 from ..operators import aggregate as agg
 from ..operators import entities as ent
@@ -18,8 +19,10 @@ from ..operators import grouping as grp
 from ..operators import relations as rel
 from ..operators import timeseries as ts
 from ..operators.filters import Filter, apply_filters, closest_values
+from ..operators.labels import Labels
 from ..session import shared_folder
 from ..streaming.calendar_stream import calendar_series
+from ..streaming.gate_stream import END, FACT, TEXT, gated, state_store
 from .context import Context
 from .grounding import Ledger, count_claims, sanitize
 from .insights import generate, kpis, materialize, plan_dashboard
@@ -480,14 +483,16 @@ add(
 # --- cells of text -----------------------------------------------------------
 
 
-def _cells(spark: SparkSession, cells: list[str], make: Callable) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i long, cell string").select("i", make(F.col("cell")))
+def _cells(spark: SparkSession, sf_dir: str, cells: list[str], make: Callable) -> DataFrame:
+    """One of the cells in each order, by its key."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", F.get(F.array(*map(F.lit, cells)), F.col("o_orderkey") % len(cells)).alias("cell")).select("o_orderkey", make(F.col("cell")))
 
 
 def _cell_query(name: str, cells: list[str], make: Callable, expected: list[str]) -> None:
-    """The parsed value of each cell; the SQL states what they are."""
+    """The parsed value of a column as long as orders; the SQL states what each spelling is."""
     rows = ", ".join(f"({i}, {e})" for i, e in enumerate(expected))
-    add(name, lambda spark, _: _cells(spark, cells, make), f"SELECT CAST(i AS BIGINT) AS i, v FROM (VALUES {rows}) AS t(i, v)", None)
+    add(name, lambda spark, sf_dir: _cells(spark, sf_dir, cells, make), f"SELECT o_orderkey, v FROM orders JOIN (VALUES {rows}) AS t(i, v) ON o_orderkey % {len(cells)} = i", None)
 
 
 _cell_query("null_tokens", ["", " N/A ", "none", "x", "#REF!", "0", "-", "nil"], lambda c: val.is_null_token(c).alias("v"), ["TRUE", "TRUE", "TRUE", "FALSE", "TRUE", "FALSE", "TRUE", "TRUE"])
@@ -606,3 +611,107 @@ add(
     "stream_calendar", _stream,
     "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS period, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT period, n FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)", None,
 )
+
+
+# --- labels that reach the scan ----------------------------------------------
+
+
+def _labels(spark: SparkSession, sf_dir: str, name: str) -> Labels:
+    return Labels.build(table(spark, sf_dir, name), shared_folder(spark, "labels"))
+
+
+_BY_LABEL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", lower({c}) AS folded, {c} AS value, count(*) AS n FROM part GROUP BY ALL" for c in ("p_name", "p_brand", "p_type"))
+
+
+def _label_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on text, with and without regard to what occurs, as comparisons with the spellings in the dictionary."""
+    customers, labels = table(spark, sf_dir, "customer"), _labels(spark, sf_dir, "customer")
+    filters = {
+        "eq": Filter("c_mktsegment", "eq", "Building"), "neq": Filter("c_mktsegment", "neq", "building "), "in": Filter("c_mktsegment", "in", values=("MACHINERY", "household", "nothing")),
+        "not_in": Filter("c_mktsegment", "not_in", values=("machinery",)), "contains": Filter("c_mktsegment", "contains", values=("UILD", "hold")), "absent": Filter("c_mktsegment", "eq", "no such label"),
+    }
+    counts = [apply_filters(customers, [f], labels).agg(F.lit(name).alias("filter"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")) for name, f in filters.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+_SEGMENT = "lower(c_mktsegment)"
+_LABEL_TESTS = {"eq": f"{_SEGMENT} = 'building'", "neq": f"{_SEGMENT} <> 'building'", "in": f"{_SEGMENT} IN ('machinery', 'household')", "not_in": f"{_SEGMENT} <> 'machinery'", "contains": f"contains({_SEGMENT}, 'uild') OR contains({_SEGMENT}, 'hold')", "absent": "FALSE"}
+add("label_dictionary", lambda spark, sf_dir: _labels(spark, sf_dir, "part").table, _BY_LABEL, None)
+add("flt_labels", _label_filters, " UNION ALL ".join(f"SELECT '{k}' AS \"filter\", count(*) AS n, {r('sum(c_acctbal)', 'total', 2)} FROM customer WHERE {w}" for k, w in _LABEL_TESTS.items()), None)
+
+
+# --- forecasts as a table function -------------------------------------------
+
+
+def _forecast_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of the next three months of every nation: one statement, one series a nation."""
+    forecast_table.register(spark)
+    view = f"monthly_{uuid.uuid4().hex[:8]}"
+    sales(spark, sf_dir).groupBy("nation", F.trunc("order_date", "month").alias("month")).agg(F.sum("sales").alias("sales")).createOrReplaceTempView(view)
+    return spark.sql(
+        f"""SELECT nation, period, value, low, high, model, mae, refused FROM forecast_series(TABLE(SELECT nation, month, sales FROM {view}) PARTITION BY nation ORDER BY month,
+        period => 'month', value => 'sales', grain => 'month', horizon => 3, models => 'level,linear')"""
+    )
+
+
+add(
+    "forecast_sql", _forecast_sql,
+    f"""WITH {_SALES_SQL}, seen AS (SELECT nation, date_trunc('month', order_date) AS m, sum(sales) AS v FROM sales GROUP BY ALL),
+    span AS (SELECT nation, min(m) AS a, max(m) AS b, count(*) AS k, CAST(datediff('month', min(m), max(m)) + 1 AS BIGINT) AS n FROM seen GROUP BY nation),
+    held AS (SELECT *, CASE WHEN k < 6 THEN 'not_enough_data' WHEN 1 - k / n > 0.2 THEN 'gaps_in_series' END AS why FROM span),
+    y AS (SELECT h.nation, h.n, h.b, least(6, greatest(2, h.n // 3)) AS tests, x, coalesce(v, 0) AS v FROM (SELECT *, unnest(range(n)) AS x FROM held WHERE why IS NULL) h LEFT JOIN seen s ON s.nation = h.nation AND s.m = h.a + to_months(CAST(x AS INTEGER))),
+    back AS (SELECT y.nation, t, any_value(tests) AS tests, max(v) FILTER (x = n - t) AS actual, avg(v) FILTER (x BETWEEN n - t - 3 AND n - t - 1) AS level,
+      regr_intercept(v, x) FILTER (x < n - t) + regr_slope(v, x) FILTER (x < n - t) * max(n - t) AS linear FROM y, (SELECT unnest(range(1, 7)) AS t) WHERE t <= tests GROUP BY y.nation, t),
+    scored AS (SELECT nation, any_value(tests) AS tests, avg(abs(level - actual)) <= avg(abs(linear - actual)) AS flat FROM back GROUP BY nation),
+    errors AS (SELECT nation, s.tests, flat, CASE WHEN flat THEN abs(level - actual) ELSE abs(linear - actual) END AS e, abs(actual) AS a FROM back b JOIN scored s USING (nation)),
+    spread AS (SELECT nation, any_value(flat) AS flat, avg(e) AS mae, avg(e / a) FILTER (a > 1e-9) * 100 AS mape, greatest(CASE WHEN any_value(tests) > 2 THEN stddev_samp(e) ELSE 0 END, sqrt(avg(e * e))) AS sigma FROM errors GROUP BY nation),
+    fit AS (SELECT nation, any_value(n) AS n, any_value(b) AS b, min(v) >= 0 AS positive, avg(v) FILTER (x >= n - 3) AS level, regr_intercept(v, x) AS i, regr_slope(v, x) AS s FROM y GROUP BY nation),
+    ahead AS (SELECT *, CASE WHEN flat THEN level ELSE i + s * (n + k) END AS v, 1.96 * sigma * sqrt(1 + (k + 1) / n) AS band FROM fit JOIN spread USING (nation), (SELECT unnest(range(3)) AS k) WHERE coalesce(mape, 0) <= 150)
+    SELECT nation, strftime(b + to_months(CAST(k + 1 AS INTEGER)), '%Y-%m') AS period, {r("CASE WHEN positive THEN greatest(0, v) ELSE v END", "value")}, {r("CASE WHEN positive THEN greatest(0, v - band) ELSE v - band END", "low")}, {r("CASE WHEN positive THEN greatest(0, v + band) ELSE v + band END", "high")},
+      CASE WHEN flat THEN 'level' ELSE 'linear' END AS model, {r("mae", "mae")}, CAST(NULL AS VARCHAR) AS refused FROM ahead
+    UNION ALL SELECT nation, NULL, NULL, NULL, NULL, NULL, NULL, why FROM held WHERE why IS NOT NULL UNION ALL SELECT nation, NULL, NULL, NULL, NULL, NULL, NULL, 'unpredictable' FROM spread WHERE mape > 150""", None,
+)
+
+
+# --- the sentence gate as a stream -------------------------------------------
+
+
+def conversation_pieces(turns: DataFrame) -> DataFrame:
+    """Conversations as a service streams them: before each turn its length as a fact, then its text in pieces of 40 characters, with a sentence about its length at the end (wrong for odd turns); a minute a turn.
+
+    Marks that end sentences are taken out of the text, so each turn is two sentences.
+    """
+    text = F.coalesce("text", F.lit(""))
+    length = F.length(text)
+    said = F.concat(F.translate(text, ".!?\n\r", "     "), F.lit(". The "), F.coalesce("role", F.lit("user")), F.lit(" wrote "), (length + F.when(F.col("turn") % 2 == 1, 7).otherwise(0)).cast("string"), F.lit(" characters.\n"))
+    start = F.col("turn").cast("long") * 10_000_000
+
+    def piece(seq, kind: str, words, value):
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), words.alias("text"), value.cast("double").alias("value"), F.lit("number").alias("unit"))
+
+    none = F.lit(None)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("said") - 1) / 40).cast("int")), lambda k: piece(start + 1 + k, TEXT, F.substr("said", k * 40 + 1, F.lit(40)), none))
+    all_pieces = F.concat(F.array(piece(start, FACT, F.lit("characters"), length)), cut, F.array(piece(start + 9_999_999, END, none.cast("string"), none)))
+    return turns.withColumn("said", said).select("conv_id", F.timestamp_seconds(60 * (F.col("turn") + 1)).alias("sent"), F.inline(all_pieces))
+
+
+def _gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences with numbers of all conversations, read as a stream, as the gate judges them."""
+    turns = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    found, root = gated(conversation_pieces(turns), "conv_id", "sent"), shared_folder(spark, "gate")
+    with state_store(spark):
+        query = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/rows").where("sentence rlike '[0-9]'")
+
+
+add(
+    "gate_stream", _gate_stream,
+    """WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, length(coalesce(text, '')) AS n, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    said AS (SELECT *, n + CASE WHEN turn % 2 = 1 THEN 7 ELSE 0 END AS c FROM t)
+    SELECT s.conv_id, s.k AS n, 'The ' || role || ' wrote ' || c || ' characters.' AS sentence,
+      c BETWEEN 1900 AND 2099 OR EXISTS (SELECT 1 FROM t WHERE t.conv_id = s.conv_id AND t.turn <= s.turn AND t.n = s.c) AS kept FROM said s""", None,
+)

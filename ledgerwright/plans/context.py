@@ -13,6 +13,7 @@ from ..errors import AnalysisError
 from ..functions import calendar as cal
 from ..operators import timeseries as ts
 from ..operators.filters import Filter, apply_filters, closest_values, describe
+from ..operators.labels import Labels
 from .clean import ROW_ID
 from .profile import ColumnProfile, Profile, capabilities
 
@@ -45,16 +46,19 @@ class Context:
     rows: DataFrame
     profile: Profile
     filters: tuple[Filter, ...] = ()
+    labels: Labels | None = None
     _memo: dict = field(default_factory=dict)
 
     @property
     def df(self) -> DataFrame:
-        out = apply_filters(self.rows, self.filters)
+        if "rows" not in self._memo:  # labels are looked up once
+            self._memo["rows"] = apply_filters(self.rows, self.filters, self.labels)
+        out = self._memo["rows"]
         return out.drop(ROW_ID) if ROW_ID in out.columns else out
 
     def narrow(self, filters: Sequence[Filter]) -> Context:
         """The same data under further filters."""
-        return Context(self.rows, self.profile, (*self.filters, *filters)) if filters else self
+        return Context(self.rows, self.profile, (*self.filters, *filters), self.labels) if filters else self
 
     def count(self) -> int:
         if "count" not in self._memo:

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import IngestError
+from ..operators.labels import Labels
 from ..sources.readers import ingest, pick_table
 from ..sources.sniff import Limits
 from .clean import ROW_ID, clean, normalize_labels
@@ -71,7 +72,10 @@ class Store:
             df = drop_duplicate_rows(df, [ROW_ID])
         folder = f"dataset={dataset}/version={version}"
         df.write.mode("errorifexists").parquet(f"{self.root}/{folder}/rows")
-        ctx = Context(self.rows(dataset, version), profile(self.rows(dataset, version), cleaned.meta))
+        rows = self.rows(dataset, version)
+        found_profile = profile(rows, cleaned.meta)
+        labels = Labels.build(rows, f"{self.root}/{folder}/labels", [c.name for c in found_profile.columns.values() if c.kind == "string"])
+        ctx = Context(rows, found_profile, labels=labels)
         insights = generate(ctx)
         info = {
             "name": name, "source": source, "format": found.format, "options": asdict(options), "warnings": found.warnings, "log": cleaned.log, "suggestions": cleaned.suggestions, "n_rows": ctx.profile.n_rows,
@@ -83,6 +87,11 @@ class Store:
     def rows(self, dataset: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/dataset={dataset}/version={version or self.current(dataset)}/rows")
 
+    def labels(self, dataset: str, version: int | None = None) -> Labels | None:
+        """The dictionary of a version's labels; versions written before there was one have none."""
+        folder = f"dataset={dataset}/version={version or self.current(dataset)}/labels"
+        return Labels.read(self.spark, f"{self.root}/{folder}") if self._fs().exists(self._path(folder)) else None
+
     def info(self, dataset: str, version: int | None = None) -> dict:
         return self._get(f"dataset={dataset}/version={version or self.current(dataset)}/info")
 
@@ -125,7 +134,7 @@ class Store:
         from .clean import ColumnMeta
 
         df, info = self.rows(dataset, version), self.info(dataset, version)
-        return Context(df, self._profile(df, {k: ColumnMeta(**m) for k, m in info["meta"].items()}))
+        return Context(df, self._profile(df, {k: ColumnMeta(**m) for k, m in info["meta"].items()}), labels=self.labels(dataset, version))
 
     @staticmethod
     def _profile(df: DataFrame, meta: dict) -> Profile:
