@@ -62,8 +62,8 @@ class _Gate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         gate, last = self._gate(), None
         for r in sorted(rows, key=lambda r: r["seq"]):
-            if self.idle_ms is not None and r["at"] is not None:
-                last = max(r["at"], last or r["at"])
+            if self.idle_ms is not None and r["__at"] is not None:
+                last = max(r["__at"], last or r["__at"])
             if r["kind"] == FACT and r["value"] is not None:
                 self.facts.appendValue((r["text"], r["value"], r["unit"]))
                 gate.ledger.facts.append(Fact("", r["text"] or "", r["value"], r["unit"] or "number", ""))
@@ -113,7 +113,7 @@ def gated(pieces: DataFrame, key: str, time: str | None = None, idle_ms: int = 6
     columns = [key, "seq", "kind", "text", "value", "unit"]
     if time is None:
         return pieces.select(*columns).groupBy(key).transformWithState(_Gate(key, None), schema, "Append", "None")
-    stamped = pieces.withWatermark(time, f"{idle_ms} milliseconds").select(*columns, time, F.unix_millis(time).alias("at"))
+    stamped = pieces.withWatermark(time, f"{idle_ms} milliseconds").select(*columns, time, F.unix_millis(time).alias("__at"))
     return stamped.groupBy(key).transformWithState(_Gate(key, idle_ms), schema, "Append", "EventTime")
 
 
