@@ -2,10 +2,12 @@
 
 A page is cut into blocks by its markup, and two judges look at them.
 
-Markup says of each block whether it is inside an article (<article>, <main>) and
-whether it is furniture: surely (navigation, header, footer, aside, form and the like, or
-a class, id or role that is such a word), perhaps (a class or id that only contains such a
-word, as grid-notice does), or not.
+Markup names the page's one article (<article>, <main>): the largest one that is not a
+comment or teaser by its names or place; a page is never emptied by the names of its only
+article. It also says whether a block is furniture: surely (navigation, header, footer,
+aside, form and the like, or a class, id or role that is such a word, or has comments,
+adverts or notices of consent in a part of it), perhaps (a class or id that only contains
+another such word, as grid-notice does), or not. Headings are never dropped for a name.
 
 The array looks at the token streams of all pages of a host, but for the plain blocks of
 articles. In each task the streams are concatenated, with a separator after each page, and
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,35 +44,96 @@ _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog button head title fieldset".split())
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary "
-    "cookie cookies consent notice notices alert popup modal overlay share sharing social comment comments disqus reply replies related recommended teaser newsletter subscribe signup login search".split()
-)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Names of furniture. A whole name of any of these lists is sure furniture; as a part of a name (ad-slot) those of the first two are, the others perhaps.
+_READERS = frozenset("comment comments disqus reply replies related recommended teaser teasers".split())
+_NOTICES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent newsletter breadcrumb breadcrumbs".split())
+_WORDS = _READERS | _NOTICES | frozenset("promo promotion banner nav navbar navigation menu header masthead footer sidebar aside complementary notice notices alert popup modal overlay share sharing social subscribe signup login search".split())
 _ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 NO, PERHAPS, SURE = 0, 1, 2
 
 
+def _names(attributes: str) -> Iterator[tuple[str, str, list[str]]]:
+    """(attribute, name, its parts in lower case) of each class, id and role."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        attribute = m[1].lower()
+        if attribute in ("class", "id", "role"):
+            for word in (m[2] or m[3] or m[4] or "").split():
+                yield attribute, word.lower(), [x.lower() for x in _PARTS.split(word)]
+
+
 def furniture_of(name: str, attributes: str) -> int:
-    """What an element's name and its class, id and role say of it: NO, PERHAPS or SURE furniture."""
+    """What an element's name and its class, id and role say of it: NO, PERHAPS or SURE furniture. Headings have no furniture names."""
     if name in _FURNITURE:
         return SURE
-    if not attributes or name in ("html", "body"):
+    if not attributes or name in ("html", "body") or name in _HEADINGS:
         return NO
     found = NO
-    for m in _ATTRIBUTE.finditer(attributes):
-        attribute = m[1].lower()
-        if attribute not in ("class", "id", "role"):
-            continue
-        for word in (m[2] or m[3] or m[4] or "").split():
-            if word.lower() in _WORDS:
-                return SURE
-            if attribute != "role" and any(x.lower() in _WORDS for x in _PARTS.split(word)):
-                found = PERHAPS
+    for attribute, word, parts in _names(attributes):
+        if word in _WORDS or attribute != "role" and not _READERS.union(_NOTICES).isdisjoint(parts):
+            return SURE
+        if attribute != "role" and not _WORDS.isdisjoint(parts):
+            found = PERHAPS
     return found
 
 
+def of_readers(attributes: str) -> bool:
+    """Whether a part of an element's names says that readers or links to other pages speak in it."""
+    return bool(attributes) and any(not _READERS.isdisjoint(parts) for _, _, parts in _names(attributes))
+
+
+@dataclass
+class _Region:
+    """An <article>, <main> or element of role main. doubt: 0, or why it may be no article (its name, where it stands)."""
+
+    parent: int
+    is_main: bool
+    doubt: int
+    words: int = 0
+
+
+NAMED, ENCLOSED, OF_READERS = 1, 2, 3  # like a comment by name or after comments; inside furniture; inside comments
+
+
+def main_region(regions: list[_Region], outside: int) -> set[int]:
+    """The regions that are the page's one article: the largest without doubt - with the largest article in it, if it is a <main>.
+
+    If all are in doubt the largest that is not inside comments, unless there are
+    more words outside of all regions, which then are the text. None: no words.
+    """
+    children: dict[int, list[int]] = {}
+    for i, r in enumerate(regions):
+        children.setdefault(r.parent, []).append(i)
+
+    def best(those: list[int], most: int) -> int | None:
+        found = [i for i in those if total(i) and regions[i].doubt <= most]
+        return min(found, key=lambda i: (-total(i), i)) if found else None
+
+    def total(i: int) -> int:
+        inner = [k for k in children.get(i, ()) if regions[i].is_main and not regions[k].doubt]
+        return regions[i].words + max(map(total, inner), default=0)
+
+    top = children.get(-1, [])
+    chosen = best(top, 0)
+    if chosen is None:
+        chosen = best(top, ENCLOSED)
+        if chosen is not None and total(chosen) <= outside:
+            chosen = None
+    if chosen is None and regions and not outside:  # a <main> that only holds articles in doubt
+        chosen = next((i for i in top if best(children.get(i, []), NAMED) is not None), None)
+    out: set[int] = set()
+    while chosen is not None:
+        out.add(chosen)
+        inner = children.get(chosen, []) if regions[chosen].is_main else []
+        nested = best(inner, 0)
+        if nested is None and not regions[chosen].words:
+            nested = best(inner, NAMED)
+        chosen = nested
+    return out
+
+
 def _closed(tags: list[re.Match]) -> set[int]:
     """Which start tags have an end tag of their own."""
     stack: list[tuple[str, int]] = []
@@ -89,27 +153,35 @@ def _closed(tags: list[re.Match]) -> set[int]:
 
 
 def blocks_of(page: str | None) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, furniture: NO, PERHAPS or SURE) of each block with text, in page order.
+    """(text, inside the article, furniture: NO, PERHAPS or SURE) of each block with text, in page order.
 
-    Character references are decoded and white space is one space. Furniture stays
-    furniture whatever it holds, articles included (reader comments, teasers); an
-    element without an end tag ends with its parent, the page, or - sure furniture
-    outside an article - where an article begins.
+    Character references are decoded and white space is one space. main_region says
+    which element is the article; its own names do not count, and furniture is judged
+    inside it. Other articles - readers' comments, teasers, articles inside the
+    article - are sure furniture. An element without an end tag ends with its
+    parent, the page, or - sure furniture outside an article - where an article begins.
     """
     if not page:
         return []
-    out: list[tuple[str, bool, int]] = []
+    found: list[tuple[str, int, int]] = []  # text, region, furniture
+    regions: list[_Region] = []
     held: list[str] = []
     stack: list[str] = []
-    sure = perhaps = article = 0  # depths at which each began, 0: not inside
-    open_ended = False  # whether the sure furniture has no end tag
+    around: list[tuple[int, int, int, bool, bool]] = []  # depth of each open region, and what held outside it: sure, perhaps, open_ended, readers
+    sure = perhaps = 0  # depths at which each began, 0: not inside
+    open_ended = readers = False  # whether the sure furniture has no end tag, and whether it is comments
+    inside = -1  # the innermost open region
+    after_readers = False
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, bool(article), SURE if sure else PERHAPS if perhaps else NO))
+                kind = SURE if sure else PERHAPS if perhaps else NO
+                found.append((text, inside, kind))
+                if inside >= 0 and kind != SURE:
+                    regions[inside].words += text.count(" ") + 1
 
     tags = list(_TAG.finditer(page))
     closed = _closed(tags)
@@ -129,35 +201,44 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, int]]:
                 while stack.pop() != name:
                     pass
                 depth = len(stack)
-                if depth < max(sure, perhaps, article):
+                if depth < max(sure, perhaps, around[-1][0] if around else 0):
                     flush()
-                sure, perhaps, article = (x if x <= depth else 0 for x in (sure, perhaps, article))
+                while around and depth < around[-1][0]:
+                    _, sure, perhaps, open_ended, readers = around.pop()
+                    inside = regions[inside].parent
+                sure, perhaps = (x if x <= depth else 0 for x in (sure, perhaps))
             continue
         attributes = m[4]
         kind = furniture_of(name, attributes)
-        starts_article = name in ("article", "main") or (name == "div" and "role" in attributes and re.search(r"(?<![\w-])role\s*=\s*[\"']?main\b", attributes) is not None)
-        if kind == PERHAPS and (starts_article or name == "main"):
-            kind = NO
-        begins = (kind == SURE and not sure) or (kind == PERHAPS and not perhaps)
+        is_main = name == "main" or ("role" in attributes and re.search(r"(?<![\w-])role\s*=\s*[\"']?main\b", attributes) is not None)
+        starts = (name == "article" or is_main) and name not in _FURNITURE
+        to_readers = of_readers(attributes)
+        begins = starts or (kind == SURE and not sure) or (kind == PERHAPS and not perhaps)
         if name not in _INLINE or begins:
             flush()
         if name in _VOID or attributes.endswith("/"):
             continue
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1] == name and len(stack) not in (sure, perhaps, article):
+        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1] == name and len(stack) not in (sure, perhaps):
             stack.pop()  # the end tag may be left out
         stack.append(name)
-        if starts_article and kind == NO and not article and sure and open_ended:
-            sure = perhaps = 0
-        if starts_article and kind == NO and not article and not sure:
-            article, perhaps = len(stack), 0
-        elif kind == SURE and not sure:
-            sure, open_ended = len(stack), i not in closed
+        if starts:
+            if sure and open_ended and inside < 0:
+                sure = 0
+            doubt = OF_READERS if sure and readers else ENCLOSED if sure else NAMED if to_readers or after_readers else 0
+            around.append((len(stack), sure, perhaps, open_ended, readers))
+            regions.append(_Region(inside, is_main, doubt))
+            inside, sure, perhaps, open_ended, readers = len(regions) - 1, 0, 0, False, False
+            continue
+        after_readers |= to_readers
+        if kind == SURE and not sure:
+            sure, open_ended, readers = len(stack), i not in closed, to_readers
         elif kind == PERHAPS and not perhaps:
             perhaps = len(stack)
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out
+    chosen = main_region(regions, sum(t.count(" ") + 1 for t, region, kind in found if region < 0 and kind == NO))
+    return [(t, region in chosen, kind if region < 0 or region in chosen else SURE) for t, region, kind in found]
 
 
 def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -276,6 +357,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").alias("html"), F.xxhash64(host).alias("host"))
     out_schema = f"page_id {kind}, url string, text string, n_chars long"
+    tokens_most = 1 << 19  # of one array
     block = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("furniture", pa.int32())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,16 +366,21 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             asks = [not any(a for _, a, _ in blocks) or any(a and f == PERHAPS for _, a, f in blocks) for blocks in found]
             columns = {c: batch.column(c) for c in ("page_id", "url", "host")}
             blocks = pa.array([[{"text": t, "article": a, "furniture": f} for t, a, f in own] for own in found], block)
-            yield pa.RecordBatch.from_pydict(columns | {"asks": pa.array(asks), "blocks": blocks})
+            n_tokens = pa.array([sum(t.count(" ") + 1 for t, _, _ in own) for own in found], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns | {"asks": pa.array(asks), "blocks": blocks, "n_tokens": n_tokens})
 
-    def parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+        """The batches cut to about so many tokens each, one page at least."""
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                yield batch.slice(at, size)
+            cut = np.cumsum(batch.column("n_tokens").to_numpy()) // tokens
+            starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if b > a:
+                    yield batch.slice(a, b - a)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Classes of windows, by host, with the least and the greatest page that has them."""
-        for part in parts(batches, 1024):
+        for part in parts(batches, tokens_most):
             streams = [_tokens(own) for own in part.column("blocks").to_pylist()]
             number: dict[str, int] = {}
             tokens = np.array([number.setdefault(w, len(number)) for own in streams for w in own], np.int64)
@@ -312,25 +399,25 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct windows of each page."""
-        for part in parts(batches, 64):
+        for part in parts(batches, tokens_most >> 3):
             found = [np.unique(w) for w in _windows([_tokens(own) for own in part.column("blocks").to_pylist()])]
             of = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
             hashes = pa.array(np.concatenate(found).view(np.int64))
             yield pa.RecordBatch.from_pydict({"host": part.column("host").take(of), "row": part.column("row").take(of), "hash": hashes})
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, 64):
+        for part in parts(batches, tokens_most >> 3):
             blocks, repeated = part.column("blocks").to_pylist(), part.column("repeated").to_pylist()
             texts = [text_of(*x) for x in zip(blocks, _windows([_tokens(own) for own in blocks]), repeated, strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host long, asks boolean, blocks {_BLOCKS}")
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host long, asks boolean, blocks {_BLOCKS}, n_tokens long")
     held = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    found = held.select("host", "row", "blocks").mapInArrow(classes, "host long, hash long, low long, high long")
+    found = held.select("host", "row", "blocks", "n_tokens").mapInArrow(classes, "host long, hash long, low long, high long")
     often = found.groupBy("host", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "hash")
     asking = held.where("asks")
-    own = asking.select("host", "row", "blocks").mapInArrow(windows, "host long, row long, hash long").join(often, ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("repeated"))
-    answered = asking.join(own, "row", "left").select("page_id", "url", "blocks", "repeated").mapInArrow(decide, out_schema)
+    own = asking.select("host", "row", "blocks", "n_tokens").mapInArrow(windows, "host long, row long, hash long").join(often, ["host", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("repeated"))
+    answered = asking.join(own, "row", "left").select("page_id", "url", "blocks", "n_tokens", "repeated").mapInArrow(decide, out_schema)
     plain = F.array_join(F.transform(F.filter("blocks", lambda b: b["article"] & (b["furniture"] == NO)), lambda b: b["text"]), " ")
     marked = held.where("not asks").select("page_id", "url", plain.alias("text"))
     return marked.withColumn("n_chars", F.length("text").cast("long")).unionByName(answered)

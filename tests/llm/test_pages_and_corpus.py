@@ -40,9 +40,51 @@ def test_articles_inside_furniture_are_furniture():
 
 def test_names_are_whole_words_of_class_id_and_role():
     assert article_of('<article><h1 class="entry-title">A</h1><p data-id="search-index">b</p><p title="class=ad">c</p><p class="ad">d</p></article>') == "A b c"
-    kinds = {'class="ad"': SURE, "id=comments": SURE, 'class="post ad-slot"': PERHAPS, "class='siteHeader'": PERHAPS, 'class="grid-notice"': PERHAPS, 'data-role="search"': NO, 'class="headers"': NO, 'class="reading"': NO, 'role="main"': NO}
+    kinds = {'class="ad"': SURE, "id=comments": SURE, 'class="post ad-slot"': SURE, 'class="comments-area"': SURE, 'class="cookie-banner"': SURE, "class='siteHeader'": PERHAPS, 'class="grid-notice"': PERHAPS, 'data-role="search"': NO, 'class="headers"': NO, 'class="reading"': NO, 'role="main"': NO}
     assert {x: furniture_of("div", " " + x) for x in kinds} == kinds
-    assert furniture_of("footer", "") == SURE
+    assert furniture_of("footer", "") == SURE and furniture_of("h1", ' id="header"') == NO
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>story one two</p></article><div id="comments-area"><article class="comment-body"><p>a long long long reply of a reader</p></article></div>', "story one two"),
+        ('<article><p>story one two</p></article><h3 id="comments">3 comments</h3><article><p>a long long long reply of a reader</p></article>', "story one two"),
+        ('<main><h1>Title</h1><article><p>story one two</p></article><article class="comment"><p>a long long reply of a reader</p></article></main>', "Title story one two"),
+        ('<article class="social"><p>story</p></article>', "story"),
+        ('<main class="search"><p>story</p></main>', "story"),
+        ('<article class="comment"><p>the only article</p></article>', "the only article"),
+        ('<main><article class="reply"><p>the only article</p></article></main>', "the only article"),
+        ('<article><h1 id="header">Title</h1><p>story</p><h2 id="comments">On comments</h2><p>more</p></article>', "Title story On comments more"),
+        ('<article><p>story</p><div class="ad-slot">buy this now</div><p>more</p></article>', "story more"),
+        ('<main><div class="cookie-banner">we use cookies</div><p>story</p></main>', "story"),
+        ('<form id="aspnetForm"><nav>menu</nav><main><p>story</p></main></form>', "story"),
+        ('<div class="ad-free"><article><p>story</p><aside>side</aside></article></div>', "story"),
+        ('<article><p>the story is long</p></article><article><p>a teaser</p></article>', "the story is long"),
+        ('<article><p>story</p><section><article><p>an inner one</p></article></section><p>more</p></article>', "story more"),
+        ('<div role="main"><p>story</p></div><footer>foot</footer>', "story"),
+        ('<main><main><p>story</p></main></main>', "story"),
+        ('<article class="teaser"><p>read me</p></article><article><p>story</p></article>', "story"),
+        ("<article><p>story</article><p>left over", "story"),
+    ],
+)
+def test_the_article_is_the_one_a_reader_would_name(page, text):
+    assert " ".join(t for t, inside, furniture in blocks_of(page) if inside and furniture == NO) == text
+
+
+def test_comments_do_not_stand_in_for_a_story_without_marks(spark):
+    page = '<div class="post"><p>the story of this page has no article element</p></div><div class="comments-list"><article><p>a reader</p></article></div>'
+    df = spark.createDataFrame([(1, "http://h/1", page)], "page_id long, url string, html string")
+    assert main_text(df).first()["text"] == "the story of this page has no article element"
+
+
+def test_what_unmarked_pages_repeat_goes_and_only_that(spark):
+    menu = "home news sport weather travel culture"
+    own = [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(4)]
+    rows = [(i, f"http://{'h' if i < 3 else 'other'}/{i}", f"<p>{menu}</p><p>{own[i]}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(df).collect()} == {0: own[0], 1: own[1], 2: own[2], 3: f"{menu} {own[3]}"}
+
 
 
 def test_the_array_settles_what_names_leave_open(spark):

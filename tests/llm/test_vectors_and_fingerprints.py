@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -150,10 +151,10 @@ def plain_signatures(text):
             run = ""
     bare = not any(w in ss.ANCHORS for w in words)
     number = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
-    out = []
+    out, common = [], {*ss.ANCHORS, *ss.COMMON}
     for i in range(-1, len(words)):
         if i < 0 and words or i >= 0 and (bare or words[i] in ss.ANCHORS):
-            chain = [number(w) for w in words[i + 1 :] if bare or w not in ss.ANCHORS + ss.COMMON][:2]
+            chain = list(islice((number(w) for w in words[i + 1 :] if bare or w not in common), 2))
             out.append((sum(a * b for a, b in zip([number(words[i]) if i >= 0 else 1, *chain], (1, 402653189, 201326611)))) % 4294967291)
     return Counter(out)
 
