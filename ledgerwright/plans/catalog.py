@@ -21,6 +21,7 @@ from ..operators import timeseries as ts
 from ..operators.filters import Filter, apply_filters, closest_values
 from ..operators.labels import Labels
 from ..session import shared_folder
+from ..sources.workbook import read_workbook, write_workbook
 from ..streaming.calendar_stream import calendar_series
 from ..streaming.gate_stream import END, FACT, TEXT, gated, state_store
 from .context import Context
@@ -715,3 +716,19 @@ add(
     SELECT s.conv_id, s.k AS n, 'The ' || role || ' wrote ' || c || ' characters.' AS sentence,
       c BETWEEN 1900 AND 2099 OR EXISTS (SELECT 1 FROM t WHERE t.conv_id = s.conv_id AND t.turn <= s.turn AND t.n = s.c) AS kept FROM said s""", None,
 )
+
+
+# --- workbooks in parts ------------------------------------------------------
+
+
+def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as one workbook by many tasks and read back by ranges of its sheets."""
+    columns = ("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    path = shared_folder(spark, "orders") + ".xlsx"
+    write_workbook(table(spark, sf_dir, "orders").select(*columns[:3], F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")), path, "Orders")
+    rows = read_workbook(spark, path, range_bytes=4 << 20).where("row_no > 0")
+    kinds = ("long", "string", "double", "string")
+    return rows.select(*[F.get("cells", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(zip(columns, kinds, strict=True))])
+
+
+add("workbook_round_trip", _workbook, f"SELECT o_orderkey, o_orderpriority, {r('o_totalprice', 'o_totalprice')}, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders", None)

@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
@@ -64,65 +65,94 @@ def _find(e: ET.Element, name: str) -> Iterator[ET.Element]:
     return (x for x in e.iter() if _tag(x) == name)
 
 
-def xlsx_grids(raw: bytes, limits: Limits = Limits()) -> list[Grid]:
-    """Every visible sheet: cached values, civil dates for date formats, errors as blanks."""
-    entries = open_zip(raw, limits)
-    book = safe_xml(entries.get("xl/workbook.xml") or b"<workbook/>")
-    shared = ["".join(t.text or "" for t in _find(si, "t")) for si in safe_xml(entries["xl/sharedStrings.xml"]) if _tag(si) == "si"] if "xl/sharedStrings.xml" in entries else []
+@dataclass(frozen=True)
+class Workbook:
+    """What a workbook says of all its sheets: the visible ones (name, part), which cell styles are dates, and the epoch."""
+
+    sheets: tuple[tuple[str, str], ...]
+    dated: frozenset[int]
+    old_epoch: bool
+
+
+def workbook_of(part: Callable[[str], bytes | None], limits: Limits = Limits()) -> Workbook:
+    """The workbook whose parts part(name) gives; only its small parts are read."""
+    book = safe_xml(part("xl/workbook.xml") or b"<workbook/>")
     dated: set[int] = set()
-    if "xl/styles.xml" in entries:
-        styles = safe_xml(entries["xl/styles.xml"])
+    if content := part("xl/styles.xml"):
+        styles = safe_xml(content)
         custom = {x.get("numFmtId"): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", x.get("formatCode") or "") for x in _find(styles, "numFmt")}
         formats = next((list(x) for x in styles if _tag(x) == "cellXfs"), [])
         for i, x in enumerate(formats):
             n = x.get("numFmtId") or "0"
             if n.isdigit() and (14 <= int(n) <= 22 or 45 <= int(n) <= 47) or re.search(r"[ymd]", custom.get(n, ""), re.I):
                 dated.add(i)
-    links = {x.get("Id"): x.get("Target") for x in safe_xml(entries.get("xl/_rels/workbook.xml.rels") or b"<r/>")}
+    links = {x.get("Id"): x.get("Target") for x in safe_xml(part("xl/_rels/workbook.xml.rels") or b"<r/>")}
     old_epoch = any(x.get("date1904") in ("1", "true") for x in _find(book, "workbookPr"))
-    out: list[Grid] = []
+    sheets = []
     for i, sheet in enumerate(list(_find(book, "sheet"))[: limits.max_sheets]):
         if sheet.get("state") in ("hidden", "veryHidden"):
             continue
         target = links.get(next((v for k, v in sheet.attrib.items() if k.endswith("}id")), ""), f"worksheets/sheet{i + 1}.xml") or ""
-        content = entries.get(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+        sheets.append((sheet.get("name") or f"Sheet{i + 1}", target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    return Workbook(tuple(sheets), frozenset(dated), old_epoch)
+
+
+def shared_text(item: ET.Element) -> str:
+    """The text of an entry of the shared strings."""
+    return "".join(t.text or "" for t in _find(item, "t"))
+
+
+def row_cells(row: ET.Element, book: Workbook, shared: Callable[[int], str | None], limits: Limits = Limits()) -> list[str | None]:
+    """The cells of a row element: cached values, civil dates for date formats, errors as blanks; shared(i) gives a shared string."""
+    cells: list[str | None] = []
+    for c in (x for x in row if _tag(x) == "c"):
+        place = re.match(r"[A-Z]+", c.get("r") or "")
+        at = len(cells)
+        if place:
+            at = 0
+            for letter in place[0]:
+                at = at * 26 + ord(letter) - 64
+            at -= 1
+        if at >= limits.max_columns:
+            break
+        cells += [None] * (at - len(cells))
+        value = next((x.text for x in c if _tag(x) == "v"), None)
+        kind = c.get("t")
+        if kind == "s" and value and value.isdigit():
+            text = shared(int(value))
+            value = value if text is None else text
+        elif kind == "inlineStr":
+            value = "".join(t.text or "" for t in _find(c, "t"))
+        elif kind == "b":
+            value = "true" if value == "1" else "false"
+        elif kind == "e":
+            value = None
+        elif value and kind is None and (c.get("s") or "").isdigit() and int(c.get("s")) in book.dated:
+            try:
+                day = date(1904, 1, 1) if book.old_epoch else date(1899, 12, 30)
+                value = (day + timedelta(days=int(float(value)))).isoformat()
+            except (ValueError, OverflowError):
+                pass
+        cells.append(value)
+    return cells
+
+
+def xlsx_grids(raw: bytes, limits: Limits = Limits()) -> list[Grid]:
+    """Every visible sheet of a workbook in memory; sources.workbook reads large ones in parts."""
+    entries = open_zip(raw, limits)
+    book = workbook_of(entries.get, limits)
+    strings = [shared_text(si) for si in safe_xml(entries["xl/sharedStrings.xml"]) if _tag(si) == "si"] if "xl/sharedStrings.xml" in entries else []
+    out: list[Grid] = []
+    for name, part in book.sheets:
+        content = entries.get(part)
         if content is None:
             continue
         grid: list[list[str | None]] = []
         for row in _find(safe_xml(content), "row"):
-            cells: list[str | None] = []
-            for c in (x for x in row if _tag(x) == "c"):
-                place = re.match(r"[A-Z]+", c.get("r") or "")
-                at = len(cells)
-                if place:
-                    at = 0
-                    for letter in place[0]:
-                        at = at * 26 + ord(letter) - 64
-                    at -= 1
-                if at >= limits.max_columns:
-                    break
-                cells += [None] * (at - len(cells))
-                value = next((x.text for x in c if _tag(x) == "v"), None)
-                kind = c.get("t")
-                if kind == "s" and value and value.isdigit() and int(value) < len(shared):
-                    value = shared[int(value)]
-                elif kind == "inlineStr":
-                    value = "".join(t.text or "" for t in _find(c, "t"))
-                elif kind == "b":
-                    value = "true" if value == "1" else "false"
-                elif kind == "e":
-                    value = None
-                elif value and kind is None and (c.get("s") or "").isdigit() and int(c.get("s")) in dated:
-                    try:
-                        day = date(1904, 1, 1) if old_epoch else date(1899, 12, 30)
-                        value = (day + timedelta(days=int(float(value)))).isoformat()
-                    except (ValueError, OverflowError):
-                        pass
-                cells.append(value)
-            grid.append(cells)
+            grid.append(row_cells(row, book, lambda i: strings[i] if i < len(strings) else None, limits))
             if limits.max_rows is not None and len(grid) > limits.max_rows:
                 break
-        out.append((sheet.get("name") or f"Sheet{i + 1}", grid))
+        out.append((name, grid))
     return out
 
 

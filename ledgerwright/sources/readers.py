@@ -6,13 +6,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import IngestError
+from ..session import written
 from . import grids
 from .sniff import HEAD_BYTES, Limits, column_names, count_fields, decode, detect_delimiter, detect_fixed_width, header_row, sniff_format
+from .workbook import plan, read_workbook
 
 ROW_ID = "__row_id"
 _C1 = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -169,6 +173,21 @@ def _from_cells(spark: SparkSession, rows: DataFrame, table_no: int) -> DataFram
     return part.select(*[F.get("cells", i).alias(f"c{i}") for i in range(width)], F.col("row_no").cast("long").alias(ROW_ID))
 
 
+def _workbook_rows(spark: SparkSession, path: str, limits: Limits) -> DataFrame | None:
+    """The rows of a workbook, written once by tasks that read ranges of its sheets; None where only Spark can open path."""
+    try:
+        plan(path, limits)
+    except (OSError, pa.ArrowInvalid):
+        return None
+    try:
+        return written(read_workbook(spark, path, limits), "workbook")
+    except PySparkException as e:  # a task's refusal, typed again
+        said = re.search(r"IngestError: (.+)", str(e))
+        if not said:
+            raise
+        raise IngestError("unsafe_xml" if "Entity" in said[1] else "corrupt_file", said[1].strip()) from e
+
+
 def ingest(spark: SparkSession, path: str, limits: Limits = Limits()) -> Ingested:
     """One file as tables: its format is found, its tables are named, typed later (see plans.clean)."""
     meta = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, HEAD_BYTES).alias("head")).first()
@@ -205,11 +224,13 @@ def ingest(spark: SparkSession, path: str, limits: Limits = Limits()) -> Ingeste
         return Ingested(kind, [RawTable("data", df, df.count(), [c for c in df.columns if c != ROW_ID])], warnings=warnings)
     if kind in ("xlsx", "docx", "html"):
         parse = {"xlsx": lambda raw: grids.xlsx_grids(raw, limits), "docx": lambda raw: grids.docx_blocks(raw, limits)[0], "html": lambda raw: grids.html_blocks(raw)[0]}[kind]
-        rows = grids.document_rows(spark, path, parse, limits).cache()
-        error = rows.where("error is not null").select("error").first()
-        if error:
-            code, _, message = error["error"].partition(": ")
-            raise IngestError(code, message)
+        rows = _workbook_rows(spark, path, limits) if kind == "xlsx" else None
+        if rows is None:
+            rows = grids.document_rows(spark, path, parse, limits).cache()
+            error = rows.where("error is not null").select("error").first()
+            if error:
+                code, _, message = error["error"].partition(": ")
+                raise IngestError(code, message)
         named = rows.groupBy("table_no").agg(F.first("table_name").alias("name")).orderBy("table_no").collect()
         tables = [_table(r["name"], _from_cells(spark, rows, r["table_no"]), limits, warnings) for r in named]
         blocks: list[tuple[str, str]] = []
