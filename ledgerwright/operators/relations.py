@@ -130,49 +130,47 @@ def relations(df: DataFrame, columns: Sequence[str], least: int = 20, share: flo
     """Arithmetic identities a = b - c, a = b * c, a = b + c among numeric columns, counted over all rows.
 
     An identity holds if at least `least` rows have all three and `share` of them
-    agree to 1 percent or 0.011. Of the forms of one triple the first counts. The
-    forms of all triples are counted in numpy, batch by batch; a batch returns one
-    row of counts, so which rows come first decides nothing.
+    agree to 1 percent or 0.011. Of the forms of one triple the first counts. Any
+    number of columns: what two of them make is held against all others at once, in
+    numpy, batch by batch. A task returns one row of counts a form, Spark adds them
+    up and only forms that hold reach the driver.
     """
     _numeric(df, *columns)
-    columns = list(columns)[:14]
-    x = df.select(*[typed(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    forms = [
-        (form, a, b, c)
-        for triple in combinations(range(len(columns)), 3)
-        for form in ("-", "*", "+")
-        for a, b, c in permutations(triple)
-        if form == "-" or b < c
-    ]
-    if not forms:
+    columns = list(columns)
+    k = len(columns)
+    if k < 3:
         return []
+    x = df.select(*[typed(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = [("-", b, c) for b, c in permutations(range(k), 2)] + [(form, b, c) for form in "*+" for b, c in combinations(range(k), 2)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, h = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+        known, agree = np.zeros((len(pairs), k), np.int64), np.zeros((len(pairs), k), np.int64)
         for batch in batches:
-            values = [np.asarray(v.fill_null(0.0)) for v in batch.columns]
-            present = [np.asarray(v.is_valid()) for v in batch.columns]
+            values = np.stack([np.asarray(v.fill_null(0.0)) for v in batch.columns])
+            present = np.stack([np.asarray(v.is_valid()) for v in batch.columns])
             with np.errstate(all="ignore"):
-                room = [np.maximum(np.abs(v) * 0.01, 0.011) for v in values]
-                for i, (form, a, b, c) in enumerate(forms):
-                    u, v, w = values[a], values[b], values[c]
-                    made = v - w if form == "-" else v * w if form == "*" else v + w
-                    known = present[a] & present[b] & present[c]
-                    if not known.any():
+                room = np.maximum(np.abs(values) * 0.01, 0.011)
+                for i, (form, b, c) in enumerate(pairs):
+                    rows = np.flatnonzero(present[b] & present[c])
+                    if not len(rows):
                         continue
-                    n[i] += np.count_nonzero(known)
-                    h[i] += np.count_nonzero(known & (np.abs(u - made) <= room[a]))
-        yield pa.RecordBatch.from_pydict({"form": pa.array(range(len(forms)), pa.int32()), "n": pa.array(n), "h": pa.array(h)})
+                    v, w = values[b, rows], values[c, rows]
+                    made = v - w if form == "-" else v * w if form == "*" else v + w
+                    there = present[:, rows]
+                    known[i] += np.count_nonzero(there, axis=1)
+                    agree[i] += np.count_nonzero(there & (np.abs(values[:, rows] - made) <= room[:, rows]), axis=1)
+        yield pa.RecordBatch.from_pydict({"form": pa.array(range(len(pairs) * k), pa.int32()), "n": pa.array(known.ravel()), "h": pa.array(agree.ravel())})
 
     counted = x.mapInArrow(count, "form int, n long, h long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-    counts = {r["form"]: (r["n"], r["h"]) for r in counted.collect()}
-    out, seen = [], set()
-    for i, (form, a, b, c) in enumerate(forms):
-        triple = tuple(sorted((a, b, c)))
-        n, h = counts.get(i, (0, 0))
-        if triple not in seen and n >= least and h >= share * n:
-            seen.add(triple)
-            out.append({"target": columns[a], "left": columns[b], "right": columns[c], "form": form, "share": h / n})
+    holds = {r["form"]: r["h"] / r["n"] for r in counted.where((F.col("n") >= least) & (F.col("h") >= share * F.col("n"))).collect()}
+    number = {pair: i for i, pair in enumerate(pairs)}
+    out = []
+    for triple in combinations(range(k), 3) if holds else ():
+        forms = ((form, a, b, c) for form in ("-", "*", "+") for a, b, c in permutations(triple) if form == "-" or b < c)
+        found = next(((f, at) for f in forms if (at := number[f[0], f[2], f[3]] * k + f[1]) in holds), None)
+        if found:
+            (form, a, b, c), at = found
+            out.append({"target": columns[a], "left": columns[b], "right": columns[c], "form": form, "share": holds[at]})
     return out
 
 

@@ -2,6 +2,7 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from ledgerwright.errors import AnalysisError
 from ledgerwright.operators import aggregate as agg
@@ -274,3 +275,15 @@ def test_ranks_of_many_groups_need_no_single_task(spark):
         assert all("__range" in w or "value" in w or "key" in w for w in [x for x in text.splitlines() if " Window " in x])
     shares = [r for r in grp.share_of_total(df, "k", "a").orderBy("rank").collect()]
     assert [r["rank"] for r in shares] == list(range(1, 98)) and [(-r["value"], r["key"]) for r in shares] == sorted((-r["value"], r["key"]) for r in shares)
+
+
+@pytest.mark.parametrize("others", [0, 11, 12, 14, 30])
+def test_identities_among_any_number_of_columns(spark, others):
+    rng = np.random.default_rng(others)
+    revenue, cost = rng.uniform(50, 100, 200), rng.uniform(10, 40, 200)
+    noise = {f"m{i}": rng.uniform(-1e6, 1e6, 200) ** 3 for i in range(others)}
+    frame = {**noise, "revenue": revenue, "cost": cost, "profit": revenue - cost}
+    df = spark.createDataFrame([tuple(float(v) if (i + k) % 50 else None for k, v in enumerate(row)) for i, row in enumerate(zip(*frame.values()))], ", ".join(f"{c} double" for c in frame)).repartition(3)
+    found = rel.relations(df, list(frame))
+    assert [({r["target"], r["left"], r["right"]}, r["share"]) for r in found] == [({"revenue", "cost", "profit"}, 1.0)]
+    assert rel.relations(df, ["revenue", "cost"]) == []
