@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, map_texts, mixed, runs_of, shards_for, slices, stored
 
@@ -34,6 +35,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _NONE = np.iinfo(np.int64).min
 #: A line is heavy if more than one document in so many holds it; at most MAX_HEAVY lines are.
 HEAVY, MAX_HEAVY = 2000, 1_000_000
+#: ... or if it has more rows than this, however large the corpus: so many row names at most go to one shard for a line.
+MOST_ROWS = 100_000
 #: Shards (of about 32 MiB of text) whose batches are merged before they go to the shards.
 MERGE_SHARDS = 256
 
@@ -137,6 +140,11 @@ def _largest(h: np.ndarray, check: np.ndarray, ids: np.ndarray, most: int) -> tu
     return h[starts], check[starts], [ids[a:b] for a, b in zip(starts.tolist(), np.minimum(ends, starts + most).tolist(), strict=True)]
 
 
+def count_type(min_docs: int) -> np.dtype:
+    """The smallest type that counts to min_docs: a byte a line as a rule."""
+    return np.min_scalar_type(min_docs)
+
+
 def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, shards: int | None = None, merge_shards: int = MERGE_SHARDS) -> DataFrame:
     """One row per shard: the perfect hash and its arrays over the distinct line hashes of docs.
 
@@ -186,9 +194,9 @@ def line_index(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
         h, check, held, rows = merged(table)
         mph = MinimalPerfectHash.build(h)
         at = mph.lookup(h)
-        prints, counts, largest, times = np.zeros(len(h), np.uint32), np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        prints, counts, largest, times = np.zeros(len(h), np.uint32), np.zeros(len(h), count_type(min_docs)), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         prints[at] = (check & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        counts[at] = np.fromiter((min(len(x), 255) for x in held), np.uint8, len(held))
+        counts[at] = np.fromiter(map(len, held), counts.dtype, len(held))
         largest[at] = np.fromiter((x[0] for x in held), np.int64, len(held))
         times[at] = rows
         levels, rest = mph.to_bytes()
@@ -242,7 +250,7 @@ def dropped_lines(docs: DataFrame, index: DataFrame, shards: int, heavy: np.ndar
             return none
         row = arrays.to_pylist()[0]
         mph = MinimalPerfectHash.from_bytes(row["levels"], row["rest"])
-        prints, counts, largest = (np.frombuffer(row[c], t) for c, t in (("prints", np.uint32), ("counts", np.uint8), ("largest", np.int64)))
+        prints, counts, largest = (np.frombuffer(row[c], t) for c, t in (("prints", np.uint32), ("counts", count_type(min_docs)), ("largest", np.int64)))
         h = queries.column("h").to_numpy()
         at = mph.lookup(h.view(np.uint64))
         hit = (at >= 0) & (prints[at] == queries.column("p").to_numpy()) & (counts[at] >= min_docs)
@@ -265,18 +273,20 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     A null or empty text is one empty line and becomes (stays) empty. A line that
     at least min_docs documents hold keeps all its places in the one with the
     largest key only. Rows with the same key are one document here; a null key
-    is a document below all others. Keys are integers above -2**63. Of docs' columns, those
-    named like a result are replaced; without measures only the text changes. No rows give no rows.
+    is a document below all others. Keys are whole numbers above -2**63 (others: TypeError). Of docs' columns, those
+    named like a result (in any case) are replaced; without measures only the text changes. No rows give no rows.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must hold whole numbers: the largest key of a line keeps it")
     shards = shards_for(docs, text)
     index = stored(line_index(docs, key, text, min_chars, min_docs, shards), "lines")
     n_docs = docs.count()
-    often = index.select(F.explode("frequent").alias("f")).where(F.col("f.rows") > max(64, n_docs // HEAVY))
+    often = index.select(F.explode("frequent").alias("f")).where(F.col("f.rows") > max(64, min(n_docs // HEAVY, MOST_ROWS)))
     often = often.orderBy(F.col("f.rows").desc(), "f.h").limit(MAX_HEAVY).select("f.h", "f.largest").toPandas().sort_values("h")
     heavy, heavy_last = often["h"].to_numpy(np.int64), often["largest"].to_numpy(np.int64)
     lost = dropped_lines(docs, index, shards, heavy, key, text, min_chars, min_docs)
     added = {"n_lines", "n_dropped", "kept_sha256"} if measures else set()
-    rest = [c for c in docs.columns if c not in added and (keep_text or c == key)]
+    rest = [c for c in docs.columns if c.lower() not in added and (keep_text or c == key)]
     needed = list(dict.fromkeys([*rest, key, text]))
     own = docs.select(*[F.col(f"`{c}`") for c in needed], row_id(key, text).alias("__row"))
     joined = own.join(lost.select(F.col("row").alias("__row"), F.col("hashes").alias("__hashes"), F.col("last").alias("__last")), "__row", "left")

@@ -198,9 +198,9 @@ def predict_language(docs: DataFrame, model: Model | None, text: str = "text") -
 
     A null text, or one without a letter, is `und` with score 0; so is every text
     without a model. Equal code lengths go to the language first in order. The
-    prediction sees the text alone. Columns named like a result are left out.
+    prediction sees the text alone. Columns named like a result (in any case) are left out.
     """
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was learnt from
 

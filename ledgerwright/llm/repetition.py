@@ -145,10 +145,10 @@ def with_repetition(docs: DataFrame, text: str = "text", rules: Rules = Rules(),
 
     A null or empty text has no words and is rejected (base_failed). Rows are
     judged one by one: repeated rows, null ids and ties need no rule. Columns of
-    docs that have the name of a measure are left out of the result.
+    docs that have the name of a measure (in any case) are left out of the result.
     """
     names = {x.split()[0] for x in COLUMNS.split(", ")}
-    rest = [c for c in docs.columns if (keep_text or c != text) and c not in names]
+    rest = [c for c in docs.columns if (keep_text or c != text) and c.lower() not in names]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", " + COLUMNS
 
     def run(batches):

@@ -12,6 +12,7 @@ from ledgerwright.llm.components import connected_components
 from ledgerwright.llm.lines import MinimalPerfectHash, drop_repeated_lines
 from ledgerwright.llm.repetition import LENGTHS, Rules, with_repetition
 from ledgerwright.llm.simhash import fingerprints_of, forest_links, simhash_components, small_links
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -235,3 +236,21 @@ def test_line_dedup_matches_brute_force(spark, heavy, most, merge, monkeypatch):
 
 def test_line_dedup_of_no_rows(spark):
     assert drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("min_docs", [255, 256, 300, 400, 401])
+def test_lines_are_counted_beyond_a_byte(spark, min_docs):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one line that all documents have").alias("text")).repartition(7)
+    got = drop_repeated_lines(df, min_docs=min_docs)
+    assert got.agg(F.sum("n_dropped")).first()[0] == (399 if min_docs <= 400 else 0)
+
+
+def test_keys_that_are_no_numbers_are_refused_before_the_job(spark):
+    with pytest.raises(TypeError):
+        drop_repeated_lines(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_columns_that_clash_in_another_case_give_way(spark):
+    df = spark.createDataFrame([(1, "word " * 60, 5, 6)], "doc_id long, text string, N_WORDS int, N_Lines int")
+    assert with_repetition(df).select("n_words").first()[0] == 60
+    assert drop_repeated_lines(df).select("n_lines").first()[0] == 1
