@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ from .context import Context
 from .grounding import Ledger, count_claims, sanitize
 from .insights import generate, kpis, materialize, plan_dashboard
 from .planner import plan
-from .profile import profile, quality
+from .profile import profile
+from .quality import quality
 from .tools import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +583,36 @@ _add_analysis("dashboard", "id string, title string, tool string, available bool
 _add_analysis("grounding", "sentence string", lambda ctx: [(s,) for s in _grounded(ctx)])
 
 
+def _flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with faults: blanks, a constant, an empty column, values far out, negative prices, too many names and dates to come."""
+    key = F.col("o_orderkey")
+    price = 100 + key % 100
+    return table(spark, sf_dir, "orders").select(
+        key.alias("order_id"), F.when(key % 97 == 0, F.lit("2100-01-01").cast("date")).otherwise(F.col("o_orderdate").cast("date")).alias("order_date"),
+        F.when(key % 10 != 0, F.get(F.array(F.lit("North"), F.lit("South"), F.lit("East")), key % 3)).alias("region"), F.lit("EUR").alias("currency_name"),
+        F.when(key % 40 == 0, 1000.0).otherwise((1 + key % 10).cast("double")).alias("quantity"), F.when(key % 50 == 7, -price).otherwise(price).cast("double").alias("price"),
+        F.lit(None).cast("string").alias("remark"), F.translate(F.floor(key * 0.7).cast("string"), "0123456789", "abcdefghij").alias("town"),
+    )
+
+
+def _quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of a table with known faults, and its score; the number of different names is an estimate and left out."""
+    found = quality(profile(_flawed(spark, sf_dir)), today=date(2024, 1, 1))
+    rows = [(i["kind"], i["severity"], i["column"], None if i["kind"] == "high_cardinality_text" else i["affected"]) for i in found["issues"]]
+    return spark.createDataFrame([*rows, ("score", found["label"], None, found["score"])], "kind string, severity string, column string, affected long")
+
+
+add(
+    "quality_issues", _quality_issues,
+    """WITH o AS (SELECT o_orderkey AS k FROM orders), n AS (SELECT count(*) AS n, count(*) FILTER (k % 10 = 0) AS blank FROM o),
+    found AS (SELECT 'empty_column' AS kind, 'low' AS severity, 'remark' AS "column", n AS affected FROM n UNION ALL SELECT 'constant_column', 'low', 'currency_name', n FROM n UNION ALL SELECT 'missing_values', 'medium', 'region', blank FROM n
+    UNION ALL SELECT 'outliers', 'low', 'quantity', count(*) FROM o WHERE k % 40 = 0 UNION ALL SELECT 'outliers', 'low', 'price', count(*) FROM o WHERE k % 50 = 7 UNION ALL SELECT 'implausible_values', 'medium', 'price', count(*) FROM o WHERE k % 50 = 7
+    UNION ALL SELECT 'high_cardinality_text', 'low', 'town', NULL UNION ALL SELECT 'future_dates', 'medium', 'order_date', 1),
+    score AS (SELECT floor(100 - least(30, 1.6 * 100.0 * (blank + n) / (8 * n)) - (SELECT sum(CASE severity WHEN 'medium' THEN 4 ELSE 1.2 END) FROM found) + 0.5) AS s FROM n)
+    SELECT * FROM found UNION ALL SELECT 'score', CASE WHEN s >= 90 THEN 'Excellent' WHEN s >= 75 THEN 'Good' WHEN s >= 60 THEN 'Fair' ELSE 'Needs attention' END, NULL, CAST(s AS BIGINT) FROM score""", None,
+)
+
+
 def _grounded(ctx: Context) -> list[str]:
     """Sentences about a computed ranking, one of them wrong, through the gate."""
     found, ledger = registry.call(ctx, "top_n", dimension="region"), Ledger()

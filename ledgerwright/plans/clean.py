@@ -38,6 +38,7 @@ class ColumnMeta:
     has_time: bool = False
     mixed: bool = False
     unparsed: int = 0
+    present: int = 0
 
 
 @dataclass
@@ -118,7 +119,7 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
         locale = "eu" if (e["ve"] or 0) > (e["vu"] or 0) else "us"
         order = (date_orders or {}).get(name) or ("dmy" if (e["vd"] or 0) > (e["vm"] or 0) else "mdy")
         numbers, dates = e[locale], e["dd" if order == "dmy" else "md"]
-        m = ColumnMeta(name, "string", locale=locale, date_order=order)
+        m = ColumnMeta(name, "string", locale=locale, date_order=order, present=n)
         if e["nt"]:
             log.append({"kind": "null_tokens", "column": name, "cells": e["nt"]})
         if n and e["bo"] >= 0.9 * n and e["bd"] <= 4:
@@ -137,7 +138,7 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
             c, parsed = at("x"), n
             m.mixed = bool(n) and max(numbers, dates) >= 0.5 * n
             if m.mixed:
-                hints.append({"kind": "review_mixed_type", "column": name, "message": f'"{name}" mixes text with {"numbers" if numbers >= dates else "dates"}.'})
+                hints.append({"kind": "review_mixed_type", "column": name, "cells": n, "message": f'"{name}" mixes text with {"numbers" if numbers >= dates else "dates"}.'})
         m.unparsed = n - parsed
         if m.unparsed:
             log.append({"kind": "unparsed_values", "column": name, "cells": m.unparsed, "type": m.kind})

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,8 @@ from ..sources.sniff import Limits
 from .clean import ROW_ID, clean, normalize_labels
 from .context import Context
 from .insights import executive_summary, generate, plan_dashboard
-from .profile import Profile, profile, quality
+from .profile import Profile, profile
+from .quality import quality
 
 
 @dataclass
@@ -79,7 +81,7 @@ class Store:
         insights = generate(ctx)
         info = {
             "name": name, "source": source, "format": found.format, "options": asdict(options), "warnings": found.warnings, "log": cleaned.log, "suggestions": cleaned.suggestions, "n_rows": ctx.profile.n_rows,
-            "meta": {k: asdict(m) for k, m in cleaned.meta.items()}, "quality": quality(ctx.profile, cleaned.suggestions), "insights": [asdict(i) for i in insights], "summary": executive_summary(insights), "dashboard": plan_dashboard(ctx), "created": time.time(),
+            "meta": {k: asdict(m) for k, m in cleaned.meta.items()}, "quality": quality(ctx.profile, cleaned.suggestions, cleaned.meta, date.today()), "insights": [asdict(i) for i in insights], "summary": executive_summary(insights), "dashboard": plan_dashboard(ctx), "created": time.time(),
         }
         self._put(f"{folder}/info", info)
         self._put(f"dataset={dataset}/current", {"version": version})

@@ -15,7 +15,7 @@ from ..operators.aggregate import aggregate_column, value_counts
 from ..operators.filters import typed
 from .context import Context
 from .facts import Failure, Result, display
-from .profile import quality
+from .quality import quality
 from .tools import Registry, registry
 
 # What makes a finding worth showing.

@@ -81,6 +81,7 @@ class Profile:
     columns: dict[str, ColumnProfile]
     count_duplicates: Callable[[], int]
     relations: list[dict]
+    count_outliers: Callable[[], dict[str, tuple[int, float, float]]] = dict
     date: str | None = None
     span: tuple[date, date] | None = None
     grain: str = "month"
@@ -92,6 +93,11 @@ class Profile:
         """Rows that repeat an earlier one; counted when it is first asked for."""
         return self.count_duplicates()
 
+    @cached_property
+    def outliers(self) -> dict[str, tuple[int, float, float]]:
+        """By measure: values beyond the quartile fences, and the fences; counted when first asked for."""
+        return self.count_outliers()
+
     def with_role(self, role: str) -> list[ColumnProfile]:
         return [c for c in self.columns.values() if c.role == role]
 
@@ -245,7 +251,7 @@ def profile(df: DataFrame, meta: dict[str, ColumnMeta] | None = None) -> Profile
     found = relations(df, measures) if 3 <= len(measures) and rows >= 20 else []
     _apply_relations(columns, found)
     codes = Counter(m.currency for m in (meta or {}).values() if m.currency)
-    out = Profile(rows, columns, lambda: repeated_rows(df, names) if names and rows else 0, found)
+    out = Profile(rows, columns, lambda: repeated_rows(df, names) if names and rows else 0, found, lambda: beyond_fences(df, measures))
     events = [c for c in columns.values() if c.role == "time" and c.meaning == "event_date" and c.count]
     if events:
         best = max(events, key=lambda c: c.score)
@@ -265,6 +271,18 @@ def repeated_rows(df: DataFrame, names: Sequence[str]) -> int:
     return held.agg(F.sum(F.col("n") - 1)).first()[0] or 0
 
 
+def beyond_fences(df: DataFrame, measures: Sequence[str]) -> dict[str, tuple[int, float, float]]:
+    """By measure: how many values lie more than 1.5 quartile ranges beyond the quartiles, and these fences; one pass for the quartiles of all, one for the counts."""
+    if not measures:
+        return {}
+    quartiles = df.agg(*[F.percentile_approx(typed(df, c), [0.25, 0.75], 10_000).alias(f"q{i}") for i, c in enumerate(measures)]).first()
+    fences = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in zip(measures, quartiles, strict=True) if q}
+    if not fences:
+        return {}
+    counts = df.agg(*[F.count_if((typed(df, c) < low) | (typed(df, c) > high)).alias(f"n{i}") for i, (c, (low, high)) in enumerate(fences.items())]).first()
+    return {c: (n, *fence) for (c, fence), n in zip(fences.items(), counts, strict=True)}
+
+
 def _apply_relations(columns: dict[str, ColumnProfile], found: list[dict]) -> None:
     """Name what an identity reveals: profit = revenue - cost, revenue = quantity * price; sure names stand."""
     for r in found:
@@ -298,40 +316,6 @@ def _lead(p: Profile) -> str | None:
     return measures[0].name if measures else None
 
 
-def quality(p: Profile, suggestions: Sequence[dict] = ()) -> dict:
-    """score (12 to 100), label and issues of a profile."""
-    issues: list[dict] = []
-
-    def issue(kind: str, severity: str, column: str | None, message: str) -> None:
-        issues.append({"kind": kind, "severity": severity, "column": column, "message": message})
-
-    cells = p.n_rows * len(p.columns)
-    missing = sum(p.n_rows - c.count for c in p.columns.values()) / cells * 100 if cells else 0.0
-    duplicate = p.duplicates / p.n_rows * 100 if p.n_rows else 0.0
-    if not p.n_rows:
-        issue("no_rows", "high", None, "The table has no rows.")
-    if p.duplicates:
-        issue("duplicate_rows", "medium" if duplicate >= 1 else "low", None, f"{p.duplicates:,} row(s) repeat an earlier one.")
-    for c in p.columns.values():
-        if c.count == 0 and p.n_rows:
-            issue("empty_column", "medium", c.name, f'"{c.name}" has no values.')
-        elif c.missing_pct >= 5:
-            issue("missing_values", "high" if c.missing_pct >= 40 else "medium" if c.missing_pct >= 15 else "low", c.name, f'{c.missing_pct:.1f}% of "{c.name}" is blank.')
-        if c.count and c.distinct == 1 and p.n_rows > 1:
-            issue("constant_column", "low", c.name, f'"{c.name}" has one value only.')
-        if c.role == "measure" and c.meaning in ("revenue", "quantity", "price") and c.stats.get("negatives"):
-            issue("negative_values", "low", c.name, f'"{c.name}" has {c.stats["negatives"]:,} negative value(s).')
-    for s in suggestions:
-        issue(s["kind"], "medium" if s["kind"] == "review_mixed_type" else "low", s.get("column"), s["message"])
-    if p.n_rows and not p.date:
-        issue("no_date", "low", None, "No column says when things happened, so nothing can be followed over time.")
-    weight = {"high": 9, "medium": 4, "low": 1.2}
-    score = 100 - min(30, 1.6 * missing) - min(20, 4 * duplicate) - min(35, sum(weight[i["severity"]] for i in issues))
-    score = max(12, round(score))
-    label = "excellent" if score >= 90 else "good" if score >= 75 else "fair" if score >= 60 else "poor"
-    return {"score": score, "label": label, "missing_pct": missing, "duplicate_pct": duplicate, "issues": issues}
-
-
 def capabilities(p: Profile, n_periods: int = 0) -> dict[str, str | None]:
     """By analysis: None if it is possible, else why not."""
     measures, dims = p.with_role("measure"), [c for c in p.columns.values() if c.groupable]

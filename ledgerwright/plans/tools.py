@@ -19,7 +19,7 @@ from ..operators.explorer import scenario
 from ..operators.filters import OPS, Filter, closest_values, describe, kind_of, quoted
 from .context import Context
 from .facts import Builder, Failure, Result
-from .profile import quality
+from .quality import quality
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,8 @@ from ledgerwright.plans.facts import Fact, display
 from ledgerwright.plans.grounding import Ledger, SentenceGate, claims_of, sanitize
 from ledgerwright.plans.insights import executive_summary, generate, kpis, materialize, plan_dashboard
 from ledgerwright.plans.planner import answer, chat, chat_events, follow_ups, periods_in, plan, starters, values_in
-from ledgerwright.plans.profile import meaning_of, name_words, profile, quality
+from ledgerwright.plans.profile import meaning_of, name_words, profile
+from ledgerwright.plans.quality import quality
 from ledgerwright.plans.tools import registry
 from pyspark.sql import functions as F
 
@@ -291,3 +292,17 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 5
+
+
+def test_quality_of_cleaned_columns(spark):
+    """Values that do not parse, dates of both orders, spellings and repeated rows are issues with their numbers."""
+    rows = [(str(i % 37) if i % 20 else "n/k", f"{1 + i % 9:02d}/{1 + i % 7:02d}/2024", ("North", "north", "South")[i % 3], str(i) if i % 2 else f"x{i}") for i in range(100)]
+    raw = spark.createDataFrame([*rows, rows[1]], "Visits string, `Order Date` string, Region string, Mixed string")
+    found = cl.clean(raw)
+    q = quality(profile(found.df, found.meta), found.suggestions, found.meta, date(2024, 3, 1))
+    by = {(i["kind"], i["column"]): (i["severity"], i["affected"]) for i in q["issues"]}
+    assert by[("invalid_values", "Visits")] == ("low", 5) and by[("ambiguous_dates", "Order Date")] == ("medium", 101) and by[("future_dates", "Order Date")] == ("medium", 1)
+    assert by[("inconsistent_labels", "Region")] == ("medium", 1) and by[("mixed_types", "Mixed")][0] == "medium" and by[("duplicate_rows", None)] == ("medium", 1)
+    assert [i["severity"] for i in q["issues"]] == sorted((i["severity"] for i in q["issues"]), key=("high", "medium", "low").index)
+    assert q["counts"] == {s: sum(i["severity"] == s for i in q["issues"]) for s in ("high", "medium", "low")} and all(i["fix"] for i in q["issues"])
+    assert not any(k == "future_dates" for k, _ in {(i["kind"], 0) for i in quality(profile(found.df, found.meta))["issues"]})
