@@ -98,6 +98,20 @@ def exact_quantiles(df: DataFrame, column: Column, quantiles: Sequence[float]) -
     return [at[int(p)] if p == int(p) else (int(p) + 1 - p) * at[int(p)] + (p - int(p)) * at[int(p) + 1] for p in places]
 
 
+def range_number(x: Column, bounds: Sequence[float]) -> Column:
+    """How many of the ascending bounds are below x, by looking first at every sixteenth and then between two of these."""
+    if not bounds:
+        return F.lit(0)
+    step = 16
+    below = lambda values: F.size(F.filter(values, lambda b: b < x))
+    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if len(rows) == 1:
+        return below(F.array(*map(F.lit, bounds)))
+    # the last bound of each row but the last: x lies in the row after those below it
+    row = below(F.array(*[F.lit(r[-1]) for r in rows[:-1]]))
+    return row * step + below(F.get(F.array(*[F.array(*map(F.lit, r)) for r in rows]), row))
+
+
 def running_totals(levels: DataFrame, by: str, descending: bool = False, **sums: Column) -> DataFrame:
     """levels with, for each name of sums, the sum over the rows that stand before (by is distinct and numeric, not null).
 
@@ -107,7 +121,7 @@ def running_totals(levels: DataFrame, by: str, descending: bool = False, **sums:
     fractions = [i / RANGES for i in range(1, RANGES)]
     bounds = levels.agg(F.percentile_approx(by, F.array(*map(F.lit, fractions)), ACCURACY).alias("q")).first()["q"] or []
     bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(by))) if bounds else F.lit(0)
+    bucket = range_number(F.col(by), bounds)
     order = F.desc if descending else F.asc
     rows = levels.select("*", *[c.alias(f"__{name}") for name, c in sums.items()]).withColumn("__range", bucket)
     totals = rows.groupBy("__range").agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])

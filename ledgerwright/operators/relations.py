@@ -37,19 +37,74 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(_r(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
 
 
+class CoMoments:
+    """For all pairs of k columns, over the rows where both are present: n, sums, squares and products about a pivot.
+
+    The pivot of a column is the median of the first batch that has values, so
+    columns far from zero lose no digits and constant ones stay at exactly zero.
+    """
+
+    def __init__(self, k: int) -> None:
+        self.pivot = np.full(k, np.nan)
+        self.n, self.sum, self.square, self.product = (np.zeros((k, k)) for _ in range(4))
+
+    def add(self, columns: Sequence[np.ndarray]) -> None:
+        """A batch; NaN is missing."""
+        x = np.stack(columns, axis=1)
+        there = ~np.isnan(x)
+        for i in np.flatnonzero(np.isnan(self.pivot) & there.any(axis=0)):
+            self.pivot[i] = np.median(x[there[:, i], i])
+        z = np.where(there, x - self.pivot, 0.0)
+        m = there.astype(float)
+        self.n += m.T @ m
+        self.sum += z.T @ m  # of row i, where column j is present
+        self.square += (z * z).T @ m
+        self.product += z.T @ z
+
+    def rows(self) -> Iterator[tuple]:
+        """(i, j, n, mean of i, of j, squares about them, products about them) of each pair i < j."""
+        k = len(self.pivot)
+        for i, j in combinations(range(k), 2):
+            n = self.n[i, j]
+            if n:
+                a, b = self.sum[i, j] / n, self.sum[j, i] / n
+                yield i, j, n, self.pivot[i] + a, self.pivot[j] + b, max(0.0, self.square[i, j] - n * a * a), max(0.0, self.square[j, i] - n * b * b), self.product[i, j] - n * a * b
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r, n of every pair of columns, from one pass over all rows."""
+    """a, b, r, n of every pair of columns, from one pass over all rows; r is null below three pairs or without spread.
+
+    Each task multiplies its batches' columns once for all pairs (CoMoments); tasks
+    are merged pair by pair about their own means, so nothing cancels.
+    """
     _numeric(df, *columns)
-    pairs = list(combinations(columns, 2))
-    x = df.select(*[typed(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    aggs = []
-    for i, (p, q) in enumerate(pairs):
-        both = F.col(at[p]).isNotNull() & F.col(at[q]).isNotNull()
-        u, v = F.when(both, F.col(at[p])), F.when(both, F.col(at[q]))
-        aggs.append(F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), _r(u, v).alias("r"), F.count(u).alias("n")).alias(f"p{i}"))
-    one = x.agg(*aggs)
-    return one.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    k = len(columns)
+    x = df.select(*[typed(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = ("i", "j", "n", "ma", "mb", "sa", "sb", "c")
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = CoMoments(k)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    found.add([np.asarray(v.fill_null(np.nan)) for v in batch.columns])
+        rows = list(found.rows())
+        yield pa.RecordBatch.from_arrays([pa.array([r[at] for r in rows], pa.int32() if at < 2 else pa.float64()) for at in range(len(names))], names=list(names))
+
+    def merged(acc: Column, t: Column) -> Column:
+        n = acc["n"] + t["n"]
+        da, db, w = t["ma"] - acc["ma"], t["mb"] - acc["mb"], acc["n"] * t["n"] / n
+        out = {"n": n, "ma": acc["ma"] + da * t["n"] / n, "mb": acc["mb"] + db * t["n"] / n, "sa": acc["sa"] + t["sa"] + da * da * w, "sb": acc["sb"] + t["sb"] + db * db * w, "c": acc["c"] + t["c"] + da * db * w}
+        return F.struct(*[v.alias(name) for name, v in out.items()])
+
+    each = x.mapInArrow(moments, "i int, j int, n double, ma double, mb double, sa double, sb double, c double")
+    parts = each.groupBy("i", "j").agg(F.collect_list(F.struct(*names[2:])).alias("t"))  # a struct a task
+    total = parts.select("i", "j", F.aggregate(F.slice("t", 2, F.size("t")), F.get("t", F.lit(0)), merged).alias("m"))
+    r = F.try_divide(F.col("m.c"), F.sqrt(F.col("m.sa")) * F.sqrt(F.col("m.sb")))
+    usable = (F.col("m.n") >= 3) & r.isNotNull() & ~F.isnan(r)
+    found = total.select("i", "j", F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.col("m.n").cast("long").alias("n"))
+    every = df.sparkSession.createDataFrame([(i, j, columns[i], columns[j]) for i, j in combinations(range(k), 2)], "i int, j int, a string, b string")
+    return F.broadcast(every).join(found, ["i", "j"], "left").select("a", "b", "r", F.coalesce("n", F.lit(0)).alias("n")) if k > 1 else every.select("a", "b", F.lit(None).cast("double").alias("r"), F.lit(0).cast("long").alias("n"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

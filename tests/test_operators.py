@@ -9,6 +9,7 @@ from ledgerwright.operators import aggregate as agg
 from ledgerwright.operators import entities as ent
 from ledgerwright.operators import explorer as exp
 from ledgerwright.operators import grouping as grp
+from ledgerwright.operators import ranks
 from ledgerwright.operators import relations as rel
 from ledgerwright.operators import timeseries as ts
 from ledgerwright.operators.filters import Filter, apply_filters, closest_values, describe
@@ -287,3 +288,26 @@ def test_identities_among_any_number_of_columns(spark, others):
     found = rel.relations(df, list(frame))
     assert [({r["target"], r["left"], r["right"]}, r["share"]) for r in found] == [({"revenue", "cost", "profit"}, 1.0)]
     assert rel.relations(df, ["revenue", "cost"]) == []
+
+
+def test_correlations_far_from_zero_with_blanks(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(0, 1, 3000)
+    frame = {"a": a + 1e9, "b": 2 * a + rng.normal(0, 1, 3000) - 5e8, "c": rng.normal(0, 1e-3, 3000) + 7, "flat": np.full(3000, 0.1 + 0.2), "few": rng.normal(0, 1, 3000)}
+    gone = {c: rng.random(3000) < (0.3 if c != "few" else 0.9995) for c in frame}
+    df = spark.createDataFrame([tuple(None if gone[c][i] else float(frame[c][i]) for c in frame) for i in range(3000)], ", ".join(f"{c} double" for c in frame)).repartition(5)
+    got = {(r["a"], r["b"]): (r["r"], r["n"]) for r in rel.correlation_pairs(df, list(frame)).collect()}
+    assert len(got) == 10
+    for (x, y), (r, n) in got.items():
+        both = ~gone[x] & ~gone[y]
+        assert n == both.sum()
+        want = np.corrcoef(frame[x][both], frame[y][both])[0, 1] if n >= 3 and "flat" not in (x, y) else None
+        assert r == (None if want is None else pytest.approx(want, abs=1e-7))
+    assert [tuple(r) for r in rel.correlation_pairs(df.limit(0), ["a", "b"]).collect()] == [("a", "b", None, 0)] and rel.correlation_pairs(df, ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 32, 33, 255])
+def test_range_numbers(spark, n):
+    bounds = [float(3 * i) for i in range(n)]
+    for r in spark.range(-2, 3 * n + 4).select(F.col("id"), ranks.range_number(F.col("id").cast("double"), bounds).alias("k")).collect():
+        assert r["k"] == sum(b < r["id"] for b in bounds)
