@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,11 @@ class ColumnMeta:
     mixed: bool = False
     unparsed: int = 0
     present: int = 0
+    text: bool = False  # whether it came as text
+    trimmed: int = 0
+    null_tokens: int = 0
+    numeric_dates: int = 0
+    examples: tuple[str, ...] = ()
 
 
 @dataclass
@@ -59,7 +65,7 @@ def _parts(x: Column) -> dict[str, Column]:
 
 def _evidence(raw: DataFrame, texts: Sequence[str]) -> dict:
     """Figures about every text column, from one pass: cells, then their parts, then what parses, then counts."""
-    cells = raw.select(*[val.cell(quoted(c)).alias(f"x{i}") for i, c in enumerate(texts)], *[(quoted(c).isNotNull()).alias(f"given{i}") for i, c in enumerate(texts)])
+    cells = raw.select(*[val.cell(quoted(c)).alias(f"x{i}") for i, c in enumerate(texts)], *[(quoted(c).isNotNull()).alias(f"given{i}") for i, c in enumerate(texts)], *[(quoted(c) != F.trim(quoted(c))).alias(f"tr{i}") for i, c in enumerate(texts)])
     parts = cells.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _parts(F.col(f"x{i}")).items()])
     found, aggs = [], [F.count(F.lit(1)).alias("rows")]
     for i in range(len(texts)):
@@ -69,14 +75,14 @@ def _evidence(raw: DataFrame, texts: Sequence[str]) -> dict:
         dmy, mdy, numeric = val.order_votes_from(*dates)
         truth = val.parse_bool(at("x"))
         found += [
-            at("x"), at("given"), val.number_from(*number).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu").isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
+            at("x"), at("given"), at("tr"), val.number_from(*number).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu").isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
             val.date_from(*dates, "dmy").isNotNull().alias(f"dd{i}"), val.date_from(*dates, "mdy").isNotNull().alias(f"md{i}"), dmy.alias(f"vd{i}"), mdy.alias(f"vm{i}"), numeric.alias(f"nu{i}"),
             val.has_time(at("x")).alias(f"ht{i}"), F.when(truth.isNotNull(), F.lower(at("x"))).alias(f"bo{i}"), at("x").endswith("%").alias(f"pc{i}"), val.currency_of(at("x")).alias(f"cu{i}"),
         ]
         bools = [F.count_if(at("bo") == word).alias(f"b{k}_{i}") for k, word in enumerate(_BOOL_WORDS)]
         money = [F.count_if(at("cu") == code).alias(f"c{k}_{i}") for k, code in enumerate(_CURRENCIES)]
         aggs += [F.count(at("x")).alias(f"n{i}"), F.count_if(at("given") & at("x").isNull()).alias(f"nt{i}"), *bools, *money]
-        aggs += [F.count_if(at(k)).alias(f"{k}{i}") for k in ("us", "eu", "dd", "md", "ht", "pc")] + [F.sum(at(k)).alias(f"{k}{i}") for k in ("ve", "vu", "vd", "vm", "nu")]
+        aggs += [F.count_if(at(k)).alias(f"{k}{i}") for k in ("us", "eu", "dd", "md", "ht", "pc", "tr")] + [F.sum(at(k)).alias(f"{k}{i}") for k in ("ve", "vu", "vd", "vm", "nu")]
     row = parts.select(*found).agg(*aggs).first().asDict()
     for i in range(len(texts)):
         words = [row.pop(f"b{k}_{i}") for k in range(len(_BOOL_WORDS))]
@@ -114,12 +120,12 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
                 meta[name] = ColumnMeta(name, "string")
             continue
         i = texts.index(name)
-        e = {k: row[f"{k}{i}"] for k in ("n", "us", "eu", "ve", "vu", "dd", "md", "vd", "vm", "nu", "ht", "bo", "bd", "pc", "cu", "cc", "nt")}
+        e = {k: row[f"{k}{i}"] for k in ("n", "us", "eu", "ve", "vu", "dd", "md", "vd", "vm", "nu", "ht", "bo", "bd", "pc", "cu", "cc", "nt", "tr")}
         n, at = e["n"], lambda k, i=i: F.col(f"__{k}{i}")
         locale = "eu" if (e["ve"] or 0) > (e["vu"] or 0) else "us"
         order = (date_orders or {}).get(name) or ("dmy" if (e["vd"] or 0) > (e["vm"] or 0) else "mdy")
         numbers, dates = e[locale], e["dd" if order == "dmy" else "md"]
-        m = ColumnMeta(name, "string", locale=locale, date_order=order, present=n)
+        m = ColumnMeta(name, "string", locale=locale, date_order=order, present=n, text=True, trimmed=e["tr"], null_tokens=e["nt"])
         if e["nt"]:
             log.append({"kind": "null_tokens", "column": name, "cells": e["nt"]})
         if n and e["bo"] >= 0.9 * n and e["bd"] <= 4:
@@ -130,7 +136,7 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
             m.currency = e["cc"] if e["cu"] >= 0.3 * numbers else None
         elif n and dates >= threshold * n:
             m.kind, c, parsed = "date", val.date_from(at("text"), at("day"), order), dates
-            m.has_time = bool(e["ht"])
+            m.has_time, m.numeric_dates = bool(e["ht"]), e["nu"] or 0
             m.ambiguous_order = bool(e["nu"]) and not e["vd"] and not e["vm"] and name not in (date_orders or {})
             if m.ambiguous_order:
                 hints.append({"kind": "confirm_date_order", "column": name, "message": f'Dates in "{name}" fit both orders; month first was assumed.'})
@@ -151,13 +157,25 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
     needed = [(i, {"number": ("t", "negative", "percent"), "date": ("text", "day")}.get(meta[c].kind, ())) for i, c in enumerate(texts)]
     held = cells.select("*", *[v.alias(f"__{k}{i}") for i, names in needed for k, v in _parts(F.col(f"__x{i}")).items() if k in names])
     out = held.select(*columns, *keep).dropna(how="all", subset=list(typed_in)) if typed_in else raw
-    n_rows = out.count()
+    n_rows = _counted(held, columns, {c: texts.index(c) for c in texts if meta[c].unparsed and meta[c].kind != "string"}, meta) if typed_in else raw.count()
     if n_rows < row["rows"]:
         log.append({"kind": "empty_rows", "rows": row["rows"] - n_rows})
     hints += label_clashes(out, [c for c, m in meta.items() if m.kind == "string"])
     return Cleaned(out, meta, n_rows, log, hints)
 
 
+def _counted(held: DataFrame, columns: Sequence[Column], unread: dict[str, int], meta: dict[str, ColumnMeta]) -> int:
+    """Rows with any value; in the same pass the first and the last of the texts that became blank, as examples of their columns."""
+    names = list(unread)
+    typed_cells = held.select(*columns, *[F.col(f"__x{i}").alias(f"__was{k}") for k, i in enumerate(unread.values())])
+    present = [quoted(c).isNotNull() for c in meta]
+    lost = [F.when(quoted(c).isNull(), F.col(f"__was{k}")) for k, c in enumerate(names)]
+    row = typed_cells.agg(F.count_if(reduce(lambda a, b: a | b, present)).alias("n"), *[f(x).alias(f"{f.__name__}{k}") for k, x in enumerate(lost) for f in (F.min, F.max)]).first()
+    for k, c in enumerate(names):
+        meta[c].examples = tuple(dict.fromkeys(x[:80] for x in (row[f"min{k}"], row[f"max{k}"]) if x is not None))
+    return row["n"]
+
+
 def label_clashes(df: DataFrame, columns: Sequence[str], most: int = 5000) -> list[dict]:
     """Text columns whose labels differ in case or spacing only: one pass over all of them."""
     if not columns:

@@ -19,6 +19,7 @@ from .context import Context
 from .insights import executive_summary, generate, plan_dashboard
 from .profile import Profile, profile
 from .quality import quality
+from .transformations import decisions, transformations
 
 
 @dataclass
@@ -79,9 +80,12 @@ class Store:
         labels = Labels.build(rows, f"{self.root}/{folder}/labels", [c.name for c in found_profile.columns.values() if c.kind == "string"])
         ctx = Context(rows, found_profile, labels=labels)
         insights = generate(ctx)
+        report = quality(found_profile, cleaned.suggestions, cleaned.meta, date.today())
+        merged = [(c, next((s["labels"] for s in cleaned.suggestions if s["kind"] == "normalize_labels" and s["column"] == c), 0)) for c in options.merge_labels]
+        steps = transformations(cleaned, merged=merged, duplicates=cleaned.n_rows - found_profile.n_rows, dropped=options.exclude)
         info = {
-            "name": name, "source": source, "format": found.format, "options": asdict(options), "warnings": found.warnings, "log": cleaned.log, "suggestions": cleaned.suggestions, "n_rows": ctx.profile.n_rows,
-            "meta": {k: asdict(m) for k, m in cleaned.meta.items()}, "quality": quality(ctx.profile, cleaned.suggestions, cleaned.meta, date.today()), "insights": [asdict(i) for i in insights], "summary": executive_summary(insights), "dashboard": plan_dashboard(ctx), "created": time.time(),
+            "name": name, "source": source, "format": found.format, "options": asdict(options), "warnings": found.warnings, "log": cleaned.log, "transformations": steps, "suggestions": decisions(cleaned, report), "n_rows": ctx.profile.n_rows,
+            "meta": {k: asdict(m) for k, m in cleaned.meta.items()}, "quality": report, "insights": [asdict(i) for i in insights], "summary": executive_summary(insights), "dashboard": plan_dashboard(ctx), "created": time.time(),
         }
         self._put(f"{folder}/info", info)
         self._put(f"dataset={dataset}/current", {"version": version})

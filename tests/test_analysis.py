@@ -14,6 +14,7 @@ from ledgerwright.plans.planner import answer, chat, chat_events, follow_ups, pe
 from ledgerwright.plans.profile import meaning_of, name_words, profile
 from ledgerwright.plans.quality import quality
 from ledgerwright.plans.tools import registry
+from ledgerwright.plans.transformations import decisions, transformations
 from pyspark.sql import functions as F
 
 
@@ -306,3 +307,22 @@ def test_quality_of_cleaned_columns(spark):
     assert [i["severity"] for i in q["issues"]] == sorted((i["severity"] for i in q["issues"]), key=("high", "medium", "low").index)
     assert q["counts"] == {s: sum(i["severity"] == s for i in q["issues"]) for s in ("high", "medium", "low")} and all(i["fix"] for i in q["issues"])
     assert not any(k == "future_dates" for k, _ in {(i["kind"], 0) for i in quality(profile(found.df, found.meta))["issues"]})
+
+
+def test_every_step_of_cleaning_is_told(spark):
+    rows = [(f" {i % 30}.000,50", f"{13 + i % 9:02d}/{1 + i % 7:02d}/2024 10:00", ("yes", "no")[i % 2], ("N/A", "a ", "b")[i % 3], None) for i in range(60)] + [("soon", "later", "yes", "a", None), (None, None, None, None, None)]
+    found = cl.clean(spark.createDataFrame(rows, "Amount string, Day string, Ok string, Label string, Nothing string"))
+    steps = {(s["kind"], s["column"]): s for s in transformations(found, renamed=[("amt", "Amount"), ("Day", "Day")], merged=[("Label", 2)], duplicates=3, dropped=["Nothing"])}
+    assert {k: s["affected"] for k, s in steps.items()} == {
+        ("rename_column", "Amount"): 1, ("trim_whitespace", "Amount"): 60, ("detect_locale", "Amount"): 61, ("parse_numbers", "Amount"): 60, ("coerce_invalid", "Amount"): 1,
+        ("date_order", "Day"): 60, ("parse_dates", "Day"): 60, ("coerce_invalid", "Day"): 1, ("parse_booleans", "Ok"): 61, ("trim_whitespace", "Label"): 20, ("null_tokens", "Label"): 20,
+        ("drop_empty_rows", None): 1, ("drop_columns", None): 1, ("normalize_labels", "Label"): 2, ("remove_duplicates", None): 3,
+    }
+    assert steps[("coerce_invalid", "Day")]["examples"] == ["later"] and steps[("coerce_invalid", "Amount")]["severity"] == "warning"
+    asked = decisions(found, quality(profile(found.df, found.meta), found.suggestions, found.meta))
+    assert ("drop_empty_column", "Nothing") in {(d["kind"], d["column"]) for d in asked}
+
+
+def test_times_ordinals_addresses_and_code_are_no_claims():
+    assert claims_of("At 10:30 (or 9:05 pm) the 3rd of 21st century pages at https://x.org/7/8?n=9 ran `select 42`.") == []
+    assert [c.value for c in claims_of("It was 10:30 when 12 of 40% left.")] == [12.0, 40.0]
