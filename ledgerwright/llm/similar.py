@@ -35,7 +35,7 @@ RADIUS = 22
 #: Nodes of a tile. The first step compares fingerprints inside single tiles, the full comparison all pairs of tiles.
 TILE = 2048
 #: Bytes of shingle sets of one tile where buckets are compared in full.
-TILE_BYTES = 8 << 20
+TILE_BYTES = 3 << 20
 
 
 def _words(text: str | None) -> list[bytes]:
