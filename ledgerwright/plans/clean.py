@@ -8,7 +8,7 @@ other, so each regular expression runs once a cell; nothing is materialised on t
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -63,20 +63,29 @@ def _parts(x: Column) -> dict[str, Column]:
     return {"t": t, "negative": negative, "percent": percent, "text": text, "day": day}
 
 
+_GROUPINGS = ("commas", "thousands", "points", "others")
+
+
+def _deeper(at: Callable[[str], Column], kinds: Sequence[str] = ("number", "date")) -> dict[str, Column]:
+    """What both locales, both orders and the votes share, from the parts of a cell; a stage of its own for the same reason."""
+    return (val.groupings(at("t")) if "number" in kinds else {}) | ({"runs": val.runs_of_date(at("text"), at("day"))} if "date" in kinds else {})
+
+
 def _evidence(raw: DataFrame, texts: Sequence[str]) -> dict:
     """Figures about every text column, from one pass: cells, then their parts, then what parses, then counts."""
     cells = raw.select(*[val.cell(quoted(c)).alias(f"x{i}") for i, c in enumerate(texts)], *[(quoted(c).isNotNull()).alias(f"given{i}") for i, c in enumerate(texts)], *[(quoted(c) != F.trim(quoted(c))).alias(f"tr{i}") for i, c in enumerate(texts)])
     parts = cells.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _parts(F.col(f"x{i}")).items()])
+    parts = parts.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _deeper(lambda name, i=i: F.col(f"{name}{i}")).items()])
     found, aggs = [], [F.count(F.lit(1)).alias("rows")]
     for i in range(len(texts)):
         at = lambda name, i=i: F.col(f"{name}{i}")
-        number, dates = (at("t"), at("negative"), at("percent")), (at("text"), at("day"))
-        eu, us = val.votes_from(at("t"))
-        dmy, mdy, numeric = val.order_votes_from(*dates)
+        number, known = (at("t"), at("negative"), at("percent")), {k: at(k) for k in _GROUPINGS}
+        eu, us = val.votes_from(at("t"), known)
+        dmy, mdy, numeric = val.order_votes_of_runs(at("runs"))
         truth = val.parse_bool(at("x"))
         found += [
-            at("x"), at("given"), at("tr"), val.number_from(*number).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu").isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
-            val.date_from(*dates, "dmy").isNotNull().alias(f"dd{i}"), val.date_from(*dates, "mdy").isNotNull().alias(f"md{i}"), dmy.alias(f"vd{i}"), mdy.alias(f"vm{i}"), numeric.alias(f"nu{i}"),
+            at("x"), at("given"), at("tr"), val.number_from(*number, known=known).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu", known).isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
+            val.date_of_runs(at("runs"), "dmy").isNotNull().alias(f"dd{i}"), val.date_of_runs(at("runs"), "mdy").isNotNull().alias(f"md{i}"), dmy.alias(f"vd{i}"), mdy.alias(f"vm{i}"), numeric.alias(f"nu{i}"),
             val.has_time(at("x")).alias(f"ht{i}"), F.when(truth.isNotNull(), F.lower(at("x"))).alias(f"bo{i}"), at("x").endswith("%").alias(f"pc{i}"), val.currency_of(at("x")).alias(f"cu{i}"),
         ]
         bools = [F.count_if(at("bo") == word).alias(f"b{k}_{i}") for k, word in enumerate(_BOOL_WORDS)]
