@@ -11,6 +11,7 @@ from ledgerwright.operators import timeseries as ts
 from ledgerwright.operators.filters import Filter, apply_filters
 from ledgerwright.plans.catalog import conversation_pieces
 from ledgerwright.streaming import gate_stream as gs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 # --- labels ---------------------------------------------------------------------
@@ -172,3 +173,31 @@ def test_a_quiet_conversation_is_let_out_and_forgotten(spark, tmp_path):
     assert run() == [(1, 1, "Sales were 40 then.", True), (1, 2, "Half a sen", True), (2, 1, "Hello there.", True), (2, 2, "It", True)]
     send(3, (1, 9, "text", "It was 40 again. Yes", None, None, 10_001))  # its facts are forgotten
     assert (1, 1, "It was 40 again.", False) in run()
+
+
+@pytest.mark.parametrize("column,descending", [("v", False), ("v", True), ("s", False), ("s", True), ("d", True), ("n", True), (None, False)])
+def test_a_deep_page_is_the_page_of_the_whole_order(spark, column, descending):
+    from ledgerwright.operators.paging import seek_page, sort_columns
+
+    s = F.when(F.col("id") % 3 == 0, F.lit("a rather long label")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("A rather long la"), F.repeat(F.lit("\0"), (F.col("id") % 3).cast("int")), F.pmod(F.xxhash64("id"), F.lit(40)).cast("string")))
+    v = F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 0, F.lit(2.5)).otherwise(F.hash("id") / 7.0)
+    df = spark.range(3000).select(F.col("id").alias("key"), s.alias("s"), v.alias("v"), F.expr("date_add(DATE '2024-01-01', cast(id % 400 as int))").alias("d"), F.when(F.col("id") % 9 > 0, F.xxhash64("id")).alias("n"))
+    whole = [r["key"] for r in df.orderBy(*sort_columns(df, column, descending, ["key"])).collect()]
+    for offset, limit in ((990, 200), (2010, 30), (2990, 100), (3000, 10)):
+        page = [r["key"] for r in seek_page(df, column, descending, ["key"], offset, limit, most=50).collect()]
+        assert page == whole[offset : offset + limit], (offset, limit)
+
+
+def test_copies_of_a_row_are_numbered_in_ranges(spark):
+    from ledgerwright.operators import explorer
+
+    order = F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise((F.hash("id") % 300).cast("double"))
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 5 > 0, F.concat(F.lit("t"), (F.col("id") / 3).cast("int"))).alias("text"), order.alias("at"), "id")
+    expected = df.select("*", F.row_number().over(Window.partitionBy("text").orderBy("at", "id")).alias("seq")).where("seq > 1")
+    got = explorer.duplicate_rows(df, ["at", "id"])
+    assert sorted((r["id"], r["seq"]) for r in got.collect()) == sorted((r["id"], r["seq"]) for r in expected.collect())
+    plain = df.select("text")
+    n = plain.groupBy("text").count().where("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
+    copies = explorer.duplicate_rows(plain)
+    assert copies.count() == n == explorer.count_duplicates(plain).first()["duplicates"] and copies.where("text = 'hot'").agg(F.max("seq")).first()[0] == 1000
+    assert explorer.count_duplicates(plain.limit(0)).first()["duplicates"] == 0 and explorer.duplicate_rows(df.limit(0), ["id"]).count() == 0
