@@ -277,8 +277,8 @@ add(
 add("explorer_project", lambda df: exp.query_rows(df, [Filter("p_size", "lte", 3)], tie=["p_partkey"], columns=["p_brand", "p_size"], limit=100), "SELECT p_brand, p_size FROM part WHERE p_size <= 3 ORDER BY p_partkey LIMIT 100", "part")
 _DEEP = "l_orderkey, l_linenumber, l_returnflag, l_quantity"
 add(
-    "explorer_deep_page", lambda df: exp.query_rows(df, sort="l_returnflag", descending=True, tie=["l_orderkey", "l_linenumber"], columns=_DEEP.split(", "), offset=33_333, limit=200),
-    f"SELECT l_orderkey, l_linenumber, l_returnflag, {r('l_quantity', 'l_quantity')} FROM lineitem ORDER BY lower(l_returnflag) DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 200 OFFSET 33333", "lineitem",
+    "explorer_deep_page", lambda df: exp.query_rows(df, sort="l_returnflag", descending=True, tie=["l_orderkey", "l_linenumber", "l_quantity"], columns=_DEEP.split(", "), offset=33_333, limit=200),
+    f"SELECT l_orderkey, l_linenumber, l_returnflag, {r('l_quantity', 'l_quantity')} FROM lineitem ORDER BY lower(l_returnflag) DESC NULLS LAST, l_orderkey, l_linenumber, l_quantity LIMIT 200 OFFSET 33333", "lineitem",
 )
 add(
     "dup_rows_hot", lambda df: exp.duplicate_rows(df.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]),
