@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Jobs run inside hand Python Arrow batches of at most about limit bytes, on both sides of the pipe (Spark's own bound is 64 MB)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def shards_for(df: DataFrame, column: str, target_bytes: int = 32 << 20) -> int:
     """How many shards of about target_bytes the values of column fill (one at least)."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

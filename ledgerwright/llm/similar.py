@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mixed, runs_of, stored
+from .common import BATCH_BYTES, batches_of, map_texts, mixed, runs_of, stored
 from .components import connected_components
 from .decontaminate import _bitmap, _bits_for, shingle_hashes
 from .simhash import _LOWER, near_rows, planes_of
@@ -287,21 +287,22 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         packed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
         return {key: batch.column(key), "node": pa.array(node.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": packed}
 
-    signed = stored(map_texts(docs.select(key, text), text, sign, f"`{key}` {kind}, node long, fp long, keys array<long>", limit=2 << 20), "signatures")
-    first = signed.groupBy("node").agg(F.min(key).alias("first_id"), F.min(F.struct("fp", "keys")).alias("s"))
-    nodes = first.select("node", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"))
-    shared = stored(_shared_buckets(nodes), "buckets")
-    held = stored(_shingle_sets(shared.select("node").distinct(), docs, text, words), "sets")
-    groups = connected_components(_verified(_candidates(shared), held, similarity))
-    joined = connected_components(_missing_links(shared, groups, held, similarity)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    alone = joined.select(F.col("part").alias("node"), F.col("part").alias("component")).join(groups.select("node"), "node", "left_anti")
-    groups = groups.unionByName(alone).join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
-    named = first.select("node", "first_id").join(groups, "node")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(smallest, "component").select("node", "component_id")
-    owners = first.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    # written first: a text with very many copies can then be split in the join
-    return signed.select(key, "node").join(stored(owners, "owners"), "node").select(key, "node", "component_id")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        signed = stored(map_texts(docs.select(key, text), text, sign, f"`{key}` {kind}, node long, fp long, keys array<long>", limit=2 << 20), "signatures")
+        first = signed.groupBy("node").agg(F.min(key).alias("first_id"), F.min(F.struct("fp", "keys")).alias("s"))
+        nodes = first.select("node", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"))
+        shared = stored(_shared_buckets(nodes), "buckets")
+        held = stored(_shingle_sets(shared.select("node").distinct(), docs, text, words), "sets")
+        groups = connected_components(_verified(_candidates(shared), held, similarity))
+        joined = connected_components(_missing_links(shared, groups, held, similarity)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        alone = joined.select(F.col("part").alias("node"), F.col("part").alias("component")).join(groups.select("node"), "node", "left_anti")
+        groups = groups.unionByName(alone).join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+        named = first.select("node", "first_id").join(groups, "node")
+        smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        linked = named.join(smallest, "component").select("node", "component_id")
+        owners = first.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+        owners = stored(owners, "owners")  # written: a text with very many copies can then be split in the join
+    return signed.select(key, "node").join(owners, "node").select(key, "node", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

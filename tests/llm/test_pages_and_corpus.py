@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ledgerwright.llm import ppm, similar
 from ledgerwright.llm.decontaminate import contained_items, drop_contaminated, sketch_size, words_of
@@ -492,3 +493,20 @@ def test_stages_leave_other_columns_alone(spark):
         assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
         docs = out
     assert {r["doc_id"] for r in docs.collect()} == {0, 1, 2, 3}
+
+
+def test_batches_are_bounded_inside_only(spark):
+    from ledgerwright.llm.common import batches_of
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    counted = rows.mapInArrow(sizes, "n long")
+    with batches_of(spark, 1 << 20):
+        assert max(r["n"] for r in counted.collect()) <= 12
+    assert spark.conf.get(name) == before and sum(r["n"] for r in counted.collect()) == 64
