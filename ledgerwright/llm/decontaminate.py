@@ -8,9 +8,10 @@ item's size loses nothing, however long the document. Items are partitioned by s
 (powers of two); a partition's sketches lie below a threshold of their own, and
 documents look their shingles up, class by class, below its threshold only.
 
-The sketches of a class go to the tasks as a bitmap; all together have at most 2 * MAX_BITS bits.
-A document's shingles that hit it are joined with the sketches to candidate pairs,
-and each pair is verified on the shingles themselves.
+The sketches of a class go to the tasks as a Bloom filter of PROBES bits a hash; all together have
+at most 2 * MAX_BITS bits. A document's shingles that hit it are joined with the sketches to candidate
+pairs, and each pair is verified on the shingles themselves. Only hits are kept and shuffled, so what
+a document costs there follows what it shares with the items, not its length.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import mixed, slices, stored
 
 MAX_BITS = 1 << 27
+#: Bits set for each hash of a filter, and bits of room for each, as far as MAX_BITS allows.
+PROBES, ROOM = 3, 64
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,18 +98,35 @@ def item_sketches(items: DataFrame, key: str = "item_id", text: str = "text", n:
     return items.select(key, text).mapInArrow(run, f"`{key}` {kind}, shingles array<string>, class int, sketch array<long>")
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap over the low bits of hashes(h long): at most bits / 64 rows reach the driver."""
+def _shift(bits: int, probes: int) -> int:
+    """How far apart the windows of a hash stand that give its places in a filter of so many bits."""
+    return (64 - (bits - 1).bit_length()) // max(1, probes - 1)
+
+
+def _bitmap(hashes: DataFrame, bits: int, probes: int = 1) -> np.ndarray:
+    """A bitmap over `probes` windows, the low bits first, of hashes(h long): at most bits / 64 rows reach the driver."""
+    windows = F.array(*(F.shiftrightunsigned("h", i * _shift(bits, probes)) for i in range(probes)))
+    places = hashes.select(F.explode(windows).alias("h"))
     low = F.col("h").bitwiseAND(bits - 1)
-    words = hashes.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("b"))
+    words = places.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
     out = np.zeros(bits // 64, np.int64)
     for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         out[row["w"]] = row["b"]
     return out.view(np.uint64)
 
 
-def _bits_for(n: int) -> int:
-    return min(MAX_BITS, 1 << max(16, (16 * max(1, n)).bit_length()))
+def _bits_for(n: int, room: int = 16) -> int:
+    return min(MAX_BITS, 1 << max(16, (room * max(1, n)).bit_length()))
+
+
+def _hits(h: np.ndarray, table: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """Places in h of the hashes all of whose bits are set in a table of _bitmap."""
+    size = 64 * len(table)
+    left = np.arange(len(h))
+    for i in range(probes):
+        low = (h[left] >> np.uint64(i * _shift(size, probes))) & np.uint64(size - 1)
+        left = left[(table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
+    return left
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 5, share: float = 0.8) -> DataFrame:
@@ -131,30 +151,25 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     top = F.max(F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).alias("top")
     classes = []
     for r in minima.groupBy("class").agg(F.count("*").alias("n"), top).collect():  # one row per class: 64 at most
-        size = min(_bits_for(r["n"]), 1 << max(16, (2 * MAX_BITS * r["n"] // count).bit_length() - 1))
-        classes.append((np.uint64(r["top"] + (1 << 63)), size, _bitmap(minima.where(F.col("class") == r["class"]).select("h"), size)))
-    known_bits = _bits_for(every.count())
-    known = _bitmap(item_hashes(every, n), known_bits)
+        size = min(_bits_for(r["n"], ROOM), 1 << max(16, (2 * MAX_BITS * r["n"] // count).bit_length() - 1))
+        classes.append((np.uint64(r["top"] + (1 << 63)), _bitmap(minima.where(F.col("class") == r["class"]).select("h"), size, PROBES)))
+    known = _bitmap(item_hashes(every, n), _bits_for(every.count(), ROOM), PROBES)
     kind = docs.schema[key].dataType.simpleString()
 
-    def hit(h: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
-        low = h & np.uint64(size - 1)
-        return (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 2 << 20):
             lists = [words_of(t) for t in batch.column(text).to_pylist()]
             h, owner, at = shingle_hashes(lists, n)
             looked = []
-            for limit, size, bitmap in classes:
+            for limit, bitmap in classes:
                 below = np.flatnonzero(h <= limit)
-                looked.append(below[hit(h[below], bitmap, size)])
+                looked.append(below[_hits(h[below], bitmap)])
             maybe = np.unique(np.concatenate(looked))
             if not len(maybe):
                 continue
             found = np.unique(owner[maybe])
             mine = np.flatnonzero(np.isin(owner, found))
-            mine = mine[hit(h[mine], known, known_bits)]
+            mine = mine[_hits(h[mine], known)]
             sketch: dict[int, set] = {i: set() for i in found.tolist()}
             shingles: dict[int, set] = {i: set() for i in found.tolist()}
             for i, x in zip(owner[maybe].tolist(), h[maybe].view(np.int64).tolist(), strict=True):

@@ -268,6 +268,32 @@ def test_contained_items_match_brute_force(spark):
     assert contained_items(df, bench.limit(0)).count() == 0 and contained_items(df.limit(0), bench).count() == 0
 
 
+def test_documents_that_share_nothing_are_not_kept(spark, monkeypatch):
+    """What is stored and shuffled follows what documents share with items, not their length."""
+    from ledgerwright.llm import decontaminate
+
+    rng, kept = np.random.default_rng(5), {}
+    words = [f"w{i}" for i in range(5000)]
+
+    def texts(n, size):
+        return [" ".join(rng.choice(words, size)) for _ in range(n)]
+
+    items, docs = texts(400, 12) + texts(100, 200), texts(500, 2000)
+    docs[7] = f"{docs[7]} {items[450]} tail"
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    stored = decontaminate.stored
+
+    def noted(frame, label):
+        kept[label] = stored(frame, label)
+        return kept[label]
+
+    monkeypatch.setattr(decontaminate, "stored", noted)
+    assert [(r["doc_id"], r["item_id"]) for r in contained_items(df, bench).collect()] == [(7, 450)]
+    rows = kept["hits"].collect()
+    assert len(rows) < 150 and sum(len(r["have"]) for r in rows if r[0] != 7) < 200
+
+
 @pytest.mark.parametrize("q", range(1, 60))
 def test_sketches_lose_nothing(q):
     assert q - sketch_size(q, 0.8) < 0.8 * q <= q - sketch_size(q, 0.8) + 1 + 1e-9
