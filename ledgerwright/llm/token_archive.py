@@ -14,7 +14,7 @@ The cumulative price of an id is order 0's plus the weights of named ids below i
 decoder finds the id with one division and one look into the inverse of order 0.
 
 All coding arithmetic is on integers, so any machine decodes alike. Blocks share nothing but
-the header, so all blocks of a file are coded side by side: a step codes the next id of every
+the header, so all blocks of a few files are coded side by side: a step codes the next id of every
 block with numpy operations over blocks. The coder keeps 48 bits and emits 16-bit words;
 carries are added to the words at the end.
 """
@@ -37,8 +37,10 @@ from .tokens import default_tokenizer, tokenizer
 
 #: Ids of a block, at most.
 BLOCK = 4096
-#: Ids of one file, about; its blocks are coded side by side.
+#: Ids of one file, about.
 FILE_IDS = 4 << 20
+#: Ids of the files, about, whose blocks are coded side by side: numpy's price of a call is shared by more blocks.
+SIDE_IDS = 8 << 20
 #: Order-0 tables of a file, at most, and the ids that another table must serve.
 CLASSES, CLASS_IDS = 6, 200_000
 MAGIC = b"IDARC002"
@@ -49,7 +51,7 @@ _RATE = 5  # a hit rate moves by 1 / 2**_RATE
 _BUCKETS = 16  # of counts
 _U = np.uint64
 _SMALL = _U(1 << 32)
-_BUCKET = np.minimum(np.array([0, 1, 2, 3, 4, 5, 6, 6, *[7] * 4, *[8] * 4, *[9] * 16, *[10] * 32, *[11] * 64, *[12] * 128]), _BUCKETS - 1)
+_BUCKET = np.minimum(np.array([0, 1, 2, 3, 4, 5, 6, 6, *[7] * 4, *[8] * 4, *[9] * 16, *[10] * 32, *[11] * 64, *[12] * 128]), _BUCKETS - 1).astype(np.int32)
 _FIRST_RATES = np.concatenate([[0], np.linspace(3000, 40000, _BUCKETS - 1).astype(np.int32)]).astype(np.int32)
 
 
@@ -136,10 +138,92 @@ def block_sizes(n: int) -> np.ndarray:
     return np.full(blocks, n // max(1, blocks)) + (np.arange(blocks) < n % max(1, blocks))
 
 
-def _by_step(lengths: np.ndarray) -> np.ndarray:
-    """Place of each block's t-th id among all ids, a row per step (blocks that have ended repeat an id)."""
-    ends = np.cumsum(lengths)
-    return np.minimum((ends - lengths).astype(np.int32)[None, :] + np.arange(int(lengths.max()), dtype=np.int32)[:, None], np.int32(ends[-1] - 1))
+@dataclass(frozen=True)
+class Blocked:
+    """What is to be coded of one file: the class (uint8) of each id, its statistics, and its symbols or its blocks."""
+
+    classes: np.ndarray
+    known: Statistics
+    symbols: np.ndarray | None = None
+    blocks: list[bytes] | None = None
+
+
+class _Side:
+    """The blocks of several files side by side, longer ones first; the files have one number of bits.
+
+    tables holds the cumulative frequencies of all files and classes in a row.
+    """
+
+    def __init__(self, files: list[Blocked]) -> None:
+        sizes = [block_sizes(len(f.classes)) for f in files]
+        counts = [len(x) for x in sizes]
+        lengths = np.concatenate(sizes)
+        self.order = np.argsort(-lengths, kind="stable")
+        self.begins = np.cumsum(lengths)[self.order] - lengths[self.order]
+        self.lengths = lengths[self.order]
+        self.cuts = np.cumsum(counts).tolist()
+        self.classes = np.concatenate([f.classes for f in files])
+        shapes = [f.known.cumulative.shape for f in files]
+        self.tables = np.concatenate([f.known.cumulative.ravel() for f in files]).astype(np.int32)
+        self.frequencies = np.append(np.diff(self.tables), 0).astype(np.int32)  # the last of each table is never asked for
+        self.width = np.repeat(np.array([w for _, w in shapes], np.int32), counts)[self.order]
+        ends = np.cumsum([c * w for c, w in shapes])
+        self.base = np.repeat((ends - [c * w for c, w in shapes]).astype(np.int32), counts)[self.order]
+        ends = np.cumsum([c for c, _ in shapes])
+        self.first_class = np.repeat((ends - [c for c, _ in shapes]).astype(np.int32), counts)[self.order]
+        self.bits = files[0].known.bits
+
+    def chunks(self, steps: int = 64) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+        """(first step, live blocks of each step, places of the ids, their classes), some steps at a time, a row per step.
+
+        Blocks that have ended repeat an id.
+        """
+        longest = int(self.lengths[0])
+        for t in range(0, longest, steps):
+            step = np.arange(t, min(t + steps, longest))
+            live = np.searchsorted(-self.lengths, -step, "left")
+            at = np.minimum(self.begins[: live[0]] + step[:, None], len(self.classes) - 1)
+            yield t, live.tolist(), at, self.classes.take(at, mode="clip").astype(np.int32)
+
+    def apart(self, blocks: list) -> list[list]:
+        """A list for each file of what belongs to the blocks."""
+        out: list = [None] * len(blocks)
+        for i, b in zip(self.order.tolist(), blocks, strict=True):
+            out[i] = b
+        return [out[a:b] for a, b in zip([0, *self.cuts], self.cuts, strict=False)]
+
+
+def _by_bits(files: list[Blocked], code) -> list:
+    """code(files) over the files that hold ids and have one number of bits; None for files without ids."""
+    found: list = [None] * len(files)
+    for bits in {f.known.bits for f in files if len(f.classes)}:
+        mine = [i for i, f in enumerate(files) if len(f.classes) and f.known.bits == bits]
+        for i, x in zip(mine, code([files[i] for i in mine]), strict=True):
+            found[i] = x
+    return found
+
+
+def _less(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """-1 where a < b, else 0, for int32 less than 2**31 apart: masks of one width keep numpy from casting."""
+    out = a - b
+    out >>= 31
+    return out
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """-1 where the int32 a and b differ, else 0."""
+    out = a ^ b
+    out |= -out
+    out >>= 31
+    return out
+
+
+def _pick(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a where mask is -1, b where it is 0."""
+    out = a ^ b
+    out &= mask
+    out ^= b
+    return out
 
 
 class _Contexts:
@@ -150,49 +234,62 @@ class _Contexts:
         self.one, self.two = np.zeros(n << _ONE, np.int64), np.zeros(n << _TWO, np.int32)
         self.at_one, self.at_two = row << _ONE, row << _TWO
         self.rates = np.tile(_FIRST_RATES, 6 * n)
-        self.at_rate = row * (6 * _BUCKETS) + np.array([[0], [_BUCKETS], [2 * _BUCKETS]])
+        self.at_rate = (row * (6 * _BUCKETS) + np.array([[0], [_BUCKETS], [2 * _BUCKETS]])).astype(np.int32)
         # order 0 keeps at least this share, so that each of its frequencies is worth a unit
         self.most = min(64_500 << _PRICE - 16, (1 << _PRICE) - (2 << bits))
         self.shift = bits
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Sets who (symbol + 1) and weight of the three named ids of the first len(last) blocks; gives order 0's multiplier."""
+        """Sets who (symbol + 1) and weight of the three named ids of the first len(last) blocks; gives order 0's multiplier.
+
+        last and before are uint32; all else is int32, as prices have at most 26 bits.
+        """
         k = len(last)
-        mixed = last * 0x9E3779B1
-        h1 = (mixed >> 12) & ((1 << _ONE) - 1)
-        h2 = (((mixed ^ (before * 0x85EBCA77 + 0x1234567)) * 0x2545F491) >> 16) & ((1 << _TWO) - 1)
+        mixed = last * np.uint32(0x9E3779B1)
+        h1 = ((mixed >> np.uint32(12)) & np.uint32((1 << _ONE) - 1)).astype(np.int64)
+        h2 = before * np.uint32(0x85EBCA77)
+        h2 += np.uint32(0x1234567)
+        h2 ^= mixed
+        h2 *= np.uint32(0x2545F491)
+        h2 >>= np.uint32(16)
+        h2 = (h2 & np.uint32((1 << _TWO) - 1)).astype(np.int64)
         h1 += self.at_one[:k]
         h2 += self.at_two[:k]
         entry = np.empty((3, k), np.int32)
         self.two.take(h2, out=entry[0], mode="clip")
-        pair = self.one.take(h1).view(np.int32)
+        pair = self.one.take(h1, mode="clip").view(np.int32)
         entry[1], entry[2] = pair[0::2], pair[1::2]
         who, count = entry >> 8, entry & 255
-        same = who[1:] == who[0]
-        at = _BUCKET.take(count)
+        at = _BUCKET.take(count, mode="clip")
         at += self.at_rate[:, :k]
-        at += (entry[0] > 0) * (3 * _BUCKETS)
-        rate = self.rates.take(at)
+        at += (-entry[0] >> 31) & (3 * _BUCKETS)
+        at = at.astype(np.int64)
+        rate = self.rates.take(at, mode="clip")
         weight = rate << (_PRICE - 16)
-        weight[1:] *= ~same  # what order 2 names already has its weight
-        total = weight[0] + weight[1] + weight[2]
+        weight[1:] &= _differ(who[1:], who[0])  # what order 2 names already has its weight
+        total = weight[0] + weight[1]
+        total += weight[2]
         if total.max() > self.most:
             i = np.flatnonzero(total > self.most)
             weight[:, i] = weight[:, i].astype(np.int64) * self.most // total[i]
             total[i] = weight[0, i] + weight[1, i] + weight[2, i]
         self.h1, self.h2, self.entry, self.count, self.at, self.rate = h1, h2, entry, count, at, rate
         self.who, self.weight = who, weight
-        return ((1 << _PRICE) - total) >> self.shift
+        np.subtract(1 << _PRICE, total, out=total)
+        total >>= self.shift
+        return total
 
     def price(self, own: np.ndarray, below: np.ndarray, frequency: np.ndarray, multiplier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the interval of symbol + 1 = own, from its place in order 0; learns it."""
-        hit = self.who == own
-        part = self.weight * (self.who < own)
+        hit = _differ(self.who, own)
+        np.invert(hit, out=hit)
+        part = _less(self.who, own)
+        part &= self.weight
         start = multiplier * below
         start += part[0]
         start += part[1]
         start += part[2]
-        part = self.weight * hit
+        np.bitwise_and(self.weight, hit, out=part)
         size = multiplier * frequency
         size += part[0]
         size += part[1]
@@ -201,52 +298,54 @@ class _Contexts:
         return start, size
 
     def _learn(self, own: np.ndarray, hit: np.ndarray) -> None:
-        goal = hit.astype(np.int32)
-        goal *= 65535
+        goal = hit & 65535
         goal -= self.rate
         goal >>= _RATE
         goal += self.rate
         self.rates[self.at] = goal
         (two, a, b), (n2, na, nb) = self.entry, self.count
-        new = own << 8 | 1
-        # a hit counts one more; a miss takes count away and at last the place
-        self.two[self.h2] = np.where(hit[0], two + (n2 < 255), np.where(n2 > 1, two - (n2 >> 1), new))
-        b = np.where(hit[2], b + (nb < 255), np.where(hit[1], b, np.where(nb > 1, b - 1, new)))
-        swap = ((b & 255) >= na) & ~hit[1]
-        a = a + (hit[1] & (na < 255))
+        more = self.entry - _less(self.count, 255)  # a hit counts one more; a miss takes count away and at last the place
+        new = own << 8
+        new |= 1
+        miss = _pick(_less(1 - n2, 0), two - (n2 >> 1), new)
+        self.two[self.h2] = _pick(hit[0], more[0], miss)
+        miss = _pick(hit[1], b, _pick(_less(1 - nb, 0), b - 1, new))
+        b = _pick(hit[2], more[2], miss)
+        a = _pick(hit[1], more[1], a)
+        swap = _less(na - 1, b & 255)
+        swap &= ~hit[1]
+        swap &= a ^ b
         row = np.empty((len(a), 2), np.int32)
-        row[:, 0], row[:, 1] = np.where(swap, b, a), np.where(swap, a, b)
+        np.bitwise_xor(a, swap, out=row[:, 0])
+        np.bitwise_xor(b, swap, out=row[:, 1])
         self.one[self.h1] = row.view(np.int64).ravel()
 
 
 def encode_blocks(symbols: np.ndarray, classes: np.ndarray, known: Statistics) -> list[bytes]:
     """The coded words of each block of symbols (places in known.ids); classes has the class of each."""
-    if not len(symbols):
-        return []
-    lengths = block_sizes(len(symbols))
-    n, steps, last = len(lengths), int(lengths[0]), int((lengths == lengths[0]).sum())
-    at, flat = _by_step(lengths), known.cumulative.ravel().astype(np.int32)
-    place = (classes * np.int32(known.cumulative.shape[1]) + symbols)[at]
-    below = flat[place]
-    place += 1
-    frequency = flat[place]
-    frequency -= below
-    own = symbols.astype(np.int32)[at]
-    own += 1
-    del at, place
-    model = _Contexts(n, known.bits)
+    return encode_files([Blocked(classes, known, symbols=symbols)])[0]
+
+
+def encode_files(files: list[Blocked]) -> list[list[bytes]]:
+    """The coded words of each block of each file, all coded side by side; a file's do not depend on the others."""
+    return [x or [] for x in _by_bits(files, _encode_side)]
+
+
+def _encode_side(files: list[Blocked]) -> list[list[bytes]]:
+    side = _Side(files)
+    symbols = np.concatenate([f.symbols.astype(np.int32, copy=False) for f in files])
+    n = len(side.lengths)
+    model = _Contexts(n, side.bits)
     low, span = np.zeros(n, _U), np.full(n, 1 << 48, _U)
-    width = 2 * steps + 64  # an id takes two words at most, as prices have fewer than 32 bits
+    width = 2 * int(side.lengths[0]) + 64  # an id takes two words at most, as prices have fewer than 32 bits
     out, begin = np.zeros(n * width, np.int32), np.arange(n) * width
     end = begin.copy()
-    prev = prev2 = np.zeros(n, np.int64)
-    for t in range(steps):
-        if t == steps - 1 and last < n:  # the other blocks have ended
-            prev, prev2 = prev[:last], prev2[:last]
-        k = len(prev)
+    prev = prev2 = np.zeros(n, np.uint32)
+    for _, k, own, below, frequency in _with_prices(side, symbols):
+        prev, prev2 = prev[:k], prev2[:k]
         multiplier = model.predict(prev, prev2)
-        start, size = model.price(own[t, :k], below[t, :k], frequency[t, :k], multiplier)
-        prev, prev2 = own[t, :k].astype(np.int64), prev
+        start, size = model.price(own, below, frequency, multiplier)
+        prev, prev2 = own.view(np.uint32), prev
         unit = span[:k] >> _U(_PRICE)
         low[:k] += unit * start.astype(_U)
         span[:k] = unit * size.astype(_U)
@@ -269,20 +368,48 @@ def encode_blocks(symbols: np.ndarray, classes: np.ndarray, known: Statistics) -
         carry -= 1
         out[carry] += 1
         carry = carry[out[carry] > 0xFFFF]
-    return [out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return side.apart([out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
+def _with_prices(side: _Side, symbols: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(step, live blocks, their symbol + 1, cumulative frequency below it, frequency) of every step."""
+    for first, live, at, classes in side.chunks():
+        own = symbols.take(at, mode="clip")
+        classes *= side.width[: live[0]]
+        classes += side.base[: live[0]]
+        classes += own
+        below, frequency = side.tables.take(classes, mode="clip"), side.frequencies.take(classes, mode="clip")
+        own += 1
+        for i, k in enumerate(live):
+            yield first + i, k, own[i, :k], below[i, :k], frequency[i, :k]
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b as int32 for 0 <= a < 2**48 and 0 < b <= 2**26, at most 2**26; a damaged block may give any.
+
+    Double division is correctly rounded everywhere, and a quotient below 2**27 is at least 2**-26 below
+    the next whole number, which is more than its rounding.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.fmin(np.true_divide(a, b), 1 << _PRICE).astype(np.int32)
 
 
 def decode_blocks(blocks: list[bytes], classes: np.ndarray, known: Statistics) -> np.ndarray:
     """The symbols of all blocks in a row; classes has the class of each."""
-    if not blocks:
-        return np.zeros(0, np.int32)
-    lengths = block_sizes(len(classes))
-    n, steps, last = len(lengths), int(lengths[0]), int((lengths == lengths[0]).sum())
-    at, width, bits = _by_step(lengths), known.cumulative.shape[1], known.bits
-    flat = known.cumulative.ravel().astype(np.int32)
-    frequencies = np.append(np.diff(flat), 0).astype(np.int32)
-    inverse = np.concatenate([np.repeat(np.arange(1, width, dtype=np.int32), np.diff(row)) for row in known.cumulative])
-    klass = classes.astype(np.int32)[at]
+    return decode_files([Blocked(classes, known, blocks=blocks)])[0]
+
+
+def decode_files(files: list[Blocked]) -> list[np.ndarray]:
+    """The symbols of each file, all blocks of all files decoded side by side."""
+    return [np.zeros(0, np.int32) if x is None else x for x in _by_bits(files, _decode_side)]
+
+
+def _decode_side(files: list[Blocked]) -> list[np.ndarray]:
+    side = _Side(files)
+    flat, frequencies, bits = side.tables, side.frequencies, side.bits
+    every = [b for f in files for b in f.blocks]
+    blocks, n = [every[i] for i in side.order.tolist()], len(side.lengths)
+    inverse = np.concatenate([np.repeat(np.arange(1, len(row), dtype=np.int32), np.diff(row)) for f in files for row in f.known.cumulative])
     room = max(map(len, blocks)) // 2 + 3
     words = np.zeros((n, room), np.uint16)
     for i, b in enumerate(blocks):
@@ -291,63 +418,89 @@ def decode_blocks(blocks: list[bytes], classes: np.ndarray, known: Statistics) -
     words, next_word = words.ravel(), np.arange(n) * room + 3
     model = _Contexts(n, bits)
     span = np.full(n, 1 << 48, _U)
-    found = np.zeros((steps, n), np.int32)
-    prev = prev2 = np.zeros(n, np.int64)
-    for t in range(steps):
-        if t == steps - 1 and last < n:
-            prev, prev2, code, span = prev[:last], prev2[:last], code[:last], span[:last]
-        k = len(prev)
-        multiplier = model.predict(prev, prev2)
-        who, weight = model.who, model.weight
-        unit = span >> _U(_PRICE)
-        value = (code // unit).astype(np.int64)
-        table = klass[t, :k] * width
-        place = table + np.maximum(who - 1, 0)
-        low, size = multiplier * flat.take(place), multiplier * frequencies.take(place) + weight
-        for i, j in ((0, 1), (0, 2), (1, 2)):
-            less, same = who[i] < who[j], who[i] == who[j]
-            low[j] += weight[i] * less
-            low[i] += weight[j] * ~(less | same)
-            size[i] += weight[j] * same
-            size[j] += weight[i] * same
-        value_in = value - low
-        past = weight * (value_in >= size)
-        zero = value - past[0]
-        zero -= past[1]
-        zero -= past[2]
-        zero //= multiplier
-        np.clip(zero, 0, (1 << bits) - 1, out=zero)
-        zero += klass[t, :k].astype(np.int64) << bits
-        own = inverse.take(zero)
-        inside = (value_in >= 0) & (value_in < size) & (who > 0)
-        for i in range(3):
-            np.copyto(own, who[i], where=inside[i])
-        place = table + own
-        place -= 1
-        start, size = model.price(own, flat.take(place), frequencies.take(place), multiplier)
-        found[t, :k] = own
-        prev, prev2 = own.astype(np.int64), prev
-        code -= unit * start.astype(_U)
-        np.multiply(unit, size.astype(_U), out=span)
-        go = np.flatnonzero(span < _SMALL)
-        while len(go):
-            where = next_word.take(go)
-            code[go] = (code.take(go) << _U(16)) | words.take(where, mode="clip")
-            next_word[go] = where + 1
-            rest = span.take(go) << _U(16)
-            span[go] = rest
-            go = go[(rest < _SMALL) & (rest > 0)]
-    real = np.arange(steps)[:, None] < lengths[None, :]
-    out = np.zeros(len(classes), np.int32)
-    out[at[real]] = found[real]
-    return out - 1
+    symbols = np.zeros(len(side.classes), np.int32)
+    prev = prev2 = np.zeros(n, np.uint32)
+    for first, live, at, classes in side.chunks():
+        tables = classes * side.width[: live[0]]
+        tables += side.base[: live[0]]
+        classes += side.first_class[: live[0]]
+        classes <<= bits
+        found = np.ones(at.shape, np.int32)
+        for i, k in enumerate(live):
+            prev, prev2, code, span = prev[:k], prev2[:k], code[:k], span[:k]
+            _decode_step(model, side, inverse, classes[i, :k], tables[i, :k], prev, prev2, code, span, words, next_word, found[i, :k])
+            prev, prev2 = found[i, :k].view(np.uint32), prev
+        real = np.arange(first, first + len(live))[:, None] < side.lengths[None, : live[0]]
+        symbols[at[real]] = found[real] - 1
+    ends = np.cumsum([len(f.classes) for f in files]).tolist()
+    return [symbols[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _decode_step(model, side, inverse, kind, table, prev, prev2, code, span, words, next_word, found) -> None:
+    """Decodes the next id of each live block into found; moves code, span and next_word on."""
+    multiplier = model.predict(prev, prev2)
+    who, weight, flat, frequencies = model.who, model.weight, side.tables, side.frequencies
+    unit = span >> _U(_PRICE)
+    value = _quotient(code, unit)
+    place = who - 1
+    np.maximum(place, 0, out=place)
+    place += table
+    low, size = flat.take(place, mode="clip"), frequencies.take(place, mode="clip")
+    low *= multiplier
+    size *= multiplier
+    size += weight
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        less, differ = _less(who[i], who[j]), _differ(who[i], who[j])
+        low[j] += weight[i] & less
+        low[i] += weight[j] & (differ ^ less)
+        np.invert(differ, out=differ)
+        size[i] += weight[j] & differ
+        size[j] += weight[i] & differ
+    np.subtract(value, low, out=low)  # from here on the place inside each named id's interval
+    inside = _less(low, size)
+    past = weight & ~inside
+    value -= past[0]
+    value -= past[1]
+    value -= past[2]
+    zero = _quotient(value, multiplier)
+    np.maximum(zero, 0, out=zero)
+    np.minimum(zero, (1 << side.bits) - 1, out=zero)
+    zero += kind
+    own = inverse.take(zero, mode="clip")
+    inside &= ~low >> 31
+    inside &= -who >> 31
+    for i in range(3):
+        own = _pick(inside[i], who[i], own)
+    place = table + own
+    place -= 1
+    start, size = model.price(own, flat.take(place, mode="clip"), frequencies.take(place, mode="clip"), multiplier)
+    found[:] = own
+    code -= unit * start.astype(_U)
+    np.multiply(unit, size.astype(_U), out=span)
+    go = np.flatnonzero(span < _SMALL)
+    while len(go):
+        where = next_word.take(go)
+        code[go] = (code.take(go) << _U(16)) | words.take(where, mode="clip")
+        next_word[go] = where + 1
+        rest = span.take(go) << _U(16)
+        span[go] = rest
+        go = go[(rest < _SMALL) & (rest > 0)]
 
 
 def file_bytes(keys: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     """One archive: header, document table, statistics, block table and blocks, each under a CRC-32."""
+    return archives([(keys, sizes, ids)])[0]
+
+
+def archives(files: list[tuple[list[int | None], list[int], np.ndarray]]) -> list[bytes]:
+    """The bytes of each file's archive; see file_bytes."""
+    learnt = [learn(ids, np.array(sizes, np.int64)) for _, sizes, ids in files]
+    blocks = encode_files([Blocked(np.repeat(label.astype(np.uint8), f[1]), known, symbols=symbols) for f, (known, symbols, label) in zip(files, learnt, strict=True)])
+    return [_archive(*f, known, label, b) for f, (known, _, label), b in zip(files, learnt, blocks, strict=True)]
+
+
+def _archive(keys: list[int | None], sizes: list[int], ids: np.ndarray, known: Statistics, label: np.ndarray, blocks: list[bytes]) -> bytes:
     sizes_ = np.array(sizes, np.int64)
-    known, symbols, label = learn(ids, sizes_)
-    blocks = encode_blocks(symbols, np.repeat(label, sizes_), known)
     present = np.array([k is not None for k in keys], np.uint8)
     names = np.array([0 if k is None else k for k in keys], "<i8")
     docs = zlib.compress(present.tobytes() + names.tobytes() + sizes_.astype("<u4").tobytes() + label.astype(np.uint8).tobytes(), 1)
@@ -366,6 +519,29 @@ _HEAD = "<IQIIIIIII"
 
 def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(keys, sizes, ids) of an archive; a wrong checksum raises ValueError."""
+    return next(parse_files([data]))
+
+
+def parse_files(files: list[bytes]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """parse_file of each, their blocks decoded side by side."""
+    heads = [_tables_of(data) for data in files]
+    for (keys, sizes, crcs, coded), symbols in zip(heads, decode_files([h[3] for h in heads]), strict=True):
+        ids = coded.known.ids.astype("<u4")[np.clip(symbols, 0, max(0, len(coded.known.ids) - 1))] if len(symbols) else np.zeros(0, "<u4")
+        lengths = block_sizes(len(ids))
+        ends = np.cumsum(lengths)
+        for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+            if zlib.crc32(ids[a:b].tobytes()) != crcs[k]:
+                raise ValueError(f"block {k}'s checksum differs")
+        yield keys, sizes, ids
+
+
+def ids_in(data: bytes) -> int:
+    """How many ids an archive says that it holds."""
+    return struct.unpack_from(_HEAD, data, 8)[1] if data[:8] == MAGIC else 0
+
+
+def _tables_of(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, Blocked]:
+    """(keys, sizes, CRC-32 of each block, what is to be decoded) of an archive."""
     if data[:8] != MAGIC:
         raise ValueError("not an id archive")
     n_docs, n_ids, n_blocks, kinds, n_classes, bits, n_table, n_frozen, crc = struct.unpack_from(_HEAD, data, 8)
@@ -379,7 +555,7 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     raw = zlib.decompress(parts[0])
     present, names = np.frombuffer(raw, np.uint8, n_docs), np.frombuffer(raw, "<i8", n_docs, n_docs)
     sizes = np.frombuffer(raw, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-    label = np.frombuffer(raw, np.uint8, n_docs, 13 * n_docs).astype(np.int64)
+    label = np.frombuffer(raw, np.uint8, n_docs, 13 * n_docs)
     known = Statistics.from_bytes(parts[1], kinds, n_classes, bits)
     spans, crcs = np.frombuffer(parts[2], "<u4").reshape(2, -1).astype(np.int64) if n_blocks else (np.zeros(0, np.int64),) * 2
     lengths = block_sizes(n_ids)
@@ -389,13 +565,7 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for s in spans.tolist():
         blocks.append(data[at : at + s])
         at += s
-    symbols = decode_blocks(blocks, np.repeat(label, sizes), known)
-    ids = known.ids.astype("<u4")[np.clip(symbols, 0, max(0, kinds - 1))] if n_ids else np.zeros(0, "<u4")
-    ends = np.cumsum(lengths)
-    for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
-        if zlib.crc32(ids[a:b].tobytes()) != crcs[k]:
-            raise ValueError(f"block {k}'s checksum differs")
-    return [int(x) if k else None for x, k in zip(names, present, strict=True)], sizes, ids
+    return [int(x) if k else None for x, k in zip(names, present, strict=True)], sizes, crcs, Blocked(np.repeat(label, sizes), known, blocks=blocks)
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,14 +585,21 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
         keys: list = []
         held: list[bytes] = []
         size = 0
+        full: list[tuple[list, list[int], np.ndarray]] = []
 
-        def flush() -> None:
+        def close() -> None:
             nonlocal keys, held, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            names.append(write_file(folder, f"part-{part:06d}-{len(names):05d}.ids", file_bytes(keys, [len(x) // 4 for x in held], ids)))
-            n_docs.append(len(keys))
-            n_ids.append(len(ids))
+            full.append((keys, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4")))
             keys, held, size = [], [], 0
+            if sum(len(ids) for *_, ids in full) >= SIDE_IDS:
+                write()
+
+        def write() -> None:
+            for (docs, _, ids), content in zip(full, archives(full), strict=True):
+                names.append(write_file(folder, f"part-{part:06d}-{len(names):05d}.ids", content))
+                n_docs.append(len(docs))
+                n_ids.append(len(ids))
+            full.clear()
 
         for batch in slices(batches, "text", 4 << 20):
             for k, raw in zip(batch.column("key").to_pylist(), tokenizer(path).encode(batch.column("text").to_pylist()), strict=True):
@@ -430,14 +607,30 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
                 held.append(raw + end)
                 size += len(raw) // 4 + 1
                 if size >= FILE_IDS:
-                    flush()
+                    close()
         if keys:
-            flush()
+            close()
+        write()
         yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "n_docs": pa.array(n_docs, pa.int64()), "n_ids": pa.array(n_ids, pa.int64())})
 
     return dealt.mapInArrow(run, "file string, n_docs long, n_ids long")
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None], np.ndarray, np.ndarray]]:
+    """(file, keys, sizes, ids) of rows (file, content), files of some SIDE_IDS ids decoded together."""
+    names: list[str] = []
+    held: list[bytes] = []
+    for batch in batches:
+        for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_py()
+            if held and sum(map(ids_in, held)) + ids_in(data) > SIDE_IDS + FILE_IDS // 2:
+                yield from ((x, *y) for x, y in zip(names, parse_files(held), strict=True))
+                names, held = [], []
+            names.append(name)
+            held.append(data)
+    yield from ((x, *y) for x, y in zip(names, parse_files(held), strict=True))
+
+
 def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the *.ids files in folder: key, start, n_tokens, ids_crc32 (and ids, packed).
 
@@ -448,16 +641,14 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
     schema = "file string, key long, at long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                keys, sizes, ids = parse_file(content.as_py())
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
-                cuts = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True))
-                out = {"file": pa.array([name] * len(keys)), "key": pa.array(keys, pa.int64()), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes)}
-                out["ids_crc32"] = pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())
-                if with_ids:
-                    out["ids"] = pa.array([raw[a:b] for a, b in cuts], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+        for name, keys, sizes, ids in _parsed(batches):
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
+            cuts = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True))
+            out = {"file": pa.array([name] * len(keys)), "key": pa.array(keys, pa.int64()), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes)}
+            out["ids_crc32"] = pa.array([zlib.crc32(raw[a:b]) for a, b in cuts], pa.int64())
+            if with_ids:
+                out["ids"] = pa.array([raw[a:b] for a, b in cuts], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = stored(files.mapInArrow(run, schema), "ids")
     # names are part-<task>-<number>: a running sum over tasks, one row each, and one inside each task's files

@@ -2,8 +2,8 @@
 
 The tokenizer splits at white space before anything else, so the ids of a text are
 the ids of its words in a row. A memo in each Python worker keeps the ids of words
-as packed bytes; only words that it lacks go to the tokenizers library, in one call
-a batch. A word stays in the memo from its second batch on (a bitmap of hashes tells
+as packed bytes; Arrow finds a batch's different words, and only words that the memo lacks
+go to the tokenizers library, in one call a batch. A word stays in the memo from its second batch on (a bitmap of hashes tells
 which have been met), so rare words take no room; the memo holds at most MEMO_WORDS
 words and starts anew when full.
 """
@@ -14,6 +14,8 @@ import json
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_WORDS = 650_000
 _MET_BITS = 23
@@ -26,6 +28,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _is_latin_1(text: str) -> bool:
+    """Whether all characters are below U+0100, where nothing combines and case is one to one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """encode(texts): each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -55,9 +68,32 @@ class WordTokenizer:
             import regex
 
             self.pattern = regex.compile(split[0]["pattern"]["Regex"])
+            self.by_piece = self._for_pieces(Tokenizer, rules)
         self.memo: dict[str, bytes] = {}
         self.met, self.met_pieces = (np.zeros(1 << _MET_BITS, bool) for _ in range(2))
 
+    def _for_pieces(self, kind: type, rules: dict):
+        """The library's tokenizer with the same model for pieces that are normalised and split already, a space between two."""
+        steps = rules.get("normalizer") or {}
+        if [x["type"] for x in steps.get("normalizers", ())] != ["NFC", "Replace", "Lowercase"]:
+            return self.library
+        first = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        parts = [first, *rules["pre_tokenizer"]["pretokenizers"][1:]]
+        empty = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None}
+        made = kind.from_str(json.dumps(empty | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": parts}, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        light = kind(self.library.model)
+        light.pre_tokenizer = made.pre_tokenizer
+        return light
+
+    def _split(self, word: str) -> list[str]:
+        """The pieces of a word of characters below U+0250."""
+        if word.isalpha():
+            return [word.lower()]
+        core = word.rstrip(".,;:!?")
+        if core.isalpha():
+            return [core.lower(), word[len(core) :]]
+        return self.pattern.findall(word.lower())
+
     @staticmethod
     def _forget(table: dict[str, bytes], words: list[str], met: np.ndarray) -> None:
         """Drop those of the new words that no earlier batch had."""
@@ -75,12 +111,12 @@ class WordTokenizer:
         plain, odd = [], []
         for w in words:  # below U+0250 nothing combines, so pieces can be found before the library normalises
             (plain if w.isascii() or (max(w) < "\u0250" and "\u0130" not in w) else odd).append(w)
-        parts = [self.pattern.findall(w.lower()) for w in plain]
+        parts = list(map(self._split, plain))
         if len(self.pieces) > MEMO_WORDS:
             self.pieces = {}
         new = list(set(chain.from_iterable(parts)).difference(self.pieces))
         if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.by_piece.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(new):
                 raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
@@ -96,18 +132,28 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._whole([t or "" for t in texts])
-        # str.split also splits at U+001C..1F, which the library takes as text
+        # regex takes U+001C..1F as white space, the library as text
         whole = {i for i, t in enumerate(texts) if t and any(s in t for s in (*self.special, "\x1c", "\x1d", "\x1e", "\x1f"))}
-        # other than ASCII letters keep their case here: the library normalises before it lower-cases
-        words = [[] if i in whole or not t else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        new = set(chain.from_iterable(words)).difference(self.memo)
+        # other than Latin-1 letters keep their case here: the library normalises before it lower-cases
+        plain = pa.array(("" if i in whole or not t else t.lower() if _is_latin_1(t) else t for i, t in enumerate(texts)), pa.large_string())
+        split = pc.ascii_split_whitespace(plain)  # words may hold other white space, which _learn and the library drop
+        coded = split.flatten().dictionary_encode()
+        names, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in names if w not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {}
-            new = set(chain.from_iterable(words))
-        new = list(new)
+            new = names
         new_pieces = self._learn(new) if new else []
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+        raw = list(map(self.memo.__getitem__, names))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        known, begins = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[word]
+        ends = np.cumsum(size)
+        place = np.repeat(begins[word] - (ends - size), size)
+        place += np.arange(len(place))
+        ids = known[place].tobytes()
+        cuts = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         self._forget(self.pieces, new_pieces, self.met_pieces)
         self._forget(self.memo, new, self.met)
         for i, ids in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)]) if whole else [], strict=True):

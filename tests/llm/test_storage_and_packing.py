@@ -116,6 +116,21 @@ def test_blocks_are_independent():
     assert decode_blocks(both[1:], classes[:BLOCK], known).tolist() == symbols[BLOCK:].tolist()
 
 
+def test_files_side_by_side_are_as_alone():
+    """Blocks of several files coded in one pass, of other lengths and bits, give each file's own bytes."""
+    from ledgerwright.llm.token_archive import archives, parse_files
+
+    rng = np.random.default_rng(6)
+    files = []
+    for n, kinds in ((3 * BLOCK + 9, 300), (0, 1), (40_000, 30_000), (700, 90), (BLOCK, 2)):
+        ids = (rng.zipf(1.2, n) % kinds).astype("<u4")
+        files.append(([5, None, 7], [n // 2, 0, n - n // 2], ids))
+    alone = [file_bytes(*f) for f in files]
+    assert archives(files) == alone
+    for (keys, sizes, ids), (k, s, x) in zip(files, parse_files(alone), strict=True):
+        assert (keys, sizes, ids.tolist()) == (k, s.tolist(), x.tolist())
+
+
 def test_mixing_beats_deflate_and_order_0(library):
     import pyarrow.parquet as pq
 
