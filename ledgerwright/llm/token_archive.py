@@ -1,20 +1,23 @@
 """Token ids in files of independently reset, checksummed, arithmetic-coded blocks.
 
-Three orders predict each id, and one mixture of them drives a range coder:
+What is coded are symbols. A symbol is a run of ids that the file's header lists: a word that
+the file has a few times, or one id; words that it has fewer times are spelled by symbols of one id.
+
+Three orders predict each symbol, and one mixture of them drives a range coder:
 
 * order 0: frozen frequencies in the file's header, one table for each of a few classes
   of documents (found by a short k-means over how well a table codes a document);
-* order 1: two ids that followed the id before, with counts;
-* order 2: the id that followed the two before.
+* order 1: the symbol that followed the one before;
+* order 2: the symbol that followed the two before, both with counts.
 
-Orders 1 and 2 learn inside a block and start empty in each. The weight of a named id is an
+Orders 1 and 2 learn inside a block and start empty in each. The weight of a named symbol is an
 adaptive hit rate, kept by order, by its count, and by whether order 2 has anything to say;
-what the named ids leave goes to order 0, so an id's price is the sum of all that name it.
-The cumulative price of an id is order 0's plus the weights of named ids below it, so a
-decoder finds the id with one division and one look into the inverse of order 0.
+what the named ones leave goes to order 0, so a symbol's price is the sum of all that name it.
+The cumulative price of a symbol is order 0's plus the weights of named ones below it, so a
+decoder finds the symbol with one division and one look into the inverse of order 0.
 
 All coding arithmetic is on integers, so any machine decodes alike. Blocks share nothing but
-the header, so all blocks of a few files are coded side by side: a step codes the next id of every
+the header, so all blocks of a few files are coded side by side: a step codes the next symbol of every
 block with numpy operations over blocks. The coder keeps 48 bits and emits 16-bit words;
 carries are added to the words at the end.
 """
@@ -25,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +37,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, stored, write_file
-from .tokens import default_tokenizer, tokenizer
+from .tokens import WordTokenizer, default_tokenizer, gathered, tokenizer
 
-#: Ids of a block, at most.
-BLOCK = 4096
+#: Symbols of a block, at most.
+BLOCK = 2048
 #: Ids of one file, about.
-FILE_IDS = 4 << 20
-#: Ids of the files, about, whose blocks are coded side by side: numpy's price of a call is shared by more blocks.
-SIDE_IDS = 8 << 20
+FILE_IDS = 8 << 20
+#: Symbols of the files, about, whose blocks are coded side by side: numpy's price of a call is shared by more blocks.
+SIDE_SYMBOLS = 4 << 20
 #: Order-0 tables of a file, at most, and the ids that another table must serve.
 CLASSES, CLASS_IDS = 6, 200_000
-MAGIC = b"IDARC002"
+#: A word is a symbol where a file has it so many times, if it has no more ids than that.
+WORD_TIMES, WORD_IDS = 3, 255
+MAGIC = b"IDARC003"
 
 _ONE, _TWO = 10, 11  # bits of the order-1 and order-2 context tables, by hash
 _PRICE = 26  # bits of the total that prices are scaled to
 _RATE = 5  # a hit rate moves by 1 / 2**_RATE
-_BUCKETS = 16  # of counts
+_BUCKETS = 16  # counts end below this
 _U = np.uint64
 _SMALL = _U(1 << 32)
-_BUCKET = np.minimum(np.array([0, 1, 2, 3, 4, 5, 6, 6, *[7] * 4, *[8] * 4, *[9] * 16, *[10] * 32, *[11] * 64, *[12] * 128]), _BUCKETS - 1).astype(np.int32)
 _FIRST_RATES = np.concatenate([[0], np.linspace(3000, 40000, _BUCKETS - 1).astype(np.int32)]).astype(np.int32)
 
 
@@ -64,18 +69,33 @@ class Statistics:
     bits: int
 
     def to_bytes(self) -> bytes:
-        steps = np.diff(self.ids, prepend=0).astype("<u4").tobytes()
-        return zlib.compress(steps + np.ascontiguousarray(np.diff(self.cumulative, axis=1).T).astype("<u4").tobytes(), 9)
+        steps = np.diff(self.ids, prepend=0).astype("<u4")
+        # bytes of one place together: nearly all are runs, which need no search
+        return _run_length(_planes(steps) + _planes(np.diff(self.cumulative, axis=1).astype("<u4").ravel()))
 
     @classmethod
     def from_bytes(cls, data: bytes, kinds: int, classes: int, bits: int) -> Statistics:
-        raw = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        raw = zlib.decompress(data)
         cumulative = np.zeros((classes, kinds + 1), np.int64)
-        np.cumsum(raw[kinds:].reshape(kinds, classes).T, axis=1, out=cumulative[:, 1:])
-        return cls(np.cumsum(raw[:kinds]), cumulative, bits)
+        np.cumsum(_from_planes(raw[4 * kinds :]).reshape(classes, kinds), axis=1, out=cumulative[:, 1:])
+        return cls(np.cumsum(_from_planes(raw[: 4 * kinds]), dtype=np.int64), cumulative, bits)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of unsigned 32-bit values, then the next ones."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
 
+def _run_length(data: bytes) -> bytes:
+    coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return coder.compress(data) + coder.flush()
 
-def _classes(symbols: np.ndarray, sizes: np.ndarray, kinds: int, most: int, head: int = 128, rounds: int = 3) -> np.ndarray:
+
+def _classes(symbols: np.ndarray, sizes: np.ndarray, kinds: int, most: int, head: int = 64, rounds: int = 3) -> np.ndarray:
     """A class for each document, so that a class's table codes the heads of its documents in few bits.
 
     Any answer can be decoded; a bad one costs size only.
@@ -111,7 +131,7 @@ def learn(ids: np.ndarray, sizes: np.ndarray) -> tuple[Statistics, np.ndarray, n
         known = np.flatnonzero(np.bincount(ids))
         place = np.zeros(int(ids.max()) + 1, np.int32)
         place[known] = np.arange(len(known))
-        symbols = place[ids]
+        symbols = place[ids] if len(known) < len(place) else ids.astype(np.int32, copy=False)
     else:
         known, symbols = np.unique(ids, return_inverse=True)
     kinds = len(known)
@@ -123,8 +143,8 @@ def learn(ids: np.ndarray, sizes: np.ndarray) -> tuple[Statistics, np.ndarray, n
     label = np.minimum(np.searchsorted(used, label), max(0, len(used) - 1)).astype(np.int32)
     every = np.repeat(label, sizes)
     cumulative = np.zeros((len(used), kinds + 1), np.int64)
-    for c in range(len(used)):
-        counts = np.bincount(symbols[every == c], minlength=kinds)
+    by_class = np.bincount(every.astype(np.int64) * kinds + symbols, minlength=len(used) * kinds).reshape(len(used), kinds)
+    for c, counts in enumerate(by_class):
         seen = counts > 0
         share = np.where(seen, 1 + counts * ((1 << bits) - int(seen.sum())) // int(counts.sum()), 0)
         share[share.argmax()] += (1 << bits) - share.sum()
@@ -151,7 +171,7 @@ class Blocked:
 class _Side:
     """The blocks of several files side by side, longer ones first; the files have one number of bits.
 
-    tables holds the cumulative frequencies of all files and classes in a row.
+    tables holds the cumulative frequencies and frequencies of all files and classes in a row.
     """
 
     def __init__(self, files: list[Blocked]) -> None:
@@ -164,8 +184,9 @@ class _Side:
         self.cuts = np.cumsum(counts).tolist()
         self.classes = np.concatenate([f.classes for f in files])
         shapes = [f.known.cumulative.shape for f in files]
-        self.tables = np.concatenate([f.known.cumulative.ravel() for f in files]).astype(np.int32)
-        self.frequencies = np.append(np.diff(self.tables), 0).astype(np.int32)  # the last of each table is never asked for
+        below = np.concatenate([f.known.cumulative.ravel() for f in files]).astype(np.int32)
+        # cumulative frequency and frequency side by side, as one number; the last of each table is never asked for
+        self.tables = np.stack([below, np.append(np.diff(below), 0).astype(np.int32)], 1).view(np.int64).ravel()
         self.width = np.repeat(np.array([w for _, w in shapes], np.int32), counts)[self.order]
         ends = np.cumsum([c * w for c, w in shapes])
         self.base = np.repeat((ends - [c * w for c, w in shapes]).astype(np.int32), counts)[self.order]
@@ -173,6 +194,11 @@ class _Side:
         self.first_class = np.repeat((ends - [c for c, _ in shapes]).astype(np.int32), counts)[self.order]
         self.bits = files[0].known.bits
 
+    def prices(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative frequency below and frequency at places in tables."""
+        pair = self.tables.take(place, mode="clip").view(np.int32).reshape(*place.shape, 2)
+        return pair[..., 0], pair[..., 1]
+
     def chunks(self, steps: int = 64) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
         """(first step, live blocks of each step, places of the ids, their classes), some steps at a time, a row per step.
 
@@ -227,53 +253,46 @@ def _pick(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Contexts:
-    """Orders 1 and 2 of n blocks. A named id is stored as (symbol + 1) << 8 | count, 0: nothing."""
+    """Orders 2 and 1 of n blocks, a row each. A named symbol is stored as (symbol + 1) << 8 | count, 0: nothing."""
 
     def __init__(self, n: int, bits: int) -> None:
         row = np.arange(n)
-        self.one, self.two = np.zeros(n << _ONE, np.int64), np.zeros(n << _TWO, np.int32)
-        self.at_one, self.at_two = row << _ONE, row << _TWO
-        self.rates = np.tile(_FIRST_RATES, 6 * n)
-        self.at_rate = (row * (6 * _BUCKETS) + np.array([[0], [_BUCKETS], [2 * _BUCKETS]])).astype(np.int32)
+        self.named = np.zeros((n << _TWO) + (n << _ONE), np.int32)
+        self.at = np.stack([row << _TWO, (n << _TWO) + (row << _ONE)])
+        self.rates = np.tile(_FIRST_RATES, 4 * n)
+        self.at_rate = row * (4 * _BUCKETS) + np.array([[0], [_BUCKETS]])
         # order 0 keeps at least this share, so that each of its frequencies is worth a unit
         self.most = min(64_500 << _PRICE - 16, (1 << _PRICE) - (2 << bits))
         self.shift = bits
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Sets who (symbol + 1) and weight of the three named ids of the first len(last) blocks; gives order 0's multiplier.
+        """Sets who (symbol + 1) and weight of the two named symbols of the first len(last) blocks; gives order 0's multiplier.
 
         last and before are uint32; all else is int32, as prices have at most 26 bits.
         """
         k = len(last)
         mixed = last * np.uint32(0x9E3779B1)
-        h1 = ((mixed >> np.uint32(12)) & np.uint32((1 << _ONE) - 1)).astype(np.int64)
-        h2 = before * np.uint32(0x85EBCA77)
-        h2 += np.uint32(0x1234567)
-        h2 ^= mixed
-        h2 *= np.uint32(0x2545F491)
-        h2 >>= np.uint32(16)
-        h2 = (h2 & np.uint32((1 << _TWO) - 1)).astype(np.int64)
-        h1 += self.at_one[:k]
-        h2 += self.at_two[:k]
-        entry = np.empty((3, k), np.int32)
-        self.two.take(h2, out=entry[0], mode="clip")
-        pair = self.one.take(h1, mode="clip").view(np.int32)
-        entry[1], entry[2] = pair[0::2], pair[1::2]
+        h = np.empty((2, k), np.uint32)
+        two = np.multiply(before, np.uint32(0x85EBCA77), out=h[0])
+        two += np.uint32(0x1234567)
+        two ^= mixed
+        two *= np.uint32(0x2545F491)
+        two >>= np.uint32(32 - _TWO)
+        np.right_shift(mixed, np.uint32(32 - _ONE), out=h[1])
+        place = h + self.at[:, :k]
+        entry = self.named.take(place, mode="clip")
         who, count = entry >> 8, entry & 255
-        at = _BUCKET.take(count, mode="clip")
-        at += self.at_rate[:, :k]
-        at += (-entry[0] >> 31) & (3 * _BUCKETS)
-        at = at.astype(np.int64)
+        at = self.at_rate[:, :k] + count
+        at += (-entry[0] >> 31) & (2 * _BUCKETS)
         rate = self.rates.take(at, mode="clip")
         weight = rate << (_PRICE - 16)
-        weight[1:] &= _differ(who[1:], who[0])  # what order 2 names already has its weight
+        weight[1] &= _differ(who[1], who[0])  # what order 2 names already has its weight
         total = weight[0] + weight[1]
-        total += weight[2]
         if total.max() > self.most:
             i = np.flatnonzero(total > self.most)
             weight[:, i] = weight[:, i].astype(np.int64) * self.most // total[i]
-            total[i] = weight[0, i] + weight[1, i] + weight[2, i]
-        self.h1, self.h2, self.entry, self.count, self.at, self.rate = h1, h2, entry, count, at, rate
+            total[i] = weight[0, i] + weight[1, i]
+        self.place, self.entry, self.count, self.at_rates, self.rate = place, entry, count, at, rate
         self.who, self.weight = who, weight
         np.subtract(1 << _PRICE, total, out=total)
         total >>= self.shift
@@ -288,12 +307,10 @@ class _Contexts:
         start = multiplier * below
         start += part[0]
         start += part[1]
-        start += part[2]
         np.bitwise_and(self.weight, hit, out=part)
         size = multiplier * frequency
         size += part[0]
         size += part[1]
-        size += part[2]
         self._learn(own, hit)
         return start, size
 
@@ -302,23 +319,13 @@ class _Contexts:
         goal -= self.rate
         goal >>= _RATE
         goal += self.rate
-        self.rates[self.at] = goal
-        (two, a, b), (n2, na, nb) = self.entry, self.count
-        more = self.entry - _less(self.count, 255)  # a hit counts one more; a miss takes count away and at last the place
+        self.rates[self.at_rates] = goal
+        # a hit counts one more; a miss halves the count and at last takes the place
+        more = self.entry - _less(self.count, _BUCKETS - 1)
         new = own << 8
         new |= 1
-        miss = _pick(_less(1 - n2, 0), two - (n2 >> 1), new)
-        self.two[self.h2] = _pick(hit[0], more[0], miss)
-        miss = _pick(hit[1], b, _pick(_less(1 - nb, 0), b - 1, new))
-        b = _pick(hit[2], more[2], miss)
-        a = _pick(hit[1], more[1], a)
-        swap = _less(na - 1, b & 255)
-        swap &= ~hit[1]
-        swap &= a ^ b
-        row = np.empty((len(a), 2), np.int32)
-        np.bitwise_xor(a, swap, out=row[:, 0])
-        np.bitwise_xor(b, swap, out=row[:, 1])
-        self.one[self.h1] = row.view(np.int64).ravel()
+        miss = _pick(_less(1 - self.count, 0), self.entry - (self.count >> 1), new)
+        self.named[self.place] = _pick(hit, more, miss)
 
 
 def encode_blocks(symbols: np.ndarray, classes: np.ndarray, known: Statistics) -> list[bytes]:
@@ -349,6 +356,15 @@ def _encode_side(files: list[Blocked]) -> list[list[bytes]]:
         unit = span[:k] >> _U(_PRICE)
         low[:k] += unit * start.astype(_U)
         span[:k] = unit * size.astype(_U)
+        # every block writes its next word; those that need it move on
+        out[end[:k]] = low[:k] >> _U(32)  # with the carry, if there is one
+        small = span[:k] < _SMALL
+        end[:k] += small
+        shift = small.astype(_U)
+        low[:k] &= (shift - _U(1)) | (_SMALL - _U(1))
+        shift <<= _U(4)
+        low[:k] <<= shift
+        span[:k] <<= shift
         go = np.flatnonzero(span[:k] < _SMALL)
         while len(go):
             value, where = low.take(go), end.take(go)
@@ -378,7 +394,7 @@ def _with_prices(side: _Side, symbols: np.ndarray) -> Iterator[tuple[int, int, n
         classes *= side.width[: live[0]]
         classes += side.base[: live[0]]
         classes += own
-        below, frequency = side.tables.take(classes, mode="clip"), side.frequencies.take(classes, mode="clip")
+        below, frequency = side.prices(classes)
         own += 1
         for i, k in enumerate(live):
             yield first + i, k, own[i, :k], below[i, :k], frequency[i, :k]
@@ -406,7 +422,7 @@ def decode_files(files: list[Blocked]) -> list[np.ndarray]:
 
 def _decode_side(files: list[Blocked]) -> list[np.ndarray]:
     side = _Side(files)
-    flat, frequencies, bits = side.tables, side.frequencies, side.bits
+    bits = side.bits
     every = [b for f in files for b in f.blocks]
     blocks, n = [every[i] for i in side.order.tolist()], len(side.lengths)
     inverse = np.concatenate([np.repeat(np.arange(1, len(row), dtype=np.int32), np.diff(row)) for f in files for row in f.known.cumulative])
@@ -428,7 +444,7 @@ def _decode_side(files: list[Blocked]) -> list[np.ndarray]:
         found = np.ones(at.shape, np.int32)
         for i, k in enumerate(live):
             prev, prev2, code, span = prev[:k], prev2[:k], code[:k], span[:k]
-            _decode_step(model, side, inverse, classes[i, :k], tables[i, :k], prev, prev2, code, span, words, next_word, found[i, :k])
+            _decode_step(model, side, inverse, classes[i, :k], tables[i, :k], prev, prev2, code, span, words, next_word[:k], found[i, :k])
             prev, prev2 = found[i, :k].view(np.uint32), prev
         real = np.arange(first, first + len(live))[:, None] < side.lengths[None, : live[0]]
         symbols[at[real]] = found[real] - 1
@@ -439,29 +455,24 @@ def _decode_side(files: list[Blocked]) -> list[np.ndarray]:
 def _decode_step(model, side, inverse, kind, table, prev, prev2, code, span, words, next_word, found) -> None:
     """Decodes the next id of each live block into found; moves code, span and next_word on."""
     multiplier = model.predict(prev, prev2)
-    who, weight, flat, frequencies = model.who, model.weight, side.tables, side.frequencies
+    who, weight = model.who, model.weight
     unit = span >> _U(_PRICE)
     value = _quotient(code, unit)
     place = who - 1
     np.maximum(place, 0, out=place)
     place += table
-    low, size = flat.take(place, mode="clip"), frequencies.take(place, mode="clip")
-    low *= multiplier
-    size *= multiplier
+    below, frequency = side.prices(place)
+    low, size = below * multiplier, frequency * multiplier
     size += weight
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        less, differ = _less(who[i], who[j]), _differ(who[i], who[j])
-        low[j] += weight[i] & less
-        low[i] += weight[j] & (differ ^ less)
-        np.invert(differ, out=differ)
-        size[i] += weight[j] & differ
-        size[j] += weight[i] & differ
+    less, differ = _less(who[0], who[1]), _differ(who[0], who[1])
+    low[1] += weight[0] & less
+    low[0] += weight[1] & (differ ^ less)
+    size[1] += weight[0] & ~differ  # order 1 has no weight of its own then
     np.subtract(value, low, out=low)  # from here on the place inside each named id's interval
     inside = _less(low, size)
     past = weight & ~inside
     value -= past[0]
     value -= past[1]
-    value -= past[2]
     zero = _quotient(value, multiplier)
     np.maximum(zero, 0, out=zero)
     np.minimum(zero, (1 << side.bits) - 1, out=zero)
@@ -469,15 +480,23 @@ def _decode_step(model, side, inverse, kind, table, prev, prev2, code, span, wor
     own = inverse.take(zero, mode="clip")
     inside &= ~low >> 31
     inside &= -who >> 31
-    for i in range(3):
+    for i in range(2):
         own = _pick(inside[i], who[i], own)
     place = table + own
     place -= 1
-    start, size = model.price(own, flat.take(place, mode="clip"), frequencies.take(place, mode="clip"), multiplier)
+    start, size = model.price(own, *side.prices(place), multiplier)
     found[:] = own
     code -= unit * start.astype(_U)
     np.multiply(unit, size.astype(_U), out=span)
-    go = np.flatnonzero(span < _SMALL)
+    small = span < _SMALL
+    shift = small.astype(_U)
+    more = words.take(next_word, mode="clip") * shift
+    next_word += small
+    shift <<= _U(4)
+    code <<= shift
+    code |= more
+    span <<= shift
+    go = np.flatnonzero((span < _SMALL) & (span > 0))
     while len(go):
         where = next_word.take(go)
         code[go] = (code.take(go) << _U(16)) | words.take(where, mode="clip")
@@ -487,34 +506,101 @@ def _decode_step(model, side, inverse, kind, table, prev, prev2, code, span, wor
         go = go[(rest < _SMALL) & (rest > 0)]
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Symbols of documents in a row, how many each document has, and the ids that each kind of symbol stands for."""
+
+    symbols: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of_ids(cls, sizes: list[int], ids: np.ndarray) -> Runs:
+        """A symbol for each id."""
+        kinds, symbols = np.unique(ids, return_inverse=True)
+        return cls(symbols, np.array(sizes, np.int64), kinds.astype("<u4"), np.ones(len(kinds), np.int64))
+
+    @classmethod
+    def of_words(cls, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> Runs:
+        """Of documents of so many words each; word i's ids are ids[bounds[i] : bounds[i + 1]]."""
+        times = np.bincount(numbers, minlength=len(bounds) - 1)
+        used = np.flatnonzero(times)
+        begins, lengths = bounds[used], bounds[used + 1] - bounds[used]
+        keep = (times[used] >= WORD_TIMES) & (lengths > 1) & (lengths <= WORD_IDS)
+        spelled = gathered(ids, begins[~keep], lengths[~keep])
+        if len(spelled) and spelled.max() < 1 << 24:
+            singles = np.flatnonzero(np.bincount(spelled)).astype(np.uint32)
+            place = np.zeros(int(spelled.max()) + 1, np.int32)
+            place[singles] = np.arange(len(singles))
+            spelled = place[spelled]
+        else:
+            singles, spelled = np.unique(spelled, return_inverse=True)
+        # what stands for each word: its own symbol, or those of its ids
+        amount = np.where(keep, 1, lengths)
+        ends = np.cumsum(amount)
+        written = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        own = np.repeat(keep, amount)
+        written[own] = np.arange(len(singles), len(singles) + int(keep.sum()))
+        written[~own] = spelled
+        begin, size = np.zeros((2, len(times)), np.int64)
+        begin[used], size[used] = ends - amount, amount
+        sizes = size[numbers]
+        symbols = gathered(written, begin[numbers], sizes)
+        of_docs = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))])
+        table = np.concatenate([singles, gathered(ids, begins[keep], lengths[keep])]).astype("<u4")
+        return cls(symbols, of_docs, table, np.append(np.ones(len(singles), np.int64), lengths[keep]))
+
+    @cached_property
+    def n_ids(self) -> int:
+        return int(np.bincount(self.symbols, minlength=len(self.lengths)) @ self.lengths)
+
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all symbols in a row, and where the symbols' ids end, 0 first."""
+        if not len(self.symbols):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        sizes = self.lengths[self.symbols]
+        return gathered(self.ids, (np.cumsum(self.lengths) - self.lengths)[self.symbols], sizes), np.append(0, np.cumsum(sizes))
+
+
 def file_bytes(keys: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    """One archive: header, document table, statistics, block table and blocks, each under a CRC-32."""
+    """One archive of ids without words: header, table of symbols, document table, statistics, block table and blocks, each under a CRC-32."""
     return archives([(keys, sizes, ids)])[0]
 
 
 def archives(files: list[tuple[list[int | None], list[int], np.ndarray]]) -> list[bytes]:
     """The bytes of each file's archive; see file_bytes."""
-    learnt = [learn(ids, np.array(sizes, np.int64)) for _, sizes, ids in files]
-    blocks = encode_files([Blocked(np.repeat(label.astype(np.uint8), f[1]), known, symbols=symbols) for f, (known, symbols, label) in zip(files, learnt, strict=True)])
+    return run_archives([(keys, Runs.of_ids(sizes, ids)) for keys, sizes, ids in files])
+
+
+def run_archives(files: list[tuple[list[int | None], Runs]]) -> list[bytes]:
+    """The bytes of each file's archive, from the documents' keys and symbols."""
+    learnt = [learn(runs.symbols, runs.sizes) for _, runs in files]
+    blocks = encode_files([Blocked(np.repeat(label.astype(np.uint8), runs.sizes), known, symbols=symbols) for (_, runs), (known, symbols, label) in zip(files, learnt, strict=True)])
     return [_archive(*f, known, label, b) for f, (known, _, label), b in zip(files, learnt, blocks, strict=True)]
 
 
-def _archive(keys: list[int | None], sizes: list[int], ids: np.ndarray, known: Statistics, label: np.ndarray, blocks: list[bytes]) -> bytes:
-    sizes_ = np.array(sizes, np.int64)
+def _archive(keys: list[int | None], runs: Runs, known: Statistics, label: np.ndarray, blocks: list[bytes]) -> bytes:
     present = np.array([k is not None for k in keys], np.uint8)
     names = np.array([0 if k is None else k for k in keys], "<i8")
-    docs = zlib.compress(present.tobytes() + names.tobytes() + sizes_.astype("<u4").tobytes() + label.astype(np.uint8).tobytes(), 1)
+    docs = zlib.compress(present.tobytes() + names.tobytes() + runs.sizes.astype("<u4").tobytes() + label.astype(np.uint8).tobytes(), 1)
+    width = 2 if not len(runs.ids) or runs.ids.max() < 1 << 16 else 4
+    words = zlib.compress(runs.lengths.astype(np.uint8).tobytes() + runs.ids.astype(f"<u{width}").tobytes(), 3)
     frozen = known.to_bytes()
-    ends = np.cumsum(block_sizes(len(ids)))
-    raw = ids.astype("<u4", copy=False)
-    crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+    crcs = _crcs(runs.symbols)
     table = np.array([[len(b) for b in blocks], crcs], "<u4").tobytes() if blocks else b""
-    counts = (len(keys), len(ids), len(blocks), len(known.ids), len(known.cumulative), known.bits, len(docs), len(frozen))
-    head = MAGIC + struct.pack(_HEAD, *counts, zlib.crc32(docs + frozen + table))
-    return head + docs + frozen + table + b"".join(blocks)
+    counts = (len(keys), runs.n_ids, len(runs.symbols), len(blocks), len(runs.lengths), len(runs.ids), width, len(known.ids), len(known.cumulative), known.bits, len(docs), len(words), len(frozen))
+    head = MAGIC + struct.pack(_HEAD, *counts, zlib.crc32(docs + words + frozen + table))
+    return head + docs + words + frozen + table + b"".join(blocks)
+
+
+def _crcs(symbols: np.ndarray) -> list[int]:
+    """The CRC-32 of each block's symbols; what they stand for has its own."""
+    raw, ends = memoryview(symbols.astype("<u4").tobytes()), np.cumsum(4 * block_sizes(len(symbols))).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-_HEAD = "<IQIIIIIII"
+_HEAD = "<IQQIIIIIIIIIII"
 
 
 def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -525,29 +611,30 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def parse_files(files: list[bytes]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """parse_file of each, their blocks decoded side by side."""
     heads = [_tables_of(data) for data in files]
-    for (keys, sizes, crcs, coded), symbols in zip(heads, decode_files([h[3] for h in heads]), strict=True):
-        ids = coded.known.ids.astype("<u4")[np.clip(symbols, 0, max(0, len(coded.known.ids) - 1))] if len(symbols) else np.zeros(0, "<u4")
-        lengths = block_sizes(len(ids))
-        ends = np.cumsum(lengths)
-        for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
-            if zlib.crc32(ids[a:b].tobytes()) != crcs[k]:
-                raise ValueError(f"block {k}'s checksum differs")
-        yield keys, sizes, ids
+    for (keys, n_ids, crcs, runs, coded), symbols in zip(heads, decode_files([h[-1] for h in heads]), strict=True):
+        if len(symbols):
+            symbols = coded.known.ids.astype(np.int32).take(symbols, mode="clip")
+        if _crcs(symbols) != crcs.tolist():
+            raise ValueError("a block's checksum differs")
+        ids, at = Runs(symbols, runs.sizes, runs.ids, runs.lengths).spelled()
+        if len(ids) != n_ids:
+            raise ValueError("the archive's counts differ")
+        yield keys, np.diff(at[np.append(0, np.cumsum(runs.sizes))]), ids
 
 
-def ids_in(data: bytes) -> int:
-    """How many ids an archive says that it holds."""
-    return struct.unpack_from(_HEAD, data, 8)[1] if data[:8] == MAGIC else 0
+def symbols_in(data: bytes) -> int:
+    """How many symbols an archive says that it holds."""
+    return struct.unpack_from(_HEAD, data, 8)[2] if data[:8] == MAGIC else 0
 
 
-def _tables_of(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, Blocked]:
-    """(keys, sizes, CRC-32 of each block, what is to be decoded) of an archive."""
+def _tables_of(data: bytes) -> tuple[list[int | None], int, np.ndarray, Runs, Blocked]:
+    """(keys, ids, CRC-32 of each block, documents and kinds without symbols, what is to be decoded) of an archive."""
     if data[:8] != MAGIC:
         raise ValueError("not an id archive")
-    n_docs, n_ids, n_blocks, kinds, n_classes, bits, n_table, n_frozen, crc = struct.unpack_from(_HEAD, data, 8)
+    n_docs, n_ids, n_symbols, n_blocks, n_words, n_word_ids, width, kinds, n_classes, bits, n_table, n_list, n_frozen, crc = struct.unpack_from(_HEAD, data, 8)
     at = 8 + struct.calcsize(_HEAD)
     parts = []
-    for size in (n_table, n_frozen, 8 * n_blocks):
+    for size in (n_table, n_list, n_frozen, 8 * n_blocks):
         parts.append(data[at : at + size])
         at += size
     if zlib.crc32(b"".join(parts)) != crc:
@@ -556,16 +643,27 @@ def _tables_of(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, B
     present, names = np.frombuffer(raw, np.uint8, n_docs), np.frombuffer(raw, "<i8", n_docs, n_docs)
     sizes = np.frombuffer(raw, "<u4", n_docs, 9 * n_docs).astype(np.int64)
     label = np.frombuffer(raw, np.uint8, n_docs, 13 * n_docs)
-    known = Statistics.from_bytes(parts[1], kinds, n_classes, bits)
-    spans, crcs = np.frombuffer(parts[2], "<u4").reshape(2, -1).astype(np.int64) if n_blocks else (np.zeros(0, np.int64),) * 2
-    lengths = block_sizes(n_ids)
-    if sizes.sum() != n_ids or len(lengths) != n_blocks:
+    raw = zlib.decompress(parts[1])
+    runs = Runs(np.zeros(0, np.int32), sizes, np.frombuffer(raw, f"<u{width}", n_word_ids, n_words).astype("<u4"), np.frombuffer(raw, np.uint8, n_words).astype(np.int64))
+    known = Statistics.from_bytes(parts[2], kinds, n_classes, bits)
+    spans, crcs = np.frombuffer(parts[3], "<u4").reshape(2, -1).astype(np.int64) if n_blocks else (np.zeros(0, np.int64),) * 2
+    lengths = block_sizes(n_symbols)
+    if sizes.sum() != n_symbols or len(lengths) != n_blocks or runs.lengths.sum() != n_word_ids or (kinds and known.ids[-1] >= n_words):
         raise ValueError("the archive's counts differ")
     blocks = []
     for s in spans.tolist():
         blocks.append(data[at : at + s])
         at += s
-    return [int(x) if k else None for x, k in zip(names, present, strict=True)], sizes, crcs, Blocked(np.repeat(label, sizes), known, blocks=blocks)
+    return [int(x) if k else None for x, k in zip(names, present, strict=True)], n_ids, crcs, runs, Blocked(np.repeat(label, sizes), known, blocks=blocks)
+
+
+def words_ended(words: WordTokenizer, held: list[tuple[np.ndarray, np.ndarray]], end_id: int) -> Runs:
+    """The symbols of texts that words has numbered, batch by batch, with end_id after each text."""
+    numbers, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    table = words.table
+    end = table.add(np.array([end_id], np.uint32), np.ones(1, np.int64))
+    numbers = np.insert(numbers, np.cumsum(counts), end[0])
+    return Runs.of_words(numbers, counts + 1, table.flat[: table.size], table.bounds[: table.n + 1])
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -576,38 +674,39 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     it begins. A repeated task replaces its own files. Keys are integers.
     """
     path = path or default_tokenizer()
-    end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("key", F.substring("text", 1, 16)).sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names, n_docs, n_ids = TaskContext.get().partitionId(), [], [], []
         keys: list = []
-        held: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        full: list[tuple[list, list[int], np.ndarray]] = []
+        full: list[tuple[list, Runs]] = []
+        words = tokenizer(path)
+        words.trim()
 
         def close() -> None:
             nonlocal keys, held, size
-            full.append((keys, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4")))
+            full.append((keys, words_ended(words, held, end_id)))
             keys, held, size = [], [], 0
-            if sum(len(ids) for *_, ids in full) >= SIDE_IDS:
+            words.trim()
+            if sum(len(runs.symbols) for _, runs in full) >= SIDE_SYMBOLS:
                 write()
 
         def write() -> None:
-            for (docs, _, ids), content in zip(full, archives(full), strict=True):
+            for (docs, runs), content in zip(full, run_archives(full), strict=True):
                 names.append(write_file(folder, f"part-{part:06d}-{len(names):05d}.ids", content))
                 n_docs.append(len(docs))
-                n_ids.append(len(ids))
+                n_ids.append(runs.n_ids)
             full.clear()
 
-        for batch in slices(batches, "text", 4 << 20):
-            for k, raw in zip(batch.column("key").to_pylist(), tokenizer(path).encode(batch.column("text").to_pylist()), strict=True):
-                keys.append(k)
-                held.append(raw + end)
-                size += len(raw) // 4 + 1
-                if size >= FILE_IDS:
-                    close()
+        for batch in slices(batches, "text", 12 << 20):
+            held.append(words.numbered(batch.column("text").to_pylist()))
+            keys += batch.column("key").to_pylist()
+            size += words.ids_in(held[-1][0]) + batch.num_rows
+            if size >= FILE_IDS or words.is_full():
+                close()
         if keys:
             close()
         write()
@@ -617,13 +716,13 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None], np.ndarray, np.ndarray]]:
-    """(file, keys, sizes, ids) of rows (file, content), files of some SIDE_IDS ids decoded together."""
+    """(file, keys, sizes, ids) of rows (file, content), files of some SIDE_SYMBOLS symbols decoded together."""
     names: list[str] = []
     held: list[bytes] = []
     for batch in batches:
         for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
             data = content.as_py()
-            if held and sum(map(ids_in, held)) + ids_in(data) > SIDE_IDS + FILE_IDS // 2:
+            if held and sum(map(symbols_in, held)) + symbols_in(data) > SIDE_SYMBOLS:
                 yield from ((x, *y) for x, y in zip(names, parse_files(held), strict=True))
                 names, held = [], []
             names.append(name)

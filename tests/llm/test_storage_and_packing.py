@@ -145,6 +145,31 @@ def test_mixing_beats_deflate_and_order_0(library):
     assert len(data) < 0.8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
+def test_words_are_symbols_of_an_archive(library):
+    """Words that a file has several times are coded as one symbol each, and every id comes back."""
+    from ledgerwright.llm.token_archive import parse_files, run_archives, symbols_in, words_ended
+
+    words = WordTokenizer(default_tokenizer())
+    parts = [["thonering anblewh, sttible anblewh. " * 400, None, *ODD], ["thonering onceonly anblewh", "", "thonering!"]]
+    runs = words_ended(words, [words.numbered(p) for p in parts], 2)
+    (data,) = run_archives([(list(range(len(ODD) + 5)), runs)])
+    ((keys, sizes, ids),) = parse_files([data])
+    want = [[*ids_of(library, t), 2] for p in parts for t in p]
+    assert keys == list(range(len(want))) and sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x] and runs.n_ids == len(ids)
+    assert symbols_in(data) == len(runs.symbols) < 0.75 * len(ids)
+
+
+def test_words_are_the_same_before_and_after_the_memo_is_thinned(library, monkeypatch):
+    monkeypatch.setattr("ledgerwright.llm.tokens.MEMO_WORDS", 60)
+    words = WordTokenizer(default_tokenizer())
+    rng = np.random.default_rng(8)
+    for k in range(12):
+        texts = [" ".join(f"{a}z{b}" + ("", ",", "...", "'s")[b % 4] for a, b in rng.integers(k, k + 9, (30, 2))), "É, «à», x.y, A. B", None]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [ids_of(library, t) for t in texts]
+        assert len(words.memo) < 400
+
+
 def test_archive_checksums():
     ids = np.arange(3000) % 50
     data = file_bytes([None, 5], [1000, 2000], ids)
