@@ -72,32 +72,43 @@ def _deeper(at: Callable[[str], Column], kinds: Sequence[str] = ("number", "date
 
 
 def _evidence(raw: DataFrame, texts: Sequence[str]) -> dict:
-    """Figures about every text column, from one pass: cells, then their parts, then what parses, then counts."""
-    cells = raw.select(*[val.cell(quoted(c)).alias(f"x{i}") for i, c in enumerate(texts)], *[(quoted(c).isNotNull()).alias(f"given{i}") for i, c in enumerate(texts)], *[(quoted(c) != F.trim(quoted(c))).alias(f"tr{i}") for i, c in enumerate(texts)])
-    parts = cells.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _parts(F.col(f"x{i}")).items()])
-    parts = parts.select("*", *[v.alias(f"{k}{i}") for i in range(len(texts)) for k, v in _deeper(lambda name, i=i: F.col(f"{name}{i}")).items()])
-    found, aggs = [], [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(texts)):
-        at = lambda name, i=i: F.col(f"{name}{i}")
-        number, known = (at("t"), at("negative"), at("percent")), {k: at(k) for k in _GROUPINGS}
-        eu, us = val.votes_from(at("t"), known)
-        dmy, mdy, numeric = val.order_votes_of_runs(at("runs"))
-        truth = val.parse_bool(at("x"))
-        found += [
-            at("x"), at("given"), at("tr"), val.number_from(*number, known=known).isNotNull().alias(f"us{i}"), val.number_from(*number, "eu", known).isNotNull().alias(f"eu{i}"), eu.alias(f"ve{i}"), us.alias(f"vu{i}"),
-            val.date_of_runs(at("runs"), "dmy").isNotNull().alias(f"dd{i}"), val.date_of_runs(at("runs"), "mdy").isNotNull().alias(f"md{i}"), dmy.alias(f"vd{i}"), mdy.alias(f"vm{i}"), numeric.alias(f"nu{i}"),
-            val.has_time(at("x")).alias(f"ht{i}"), F.when(truth.isNotNull(), F.lower(at("x"))).alias(f"bo{i}"), at("x").endswith("%").alias(f"pc{i}"), val.currency_of(at("x")).alias(f"cu{i}"),
-        ]
-        bools = [F.count_if(at("bo") == word).alias(f"b{k}_{i}") for k, word in enumerate(_BOOL_WORDS)]
-        money = [F.count_if(at("cu") == code).alias(f"c{k}_{i}") for k, code in enumerate(_CURRENCIES)]
-        aggs += [F.count(at("x")).alias(f"n{i}"), F.count_if(at("given") & at("x").isNull()).alias(f"nt{i}"), *bools, *money]
-        aggs += [F.count_if(at(k)).alias(f"{k}{i}") for k in ("us", "eu", "dd", "md", "ht", "pc", "tr")] + [F.sum(at(k)).alias(f"{k}{i}") for k in ("ve", "vu", "vd", "vm", "nu")]
-    row = parts.select(*found).agg(*aggs).first().asDict()
+    """Figures about every text column, from one pass: cells, then their parts, then what parses, then counts.
+
+    The cells of all columns stand below each other with the number of their column, so the
+    expressions are as long for many columns as for one: beyond a few columns side by side
+    Spark can no longer compile them and interprets each. Equal cells of a column are parsed
+    once and count as often as they occur.
+    """
+    side = [F.struct(F.lit(i).alias("i"), quoted(c).alias("raw")) for i, c in enumerate(texts)]
+    long = raw.select(F.inline(F.array(*side))).groupBy("i", "raw").agg(F.count(F.lit(1)).alias("times"))
+    cells = long.select("i", "times", val.cell(F.col("raw")).alias("x"), F.col("raw").isNotNull().alias("given"), (F.col("raw") != F.trim("raw")).alias("tr"))
+    parts = cells.select("*", *[v.alias(k) for k, v in _parts(F.col("x")).items()])
+    parts = parts.select("*", *[v.alias(k) for k, v in _deeper(F.col).items()])
+    at = F.col
+    number, known = (at("t"), at("negative"), at("percent")), {k: at(k) for k in _GROUPINGS}
+    eu, us = val.votes_from(at("t"), known)
+    dmy, mdy, numeric = val.order_votes_of_runs(at("runs"))
+    truth = val.parse_bool(at("x"))
+    found = [
+        at("i"), at("times"), at("x"), at("given"), at("tr"), val.number_from(*number, known=known).isNotNull().alias("us"), val.number_from(*number, "eu", known).isNotNull().alias("eu"), eu.alias("ve"), us.alias("vu"),
+        val.date_of_runs(at("runs"), "dmy").isNotNull().alias("dd"), val.date_of_runs(at("runs"), "mdy").isNotNull().alias("md"), dmy.alias("vd"), mdy.alias("vm"), numeric.alias("nu"),
+        val.has_time_from(at("text"), at("day")).alias("ht"), F.when(truth.isNotNull(), F.lower(at("x"))).alias("bo"), at("x").endswith("%").alias("pc"), val.currency_of(at("x")).alias("cu"),
+    ]
+    often = lambda if_so: F.coalesce(F.sum(F.when(if_so, at("times"))), F.lit(0))
+    bools = [often(at("bo") == word).alias(f"b{k}") for k, word in enumerate(_BOOL_WORDS)]
+    money = [often(at("cu") == code).alias(f"c{k}") for k, code in enumerate(_CURRENCIES)]
+    aggs = [F.sum("times").alias("rows"), often(at("x").isNotNull()).alias("n"), often(at("given") & at("x").isNull()).alias("nt"), *bools, *money]
+    aggs += [often(at(k)).alias(k) for k in ("us", "eu", "dd", "md", "ht", "pc", "tr")] + [F.sum(at(k) * at("times")).alias(k) for k in ("ve", "vu", "vd", "vm", "nu")]
+    rows = {r["i"]: r.asDict() for r in parts.select(*found).groupBy("i").agg(*aggs).collect()}  # a row a column
+    names = ("n", "nt", "us", "eu", "dd", "md", "ht", "pc", "tr")
+    out = {"rows": rows[0]["rows"] if rows else 0}
     for i in range(len(texts)):
-        words = [row.pop(f"b{k}_{i}") for k in range(len(_BOOL_WORDS))]
-        codes = [row.pop(f"c{k}_{i}") for k in range(len(_CURRENCIES))]
-        row |= {f"bo{i}": sum(words), f"bd{i}": sum(w > 0 for w in words), f"cu{i}": sum(codes), f"cc{i}": _CURRENCIES[codes.index(max(codes))] if max(codes) else None}
-    return row
+        row = rows.get(i) or dict.fromkeys(names, 0) | dict.fromkeys(("ve", "vu", "vd", "vm", "nu"))
+        words = [row.get(f"b{k}", 0) for k in range(len(_BOOL_WORDS))]
+        codes = [row.get(f"c{k}", 0) for k in range(len(_CURRENCIES))]
+        out |= {f"{k}{i}": row[k] for k in (*names, "ve", "vu", "vd", "vm", "nu")}
+        out |= {f"bo{i}": sum(words), f"bd{i}": sum(w > 0 for w in words), f"cu{i}": sum(codes), f"cc{i}": _CURRENCIES[codes.index(max(codes))] if max(codes) else None}
+    return out
 
 
 def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] | None = None) -> Cleaned:
@@ -165,22 +176,27 @@ def clean(raw: DataFrame, threshold: float = 0.9, date_orders: dict[str, str] |
     cells = raw.select("*", *[val.cell(quoted(c)).alias(f"__x{i}") for i, c in enumerate(texts)])
     needed = [(i, {"number": ("t", "negative", "percent"), "date": ("text", "day")}.get(meta[c].kind, ())) for i, c in enumerate(texts)]
     held = cells.select("*", *[v.alias(f"__{k}{i}") for i, names in needed for k, v in _parts(F.col(f"__x{i}")).items() if k in names])
-    out = held.select(*columns, *keep).dropna(how="all", subset=list(typed_in)) if typed_in else raw
-    n_rows = _counted(held, columns, {c: texts.index(c) for c in texts if meta[c].unparsed and meta[c].kind != "string"}, meta) if typed_in else raw.count()
+    typed_rows = held.select(*columns, *keep) if typed_in else raw
+    out = typed_rows.dropna(how="all", subset=list(typed_in)) if typed_in else raw
+    n_rows = _counted(held, columns, texts, meta) if typed_in else raw.count()
     if n_rows < row["rows"]:
         log.append({"kind": "empty_rows", "rows": row["rows"] - n_rows})
-    hints += label_clashes(out, [c for c, m in meta.items() if m.kind == "string"])
+    hints += label_clashes(typed_rows, [c for c, m in meta.items() if m.kind == "string"])
     return Cleaned(out, meta, n_rows, log, hints)
 
 
-def _counted(held: DataFrame, columns: Sequence[Column], unread: dict[str, int], meta: dict[str, ColumnMeta]) -> int:
-    """Rows with any value; in the same pass the first and the last of the texts that became blank, as examples of their columns."""
-    names = list(unread)
-    typed_cells = held.select(*columns, *[F.col(f"__x{i}").alias(f"__was{k}") for k, i in enumerate(unread.values())])
+def _counted(held: DataFrame, columns: Sequence[Column], texts: Sequence[str], meta: dict[str, ColumnMeta]) -> int:
+    """Rows with any value; in the same pass the first and the last of the texts that became blank, as examples of their columns.
+
+    Where each cell of a column was read, its cells say what is blank; only other columns are parsed here.
+    """
+    place = {c: i for i, c in enumerate(texts)}
+    unread = [c for c in texts if meta[c].unparsed and meta[c].kind != "string"]
+    typed_cells = held.select(*[c if name not in place or name in unread else F.col(f"__x{place[name]}").alias(name) for name, c in zip(meta, columns, strict=True)], *[F.col(f"__x{place[c]}").alias(f"__was{k}") for k, c in enumerate(unread)])
     present = [quoted(c).isNotNull() for c in meta]
-    lost = [F.when(quoted(c).isNull(), F.col(f"__was{k}")) for k, c in enumerate(names)]
+    lost = [F.when(quoted(c).isNull(), F.col(f"__was{k}")) for k, c in enumerate(unread)]
     row = typed_cells.agg(F.count_if(reduce(lambda a, b: a | b, present)).alias("n"), *[f(x).alias(f"{f.__name__}{k}") for k, x in enumerate(lost) for f in (F.min, F.max)]).first()
-    for k, c in enumerate(names):
+    for k, c in enumerate(unread):
         meta[c].examples = tuple(dict.fromkeys(x[:80] for x in (row[f"min{k}"], row[f"max{k}"]) if x is not None))
     return row["n"]
 
