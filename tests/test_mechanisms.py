@@ -1,6 +1,7 @@
 """Label dictionaries, forecasts in SQL and the sentence gate as a stream."""
 
 import os
+import shutil
 from datetime import date
 
 import pytest
@@ -9,7 +10,7 @@ from ledgerwright.functions import forecast_table
 from ledgerwright.operators import labels as lab
 from ledgerwright.operators import timeseries as ts
 from ledgerwright.operators.filters import Filter, apply_filters
-from ledgerwright.plans.catalog import conversation_pieces
+from ledgerwright.plans.catalog import QUERIES, conversation_pieces
 from ledgerwright.streaming import gate_stream as gs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -151,6 +152,21 @@ def test_a_restarted_stream_equals_the_batch_gate(spark, tmp_path):
     assert {r["kept"] for r in got.where("sentence rlike '[0-9]'").collect()} == {True, False}
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_the_gate_reads_a_table_of_one_file_or_of_several(spark, tmp_path, parts):
+    """A folder's part files have other names than the table; all of them are read, in one go."""
+    turns = spark.createDataFrame([(c, t, "user", f"text {'x' * (c + 1)}") for c in range(5) for t in range(13)], "conv_id long, turn long, role string, text string")
+    turns.repartition(parts).write.parquet(str(tmp_path / "conversations.parquet"))
+    if parts == 1:
+        (only,) = (tmp_path / "conversations.parquet").glob("part-*")
+        os.rename(only, tmp_path / "only")
+        shutil.rmtree(tmp_path / "conversations.parquet")
+        os.rename(tmp_path / "only", tmp_path / "conversations.parquet")
+    found = sorted(map(tuple, QUERIES["gate_stream"](spark, str(tmp_path)).collect()))
+    expected = [(c, 2 * t + 2, f"The user wrote {6 + c + 7 * (t % 2)} characters.", t % 2 == 0) for c in range(5) for t in range(13)]
+    assert found == sorted(expected)
+
+
 def test_a_quiet_conversation_is_let_out_and_forgotten(spark, tmp_path):
     folder = str(tmp_path)
     os.makedirs(f"{folder}/in")
