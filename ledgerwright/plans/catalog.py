@@ -49,16 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact view over the star: one row per line item."""
+    """The fact view over the star: one row per line item.
+
+    Orders meet their customers and lines their parts before the two large sides meet,
+    and names of nations and regions come last, so that narrow rows are shuffled.
+    """
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part")}
-    joined = (
-        t["lineitem"]
-        .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-    )
+    lines = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    bought = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     revenue, cost = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.lit(1.45) * F.col("l_quantity") * F.col("p_retailprice")
     return joined.select(
         F.col("l_orderkey").alias("order_key"), F.col("o_orderdate").cast("date").alias("order_date"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations, permutations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +23,29 @@ from .insights import kpis
 from .profile import Profile, profile
 from .tools import registry
 
-_profiles: dict[tuple[str, str], Profile] = {}
+#: By session and folder: where the fact view was written, and its profile.
+_facts: dict[tuple[str, str], tuple[str, Profile]] = {}
 
 
 def _context(spark: SparkSession, sf_dir: str) -> Context:
-    """The fact view under analysis; its profile is made once for a session and folder."""
-    df, key = sales(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _profiles:
-        _profiles[key] = profile(df)
-    return Context(df, _profiles[key])
+    """The fact view under analysis, with its profile.
+
+    A profile and a tool read the view ten to forty times, so its joins run once for a
+    session and folder: it is written to the shared folder and read from there, and
+    written again where whoever owns that folder has removed it.
+    """
+    view, key = sales(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key in _facts:
+        path, known = _facts[key]
+        try:
+            return Context(spark.read.schema(view.schema).parquet(path), known)
+        except AnalysisException:
+            del _facts[key]
+    path = shared_folder(spark, "facts")
+    view.write.option("compression", "zstd").parquet(path)
+    df = spark.read.schema(view.schema).parquet(path)
+    _facts[key] = (path, profile(df))
+    return Context(df, _facts[key][1])
 
 
 def _register(name: str, schema: str, rows: Callable[[Context], list[tuple]], sql: str, places: int = 2) -> None:
